@@ -1,0 +1,10 @@
+"""Operators of a training-data pipeline. Nothing else in the library imports this package.
+
+Functions that run on executors are shipped by value, so a cluster needs no installed copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
