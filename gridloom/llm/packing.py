@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -28,7 +29,7 @@ from gridloom.llm.common import pick, stored, worker_cache
 
 CLASSES = 64
 DEPTH = 4
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 # Characters for which the vocabulary's normaliser is str.lower() plus white space, and for which letters,
 # digits and the rest are told apart by the plain pattern below. Other texts go through the tokenizer itself.
@@ -45,6 +46,9 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Byte-level vocabularies spell a byte that does not print as the next free character from 256 on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.spelling = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids must fit in 16 bits")
 
@@ -53,8 +57,12 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = self.whole(word)
+            # What came first is what comes often.
+            for old in list(itertools.islice(self, CACHE_WORDS // 4, None)):
+                del self[old]
+        # One piece of the pattern is one input of the model, with its bytes as the vocabulary spells them.
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+        out = self[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u2").tobytes()
         return out
 
     def text(self, text: str) -> bytes:
