@@ -87,7 +87,7 @@ class Items:
             return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def regions(self, low: np.ndarray, start: np.ndarray):
-        """(row, item, diagonal from, diagonal to) of bands whose hits meet the bound. ``start``: rows' offsets in ``low``."""
+        """(row, item, diagonal from) of bands whose hits meet the bound. ``start``: rows' offsets in ``low``."""
         g = grams(low)
         place = np.flatnonzero(self.table[self.cell(g)])
         a, b = np.searchsorted(self.value, g[place], "left"), np.searchsorted(self.value, g[place], "right")
@@ -99,14 +99,24 @@ class Items:
         place = np.repeat(place, n)
         item, at = self.item[hit], self.at[hit]
         row = np.searchsorted(start, place, "right") - 1
+        # A pair of row and item with fewer hits than the bound has no band that meets it.
+        pair = row * len(self.ids) + item
+        enough = np.bincount(pair, minlength=len(start) * len(self.ids))[pair] >= self.least[item]
+        row, item, at, place = row[enough], item[enough], at[enough], place[enough]
+        if not len(row):
+            return np.zeros((0, 3), np.int64)
         diagonal = place - start[row] - at
         half = self.width[item] // 2
-        keys = []
+        out = []
         for shift in (0, 1):
             band = (diagonal // half - shift) // 2  # bands [2b + shift, 2b + shift + 2) of half widths
-            keys.append(np.stack([row, item, (2 * band + shift) * half], 1))
-        key, count = np.unique(np.concatenate(keys), axis=0, return_counts=True)
-        return key[count >= self.least[key[:, 1]]]
+            order = np.lexsort((band, item, row))
+            r, i, b = row[order], item[order], band[order]
+            first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
+            count = np.diff(np.append(first, len(r)))
+            first = first[count >= self.least[i[first]]]
+            out.append(np.stack([r[first], i[first], (2 * b[first] + shift) * (self.width[i[first]] // 2)], 1))
+        return np.concatenate(out)
 
 
 def banded(text: np.ndarray, item: np.ndarray, k: int) -> int:
