@@ -7,6 +7,12 @@ so some choice of n2 - k2 of its smaller parts is identical in both sets: each s
 every such choice, and similar sets share at least one. A set that may pair with the next band's sizes emits
 that band's signatures too. n1 and n2 are chosen for each band so that a signature rests on enough elements.
 
+Where no choice of n1 and n2 gives enough elements, as at low thresholds, empty parts would be shared by sets
+that have nothing in common. There a set of a elements, which differs from any partner in at most
+a * (1-t)/t of them, counts its choices of two elements or more: each difference spoils a known number of
+choices, so if there are more than can be spoilt, one of them is identical in both sets, and the set emits
+those alone. A set with too few of them emits all that are not empty, and if these are too few as well, all.
+
 Equal sets are one representative from the start. Sets that share signatures form coarse groups; only their
 texts are read again, and in each group pairs that share a signature are compared exactly, except where a
 chain of links joins them already. A large group is cut into blocks, and each pair of blocks is a task's
@@ -43,7 +49,7 @@ class Bands:
         self.t = threshold
         self.ratio = float(1 / threshold) ** BAND_STEPS
         self._first: list[int] = [1]
-        self._params: dict[int, tuple[int, int, int]] = {}
+        self._params: dict[int, tuple[int, int, int, bool]] = {}
 
     def first(self, band: int) -> int:
         """The smallest size in a band."""
@@ -59,8 +65,13 @@ class Bands:
         band = int(np.searchsorted(self._first, size, side="right")) - 1
         return [band, band + 1] if size >= self.t * self.first(band + 1) else [band]
 
-    def params(self, band: int) -> tuple[int, int, int]:
-        """(n1, n2, k2) of a band."""
+    def load(self) -> float:
+        """The most elements a part may hold on average if parts of two or more are to outnumber the differences."""
+        fits = [x / 10 for x in range(10, 80) if 1 - math.exp(-x / 10) * (1 + x / 10) > 1.03 * x / 10 * float((1 - self.t) / self.t)]
+        return max(fits, default=1.0)
+
+    def params(self, band: int) -> tuple[int, int, int, bool]:
+        """(n1, n2, k2) of a band, and whether its sets leave out choices of few elements."""
         if band not in self._params:
             most, least = self.first(band + 1) - 1, math.ceil(self.first(band) * self.t)
             k = math.floor(2 * most * (1 - self.t) / (1 + self.t))
@@ -71,7 +82,10 @@ class Bands:
                 elements = least / n1 * (n2 - k2) / n2
                 cost = (max(0.0, min(LEAST_ELEMENTS, least / 2) - elements), signatures)
                 if best is None or cost < best[0]:
-                    best = (cost, (n1, n2, k2))
+                    best = (cost, (n1, n2, k2, False))
+            if best[0][0] > LEAST_ELEMENTS / 2:
+                spoilt = math.floor(most * (1 - self.t) / self.t)
+                best = (best[0], (math.ceil(max(most / self.load(), spoilt + 1) / 2), 2, 1, True))
             self._params[band] = best[1]
         return self._params[band]
 
@@ -86,7 +100,7 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
         for band in bands.of(len(elements)):
-            n1, n2, k2 = bands.params(band)
+            n1, n2, k2, sparse = bands.params(band)
             spread = mix(elements + np.uint64(0x51ED27 + band))
             part = ((spread >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)
             sums = np.zeros(n1 * n2, np.uint64)
@@ -94,15 +108,26 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
             counts = np.bincount(part.astype(np.int64), minlength=n1 * n2).astype(np.uint64)
             cells = mix(sums + counts * np.uint64(0x9E3779B97F4A7C15)).reshape(n1, n2)
             base = np.arange(n1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band + 1)
-            for m in choices(n2, n2 - k2):
+            masks = choices(n2, n2 - k2)
+            least = _least(counts.reshape(n1, n2), masks, math.floor(len(elements) * (1 - bands.t) / bands.t)) if sparse else 0
+            for m in masks:
                 h = base + np.uint64(m << 40)
                 for j in range(n2):
                     if m >> j & 1:
                         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + cells[:, j])
-                out.append(mix(h))
+                held = sum(counts.reshape(n1, n2)[:, j] for j in range(n2) if m >> j & 1)
+                out.append(mix(h)[held >= least] if least else mix(h))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _least(counts: np.ndarray, masks: list[int], differences: int) -> int:
+    """The elements, at most two, below which a choice may be left out: what is kept outnumbers what can be spoilt."""
+    n2 = counts.shape[1]
+    held = np.stack([sum(counts[:, j] for j in range(n2) if m >> j & 1) for m in masks])
+    spoils = sum(m & 1 for m in masks)  # the choices that one part is in
+    return next((c for c in (2, 1) if (held >= c).sum() > differences * spoils), 0)
+
+
 def sets_of(part, n: int):
     """For each text of a slice its distinct shingle hashes, sorted: (values, first, count)."""
     w = part.words(SPACED)
