@@ -115,8 +115,10 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
                 for j in range(n2):
                     if m >> j & 1:
                         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + cells[:, j])
-                held = sum(counts.reshape(n1, n2)[:, j] for j in range(n2) if m >> j & 1)
-                out.append(mix(h)[held >= least] if least else mix(h))
+                h = mix(h)
+                if least:
+                    h = h[sum(counts.reshape(n1, n2)[:, j] for j in range(n2) if m >> j & 1) >= least]
+                out.append(h)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
