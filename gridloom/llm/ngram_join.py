@@ -14,9 +14,9 @@ choices, so if there are more than can be spoilt, one of them is identical in bo
 those alone. A set with too few of them emits all that are not empty, and if these are too few as well, all.
 
 Equal sets are one representative from the start. Sets that share signatures form coarse groups; only their
-texts are read again, and in each group pairs that share a signature are compared exactly, except where a
-chain of links joins them already. A large group is cut into blocks, and each pair of blocks is a task's
-work of its own, so no group has to fit into one task.
+texts are read again, and each group's pairs are compared exactly, except where a chain of links joins them
+already or an index of each set's rarest elements shows that they cannot be similar enough. A large group is
+cut into blocks, and each pair of blocks is a task's work of its own, so no group has to fit into one task.
 """
 
 from __future__ import annotations
@@ -189,56 +189,66 @@ def _content(n: int):
     return run
 
 
-def linked(nodes: list, sets: list, side: list, bands: Bands, threshold: Fraction) -> list[tuple]:
-    """A spanning forest of the links between sets that share a signature, within one pair of blocks.
+def linked(nodes: list, sets: list, side: list, threshold: Fraction) -> list[tuple]:
+    """A spanning forest of the links between the sets of one pair of blocks.
 
     ``side``: 0 and 1 where two different blocks meet (pairs inside one block are another task's work), else 0.
+    Elements are taken rarest first. Of a set of size a the first a - ceil(t * a) + 1 are looked up: sets that are
+    similar enough share one of those. What many sets share comes last, so it brings few of them together.
     """
     up, down = threshold.numerator, threshold.denominator
-    parent = list(range(len(nodes)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    two = len(set(side)) > 1
-    buckets: dict[int, list[int]] = {}
-    for i, s in enumerate(sets):
-        for h in signatures(s, bands).tolist():
-            buckets.setdefault(h, []).append(i)
-    members: dict[int, frozenset] = {}
-    out, tried = [], set()
-    seen_buckets = set()
-    for bucket in buckets.values():
-        if len(bucket) < 2 or (name := tuple(bucket)) in seen_buckets:
+    size = np.array([len(s) for s in sets], np.int64)
+    if not size.sum():
+        return []
+    side, owner = np.array(side), np.repeat(np.arange(len(sets)), size)
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    element, often = rank[element], np.sort(count)
+    order = np.lexsort((element, owner))
+    element, first = element[order], np.cumsum(size) - size
+    looked_up = size - (up * size + down - 1) // down + 1
+    at = np.flatnonzero((np.arange(len(element)) - first[owner] < looked_up[owner]) & (often[element] > 1))
+    # Postings: the sets of each looked-up element, in their order.
+    order = np.lexsort((owner[at], element[at]))
+    posted, key = owner[at][order], element[at][order]
+    start = np.searchsorted(key, key)
+    entries = np.argsort(posted, kind="stable")
+    ends = np.cumsum(np.bincount(posted, minlength=len(sets)))
+    component, held, out = np.arange(len(sets)), np.zeros(len(count), bool), []
+    for i in range(len(sets)):
+        own = entries[ends[i - 1] if i else 0 : ends[i]]
+        met = [posted[a:b] for a, b in zip(start[own], own) if b > a]
+        if not met:
             continue
-        seen_buckets.add(name)
-        for x, i in enumerate(bucket):
-            for j in bucket[:x]:
-                if two and side[i] == side[j]:
-                    continue
-                a, b = len(sets[i]), len(sets[j])
-                if up * max(a, b) > down * min(a, b) or (ri := root(i)) == (rj := root(j)) or (j, i) in tried:
-                    continue
-                tried.add((j, i))
-                for k in (i, j):
-                    if k not in members:
-                        members[k] = frozenset(sets[k].tolist())
-                both = len(members[i] & members[j])
-                if down * both >= up * (a + b - both):
-                    parent[ri] = rj
-                    out.append((nodes[i], nodes[j]))
+        met = np.concatenate(met)
+        met = met[component[met] != component[i]]
+        if side.any():
+            met = met[side[met] != side[i]]
+        met = np.unique(met)
+        a, b = np.maximum(size[met], size[i]), np.minimum(size[met], size[i])
+        met = met[up * a <= down * b]
+        if not len(met):
+            continue
+        mine = element[first[i] : first[i] + size[i]]
+        held[mine] = True
+        while len(met):
+            j, met = met[0], met[1:]
+            both = int(held[element[first[j] : first[j] + size[j]]].sum())
+            if down * both >= up * (int(size[i]) + int(size[j]) - both):
+                component[component == component[j]] = component[i]
+                out.append((nodes[i], nodes[j]))
+                met = met[component[met] != component[i]]
+        held[mine] = False
     return out
 
 
-def _compare(bands: Bands, threshold: Fraction):
+def _compare(threshold: Fraction):
     def run(key, table):
         nodes = table.column("node").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
         block = table.column("block").to_pylist()
-        found = linked(nodes, sets, [int(b != block[0]) for b in block], bands, threshold)
+        found = linked(nodes, sets, [int(b != block[0]) for b in block], threshold)
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     return run
@@ -251,9 +261,9 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10
     sequence as its one element. Returns one row per row of ``docs``: doc_id, n_shingles, component_id (the
     smallest doc_id reachable by links, its own included).
 
-    Exact: a pair that is similar enough shares a signature, and every pair that shares one is compared unless
-    it is joined by a chain of links already. A null or wordless text is linked with nothing. Repeated rows
-    and equal sets are linked. A row with a null doc_id links others, but gives no component its name; alone,
+    Exact: a pair that is similar enough shares a signature and so is in one group, where only pairs that are
+    joined by a chain of links already, or share none of their rarest elements, are not compared. A null or
+    wordless text is linked with nothing. Repeated rows and equal sets are linked. A row with a null doc_id links others, but gives no component its name; alone,
     its component_id is null. Empty tables give empty results; other columns are ignored.
     """
     bands = Bands(threshold)
@@ -269,7 +279,7 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10
     n_pairs = max(buckets.agg(F.sum("size")).first()[0] or 1, 1)
     edges = skew_safe_join(pairs, buckets, ["s"], "size", n_pairs, "inner").select(F.col("node").alias("u"), F.col("low").alias("v"))
     coarse = stored(components(edges))
-    found = components(_links(base, classes, coarse, n, bands, threshold, total))
+    found = components(_links(base, classes, coarse, n, threshold, total))
     # Each component is named by its smallest doc_id.
     named = stored(classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
@@ -278,7 +288,7 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10
     return out.select("doc_id", "n_shingles", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _links(base: DataFrame, classes: DataFrame, coarse: DataFrame, n: int, bands: Bands, threshold: Fraction, total: int) -> DataFrame:
+def _links(base: DataFrame, classes: DataFrame, coarse: DataFrame, n: int, threshold: Fraction, total: int) -> DataFrame:
     """Links (u, v) between nodes of one coarse group that suffice to join what is linked."""
     wanted = coarse.join(classes.select("node", "first_id", "size"), "node")
     blocks = wanted.groupBy("root").agg(F.sum("size").alias("elements"), F.count(F.lit(1)).alias("n_nodes")).withColumn("blocks", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int"))
@@ -290,4 +300,4 @@ def _links(base: DataFrame, classes: DataFrame, coarse: DataFrame, n: int, bands
     contents = texts.mapInArrow(_content(n), "n_shingles long, set_a long, set_b long, elements binary").select(F.xxhash64(*SET_COLUMNS).alias("node"), "elements")
     jobs = placed.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     work = contents.join(jobs, "node").select("node", "root", "block", "low", "high", "elements")
-    return work.groupBy("root", "low", "high").applyInArrow(_compare(bands, threshold), "u long, v long")
+    return work.groupBy("root", "low", "high").applyInArrow(_compare(threshold), "u long, v long")
