@@ -26,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, maybe_broadcast, pick, skew_safe_join, stored
@@ -177,6 +177,23 @@ def _digest(n: int, bands: Bands):
     return run
 
 
+def _stars(batches):
+    """(node, signatures) -> for each signature of a batch its smallest node (s, u, null); for its other nodes the
+    edges to that one (u, u, v), each once."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        s, u = lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), sizes)
+        order = np.lexsort((u, s))
+        s, u = s[order], u[order]
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = s[1:] != s[:-1]
+        low = u[np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))] if len(s) else u
+        edges = np.unique(np.stack([u, low])[:, u != low], axis=1)
+        n = int(fresh.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[fresh], edges[0]])), pa.array(np.concatenate([u[fresh], edges[0]])), pa.array(np.concatenate([np.zeros(n, np.int64), edges[1]]), mask=np.arange(n + edges.shape[1]) < n)], names=["s", "u", "v"])
+
+
 def _content(n: int):
     """(doc_id, text) -> n_shingles, two hashes of the set, its elements as bytes."""
 
@@ -272,12 +289,11 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10
     rows = signed.select("doc_id", "n_shingles", "node")
     total = max(rows.count(), 1)
     classes = stored(rows.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members"), F.max("n_shingles").alias("size")))
-    # Copies fall together in the partial sums: a signature is of interest where two nodes have it. Its
-    # smallest node stands for the others, and an edge for each of them makes the coarse groups.
-    pairs = signed.select("node", F.explode("signatures").alias("s"))
-    buckets = stored(pairs.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where(F.col("low") < F.col("high")).select("s", "low", "size"))
-    n_pairs = max(buckets.agg(F.sum("size")).first()[0] or 1, 1)
-    edges = skew_safe_join(pairs, buckets, ["s"], "size", n_pairs, "inner").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    # Each batch joins its own sharers of a signature to their smallest node, and only that one is shuffled. The
+    # rows of a signature are then no more than the batches, whatever share of the corpus has it.
+    stars = signed.where(F.col("n_shingles") > 0).select("node", "signatures").mapInArrow(_stars, "s long, u long, v long")
+    low = F.first("u").over(Window.partitionBy("s", "v").orderBy("u"))
+    edges = stars.select("u", F.coalesce("v", low).alias("v")).where(F.col("u") != F.col("v"))
     coarse = stored(components(edges))
     found = components(_links(base, classes, coarse, n, threshold, total))
     # Each component is named by its smallest doc_id.
