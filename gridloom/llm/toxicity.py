@@ -11,124 +11,186 @@ expression that neither class knows gets the same backoff in both, and so says n
 counts of word pairs were tried above this level and made held-out results worse: the toxic class is too
 small for them.)
 
-Counts live in hashed tables of fixed size, so the models stay the same size for any corpus and can go to
-every task; what tasks send to make them is compressed and summed in two steps. N1 is read off a bit map of
-64 context cells for each word cell (linear counting). A text's features are its length-normalised
-log-likelihood ratio, that of its most toxic stretch and word, and the sum of its marked words over the root
-of its length; a logistic curve fitted on left-one-out values of labelled texts makes a score of them.
+Words are counted exactly, each by a 64-bit hash, and so are the different words before them (48 bits tell
+them apart): tasks send their sums, and one row a word is stored, a table that grows with the vocabulary. A
+word in no labelled text has the same probability in both classes, so scoring needs the words of labelled
+texts alone. The most frequent of them, as many as HOT_WORDS, go to every task; the rows of the others are
+joined to the texts that hold them. A text's features are its length-normalised log-likelihood ratio, that of
+its most toxic stretch and word, and the sum of its marked words over the root of its length; a logistic curve
+fitted on left-one-out values of labelled texts makes a score of them.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import maybe_broadcast, pick
+from gridloom.llm.common import BROADCAST_BYTES, maybe_broadcast, pick, stored, text_of
 from gridloom.llm.words import ALNUM, join_hash, slices
 
-UNI_BITS, CELL_BITS = 18, 16
+#: Words whose counts go to every task (ROW_BYTES each); those of rarer words are joined in.
+ROW_BYTES = 20
+HOT_WORDS = BROADCAST_BYTES // ROW_BYTES
+#: Words that a task holds before it sends their sums.
+FLUSH_WORDS = 1 << 21
+#: Bytes of a context's hash.
+CONTEXT_BYTES = 6
 #: Labelled texts on which the curve is fitted, at most; chosen by a hash of their ids. Counts use all.
 FIT_ROWS = 20_000
 WINDOW = 16
-CHUNKS = 16
 DISCOUNT_RANGE = (0.3, 0.95)
 #: The weight of the shared counts, and from which log-likelihood ratio on a word is marked.
 BACKOFF, MARKED = 0.2, 2.5
-TABLES = (("uni0", 1 << UNI_BITS), ("uni1", 1 << UNI_BITS), ("before", 1 << CELL_BITS))
-BITMAPS = ("before",)
 N_FEATURES = 6
 
 
-def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
 class Grams:
-    """Word cells of a slice, and which context stands before each; a text begins after a context of its own."""
+    """Words of a slice, and which context stands before each; a text begins after a context of its own."""
 
     def __init__(self, part):
         w = part.words(ALNUM)
-        self.doc, self.count, self.first, h = w.doc, w.count, w.first, w.hash
-        self.uni, self.word_cell, self._hash, self._firsts = cells(h, UNI_BITS), cells(h, CELL_BITS), h, w.first[w.count > 0]
+        self.doc, self.count, self.first, self.word = w.doc, w.count, w.first, w.hash
+        self._firsts = w.first[w.count > 0]
 
-    def context_bit(self) -> np.ndarray:
-        before = np.concatenate([np.zeros(1, np.uint64), self._hash[:-1]]) if len(self._hash) else self._hash
+    def context(self) -> np.ndarray:
+        before = np.zeros_like(self.word)
+        before[1:] = self.word[:-1] & np.uint64((1 << 8 * CONTEXT_BYTES) - 1)
         before[self._firsts] = 0
-        return np.uint64(1) << (join_hash([before]) & np.uint64(63))
+        return before
+
+
+PACKED = "bucket int, words binary, sums binary, contexts binary"
+VOCABULARY = "word long, before long, n long, c0 long, c1 long"
+COUNTS = ("before", "c0", "c1")
+
+
+def _runs(word: np.ndarray, context: np.ndarray):
+    """Order by word and context, where words begin in it, and which rows begin a pair."""
+    order = np.lexsort((context, word))
+    w, c = word[order], context[order]
+    new = np.ones(len(w), bool)
+    new[1:] = w[1:] != w[:-1]
+    pair = new.copy()
+    pair[1:] |= c[1:] != c[:-1]
+    return order, np.flatnonzero(new), pair
+
 
+def _packed(held: list, buckets: int) -> pa.RecordBatch:
+    """(words, contexts, labels) -> for each bucket its words, their sums (all, both classes, contexts) and contexts."""
+    word, context, label = (np.concatenate(x) for x in zip(*held))
+    order, starts, pair = _runs(word, context)
+    label, words = label[order], word[order][starts]
+    n = np.diff(np.append(starts, len(word)))
+    sums = np.stack([n, *[np.add.reduceat((label == c).astype(np.int64), starts) for c in (0, 1)], np.add.reduceat(pair.astype(np.int64), starts)]).astype("<u4")
+    tails = context[order][pair].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES]
+    # Buckets are ranges of hashes, so the order by word is one by bucket too.
+    bucket = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+    ends = np.concatenate([[0], np.cumsum(sums[3], dtype=np.int64)])
+    rows = [(k, words[a:b].tobytes(), sums[:, a:b].tobytes(), tails[ends[a] : ends[b]].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "words", "sums", "contexts"])
 
-def _count(batches):
-    """(text, class or null) -> this task's tables, in compressed chunks."""
-    t = {n: np.zeros(size, np.uint64 if n in BITMAPS else np.int64) for n, size in TABLES}
-    for batch in batches:
-        for part in slices(batch):
-            g = Grams(part)
-            np.bitwise_or.at(t["before"], g.word_cell, g.context_bit())
-            label = part.batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-            for c in (0, 1):
-                of = (label == c)[g.doc] if len(g.doc) else np.zeros(0, bool)
-                if of.any():
-                    t[f"uni{c}"] += np.bincount(g.uni[of], minlength=1 << UNI_BITS)
-    rows = []
-    task = TaskContext.get().partitionId()
-    for n, _ in TABLES:
-        for k, chunk in enumerate(np.split(t[n], CHUNKS)):
-            if chunk.any():
-                rows.append((n, k, task, zlib.compress(chunk.tobytes(), 1)))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["name", "chunk", "task", "data"])
+
+def _count(buckets: int, flush: int = FLUSH_WORDS):
+    """(text, class or null) -> this task's sums by bucket of words."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch):
+                g = Grams(part)
+                label = part.batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+                held.append((g.word, g.context(), label[g.doc].astype(np.int8)))
+                size += len(g.word)
+                if size >= flush:
+                    yield _packed(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield _packed(held, buckets)
+
+    return run
 
 
-def _merge(key, table):
-    """Tables of one name and chunk -> their sum, or union."""
-    name, total = key[0].as_py(), None
-    for d in table.column("data"):
-        x = np.frombuffer(zlib.decompress(d.as_py()), np.uint64 if name in BITMAPS else np.int64)
-        total = x.copy() if total is None else (total | x if name in BITMAPS else total + x)
-    return pa.table({"name": [name], "chunk": pa.array([key[1].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def _merge(table: pa.Table) -> pa.Table:
+    """The sums of one bucket -> a row for each of its words."""
+    words = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")])
+    sums = np.concatenate([np.frombuffer(x.as_py(), "<u4").reshape(4, -1) for x in table.column("sums")], axis=1).astype(np.int64)
+    tails = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("contexts")]).reshape(-1, CONTEXT_BYTES)
+    context = np.zeros((len(tails), 8), np.uint8)
+    context[:, :CONTEXT_BYTES] = tails
+    known, where = np.unique(words, return_inverse=True)
+    _, starts, pair = _runs(np.repeat(where, sums[3]), context.view("<u8").ravel())
+    total = [np.bincount(where, s, len(known)).astype(np.int64) for s in sums[:3]]
+    return pa.table({"word": known.view(np.int64), "before": np.add.reduceat(pair.astype(np.int64), starts), "n": total[0], "c0": total[1], "c1": total[2]})
 
 
-MERGED = "name string, chunk int, task int, data binary"
+class Table:
+    """Counts by word, from columns in any order; words may repeat with the same counts."""
 
+    def __init__(self, word: np.ndarray, counts: list):
+        self.word, first = np.unique(word, return_index=True)
+        self.counts = [c[first] for c in counts]
 
-def occupied(bitmap: np.ndarray) -> np.ndarray:
-    """Distinct values hashed into 64 cells, from how many cells are taken."""
-    n = np.bitwise_count(bitmap).astype(float)
-    return np.where(n >= 64, 64 * np.log(64 * 2), -64 * np.log1p(-np.minimum(n, 63.5) / 64))
+    def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word stands, and whether it does."""
+        if not len(self.word):
+            return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return at, self.word[at] == word
 
 
 @dataclass
 class Models:
-    """Counts of both classes and the shared backoff."""
+    """Counts of both classes and the shared backoff; ``tail`` has those of words beyond HOT_WORDS, if any."""
 
-    uni: list
+    hot: Table
     total: list
     discount: list
-    shared: np.ndarray
+    contexts: int
+    tail: DataFrame | None
     weights: np.ndarray | None = None
 
+    def __getstate__(self):
+        return self.__dict__ | {"tail": None}
+
     @staticmethod
-    def of(tables: dict[str, np.ndarray]) -> Models:
-        # Cells of the finer unigram tables share the continuation count of their coarser cell.
-        shared = np.repeat(occupied(tables["before"]) + 0.5, 1 << (UNI_BITS - CELL_BITS))
-        uni = [tables[f"uni{c}"].astype(np.int32) for c in (0, 1)]
-        discount = []
-        for u in uni:
-            one, two = (np.count_nonzero(u == k) for k in (1, 2))
-            discount.append(float(np.clip(one / max(one + 2 * two, 1), *DISCOUNT_RANGE)))
-        return Models(uni, [int(tables[f"uni{c}"].sum()) for c in (0, 1)], discount, (shared / shared.sum()).astype(np.float32))
-
-    def log_p(self, c: int, g: Grams, own, own_total) -> np.ndarray:
-        """log P_c of every word, with the text's own counts taken out where it was counted for class c."""
+    def of(vocabulary: DataFrame) -> Models:
+        s = vocabulary.agg(*[F.sum(c).alias(c) for c in COUNTS], *[F.count_if(F.col(f"c{c}") == k).alias(f"c{c}_{k}") for c in (0, 1) for k in (1, 2)]).first()
+        discount = [float(np.clip(s[f"c{c}_1"] / max(s[f"c{c}_1"] + 2 * s[f"c{c}_2"], 1), *DISCOUNT_RANGE)) for c in (0, 1)]
+        known = vocabulary.where(F.col("c0") + F.col("c1") > 0)
+        # Frequencies up to a bound: few rows.
+        often = sorted(known.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect(), reverse=True)
+        upto = np.cumsum([r["count"] for r in often])
+        fit = int(np.searchsorted(upto, HOT_WORDS, side="right"))
+        least = often[fit - 1]["n"] if fit else 1 << 62
+        hot = known.where(F.col("n") >= least).select("word", *COUNTS).toArrow()  # HOT_WORDS rows at most
+        table = Table(hot.column("word").to_numpy().view(np.uint64), [hot.column(c).to_numpy().astype(np.int32) for c in COUNTS])
+        tail = known.where(F.col("n") < least).select("word", *COUNTS) if fit < len(often) else None
+        return Models(table, [s["c0"] or 0, s["c1"] or 0], discount, s["before"] or 0, tail)
+
+    def counts(self, g: Grams, part) -> list[np.ndarray]:
+        """Of every word: contexts and counts of both classes; 0 if no labelled text has it."""
+        out = [np.zeros(len(g.word), np.int64) for _ in COUNTS]
+        tables = [self.hot]
+        if "_tail" in part.batch.schema.names:
+            rare = pc.list_flatten(part.batch.column("_tail"))
+            tables.append(Table(rare.field("word").to_numpy(zero_copy_only=False).view(np.uint64), [rare.field(c).to_numpy(zero_copy_only=False) for c in COUNTS]))
+        for table in tables:
+            at, found = table.find(g.word)
+            for o, c in zip(out, table.counts):
+                o[found] = c[at[found]]
+        return out
+
+    def log_p(self, c: int, counts: list, own, own_total) -> np.ndarray:
+        """log P_c of words, with the text's own counts taken out where it was counted for class c."""
         total = np.maximum(self.total[c] - own_total, 0) + 1.0
-        known = np.maximum(self.uni[c][g.uni] - own - self.discount[c], 0)
-        return np.log((1 - BACKOFF) * known / total + BACKOFF * self.shared[g.uni])
+        known = np.maximum(counts[1 + c] - own - self.discount[c], 0)
+        return np.log((1 - BACKOFF) * known / total + BACKOFF * counts[0] / self.contexts)
 
     def features(self, part, label: np.ndarray | None = None) -> np.ndarray:
         """Rows of N_FEATURES; ``label`` says for which class a text was counted, if it was."""
@@ -137,14 +199,19 @@ class Models:
         out[:, 0], out[:, 5] = 1, np.log1p(g.count)
         if not len(g.doc):
             return out
-        own = 0
+        own = np.zeros(len(g.doc), np.int64)
         if label is not None:
-            _, where, count = np.unique((g.doc.astype(np.int64) << UNI_BITS) | g.uni, return_inverse=True, return_counts=True)
+            _, where, count = np.unique(join_hash([g.doc.astype(np.uint64), g.word]), return_inverse=True, return_counts=True)
             own = count[where]
+        counts = self.counts(g, part)
         ratio = np.zeros(len(g.doc))
-        for c, sign in ((1, 1), (0, -1)):
-            mine = (label[g.doc] == c) if label is not None else 0
-            ratio += sign * self.log_p(c, g, own * mine, g.count[g.doc] * mine)
+        # Where both classes know nothing of a word, their probabilities are the same.
+        some = np.flatnonzero(counts[0])
+        if len(some):
+            counts, own, doc = [c[some] for c in counts], own[some], g.doc[some]
+            for c, sign in ((1, 1), (0, -1)):
+                mine = (label[doc] == c) if label is not None else 0
+                ratio[some] += sign * self.log_p(c, counts, own * mine, g.count[doc] * mine)
         ratio = np.clip(ratio, -8, 8)
         some = g.count > 0
         starts = g.first[some]
@@ -193,6 +260,33 @@ def _fit_rows(models):
     return run
 
 
+def _rare(models):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                g = Grams(part)
+                rare = ~models.value.hot.find(g.word)[1]
+                doc, word = g.doc[rare], g.word[rare]
+                _, first = np.unique(join_hash([doc.astype(np.uint64), word]), return_index=True)
+                keys = [part.batch.column(k).take(pa.array(doc[first])) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(word[first].view(np.int64))], names=["_a", "_b", "word"])
+
+    return run
+
+
+def _with_tail(rows: DataFrame, models: Models, shipped) -> DataFrame:
+    """``rows`` with a column ``_tail`` of the counts of their rarer words, if there are any beyond HOT_WORDS.
+
+    Rows meet their words by two hashes of the text, which do not change when a task runs again.
+    """
+    if models.tail is None:
+        return rows
+    keyed = rows.withColumns({"_a": F.xxhash64(F.lit(1), text_of()), "_b": F.xxhash64(F.lit(2), text_of())})
+    rare = keyed.select("_a", "_b", "text").mapInArrow(_rare(shipped), "_a long, _b long, word long").distinct()
+    found = rare.join(models.tail, "word").groupBy("_a", "_b").agg(F.collect_list(F.struct("word", *COUNTS)).alias("_tail"))
+    return keyed.join(found, ["_a", "_b"], "left").select(*rows.columns, "_tail")
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Models:
     """Models of the whole corpus ``docs`` and of the labels (doc_id, toxic) outside the held-out fold.
 
@@ -205,19 +299,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n_known = known.count()
     joined = base.join(maybe_broadcast(known, 16), "doc_id", "left").select("text", "label", "doc_id")
-    parts = joined.select("text", "label").mapInArrow(_count, MERGED)
-    some = parts.withColumn("task", F.col("task") % 32).groupBy("name", "chunk", "task").applyInArrow(lambda key, t: _merge(key, t), MERGED)
-    whole = some.groupBy("name", "chunk").applyInArrow(_merge, MERGED)
-    tables = {n: np.zeros(size, np.uint64 if n in BITMAPS else np.int64) for n, size in TABLES}
-    for name, chunk, _, data in whole.toLocalIterator():  # tables of fixed size
-        x = np.frombuffer(zlib.decompress(data), tables[name].dtype)
-        tables[name][chunk * len(x) : (chunk + 1) * len(x)] = x
-    models = Models.of(tables)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = joined.select("text", "label").mapInArrow(_count(buckets), PACKED)
+    models = Models.of(stored(parts.groupBy("bucket").applyInArrow(_merge, VOCABULARY)))
     scale = 1 << 20
     share = min(scale, int(scale * FIT_ROWS / max(n_known, 1)) + 1)
     chosen = joined.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(scale)) < share))
     shipped = spark.sparkContext.broadcast(models)
-    got = chosen.select("text", "label").mapInArrow(_fit_rows(shipped), "label int, " + ", ".join(f"f{k} double" for k in range(N_FEATURES))).toPandas()
+    got = _with_tail(chosen.select("text", "label"), models, shipped).mapInArrow(_fit_rows(shipped), "label int, " + ", ".join(f"f{k} double" for k in range(N_FEATURES))).toPandas()
     y = got.pop("label").to_numpy(float)
     if 0 < y.sum() < len(y):
         models.weights = logistic(expand(got.to_numpy()), y)
@@ -242,11 +331,11 @@ def _score(models):
     return run
 
 
-def _keep(models, threshold: float):
+def _keep(models, threshold: float, names: list):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                yield part.batch.filter(pa.array(scores(models.value, part) < threshold))
+                yield part.batch.select(names).filter(pa.array(scores(models.value, part) < threshold))
 
     return run
 
@@ -255,13 +344,14 @@ def score_toxicity(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, score) of every row of ``docs``, whole texts; score rises with toxicity from 0 to 1.
 
     A null text counts as empty and gets the score of an empty text; repeated rows are scored each; a null
-    doc_id stays null; an empty table gives an empty result; other columns are ignored. One narrow pass.
+    doc_id stays null; an empty table gives an empty result; other columns are ignored. One narrow pass,
+    unless the labelled words are more than HOT_WORDS: then texts are shuffled once to meet their rarer words.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(models)
-    return pick(docs, "doc_id", "text").mapInArrow(_score(shipped), "doc_id long, score double")
+    return _with_tail(pick(docs, "doc_id", "text"), models, shipped).mapInArrow(_score(shipped), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, models: Models, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
     shipped = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_keep(shipped, threshold), docs.schema)
+    return _with_tail(docs, models, shipped).mapInArrow(_keep(shipped, threshold, docs.columns), docs.schema)
