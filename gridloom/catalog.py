@@ -9,7 +9,7 @@ from gridloom.functions import geo, solar, text
 from gridloom.functions.geo import GridSpec, micro
 from gridloom.operators import hydro, joins, profile, raster
 from gridloom.plans.iterate import checkpointed, labels
-from gridloom.sources.tables import grid, points, samples, sites, table, tilted, with_tables, zones
+from gridloom.sources.tables import grid, height, points, samples, sites, table, tilted, with_tables, zones
 from gridloom.streaming import state
 
 QUERIES: dict = {}
@@ -297,13 +297,14 @@ def river_threshold(spark, d):
 
 @query()
 def fill_minimal(spark, d):
-    return hydro.fill(raster.crop(grid(spark, d), 0, 0, 64, 40), 64, 40, 0.0)
+    g = grid(spark, d)
+    return hydro.fill(g, 64, height(g), 0.0)
 
 
 @query()
 def fill_epsilon(spark, d):
-    f = hydro.fill(raster.crop(grid(spark, d), 0, 0, 64, 40), 64, 40, 0.01)
-    return f.select("i", "j", F.round("f", 6).alias("f"))
+    g = grid(spark, d)
+    return hydro.fill(g, 64, height(g), 0.01).select("i", "j", F.round("f", 6).alias("f"))
 
 
 @query()

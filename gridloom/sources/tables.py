@@ -21,6 +21,11 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def height(cells: DataFrame) -> int:
+    """Rows of a raster, 0 for an empty one."""
+    return cells.agg(F.coalesce(F.max("j") + 1, F.lit(0))).first()[0]
+
+
 def tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid's first 64 rows on a slope, so that water runs far."""
     return grid(spark, sf_dir).where("j < 64").select("i", "j", (F.col("h") + 40 * F.col("j")).alias("h"))

@@ -110,6 +110,13 @@ def test_fill_is_priority_flood(spark, eps):
     assert as_rows(hydro.fill(cells(spark, h), 19, 14, eps, tile=6), "f", 19) == flood(h, eps)
 
 
+@pytest.mark.parametrize("name, eps", [("fill_minimal", 0.0), ("fill_epsilon", 0.01)])
+def test_fill_queries_read_the_whole_raster(spark, name, eps):
+    h = as_rows(catalog.grid(spark, SF), "h", 64)
+    assert len(h) == spark.read.parquet(f"{SF}/embeddings.parquet").count() > 40
+    assert as_rows(catalog.QUERIES[name](spark, SF), "f", 64) == [[round(x, 6) for x in row] for row in flood(h, eps)]
+
+
 def test_flow(spark):
     ramp = cells(spark, [[4, 3, 2, 1, 0]] * 3)
     g = hydro.edges(hydro.d8(ramp), 5)
