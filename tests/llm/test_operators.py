@@ -461,31 +461,6 @@ def test_toxicity(spark, awkward, empty):
     assert all(r.score < 0.01 for r in toxicity.score_toxicity(awkward, none).collect())
 
 
-def test_toxicity_counts_are_exact(spark):
-    # A word with more contexts than any fixed bit map tells apart, and texts that begin with it.
-    rows = [(k, f"w{k} common x{k % 7}", None) for k in range(3000)] + [(9000 + k, "common end", None) for k in range(3)]
-    own = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    labelled = own.withColumn("label", F.when(F.col("doc_id") < 40, F.col("doc_id") % 2).cast("int")).select("text", "label")
-    packed = labelled.mapInArrow(toxicity._count(5, flush=100), toxicity.PACKED)
-    got = {r.word: r for r in packed.groupBy("bucket").applyInArrow(toxicity._merge, toxicity.VOCABULARY).collect()}
-    assert len(got) == 3000 + 1 + 7 + 1
-    h = {w: int(x.view(np.int64)) for w, x in zip(("common", "x0", "end", "w5"), hash_of(["common", "x0", "end", "w5"]))}
-    assert [tuple(got[h[w]])[1:] for w in h] == [(3001, 3003, 20, 20), (1, 429, 3, 3), (1, 3, 0, 0), (1, 1, 0, 1)]
-
-
-def test_toxicity_joins_rare_words(spark, docs, awkward, monkeypatch):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    both = docs.unionByName(awkward.select(*docs.columns))
-    models = toxicity.train(both, labels)
-    assert models.tail is None
-    want = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score_toxicity(both, models).collect())
-    monkeypatch.setattr(toxicity, "HOT_WORDS", 50)
-    models = toxicity.train(both, labels)
-    assert models.tail.count() > 0 and len(models.hot.word) <= 50
-    assert sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score_toxicity(both, models).collect()) == want
-    assert toxicity.drop_toxic(both, models, 2.0).count() == len(want)
-
-
 def test_quality(spark, awkward, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
