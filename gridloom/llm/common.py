@@ -59,17 +59,22 @@ def persisted(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ...: names that repeat or clash do no harm until ``toDF`` gives them back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def column_of(docs: DataFrame, name: str) -> str:
+    """The name in ``numbered(docs)`` of the column called ``name``, the first one if there are several."""
+    return f"c{docs.columns.index(name)}"
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns with clashing names cannot interfere.
 
     A name that occurs more than once (a join's output, say) is taken by its first position.
     """
-    at = {}
-    for i, c in enumerate(docs.columns):
-        at.setdefault(c, i)
-    if len(at) == len(docs.columns):
-        return docs.select(*[docs[n] for n in names])
-    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[F.col(f"c{at[n]}").alias(n) for n in names])
+    return numbered(docs).select(*[F.col(column_of(docs, n)).alias(n) for n in names])
 
 
 def text_of(col: str = "text") -> Column:
