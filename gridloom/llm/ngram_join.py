@@ -13,10 +13,14 @@ a * (1-t)/t of them, counts its choices of two elements or more: each difference
 choices, so if there are more than can be spoilt, one of them is identical in both sets, and the set emits
 those alone. A set with too few of them emits all that are not empty, and if these are too few as well, all.
 
-Equal sets are one representative from the start. Sets that share signatures form coarse groups; only their
-texts are read again, and each group's pairs are compared exactly, except where a chain of links joins them
-already or an index of each set's rarest elements shows that they cannot be similar enough. A large group is
-cut into blocks, and each pair of blocks is a task's work of its own, so no group has to fit into one task.
+A signature's sharers are a bucket. Its smallest set is held against every other one: by size, and by a sketch
+of both, counts of elements in a few parts of the domain. The counts' differences are a lower bound of the
+elements that two sets do not share, so what this refuses is not similar. A bucket of three or more in which a
+pair was refused is searched through, again by sizes and sketches, and in blocks if it is large; all that is kept
+of it is enough pairs to connect what could be similar. Groups of sets connected so are compared by their
+elements: pairs that share a signature, and are not joined by a chain of links already, are counted exactly. A
+group's elements are moved once, in blocks; blocks meet only where the first pass left sets unlinked, and those
+in which all are linked to each other do not meet again. Links alone make the components.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +41,13 @@ from gridloom.llm.words import SPACED, join_hash, mix, slices
 BAND_STEPS = 3
 #: A signature rests on so many elements on average, where the band's sizes allow it.
 LEAST_ELEMENTS = 8
-#: Elements of the sets in one block of a large coarse group.
-BLOCK_ELEMENTS = 100_000
-#: What names a class of equal sets: a hash of the set's two hashes and its size.
+#: Elements of the sets in one block of a large group, and sets in one block of a large bucket.
+BLOCK_ELEMENTS, BLOCK_SETS = 50_000, 2_000
+#: A sketch counts the elements of at least so many parts, and of one part for every SKETCH_SHARE elements.
+SKETCH_PARTS, SKETCH_SHARE = 64, 8
+#: Sets that a task remembers in order to send the signatures of equal ones once.
+SEEN_SETS = 1 << 20
+#: What names a class of equal sets.
 SET_COLUMNS = ("set_a", "set_b", "n_shingles")
 
 
@@ -162,38 +171,64 @@ def _set_hashes(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> lis
     return out
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Counts, modulo 256, of a set's elements in parts of the domain; a power of two of them."""
+    parts = max(SKETCH_PARTS, 1 << int(len(elements) // SKETCH_SHARE).bit_length())
+    with np.errstate(over="ignore"):
+        at = mix(elements ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - parts.bit_length() + 1)
+    return np.bincount(at.astype(np.int64), minlength=parts).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, parts: int) -> np.ndarray:
+    """A sketch brought to fewer parts."""
+    while len(counts) > parts:
+        counts = counts[0::2] + counts[1::2]
+    return counts
+
+
+def may_link(counts: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Which of ``others`` (rows of sketches of as many parts) can be similar enough by size and sketch."""
+    up, down = threshold.numerator, threshold.denominator
+    fits = up * np.maximum(sizes, size) <= down * np.minimum(sizes, size)
+    at = np.flatnonzero(fits)
+    # Differences modulo 256 are at most the true ones.
+    apart = np.abs((others[at] - counts).view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+    fits[at] = apart * (down + up) <= (sizes[at] + size) * (down - up)
+    return fits
+
+
 def _digest(n: int, bands: Bands):
-    """(doc_id, text) -> doc_id, n_shingles, two hashes of the set, its signatures."""
+    """(doc_id, text) -> doc_id, n_shingles, two hashes of the set, the row's number, the set's signatures and sketch.
+
+    A set that the task has seen has none of its own.
+    """
 
     def run(batches):
+        number, seen = TaskContext.get().partitionId() << 33, set()
         for batch in batches:
             for part in slices(batch):
                 values, first, count = sets_of(part, n)
-                found = [signatures(values[f : f + c], bands) if c else np.zeros(0, np.uint64) for f, c in zip(first, count)]
+                hashes = _set_hashes(values, first, count)
+                found, sketches = [], []
+                for f, c, key in zip(first, count, zip(hashes[0].to_pylist(), hashes[1].to_pylist(), count.tolist())):
+                    if not c or key in seen:
+                        found.append(np.zeros(0, np.uint64))
+                        sketches.append(None)
+                        continue
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(key)
+                    found.append(signatures(values[f : f + c], bands))
+                    sketches.append(sketch(values[f : f + c]).tobytes())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(count.astype(np.int64)), *_set_hashes(values, first, count), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n_shingles", "set_a", "set_b", "signatures"])
+                nodes = pa.array(np.arange(number, number + part.rows))
+                number += part.rows
+                yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(count.astype(np.int64)), *hashes, nodes, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "node", "signatures", "sketch"])
 
     return run
 
 
-def _stars(batches):
-    """(node, signatures) -> for each signature of a batch its smallest node (s, u, null); for its other nodes the
-    edges to that one (u, u, v), each once."""
-    for batch in batches:
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
-        s, u = lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), sizes)
-        order = np.lexsort((u, s))
-        s, u = s[order], u[order]
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = s[1:] != s[:-1]
-        low = u[np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))] if len(s) else u
-        edges = np.unique(np.stack([u, low])[:, u != low], axis=1)
-        n = int(fresh.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[fresh], edges[0]])), pa.array(np.concatenate([u[fresh], edges[0]])), pa.array(np.concatenate([np.zeros(n, np.int64), edges[1]]), mask=np.arange(n + edges.shape[1]) < n)], names=["s", "u", "v"])
-
-
 def _content(n: int):
     """(doc_id, text) -> n_shingles, two hashes of the set, its elements as bytes."""
 
@@ -206,45 +241,98 @@ def _content(n: int):
     return run
 
 
+def _judged(threshold: Fraction):
+    """(u, v, sizes and sketches of both) -> u, v, whether they can be similar."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                parts = min(len(x), len(y))
+                ok.append(bool(may_link(folded(x, parts), a, folded(y, parts)[None, :], np.array([b]), threshold)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+
+    return run
+
+
+def connected(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, threshold: Fraction) -> list[tuple]:
+    """Pairs that connect all sets that can be similar; with two sides, only pairs of both."""
+    counts = [np.frombuffer(x, np.uint8) for x in sketches]
+    parts = min(len(c) for c in counts)
+    table = np.stack([folded(c, parts) for c in counts])
+    two, left, out = bool(side.any()), np.arange(len(nodes)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            met = may_link(table[i], int(sizes[i]), table[left], sizes[left], threshold)
+            if two:
+                met &= side[left] != side[i]
+            out += [(nodes[i], nodes[j]) for j in left[met]]
+            queue += left[met].tolist()
+            left = left[~met]
+    return out
+
+
+def _searched(threshold: Fraction):
+    """Rows (s, low, high, block, node, size, sketch), those of one bucket and pair of blocks together -> u, v."""
+
+    def found(rows):
+        block = np.array([r[1] for r in rows])
+        pairs = connected(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), [r[4] for r in rows], (block != block[0]).astype(int), threshold)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for s, low, high, *rest in zip(*columns):
+                if held and held[0][0] != (s, low, high):
+                    yield found(held)
+                    held = []
+                held.append(((s, low, high), *rest))
+        if held:
+            yield found(held)
+
+    return run
+
+
 def linked(nodes: list, sets: list, side: list, threshold: Fraction) -> list[tuple]:
-    """A spanning forest of the links between the sets of one pair of blocks.
+    """A spanning forest of the links between sets that share a signature.
 
     ``side``: 0 and 1 where two different blocks meet (pairs inside one block are another task's work), else 0.
-    Elements are taken rarest first. Of a set of size a the first a - ceil(t * a) + 1 are looked up: sets that are
-    similar enough share one of those. What many sets share comes last, so it brings few of them together.
     """
     up, down = threshold.numerator, threshold.denominator
+    bands, side = Bands(threshold), np.array(side)
     size = np.array([len(s) for s in sets], np.int64)
     if not size.sum():
         return []
-    side, owner = np.array(side), np.repeat(np.arange(len(sets)), size)
-    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    element, often = rank[element], np.sort(count)
-    order = np.lexsort((element, owner))
-    element, first = element[order], np.cumsum(size) - size
-    looked_up = size - (up * size + down - 1) // down + 1
-    at = np.flatnonzero((np.arange(len(element)) - first[owner] < looked_up[owner]) & (often[element] > 1))
-    # Postings: the sets of each looked-up element, in their order.
-    order = np.lexsort((owner[at], element[at]))
-    posted, key = owner[at][order], element[at][order]
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    counts = [sketch(s) for s in sets]
+    parts = min(len(c) for c in counts)
+    table = np.stack([folded(c, parts) for c in counts])
+    # Postings: the sets of each signature, in their order.
+    signed = [signatures(s, bands) for s in sets]
+    posted, key = np.repeat(np.arange(len(sets)), [len(x) for x in signed]), np.concatenate(signed)
+    order = np.lexsort((posted, key))
+    posted, key = posted[order], key[order]
     start = np.searchsorted(key, key)
     entries = np.argsort(posted, kind="stable")
     ends = np.cumsum(np.bincount(posted, minlength=len(sets)))
-    component, held, out = np.arange(len(sets)), np.zeros(len(count), bool), []
+    component, held, out = np.arange(len(sets)), np.zeros(len(element), bool), []
     for i in range(len(sets)):
         own = entries[ends[i - 1] if i else 0 : ends[i]]
         met = [posted[a:b] for a, b in zip(start[own], own) if b > a]
         if not met:
             continue
-        met = np.concatenate(met)
+        met = np.unique(np.concatenate(met))
         met = met[component[met] != component[i]]
         if side.any():
             met = met[side[met] != side[i]]
-        met = np.unique(met)
-        a, b = np.maximum(size[met], size[i]), np.minimum(size[met], size[i])
-        met = met[up * a <= down * b]
+        met = met[may_link(table[i], int(size[i]), table[met], size[met], threshold)]
         if not len(met):
             continue
         mine = element[first[i] : first[i] + size[i]]
@@ -278,42 +366,95 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10
     sequence as its one element. Returns one row per row of ``docs``: doc_id, n_shingles, component_id (the
     smallest doc_id reachable by links, its own included).
 
-    Exact: a pair that is similar enough shares a signature and so is in one group, where only pairs that are
-    joined by a chain of links already, or share none of their rarest elements, are not compared. A null or
+    Exact: a pair that is similar enough shares a signature, and neither size nor sketch refuses it, so it is in
+    one group, where only pairs that are joined by a chain of links already are not compared. A null or
     wordless text is linked with nothing. Repeated rows and equal sets are linked. A row with a null doc_id links others, but gives no component its name; alone,
     its component_id is null. Empty tables give empty results; other columns are ignored.
     """
     bands = Bands(threshold)
     base = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    signed = stored(base.mapInArrow(_digest(n, bands), "doc_id long, n_shingles long, set_a long, set_b long, signatures array<long>").select("doc_id", "n_shingles", F.xxhash64(*SET_COLUMNS).alias("node"), "signatures"))
-    rows = signed.select("doc_id", "n_shingles", "node")
+    signed = stored(base.mapInArrow(_digest(n, bands), "doc_id long, n_shingles long, set_a long, set_b long, node long, signatures array<long>, sketch binary"))
+    rows = signed.select("doc_id", *SET_COLUMNS)
     total = max(rows.count(), 1)
-    classes = stored(rows.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members"), F.max("n_shingles").alias("size")))
-    # Each batch joins its own sharers of a signature to their smallest node, and only that one is shuffled. The
-    # rows of a signature are then no more than the batches, whatever share of the corpus has it.
-    stars = signed.where(F.col("n_shingles") > 0).select("node", "signatures").mapInArrow(_stars, "s long, u long, v long")
-    low = F.first("u").over(Window.partitionBy("s", "v").orderBy("u"))
-    edges = stars.select("u", F.coalesce("v", low).alias("v")).where(F.col("u") != F.col("v"))
-    coarse = stored(components(edges))
-    found = components(_links(base, classes, coarse, n, threshold, total))
+    classes = stored(signed.where(F.col("n_shingles") > 0).groupBy(*SET_COLUMNS).agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
+    groups = _groups(signed, threshold)
+    found = components(_links(base, signed, classes, groups, n, threshold, total))
     # Each component is named by its smallest doc_id.
     named = stored(classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
-    named = stored(skew_safe_join(named, names, ["root"], "n_nodes", total, "inner").select("node", "members", "component_id"))
-    out = skew_safe_join(rows, named, ["node"], "members", total, "left")
+    named = stored(skew_safe_join(named, names, ["root"], "n_nodes", total, "inner").select(*SET_COLUMNS, "members", "component_id"))
+    out = skew_safe_join(rows, named, list(SET_COLUMNS), "members", total, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _links(base: DataFrame, classes: DataFrame, coarse: DataFrame, n: int, threshold: Fraction, total: int) -> DataFrame:
-    """Links (u, v) between nodes of one coarse group that suffice to join what is linked."""
-    wanted = coarse.join(classes.select("node", "first_id", "size"), "node")
-    blocks = wanted.groupBy("root").agg(F.sum("size").alias("elements"), F.count(F.lit(1)).alias("n_nodes")).withColumn("blocks", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int"))
-    placed = skew_safe_join(wanted.select("node", "root", "first_id"), blocks.select("root", "n_nodes", "blocks"), ["root"], "n_nodes", total, "inner")
+def _groups(signed: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, root): sets connected by pairs that share a signature and can be similar by size and sketch."""
+    bucket = Window.partitionBy("s")
+    entries = signed.where(F.col("sketch").isNotNull()).select("node", F.explode("signatures").alias("s"))
+    shared = entries.select("s", F.col("node").alias("v"), F.min("node").over(bucket).alias("u"), F.count(F.lit(1)).over(bucket).alias("sharers"))
+    shared = stored(shared.where(F.col("sharers") > 1))
+    light = signed.where(F.col("sketch").isNotNull()).select("node", F.col("n_shingles").alias("size"), "sketch")
+    of = lambda c: light.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+    pairs = shared.where(F.col("u") != F.col("v")).select("u", "v").distinct()
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
+    judged = stored(both.mapInArrow(_judged(threshold), "u long, v long, ok boolean"))
+    # Buckets of three or more in which the smallest set cannot be similar to another one.
+    several = shared.where(F.col("sharers") > 2)
+    unsettled = several.join(judged.where(~F.col("ok")).select("u", "v"), ["u", "v"], "left_semi").select("s").distinct()
+    blocks = F.ceil(F.col("sharers") / BLOCK_SETS).cast("int")
+    members = several.join(unsettled, "s", "left_semi").select("s", F.col("v").alias("node"), blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block"))
+    jobs = members.select("s", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node")
+    work = jobs.join(light, "node").select("s", "low", "high", "block", "node", "size", "sketch")
+    work = work.repartition("s", "low", "high").sortWithinPartitions("s", "low", "high")
+    edges = judged.where("ok").select("u", "v").unionByName(work.mapInArrow(_searched(threshold), "u long, v long"))
+    return stored(components(edges))
+
+
+def _links(base: DataFrame, signed: DataFrame, classes: DataFrame, groups: DataFrame, n: int, threshold: Fraction, total: int) -> DataFrame:
+    """Links (u, v) between the nodes of ``classes`` that suffice to join what is linked."""
+    keys = list(SET_COLUMNS)
+    roots = groups.join(signed.select("node", *keys), "node").groupBy(*keys).agg(F.min("root").alias("root"))
+    wanted = stored(roots.join(classes, keys).select(*keys, "node", "root", "first_id"))
+    sizes = wanted.groupBy("root").agg(F.sum("n_shingles").alias("elements"), F.count(F.lit(1)).alias("n_nodes"), F.min("node").alias("pivot")).where(F.col("n_nodes") > 1)
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int"))
+    placed = skew_safe_join(wanted, sizes, ["root"], "n_nodes", total, "inner")
     placed = stored(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    # First every block by itself, with one set of the group that all its blocks have.
+    every = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    inside = placed.select(*keys, "node", "root", "first_id", F.lit(0).alias("block"), F.explode(every).alias("low")).withColumn("high", F.col("low"))
+    first = stored(_compared(base, inside, n, threshold))
+    large = stored(placed.where(F.col("blocks") > 1))
+    if large.isEmpty():
+        return first
+    # Then blocks of what is not linked to a group's largest part yet, with each other and with that part's blocks.
+    return first.unionByName(_compared(base, _meetings(large, first, total), n, threshold))
+
+
+def _compared(base: DataFrame, jobs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Links inside jobs (set columns, node, first_id, root, low, high, block), found on the sets' elements."""
     # Texts are read again by id; a repeated id brings other sets along, which meet no job.
-    ids = maybe_broadcast(placed.select(F.coalesce("first_id", F.lit(0)).alias("k"), F.col("first_id").isNull().alias("z")).distinct(), 16)
+    ids = maybe_broadcast(jobs.select(F.coalesce("first_id", F.lit(0)).alias("k"), F.col("first_id").isNull().alias("z")).distinct(), 16)
     texts = base.withColumns({"k": F.coalesce("doc_id", F.lit(0)), "z": F.col("doc_id").isNull()}).join(ids, ["k", "z"], "left_semi").select("doc_id", "text")
-    contents = texts.mapInArrow(_content(n), "n_shingles long, set_a long, set_b long, elements binary").select(F.xxhash64(*SET_COLUMNS).alias("node"), "elements")
-    jobs = placed.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    work = contents.join(jobs, "node").select("node", "root", "block", "low", "high", "elements")
+    contents = texts.mapInArrow(_content(n), "n_shingles long, set_a long, set_b long, elements binary")
+    work = contents.join(jobs.drop("first_id"), list(SET_COLUMNS)).select("root", "low", "high", "node", "block", "elements")
     return work.groupBy("root", "low", "high").applyInArrow(_compare(threshold), "u long, v long")
+
+
+def _meetings(large: DataFrame, first: DataFrame, total: int) -> DataFrame:
+    """Jobs between the blocks of groups of several blocks, as far as ``first`` has not linked them.
+
+    The blocks of a group's largest part of linked sets come first (0, 1, ...) and do not meet each other.
+    """
+    keys = list(SET_COLUMNS)
+    parts = components(first).select("node", F.col("root").alias("part"))
+    nodes = stored(large.select(*keys, "node", "root", "first_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    sizes = nodes.groupBy("root", "part").agg(F.sum("n_shingles").alias("elements"), F.count(F.lit(1)).alias("n_nodes"))
+    groups = sizes.groupBy("root").agg(F.max_by("part", F.struct("elements", "part")).alias("main"), F.max("elements").alias("most"), F.sum("elements").alias("elements"), F.sum("n_nodes").alias("n_nodes")).where(F.col("elements") > F.col("most"))
+    blocks = lambda x: F.ceil(x / BLOCK_ELEMENTS).cast("int")
+    groups = groups.select("root", "main", "n_nodes", blocks(F.col("most")).alias("mains"), blocks(F.col("elements") - F.col("most")).alias("others"))
+    met = skew_safe_join(nodes, groups, ["root"], "n_nodes", total, "inner")
+    main = F.col("part") == F.col("main")
+    met = met.withColumn("block", F.when(main, F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    last = F.col("mains") + F.col("others") - 1
+    other = F.when(F.col("block") < F.col("mains"), F.sequence(F.col("mains"), last)).otherwise(F.sequence(F.lit(0), last))
+    return met.select(*keys, "node", "root", "first_id", "block", F.explode(other).alias("other")).select(*keys, "node", "root", "first_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
