@@ -1,8 +1,8 @@
 """Shared pieces of the training-data operators.
 
 Nothing here keeps state on an executor's disk. Tables that cut lineage go to the folder named by
-``spark.checkpoint.dir`` (read from the session; a private folder is set only where it is unset), so a
-lost executor costs the tasks it ran and nothing else.
+``spark.checkpoint.dir`` (read from the session; another one is used only where it is unset), so a lost
+executor costs the tasks it ran and nothing else.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import tempfile
 import types
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +22,30 @@ BROADCAST_BYTES = 32 << 20
 HOT_PARTS = 1000
 
 _roots: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``; removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
+    """A folder of this session below ``spark.checkpoint.dir``; removed when the driver ends.
+
+    Where that is unset, a local session (tests) gets a temporary folder, any other one the warehouse, which the
+    whole cluster shares.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    app = context.applicationId
     if app not in _roots:
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-            spark.sparkContext.setCheckpointDir(base)
+            base = "file://" + tempfile.mkdtemp(prefix="gridloom-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+            context.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[app])
+        _tables[app] = []
+        atexit.register(remove, spark, _roots[app])
     return _roots[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this session, if it is still there."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,12 +58,25 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from the files."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    _tables[spark.sparkContext.applicationId].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def release(docs: DataFrame) -> None:
+    """Remove the tables stored so far, and shuffles that nothing refers to; ``docs`` must have been written since.
+
+    If ``docs`` still reads such a table, all of them stay.
+    """
+    spark = docs.sparkSession
+    shared_root(spark)
+    names = {path.rsplit("/", 1)[1] for path in _tables[spark.sparkContext.applicationId]}
+    if names and any(part in names for f in docs.inputFiles() for part in f.split("/")[-2:]):
+        return
+    old, _tables[spark.sparkContext.applicationId] = _tables[spark.sparkContext.applicationId], []
+    for path in old:
+        remove(spark, path)
+    spark.sparkContext._jvm.System.gc()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
