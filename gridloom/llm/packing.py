@@ -45,7 +45,8 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts with one of the vocabulary's added tokens in them go through the tokenizer itself.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Byte-level vocabularies spell a byte that does not print as the next free character from 256 on.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         self.spelling = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
@@ -66,9 +67,10 @@ class Encoder(dict):
         return out
 
     def text(self, text: str) -> bytes:
-        if UNSAFE.search(text) or not unicodedata.is_normalized("NFC", text):
+        low = text.lower()
+        if UNSAFE.search(text) or not unicodedata.is_normalized("NFC", text) or any(t in low for t in self.added):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, PIECES.findall(text.lower())))
+        return b"".join(map(self.__getitem__, PIECES.findall(low)))
 
 
 def _tokenise(path: str, end_id: int, window: int):
@@ -199,7 +201,8 @@ def _checksums(batches):
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """Pack all ``docs`` (doc_id, text) into sequences of at most ``window`` tokens.
 
-    A document is its ids followed by ``end_id``. Returns one row per piece: doc_id, start (its document's ids
+    A document is its ids followed by ``end_id``; a text's ids are what the tokenizer gives without special
+    tokens added, so an added token spelled out in a text is its own id. Returns one row per piece: doc_id, start (its document's ids
     before it), length, ids_crc32 (of little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset.
     Each id lies in exactly one piece and a sequence's pieces follow each other without gaps. Every sequence
     is full except those, at most log2(window), that end the corpus; their lengths are powers of two.
