@@ -53,6 +53,10 @@ def golomb_decode(data: bytes) -> np.ndarray:
     return np.cumsum((quotient.astype(np.uint64) << np.uint64(bits)) + rest)
 
 
+#: Fingerprints that one owner answers for, on average, at most.
+OWNER_ROWS = 1 << 20
+
+
 def _send(owners: int):
     step = (1 << 64) // owners + 1
 
@@ -106,10 +110,12 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     Texts are equal when their bytes are; a null text counts as empty. Repeated rows with one doc_id are
     copies like others: one of them is kept. Rows with a null doc_id are kept only where all ids of a group
     are null, one of them; keep_id is then null. An empty table gives an empty result; other columns are
-    ignored. ``owners``: ranges of the exchange, by default the number of shuffle partitions.
+    ignored. ``owners``: ranges of the exchange, by default one for OWNER_ROWS rows, and the number of shuffle
+    partitions at least, so what an owner decodes at once is bounded.
     """
     spark = docs.sparkSession
-    owners = owners or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.count()
+    owners = owners or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // OWNER_ROWS))
     base = pick(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
     # Rows are told apart by a hash of the id: ids may be null or repeat, and all rows of an id are suspects together.
     row_id = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull())
@@ -124,7 +130,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
         texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > 1).select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     rows = base.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    joined = skew_safe_join(rows, groups, ["text_sha256"], "group_size", max(docs.count(), 1), "left")
+    joined = skew_safe_join(rows, groups, ["text_sha256"], "group_size", max(total, 1), "left")
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     out = joined.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), size.alias("group_size"), "text_sha256")
     return _one_kept(out)
