@@ -5,6 +5,9 @@ item's q-grams, all on diagonals that differ by at most k. Diagonals are cut int
 that overlap by half, so one band sees all of them. A band with fewer hits than the bound is passed over; the
 region under any other is aligned with the item inside a band of the matrix, exactly.
 
+Q is 8, or less where an item is so short that no gram of 8 need survive its edits; an item that allows none is
+its own gram up to that length, so the shortest items are found too, exactly.
+
 Characters are those of the lower-cased (A-Z) UTF-8 text, one byte each: a difference in a character beyond
 ASCII counts for as many edits as it has bytes that differ. Runs of blanks and line ends count as one space.
 """
@@ -16,24 +19,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick
-from gridloom.llm.words import LOWER, mix, slices
+from gridloom.llm.common import column_of, numbered, pick, stored
+from gridloom.llm.words import LOWER, slices
 
+#: The longest q-grams.
 Q = 8
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.1
 TABLE_BITS = 22
-#: Items are looked for in blocks of so many characters, which bounds what each task holds.
-BLOCK_CHARS = 1 << 20
+#: Items are looked for in blocks of so many characters and items, which bounds what each task holds; and with so
+#: many blocks in one plan.
+BLOCK_CHARS, BLOCK_ITEMS, PLAN_BLOCKS = 1 << 20, 1 << 16, 16
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The q-grams of bytes as 64-bit numbers (Q is 8)."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q-grams of bytes (q is 8 at most) as 64-bit numbers."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(data) - Q + 1,), "<u8", np.ascontiguousarray(data), 0, (1,))
+    wide = np.concatenate([data, np.zeros(Q - q, np.uint8)]) if q < Q else np.ascontiguousarray(data)
+    out = np.ndarray((len(data) - q + 1,), "<u8", wide, 0, (1,))
+    return out & np.uint64((1 << 8 * q) - 1) if q < Q else out
 
 
 def squeeze(low: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -47,66 +54,48 @@ def squeeze(low: np.ndarray, start: np.ndarray, end: np.ndarray):
     return out, moved[start], moved[end]
 
 
-class Items:
-    """Benchmark items and an index of their q-grams."""
+class Index:
+    """Items of one block that are looked for by grams of one length."""
 
-    def __init__(self, ids: list, texts: list[str], share: float):
-        self.ids, self.data, self.k = [], [], []
-        for i, t in zip(ids, texts):
-            raw = LOWER[np.frombuffer((t or "").encode(), np.uint8)]
-            data = squeeze(raw, np.array([0]), np.array([len(raw)]))[0]
-            while len(data) and data[-1] == 0x20:
-                data = data[:-1]
-            while len(data) and data[0] == 0x20:
-                data = data[1:]
-            if len(data) >= Q:
-                self.ids.append(i)
-                self.data.append(data)
-                # As many edits as leave the lemma a bound of at least one hit.
-                self.k.append(max(0, min(int(len(data) * share), (len(data) - Q) // Q)))
-        self.least = np.array([len(d) + 1 - Q * (k + 1) for d, k in zip(self.data, self.k)], np.int64)
-        self.width = np.array([2 * (k + 1) for k in self.k], np.int64)
-        g = [grams(d) for d in self.data]
-        value = np.concatenate(g) if g else np.zeros(0, np.uint64)
+    def __init__(self, q: int, items: list[int], data: list[np.ndarray], k: list[int]):
+        self.q = q
+        self.least = np.array([len(d) + 1 - q * (e + 1) for d, e in zip(data, k)], np.int64)
+        self.half = np.array([e + 1 for e in k], np.int64)
+        self.number = np.array(items, np.int64)
+        g = [grams(d, q) for d in data]
+        value = np.concatenate(g)
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        at = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
+        at = np.concatenate([np.arange(len(x)) for x in g])
         order = np.argsort(value, kind="stable")
         self.value, self.item, self.at = value[order], item[order], at[order]
         self.table = None
 
-    def ready(self) -> Items:
-        """The lookup table is made where it is used, not sent there."""
-        if self.table is None:
-            self.table = np.zeros(1 << TABLE_BITS, bool)
-            self.table[self.cell(self.value)] = True
-        return self
-
-    @staticmethod
-    def cell(values: np.ndarray) -> np.ndarray:
+    def cell(self, values: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def regions(self, low: np.ndarray, start: np.ndarray):
-        """(row, item, diagonal from) of bands whose hits meet the bound. ``start``: rows' offsets in ``low``."""
-        g = grams(low)
+    def regions(self, low: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(row, item, first diagonal, width) of bands whose hits meet the bound. ``start``, ``end``: rows' offsets in ``low``."""
+        if self.table is None:  # made where it is used, not sent there
+            self.table = np.zeros(1 << TABLE_BITS, bool)
+            self.table[self.cell(self.value)] = True
+        g = grams(low, self.q)
         place = np.flatnonzero(self.table[self.cell(g)])
         a, b = np.searchsorted(self.value, g[place], "left"), np.searchsorted(self.value, g[place], "right")
-        n = b - a
-        place, a, n = place[n > 0], a[n > 0], n[n > 0]
+        row = np.searchsorted(start, place, "right") - 1
+        some = (b > a) & (place + self.q <= end[row])
+        place, a, n, row = place[some], a[some], (b - a)[some], row[some]
         if not len(place):
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 4), np.int64)
         hit = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        place = np.repeat(place, n)
-        item, at = self.item[hit], self.at[hit]
-        row = np.searchsorted(start, place, "right") - 1
+        place, row, item, at = np.repeat(place, n), np.repeat(row, n), self.item[hit], self.at[hit]
         # A pair of row and item with fewer hits than the bound has no band that meets it.
-        pair = row * len(self.ids) + item
-        enough = np.bincount(pair, minlength=len(start) * len(self.ids))[pair] >= self.least[item]
+        _, pair, hits = np.unique(row * len(self.least) + item, return_inverse=True, return_counts=True)
+        enough = hits[pair] >= self.least[item]
         row, item, at, place = row[enough], item[enough], at[enough], place[enough]
         if not len(row):
-            return np.zeros((0, 3), np.int64)
-        diagonal = place - start[row] - at
-        half = self.width[item] // 2
+            return np.zeros((0, 4), np.int64)
+        diagonal, half = place - start[row] - at, self.half[item]
         out = []
         for shift in (0, 1):
             band = (diagonal // half - shift) // 2  # bands [2b + shift, 2b + shift + 2) of half widths
@@ -115,10 +104,34 @@ class Items:
             first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
             count = np.diff(np.append(first, len(r)))
             first = first[count >= self.least[i[first]]]
-            out.append(np.stack([r[first], i[first], (2 * b[first] + shift) * (self.width[i[first]] // 2)], 1))
+            width = self.half[i[first]]
+            out.append(np.stack([r[first], self.number[i[first]], (2 * b[first] + shift) * width, 2 * width], 1))
         return np.concatenate(out)
 
 
+class Items:
+    """Benchmark items of one block and the indexes of their q-grams."""
+
+    def __init__(self, ids: list, texts: list[str], share: float):
+        self.ids, self.data, self.k = [], [], []
+        lengths: dict[int, list[int]] = {}
+        for i, t in zip(ids, texts):
+            raw = LOWER[np.frombuffer((t or "").encode(), np.uint8)]
+            data = squeeze(raw, np.array([0]), np.array([len(raw)]))[0]
+            while len(data) and data[-1] == 0x20:
+                data = data[:-1]
+            while len(data) and data[0] == 0x20:
+                data = data[1:]
+            if len(data):
+                # The longest grams of which all edits leave one at least.
+                k = int(len(data) * share)
+                lengths.setdefault(max(1, min(Q, len(data) // (k + 1))), []).append(len(self.ids))
+                self.ids.append(i)
+                self.data.append(data)
+                self.k.append(k)
+        self.indexes = [Index(q, at, [self.data[n] for n in at], [self.k[n] for n in at]) for q, at in sorted(lengths.items())]
+
+
 def banded(text: np.ndarray, item: np.ndarray, k: int) -> int:
     """The fewest edits, at most ``k``, that turn the item into a part of ``text``; else k + 1.
 
@@ -144,13 +157,13 @@ def search(items: Items, part) -> dict[int, list]:
     """For each row of a slice that holds an item: (item's id, fewest edits found)."""
     low, start, end = squeeze(part.low, part.start, part.end)
     best: dict[tuple[int, int], int] = {}
-    for row, item, diagonal in items.regions(low, start):
+    for row, item, diagonal, width in np.concatenate([np.zeros((0, 4), np.int64), *[x.regions(low, start, end) for x in items.indexes]]):
         name, k, data = (int(row), int(item)), items.k[item], items.data[item]
         if best.get(name) == 0:
             continue
         # The region: where the item may lie on these diagonals, with k characters of slack.
         a = max(int(start[row]), int(start[row] + diagonal) - k)
-        b = min(int(end[row]), int(start[row] + diagonal + items.width[item]) + len(data) + k)
+        b = min(int(end[row]), int(start[row] + diagonal + width) + len(data) + k)
         edits = banded(low[a:b], data, k)
         if edits <= k and edits < best.get(name, k + 1):
             best[name] = edits
@@ -165,7 +178,6 @@ def _add_leaks(items: Items):
     longs = pa.list_(pa.int64())
 
     def run(batches):
-        items.ready()
         for batch in batches:
             for part in slices(batch):
                 found = search(items, part)
@@ -177,13 +189,12 @@ def _add_leaks(items: Items):
     return run
 
 
-def _without(items: Items):
+def _without(items: Items, text: str):
     """The batches' rows that hold no item."""
 
     def run(batches):
-        items.ready()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text):
                 found = search(items, part)
                 yield part.batch.filter(pa.array([r not in found for r in range(part.rows)], pa.bool_()))
 
@@ -191,10 +202,10 @@ def _without(items: Items):
 
 
 def blocks(benchmark: DataFrame):
-    """The benchmark's items in blocks of BLOCK_CHARS, streamed to the driver one partition at a time."""
+    """The benchmark's items in blocks, streamed to the driver one partition at a time; it holds one block."""
     ids, texts, size = [], [], 0
     for r in pick(benchmark, "item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if texts and size + len(r[1] or "") > BLOCK_CHARS:
+        if texts and (size + len(r[1] or "") > BLOCK_CHARS or len(texts) >= BLOCK_ITEMS):
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(r[0])
@@ -204,27 +215,34 @@ def blocks(benchmark: DataFrame):
         yield ids, texts
 
 
+def _block_by_block(docs: DataFrame, benchmark: DataFrame, share: float, step) -> DataFrame:
+    """``step`` of each block in turn; after PLAN_BLOCKS of them what there is by then is written."""
+    for n, (ids, texts) in enumerate(blocks(benchmark)):
+        if n and n % PLAN_BLOCKS == 0:
+            docs = stored(docs)
+        docs = docs.mapInArrow(step(Items(ids, texts, share)), docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """Look for the items of ``benchmark`` (item_id, text) in whole texts of ``docs`` (doc_id, text).
 
     Returns one row per row of ``docs``: doc_id, leaks (sorted ids of items that stand in the text with at most
-    ``share`` of their characters edited, and never more than the lemma can see) and edits (for each of them
-    the fewest found). Items shorter than Q characters, null and empty ones, match nothing.
+    ``share`` of their characters edited, rounded down) and edits (for each of them the fewest found). Items of
+    any length are looked for, those of fewer than ten characters exactly; null, empty and blank ones match
+    nothing. Items are found inside words too.
 
     A null text counts as empty; repeated rows are searched each, repeated items reported each; a null doc_id
     stays null; an empty table gives an empty result, an empty benchmark rows without leaks; other columns are
-    ignored. Items go to the tasks in blocks of BLOCK_CHARS characters at most, one after the other in the
-    same pass: what a task holds is bounded, and nothing is shuffled.
+    ignored. Items go to the tasks in blocks of BLOCK_CHARS characters at most, one after the other: what the
+    driver, a plan and a task hold is bounded, nothing is shuffled, and time grows with texts times blocks.
     """
     none = F.expr("cast(array() as array<bigint>)")
     out = pick(docs, "doc_id", "text").select("doc_id", "text", none.alias("leaks"), none.alias("edits"))
-    for ids, texts in blocks(benchmark):
-        out = out.mapInArrow(_add_leaks(Items(ids, texts, share)), "doc_id long, text string, leaks array<long>, edits array<long>")
-    return out.select("doc_id", "leaks", "edits")
+    return _block_by_block(out, benchmark, share, _add_leaks).select("doc_id", "leaks", "edits")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``, with all their columns; cases as in find_leaks."""
-    for ids, texts in blocks(benchmark):
-        docs = docs.mapInArrow(_without(Items(ids, texts, share)), docs.schema)
-    return docs
+    """The rows of ``docs`` that hold no item of ``benchmark``, with all their columns, whatever their names; cases as in find_leaks."""
+    text = column_of(docs, "text")
+    return _block_by_block(numbered(docs), benchmark, share, lambda items: _without(items, text)).toDF(*docs.columns)
