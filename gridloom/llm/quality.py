@@ -1,12 +1,17 @@
 """Quality by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives (labelled good) and unlabelled web text train a classifier whose risk
+Trusted positives (labelled good) and unlabelled web text, which is every text outside the held-out fold, train a
+classifier whose risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
-is an unbiased estimate of the supervised risk, kept from becoming negative. The class prior is the share of
-good labels outside the held-out fold. The classifier is additive: a piecewise linear curve for each of a
-few statistics of a text's words and characters, so it stays a few hundred numbers for any corpus.
+is an unbiased estimate of the supervised risk, kept from becoming negative. No label of a bad text is read. The
+class prior is estimated: a first classifier tells positives from unlabelled text, and the least ratio of the
+two's shares above a cut of its scores is the share of positives in the unlabelled text.
+
+The classifier is additive: a piecewise linear curve for each of some statistics of a text's words and
+characters, and a weight for each of LEXICAL classes of its words. Quantiles, sums and slopes of both risks are
+distributed sums over all texts, a few hundred numbers for any corpus; every step is a pass over stored features.
 """
 
 from __future__ import annotations
@@ -15,17 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick
-from gridloom.llm.toxicity import is_training, logistic
+from gridloom.llm.common import maybe_broadcast, pick, stored
+from gridloom.llm.toxicity import is_training
 from gridloom.llm.words import SPACED, join_hash, slices
 
-#: Texts that train the classifier, at most: positives, unlabelled ones, and labelled ones for the threshold.
-FIT_ROWS = 20_000
-KNOTS = 8
+KNOTS = (0.05, 0.25, 0.5, 0.75, 0.95)
+LEXICAL = 64
 THRESHOLD = 0.7
+#: Passes over the features for either classifier, at most; and the ridge on its weights.
+STEPS, RIDGE = 12, 1e-3
+#: The prior is read at cuts with this share of the positives above them, at least; scores fall into BINS.
+LEAST_SHARE, BINS = 0.5, 400
 SYMBOLS = b"!|#$%&*.,;:-_/\\<>=@+"
 
 
@@ -60,111 +69,170 @@ def statistics(part) -> np.ndarray:
     out.append(np.bincount(w.doc[caps], minlength=n) / words)
     single = (w.end - w.start) == 1
     out.append(np.bincount(w.doc[single], minlength=n) / words)
-    return np.column_stack(out).astype(float)
+    lexical = np.bincount(w.doc * LEXICAL + (h >> np.uint64(58)).astype(np.int64), minlength=n * LEXICAL).reshape(n, LEXICAL) / words[:, None]
+    return np.column_stack([*out, lexical]).astype(float)
 
 
-N_STATS = 7 + len(SYMBOLS) + 1 + 3 + 3
+N_CURVES = 7 + len(SYMBOLS) + 1 + 3 + 3
+N_STATS = N_CURVES + LEXICAL
 
 
 @dataclass
 class Model:
-    """Knots of each statistic's curve, weights, and the line that sets the threshold."""
+    """Quantiles of each statistic, where its curve bends, and the weights."""
 
-    knots: list
-    center: np.ndarray
-    scale: np.ndarray
+    knots: np.ndarray
+    prior: float
     weights: np.ndarray
-    line: tuple[float, float]
-
-    @staticmethod
-    def basis(stats: np.ndarray, knots: list) -> np.ndarray:
-        out = []
-        for k, at in enumerate(knots):
-            out.append(stats[:, k])
-            out += [np.maximum(stats[:, k] - a, 0) for a in at]
-            out += [(stats[:, k] > a).astype(float) for a in at]
-        return np.column_stack(out)
 
     def design(self, stats: np.ndarray) -> np.ndarray:
-        x = (self.basis(stats, self.knots) - self.center) / self.scale
-        return np.column_stack([np.ones(len(x)), np.clip(x, -8, 8)])
+        """A one; each statistic and its excess over each knot, by the spread of its quantiles; the lexical classes."""
+        curves, low, high = stats[:, :N_CURVES], self.knots[:, 0], self.knots[:, -1]
+        spread = np.maximum(high - low, 1e-6)
+        bent = [np.maximum(curves - k, 0) / spread for k in self.knots.T]
+        x = np.column_stack([(curves - low) / spread, *bent])
+        return np.column_stack([np.ones(len(stats)), np.clip(x, -8, 8), stats[:, N_CURVES:] * 8])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        a, b = self.line
-        return 1 / (1 + np.exp(-np.clip(a + b * (self.design(stats) @ self.weights), -30, 30)))
+        """An even chance lands on THRESHOLD, so that cutting there makes the fewest mistakes."""
+        g = self.design(stats) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(g + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
+
+
+def size_of_design() -> int:
+    return 1 + N_CURVES * (1 + len(KNOTS)) + LEXICAL
+
+
+def sums_of(x: np.ndarray, good: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What the risks need of some texts: (texts, positives, sums of l(-g) over both, of x over positives, of slopes
+    over both, of curvature over all and over positives), flat. ``good``: which are positives; all are unlabelled."""
+    g = np.clip(x @ w, -30, 30)
+    s, loss = 1 / (1 + np.exp(-g)), np.logaddexp(0, g)
+    p = x[good]
+    bend = s * (1 - s)
+    return np.concatenate([[len(x), len(p), loss.sum(), loss[good].sum()], p.sum(0), s @ x, s[good] @ p, ((x * bend[:, None]).T @ x).ravel(), ((p * bend[good][:, None]).T @ p).ravel()])
+
 
+def _risk(sums: np.ndarray, w: np.ndarray, prior: float | None) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(risk, its part for negatives, slope, curvature) of summed rows; without a prior that of positives against unlabelled text."""
+    d = len(w)
+    n, m, lu, lp = sums[0], sums[1], sums[2] / sums[0], sums[3] / sums[1]
+    xp, su, sp = sums[4 : 4 + d] / m, sums[4 + d : 4 + 2 * d] / n, sums[4 + 2 * d : 4 + 3 * d] / m
+    hu, hp = sums[4 + 3 * d : 4 + 3 * d + d * d].reshape(d, d) / n, sums[4 + 3 * d + d * d :].reshape(d, d) / m
+    penalty = np.full(d, RIDGE)
+    penalty[0] = 1e-9
+    ridge = float((penalty * w * w).sum() / 2)
+    positive = lp - float(xp @ w)  # l(g) = l(-g) - g
+    if prior is None:
+        return positive + lu + ridge, lu, sp - xp + su + penalty * w, hp + hu + np.diag(penalty)
+    negative = lu - prior * lp
+    return prior * positive + negative + ridge, negative, su - prior * xp + penalty * w, hu + np.diag(penalty)
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.03, ridge: float = 1e-3) -> np.ndarray:
-    """Minimise the non-negative risk with the logistic loss by Adam, over all given rows in each step.
 
-    Where the estimated risk of negatives is below zero, the step goes up its slope instead, as the estimator
-    prescribes.
+def minimise(sums, d: int, prior: float | None, w: np.ndarray | None = None, steps: int = STEPS) -> np.ndarray:
+    """Newton's method on a risk; ``sums(w)`` gives the sums over all texts at ``w``.
+
+    A step that does not lower the risk, or would make its part for negatives less than zero, is halved.
     """
-    w = np.zeros(positive.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        gp, gu = np.clip(positive @ w, -30, 30), np.clip(unlabelled @ w, -30, 30)
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        slope = unlabelled.T @ su / len(gu) - prior * (positive.T @ sp) / len(gp)
-        if negative < 0:
-            gradient = -slope
+    w = np.zeros(d) if w is None else w
+    risk, negative, slope, bend = _risk(sums(w), w, prior)
+    step, left = -np.linalg.solve(bend, slope), steps
+    while left:
+        left -= 1
+        new = _risk(sums(w + step), w + step, prior)
+        if new[0] <= risk and (new[1] >= 0 or new[1] >= negative):
+            gain, w = risk - new[0], w + step
+            risk, negative, slope, bend = new
+            if gain < 1e-5 * max(abs(risk), 1e-3):
+                break
+            step = -np.linalg.solve(bend, slope)
         else:
-            gradient = prior * (positive.T @ (sp - 1)) / len(gp) + slope
-        gradient = gradient + ridge * w
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            step = step / 2
     return w
 
 
-def fit(stats: np.ndarray, label: np.ndarray, prior: float) -> Model:
-    """``label``: 1 good, 0 bad, -1 unknown. All rows are the unlabelled text, the good ones the positives."""
-    knots = [np.unique(np.quantile(stats[:, k], np.linspace(0.02, 0.98, KNOTS))) for k in range(stats.shape[1])]
-    raw = Model.basis(stats, knots)
-    model = Model(knots, raw.mean(0), raw.std(0) + 1e-6, np.zeros(raw.shape[1] + 1), (0.0, 1.0))
-    x = model.design(stats)
-    model.weights = nn_pu(x[label == 1], x, prior)
-    known = label >= 0
-    y = label[known].astype(float)
-    g = x[known] @ model.weights
-    a, b = logistic(np.column_stack([np.ones(len(g)), g]), y) if 0 < y.sum() < len(y) else (0.0, 1.0)
-    # An even chance lands on THRESHOLD, so that cutting there makes the fewest mistakes.
-    model.line = (float(a + np.log(THRESHOLD / (1 - THRESHOLD))), float(max(b, 1e-3)))
-    return model
+def prior_of(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The class prior from counts of scores in ascending bins: the least ratio of the shares above a cut."""
+    above = lambda x: np.cumsum(x[::-1])[::-1] / max(x.sum(), 1)
+    u, p = above(unlabelled), above(positive)
+    at = p >= LEAST_SHARE
+    return float(np.clip((u[at] / p[at]).min(initial=1.0), 0.02, 0.98))
 
 
 def _stats(batches):
     for batch in batches:
         for part in slices(batch):
             s = statistics(part)
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), s.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(s.astype(np.float32).ravel()), s.shape[1]).cast(pa.list_(pa.float32()))], names=["doc_id", "stats"])
+
+
+def _partial(model: Model, w: np.ndarray):
+    """(label, stats) -> this task's sums at ``w``."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            stats = batch.column(1).flatten().to_numpy().reshape(-1, N_STATS).astype(float)
+            if len(stats):
+                part = sums_of(model.design(stats), batch.column(0).to_numpy() == 1, w)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
+    return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _binned(model: Model):
+    """(label, stats) -> counts of scores by bin, of all texts and of positives."""
+
+    def run(batches):
+        counts = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            stats = batch.column(1).flatten().to_numpy().reshape(-1, N_STATS).astype(float)
+            at = np.minimum((model.score(stats) * BINS).astype(int), BINS - 1)
+            good = batch.column(0).to_numpy() == 1
+            counts += np.stack([np.bincount(at, minlength=BINS), np.bincount(at[good], minlength=BINS)])
+        bins = np.flatnonzero(counts[0])
+        yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(counts[0][bins]), pa.array(counts[1][bins])], names=["bin", "n", "good"])
+
+    return run
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Model:
-    """Fit on rows outside the held-out fold: FIT_ROWS unlabelled and FIT_ROWS labelled ones at most.
+    """Fit on all rows outside the held-out fold: those with a label of 1 in ``labels`` (doc_id, quality) are the
+    positives, and all of them the unlabelled text.
 
-    Rows are chosen by a hash of their id, labels (doc_id, quality) are read for the fold's other rows only.
-    With no positives every text gets the prior's score.
+    Null texts count as empty, rows without an id are left out; an id with labels of both kinds is no positive.
+    Without positives, or without texts, every text gets one score, that of an even prior.
     """
-    spark = docs.sparkSession
     base = pick(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).where(is_training("doc_id", folds, held))
-    known = pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(is_training("doc_id", folds, held)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    counts = known.agg(F.count(F.lit(1)), F.avg("label")).first()
-    prior = float(np.clip(counts[1] if counts[1] is not None else 0.5, 0.02, 0.98))
-    scale = 1 << 20
-    share = lambda n: min(scale, int(scale * FIT_ROWS / max(n, 1)) + 1)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(scale))
-    chosen_labels = known.where(draw < share(counts[0]))  # FIT_ROWS rows: bounded
-    marked = base.join(F.broadcast(chosen_labels), "doc_id", "left")
-    rows = marked.where(F.col("label").isNotNull() | (draw < share(docs.count())))
-    # The label travels in the key, since the statistics' pass reads an id and a text.
-    coded = rows.select(F.coalesce("label", F.lit(-1)).cast("long").alias("doc_id"), "text")
-    got = coded.mapInArrow(_stats, "doc_id long, stats array<double>").toPandas()
-    label = got["doc_id"].to_numpy(int) if len(got) else np.zeros(0, int)
-    stats = np.vstack(got["stats"].to_list()) if len(got) else np.zeros((0, N_STATS))
-    if not (label == 1).any():
-        return Model([np.zeros(0)] * N_STATS, np.zeros(N_STATS), np.ones(N_STATS), np.zeros(N_STATS + 1), (float(np.log(prior / (1 - prior))), 1.0))
-    return fit(stats, label, prior)
+    known = pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(is_training("doc_id", folds, held))
+    good = known.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", F.lit(1).cast("long").alias("label"))
+    # The label travels as the key, since the statistics' pass reads an id and a text.
+    marked = base.join(maybe_broadcast(good, 16), "doc_id", "left").select(F.coalesce("label", F.lit(-1)).alias("doc_id"), "text")
+    stats = stored(marked.mapInArrow(_stats, "doc_id long, stats array<float>"))
+    at = stats.select(*[F.get("stats", F.lit(k)).alias(f"s{k}") for k in range(N_CURVES)], "doc_id")
+    found = at.agg(*[F.percentile_approx(f"s{k}", F.array(*[F.lit(q) for q in KNOTS]), 1000) for k in range(N_CURVES)], F.count_if(F.col("doc_id") == 1)).first()
+    if not found[N_CURVES]:
+        return Model(np.zeros((N_CURVES, len(KNOTS))), 0.5, np.zeros(size_of_design()))
+    model = Model(np.array([found[k] for k in range(N_CURVES)], float), 0.5, np.zeros(size_of_design()))
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        parts = stats.mapInArrow(_partial(model, w), "part int, sums binary").groupBy("part").applyInArrow(_added, "part int, sums binary")
+        return sum(np.frombuffer(r[0]) for r in parts.select("sums").collect())  # 32 rows at most
+
+    model.weights = minimise(sums, size_of_design(), None)
+    counts = np.zeros((2, BINS), np.int64)
+    for k, n, g in stats.mapInArrow(_binned(model), "bin long, n long, good long").groupBy("bin").agg(F.sum("n"), F.sum("good")).collect():  # BINS rows at most
+        counts[:, k] = n, g
+    model.prior = prior_of(*counts)
+    model.weights = minimise(sums, size_of_design(), model.prior, model.weights)
+    return model
 
 
 def _score(model):
