@@ -87,17 +87,25 @@ def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return w, c, np.flatnonzero(new)
 
 
-def _packed(held: list, buckets: int) -> pa.RecordBatch:
-    """(words, contexts) -> for each bucket its words, how many pairs each has, and the pairs' contexts."""
-    word, context, starts = _pairs(*(np.concatenate(x) for x in zip(*held)))
-    words, n = word[starts], np.diff(np.append(starts, len(word)))
-    tails = context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES]
-    # Buckets are ranges of hashes, so the order by word is one by bucket too.
-    bucket = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    at = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-    ends = np.append(starts, len(word))
-    rows = [(k, words[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), tails[ends[a] : ends[b]].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "words", "pairs", "contexts"])
+def _packed(held: list, buckets: int):
+    """(words, contexts) -> for each bucket its words, how many pairs each has, and the pairs' contexts.
+
+    Buckets are ranges of hashes; some of them at a time, so that what sorting takes stays small.
+    """
+    word, context = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    bucket = (((word >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    some = -(-buckets // 16)
+    for low in range(0, buckets, some):
+        mine = (bucket >= low) & (bucket < low + some)
+        w, c, starts = _pairs(word[mine], context[mine])
+        words, n = w[starts], np.diff(np.append(starts, len(w)))
+        tails = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES]
+        at = np.searchsorted((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(low, low + some + 1).astype(np.uint64))
+        ends = np.append(starts, len(w))
+        rows = [(low + k, words[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), tails[ends[a] : ends[b]].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "words", "pairs", "contexts"])
 
 
 def _count(buckets: int, flush: int = FLUSH_WORDS):
@@ -112,10 +120,10 @@ def _count(buckets: int, flush: int = FLUSH_WORDS):
                 held.append((g.word, g.context() | mark[g.doc]))
                 size += len(g.word)
                 if size >= flush:
-                    yield _packed(held, buckets)
-                    held, size = [], 0
+                    yield from _packed(held, buckets)
+                    size = 0
         if size:
-            yield _packed(held, buckets)
+            yield from _packed(held, buckets)
 
     return run
 
