@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, maybe_broadcast, pick, skew_safe_join, stored
+from gridloom.llm.common import column_of, components, maybe_broadcast, numbered, pick, skew_safe_join, stored
 from gridloom.llm.words import SPACED, join_hash, mix, slices
 
 #: Bands widen by this factor: wider bands make more signatures a set, narrower ones more sets of two bands.
@@ -198,7 +198,7 @@ def may_link(counts: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarra
 
 
 def _digest(n: int, bands: Bands):
-    """(doc_id, text) -> doc_id, n_shingles, two hashes of the set, the row's number, the set's signatures and sketch.
+    """(doc_id, text, others) -> doc_id, others, n_shingles, two hashes of the set, the row's number, the set's signatures and sketch.
 
     A set that the task has seen has none of its own.
     """
@@ -224,7 +224,8 @@ def _digest(n: int, bands: Bands):
                 flat = pa.array(np.concatenate(found).view(np.int64))
                 nodes = pa.array(np.arange(number, number + part.rows))
                 number += part.rows
-                yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(count.astype(np.int64)), *hashes, nodes, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "node", "signatures", "sketch"])
+                columns = [pa.array(count.astype(np.int64)), *hashes, nodes, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.batch.column(0), *part.batch.columns[2:], *columns], names=["doc_id", *part.batch.schema.names[2:], "n_shingles", "set_a", "set_b", "node", "signatures", "sketch"])
 
     return run
 
@@ -371,20 +372,59 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10
     wordless text is linked with nothing. Repeated rows and equal sets are linked. A row with a null doc_id links others, but gives no component its name; alone,
     its component_id is null. Empty tables give empty results; other columns are ignored.
     """
+    rows, classes = _joined(pick(docs, id_col, text_col).toDF("doc_id", "text"), [], n, threshold)
+    named, total = _named(classes)
+    out = skew_safe_join(rows, named.drop("root"), list(SET_COLUMNS), "members", total, "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that with the smallest id, one only if rows repeat it.
+
+    Rows whose texts have no words belong to no component and all stay, null texts too. Of a component without
+    ids one row stays. An empty table gives an empty result; columns pass through whatever their names, and of two
+    with the name of an input the first is read.
+    """
+    plain = numbered(docs)
+    whole = [F.struct(*plain.columns)]
+    mark = [F.xxhash64(*whole, F.lit(1)).alias("ra"), F.xxhash64(F.lit(2), *whole).alias("rb")]
+    base = plain.select(F.col(column_of(docs, id_col)).alias("doc_id"), F.col(column_of(docs, text_col)).alias("text"), *mark)
+    rows, classes = _joined(base, ["ra", "rb"], n, threshold)
+    named, total = _named(classes)
+    members = stored(skew_safe_join(rows, named.drop("component_id"), list(SET_COLUMNS), "members", total, "inner").select("root", "doc_id", "ra", "rb"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "ra", "rb")
+    kept = members.groupBy("root").agg(F.min_by(F.struct("ra", "rb"), first).alias("kept"), F.count(F.lit(1)).alias("n_rows"))
+    judged = skew_safe_join(members, kept.where("n_rows > 1"), ["root"], "n_rows", total, "inner")
+    stays = (F.col("ra") == F.col("kept.ra")) & (F.col("rb") == F.col("kept.rb"))
+    # A row that stays may be there several times, alike in every column.
+    fate = stored(judged.select("ra", "rb", F.when(stays, 1).otherwise(0).alias("stays")).groupBy("ra", "rb").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")))
+    marked = plain.withColumns({"ra": mark[0], "rb": mark[1]})
+    gone = maybe_broadcast(fate.where("stays = 0 or times > 1").select("ra", "rb"), 16)
+    again = maybe_broadcast(fate.where("stays = 1 and times > 1").select("ra", "rb"), 16)
+    once = marked.join(gone, ["ra", "rb"], "left_anti")
+    single = marked.join(again, ["ra", "rb"], "left_semi").dropDuplicates(["ra", "rb"])
+    return once.unionByName(single).select(*plain.columns).toDF(*docs.columns)
+
+
+def _joined(base: DataFrame, others: list[str], n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``base`` (doc_id, text, others) with the names of their sets; classes of equal sets with their component's root."""
     bands = Bands(threshold)
-    base = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    signed = stored(base.mapInArrow(_digest(n, bands), "doc_id long, n_shingles long, set_a long, set_b long, node long, signatures array<long>, sketch binary"))
-    rows = signed.select("doc_id", *SET_COLUMNS)
-    total = max(rows.count(), 1)
+    schema = "n_shingles long, set_a long, set_b long, node long, signatures array<long>, sketch binary"
+    head = ", ".join(["doc_id long", *[f"{c} long" for c in others]])
+    signed = stored(base.select("doc_id", "text", *others).mapInArrow(_digest(n, bands), f"{head}, {schema}"))
+    rows = signed.select("doc_id", *SET_COLUMNS, *others)
     classes = stored(signed.where(F.col("n_shingles") > 0).groupBy(*SET_COLUMNS).agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
-    groups = _groups(signed, threshold)
-    found = components(_links(base, signed, classes, groups, n, threshold, total))
-    # Each component is named by its smallest doc_id.
-    named = stored(classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
-    named = stored(skew_safe_join(named, names, ["root"], "n_nodes", total, "inner").select(*SET_COLUMNS, "members", "component_id"))
-    out = skew_safe_join(rows, named, list(SET_COLUMNS), "members", total, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    total = max(signed.count(), 1)
+    found = components(_links(base, signed, classes, _groups(signed, threshold), n, threshold, total))
+    return rows, stored(classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+def _named(classes: DataFrame) -> tuple[DataFrame, int]:
+    """Each class with its component's name, the smallest doc_id; and how many rows there are in all."""
+    total = classes.agg(F.sum("members")).first()[0] or 1
+    names = classes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
+    named = skew_safe_join(classes, names, ["root"], "n_nodes", total, "inner")
+    return stored(named.select(*SET_COLUMNS, "members", "component_id", "root")), total
 
 
 def _groups(signed: DataFrame, threshold: Fraction) -> DataFrame:

@@ -131,7 +131,6 @@ def check_packing(rows, texts, window=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -164,7 +163,7 @@ def test_packing(spark, docs, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     check_packing(packing.pack(docs, path).collect(), {r.doc_id: r.text for r in docs.collect()})
-    odd = spark.createDataFrame([(i, r[1]) for i, r in enumerate(AWKWARD)] + [(99, "ſ K Σς don't <|endoftext|> ²x ½ á " * 50)], "doc_id long, text string")
+    odd = spark.createDataFrame([(i, r[1]) for i, r in enumerate(AWKWARD)] + [(99, "ſ K Σς don't <|endoftext|> ²x ½ á " * 50), (100, "x <|endoftext|> y"), (101, "plain <|startoftext|>words<|endoftext|>"), (102, "<|EndOfText|> < |endoftext|>")], "doc_id long, text string")
     check_packing(packing.pack(odd, path).collect(), {r.doc_id: r.text for r in odd.collect()})
     assert packing.pack(empty, path).count() == 0
 
@@ -378,6 +377,19 @@ def test_secret_scan(spark, docs, awkward, empty):
     assert secrets.secret_scan(empty).count() == 0
 
 
+def test_secret_scan_is_linear_in_matches(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"token={i:012d}" for i in range(n))
+    base = spark.createDataFrame([(1, text, "en", "a"), (2, "token=000000000007", "en", "b")], "doc_id long, text string, lang string, source string")
+    secrets.secret_scan(base.where("doc_id = 2")).collect()
+    began = time.time()
+    got = by_id(secrets.secret_scan(base).select("doc_id", "n_assign", "n_live"))
+    assert got[1].n_assign == got[1].n_live == n and got[2].n_live == 1
+    assert time.time() - began < 10
+
+
 # 7 decontamination
 
 
@@ -395,15 +407,18 @@ def edits_brute(item, text, k):
 def test_decontamination(spark, docs, awkward, empty):
     rng = random.Random(4)
     alphabet = "abcdefghij klmnop"
-    items = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60, 140))).strip()) for i in range(12)] + [(50, None), (51, "short"), (52, "")]
+    items = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60, 140))).strip()) for i in range(12)]
+    items += [(20 + m, "".join(rng.choice("XYabc") for _ in range(m))) for m in (4, 7, 8, 9, 10, 19, 20, 29, 30, 39, 40, 41)]
+    items += [(80, "abcdefg"), (81, "short"), (50, None), (52, ""), (53, " \t")]
     rows = []
     for i in range(120):
         filler = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 160)))
-        item = list(items[rng.randrange(12)][1])
-        for _ in range(rng.randrange(0, 16)):
+        item = list(items[rng.randrange(25)][1])
+        for _ in range(rng.randrange(0, 16) if len(item) > 50 else rng.randrange(0, 6)):
             k = rng.randrange(len(item))
             item[k : k + 1] = rng.choice(["", "Z", item[k] + "y"])
         rows.append((i, filler() + " " + "".join(item).upper().replace(" ", "\n ") + " " + filler()))
+    rows += [(500, "see abcdefg here"), (501, "abcdef g"), (502, "abcdef"), (503, "g")]
     base = spark.createDataFrame(rows + [(r[0], r[1]) for r in AWKWARD], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_leaks(base, bench).collect()
@@ -411,19 +426,28 @@ def test_decontamination(spark, docs, awkward, empty):
     found = {(r.doc_id, i): e for r in got for i, e in zip(r.leaks, r.edits)}
     squeeze = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", low(t))
     want = {}
-    for d, text in rows:
-        for i, item in items[:12]:
-            k = min(int(len(squeeze(item)) * decontaminate.EDIT_SHARE), (len(squeeze(item)) - 8) // 8)
+    for d, text in [*rows, AWKWARD[-1][:2]]:
+        for i, item in items[:26]:
+            k = int(len(squeeze(item)) * decontaminate.EDIT_SHARE)
             e = edits_brute(squeeze(item).encode(), squeeze(text).encode(), k)
             if e <= k:
                 want[d, i] = e
-    assert found == want and 20 < len(want) < 110
+    assert found == want and 40 < len(want) < 400 and (500, 80) in want and (501, 80) not in want
     clean = decontaminate.drop_leaks(base, bench)
     assert clean.count() == base.count() - len({d for d, _ in want})
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(base, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(decontaminate, "PLAN_BLOCKS", 2)
+    items = [(i, f"item number {i} of the benchmark set") for i in range(9)]
+    base = spark.createDataFrame([(i, f"text {i} holds item number {i} of the benchmark set, no other") for i in range(12)], "doc_id long, text string")
+    got = decontaminate.find_leaks(base, spark.createDataFrame(items, "item_id long, text string"), 0.0).collect()
+    assert {(r.doc_id, tuple(r.leaks)) for r in got} == {(i, (i,) if i < 9 else ()) for i in range(12)}
+
+
 def test_leaks_of_documents(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
@@ -461,6 +485,52 @@ def test_toxicity(spark, awkward, empty):
     assert all(r.score < 0.01 for r in toxicity.score_toxicity(awkward, none).collect())
 
 
+def test_toxicity_is_the_model_by_brute_force(spark):
+    import math
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)] + ["awful", "nasty"]
+    rows = [(i, " ".join(rng.choice(words[: 32 if i % 3 == 0 else 30]) for _ in range(rng.randrange(0, 25)))) for i in range(60)]
+    marks = [(i, int(i % 3 == 0)) for i in range(60) if i % 7]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    models = toxicity.train(docs, labels, 5, 0)
+    known = {d: y for d, y in marks if zlib.crc32(str(d).encode()) % 5}
+    pairs = {None: set(), 0: set(), 1: set()}
+    for d, text in rows:
+        w = text.split()
+        for x in zip(["", *w], w):
+            pairs[None].add(x)
+            if d in known:
+                pairs[known[d]].add(x)
+    before = {c: Counter(w for _, w in p) for c, p in pairs.items()}
+
+    def log_p(c, w):
+        n, total = before[c], sum(before[c].values())
+        one, two = (sum(x == k for x in n.values()) for k in (1, 2))
+        discount = min(max(one / max(one + 2 * two, 1), 0.05), 0.95)
+        return math.log(max(n[w] - discount, 0) / total + discount * len(n) / total * before[None][w] / sum(before[None].values()))
+
+    batch = pa.record_batch([pa.array([t for _, t in rows])], ["text"])
+    got = np.concatenate([models.features(part) for part in slices(batch)])
+    for (_, text), f in zip(rows, got):
+        r = sorted((log_p(1, w) - log_p(0, w) for w in text.split()), reverse=True)
+        if r:
+            best = r[: toxicity.TELLING]
+            assert abs(f[1] - sum(r) / len(r)) < 1e-9 and abs(f[2] - sum(best) / len(best)) < 1e-9
+    assert (models.curve[1:] >= 0).all()
+
+
+def test_toxicity_joins_rare_words_in(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    whole = by_id(toxicity.score_toxicity(docs, toxicity.train(docs, labels)))
+    monkeypatch.setattr(toxicity, "HOT_WORDS", 50)
+    monkeypatch.setattr(toxicity, "FLUSH_WORDS", 1000)
+    models = toxicity.train(docs, labels)
+    assert models.tail is not None
+    split = by_id(toxicity.score_toxicity(docs, models))
+    assert max(abs(whole[d].score - split[d].score) for d in whole) < 1e-9
+
+
 def test_quality(spark, awkward, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -476,12 +546,38 @@ def test_quality(spark, awkward, empty):
     assert len({r.score for r in quality.score_quality(awkward, none).collect()}) == 1
 
 
-def test_pu_risk_finds_the_classes():
+def test_pu_risk_by_brute_force():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.7
     x = np.column_stack([np.ones(4000), np.where(y, 1.5, -1.5) + rng.normal(size=4000)])
-    w = quality.nn_pu(x[y][:800], x, 0.7)
+    good = y & (rng.random(4000) < 0.3)
+    for prior in (None, 0.7):
+        w = quality.minimise(lambda v: quality.sums_of(x, good, v), 2, prior)
+        # The risk as it is written, on a grid around what was found.
+        def risk(v):
+            g = x @ v
+            l = lambda z: np.logaddexp(0, -z)
+            if prior is None:
+                return l(g[good]).mean() + l(-g).mean() + quality.RIDGE * v[1] ** 2 / 2
+            return prior * l(g[good]).mean() + max(0, l(-g).mean() - prior * l(-g[good]).mean()) + quality.RIDGE * v[1] ** 2 / 2
+        assert all(risk(w) <= risk(w + np.array(e)) + 1e-6 for e in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
     assert np.mean((x @ w > 0) == y) > 0.9
+    # Slopes and curvature against differences.
+    v, e = np.array([0.3, -0.2]), 1e-5
+    for prior in (None, 0.7):
+        f = lambda u: quality._risk(quality.sums_of(x, good, u), u, prior)  # noqa: B023, E731
+        for k in (0, 1):
+            d = np.eye(2)[k] * e
+            assert abs((f(v + d)[0] - f(v - d)[0]) / (2 * e) - f(v)[2][k]) < 1e-6
+            assert np.abs((f(v + d)[2] - f(v - d)[2]) / (2 * e) - f(v)[3][k]).max() < 1e-5
+
+
+def test_prior():
+    rng = np.random.default_rng(1)
+    y = rng.random(20000) < 0.6
+    s = np.where(y, rng.beta(6, 2, 20000), rng.beta(2, 6, 20000))
+    bins = lambda z: np.bincount((z * 400).astype(int), minlength=400)
+    assert abs(quality.prior_of(bins(s), bins(s[y][:3000])) - 0.6) < 0.05
 
 
 # 9 chat formatting
@@ -528,3 +624,42 @@ def test_chat_round_trip(spark, monkeypatch):
         loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.chat_format(events.limit(0)).count() == 0
+
+
+# all of them
+
+
+def test_columns_with_clashing_names(spark, awkward):
+    """Extra columns named like inner ones, and a repeated name, change nothing and come back as they were."""
+    import public_tokenizers
+
+    names = ["_u", "_v", "_drops", "_host", "_a", "_b", "_tail", "row", "hash", "node", "c0", "label", "s", "k"]
+    wide = awkward.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names], F.lit("second").alias("text"))
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (4, 0, 1), (9, 0, 0)], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    models, model = toxicity.train(awkward, labels), quality.train_quality(awkward, labels)
+    for f in (
+        license_scan.license_scan,
+        lambda d: packing.pack(d, path).drop("sequence_id", "offset"),
+        exact_dedup.exact_dedup,
+        ngram_join.ngram_join,
+        secrets.secret_scan,
+        lambda d: decontaminate.find_leaks(d, bench),
+        lambda d: toxicity.score_toxicity(d, models),
+        lambda d: quality.score_quality(d, model),
+    ):
+        assert sorted(map(str, f(wide).collect())) == sorted(map(str, f(awkward).collect()))
+    for f in (line_dedup.line_dedup, lambda d: toxicity.drop_toxic(d, models), lambda d: decontaminate.drop_leaks(d, bench), lambda d: ngram_join.drop_near_copies(d, 5, Fraction(4, 5))):
+        got, plain = f(wide), f(awkward)
+        assert got.columns[: len(wide.columns)] == wide.columns
+        kept = sorted(str(tuple(r)[: len(awkward.columns)]) for r in got.collect())
+        assert kept == sorted(str(tuple(r)[: len(awkward.columns)]) for r in plain.collect())
+        at = len(awkward.columns)
+        for r in got.collect():
+            assert tuple(r)[at : at + len(names) + 1] == (*[f"{n}:{'-' if r[0] is None else r[0]}" for n in names], "second")
+
+
+def test_empty_texts_train(spark, empty):
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int")
+    assert toxicity.train(empty, labels).curve is not None and quality.train_quality(empty, labels).prior == 0.5
