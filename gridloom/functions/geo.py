@@ -46,6 +46,20 @@ def unpixel(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     return x / n * 360 - 180, F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n))))
 
 
+def metres_per_pixel(zoom: int) -> float:
+    return 2 * math.pi * EARTH_RADIUS / (TILE * 2.0**zoom)
+
+
+def pixel_of_mercator(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
+    n, around = TILE * 2.0**zoom, 2 * math.pi * EARTH_RADIUS
+    return (x / around + 0.5) * n, (F.lit(0.5) - y / around) * n
+
+
+def mercator_of_pixel(px: Column, py: Column, zoom: int) -> tuple[Column, Column]:
+    n, around = TILE * 2.0**zoom, 2 * math.pi * EARTH_RADIUS
+    return (px / n - 0.5) * around, (F.lit(0.5) - py / n) * around
+
+
 def planar_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.hypot((lon2 - lon1) * KM_PER_DEGREE * F.cos(F.radians(lat1)), (lat2 - lat1) * KM_PER_DEGREE)
 
@@ -78,3 +92,90 @@ class GridSpec:
 
     def coarser(self, factor: int) -> GridSpec:
         return GridSpec(self.zoom, self.origin_x, self.origin_y, -(-self.width // factor), -(-self.height // factor), self.scale * factor)
+
+    def extent_pixels(self, zoom: int | None = None) -> tuple[float, float, float, float]:
+        """Left, top, right and bottom in pixels of the grid's zoom, or of another."""
+        k = 2.0 ** ((self.zoom if zoom is None else zoom) - self.zoom)
+        return self.origin_x * k, self.origin_y * k, (self.origin_x + self.width * self.scale) * k, (self.origin_y + self.height * self.scale) * k
+
+    def extent_degrees(self) -> tuple[float, float, float, float]:
+        """West, south, east and north."""
+        left, top, right, bottom = self.extent_pixels()
+        n = TILE * 2.0**self.zoom
+        lat = lambda y: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / n))))
+        return left / n * 360 - 180, lat(bottom), right / n * 360 - 180, lat(top)
+
+    def same_ground(self, other: GridSpec, tolerance: float = 0.5) -> bool:
+        """Whether both cover the same ground, to half a pixel of the finer zoom."""
+        zoom = max(self.zoom, other.zoom)
+        return all(abs(a - b) <= tolerance for a, b in zip(self.extent_pixels(zoom), other.extent_pixels(zoom)))
+
+    @property
+    def centre(self) -> tuple[float, float]:
+        return self.origin_x + self.width * self.scale / 2, self.origin_y + self.height * self.scale / 2
+
+    @property
+    def metres_per_cell(self) -> float:
+        """On the ground at the centre's latitude, which stands for the whole raster."""
+        lat = math.atan(math.sinh(math.pi * (1 - 2 * self.centre[1] / (TILE * 2.0**self.zoom))))
+        return metres_per_pixel(self.zoom) * math.cos(lat) * self.scale
+
+    @property
+    def size_km(self) -> tuple[float, float]:
+        return self.metres_per_cell / 1000 * self.width, self.metres_per_cell / 1000 * self.height
+
+    def to_world(self, i: Column, j: Column) -> tuple[Column, Column]:
+        """Kilometres east and south of the centre."""
+        px, py = self.to_pixel(i, j)
+        km = self.metres_per_cell / self.scale / 1000
+        return (px - self.centre[0]) * km, (py - self.centre[1]) * km
+
+    def of_world(self, x: Column, z: Column) -> tuple[Column, Column]:
+        km = self.metres_per_cell / self.scale / 1000
+        return self.of_pixel(x / km + self.centre[0], z / km + self.centre[1])
+
+    def box_on(self, other: GridSpec, box: tuple[Column, Column, Column, Column]) -> list[Column]:
+        """A box of cells (first and last, both included) as the covering cells of another grid of the same zoom."""
+        half = F.lit(0.5)
+        i0, j0 = other.of_pixel(*self.to_pixel(box[0] - half, box[1] - half))
+        i1, j1 = other.of_pixel(*self.to_pixel(box[2] + half, box[3] + half))
+        return [F.floor(i0 + half), F.floor(j0 + half), F.ceil(i1 - half), F.ceil(j1 - half)]
+
+    def patch_on(self, base: GridSpec) -> tuple[float, float, float]:
+        """(k, cx, cy): a cell g of this patch lies at (g + 0.5) * k + c of the base grid."""
+        z = 2.0 ** (self.zoom - base.zoom)
+        c = [(a - z * b) / (z * base.scale) - 0.5 for a, b in ((self.origin_x, base.origin_x), (self.origin_y, base.origin_y))]
+        return self.scale / (z * base.scale), *c
+
+    def rect_on(self, base: GridSpec) -> tuple[float, float, float, float]:
+        k, cx, cy = self.patch_on(base)
+        return cx, cy, self.width * k + cx, self.height * k + cy
+
+    def centre_on(self, base: GridSpec) -> tuple[float, float]:
+        k, cx, cy = self.patch_on(base)
+        return self.width / 2 * k + cx, self.height / 2 * k + cy
+
+
+def site_grids(fine: tuple, coarse: tuple) -> tuple[GridSpec, GridSpec, GridSpec, tuple[int, int, int, int]]:
+    """Image, height and mosaic grids of tile ranges (zoom, x0, x1, y0, y1), and the heights' window in the mosaic.
+
+    Raises ValueError for ranges out of order, zooms that do not divide a tile, and images beyond the mosaic.
+    """
+    for name, r in (("image", fine), ("heights", coarse)):
+        if any(v != int(v) or v < 0 for v in r) or r[2] < r[1] or r[4] < r[3]:
+            raise ValueError(f"{name}: invalid tile range {r}")
+    factor = 2.0 ** (fine[0] - coarse[0])
+    if factor < 1 or TILE % factor:
+        raise ValueError(f"zoom {fine[0]} does not refine zoom {coarse[0]} by whole parts of a tile")
+    of = lambda z, x0, x1, y0, y1: GridSpec(z, x0 * TILE, y0 * TILE, (x1 - x0 + 1) * TILE, (y1 - y0 + 1) * TILE)
+    image, mosaic, f = of(*fine), of(*coarse), int(factor)
+    heights = GridSpec(coarse[0], image.origin_x // f, image.origin_y // f, image.width // f, image.height // f)
+    x, y = heights.origin_x - mosaic.origin_x, heights.origin_y - mosaic.origin_y
+    if x < 0 or y < 0 or x + heights.width > mosaic.width or y + heights.height > mosaic.height:
+        raise ValueError("the image is not covered by the heights' tiles")
+    return image, heights, mosaic, (x, y, heights.width, heights.height)
+
+
+def sdf_cell(i: Column, j: Column, size: tuple[int, int], sdf_size: tuple[int, int]) -> tuple[Column, Column]:
+    """The same place on a distance raster of another size."""
+    return (i + 0.5) * sdf_size[0] / size[0] - 0.5, (j + 0.5) * sdf_size[1] / size[1] - 0.5

@@ -1,0 +1,27 @@
+"""The lower envelope of parabolas on a line."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def nearest_squares(x: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each of ascending places ``x`` the least (x - x_k) ** 2 + height_k over all k.
+
+    Parabolas of equal shape cross once, so those that are ever lowest form a stack of pieces from left to right.
+    """
+    lowest, begins = [], []
+    for k in range(len(x)):
+        begin = -np.inf
+        while lowest:
+            m = lowest[-1]
+            begin = ((height[k] + x[k] ** 2) - (height[m] + x[m] ** 2)) / (2 * (x[k] - x[m]))
+            if begin > begins[-1]:
+                break
+            lowest.pop()
+            begins.pop()
+            begin = -np.inf
+        lowest.append(k)
+        begins.append(begin)
+    own = np.array(lowest)[np.searchsorted(np.array(begins), x, side="right") - 1]
+    return (x - x[own]) ** 2 + height[own]

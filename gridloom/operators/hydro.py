@@ -5,9 +5,12 @@ Cells are numbered j * width + i. Directions are 1 east, 2 south-east, ... clock
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import at_ranks
 from gridloom.plans.iterate import checkpointed, labels, terminals, upstream_counts
 
 #: Fixed values: (code, di, dj).
@@ -106,16 +109,48 @@ def _relaxed(epsilon: float, tile: int):
     return relax
 
 
-def eight_edges(cells: DataFrame, width: int) -> DataFrame:
-    """Edges (u, v), both ways, between 8-connected cells of the set."""
-    node = F.col("j") * width + F.col("i")
-    own = cells.select("i", "j", node.alias("u"))
-    return neighbours(cells.withColumn("node", node), "node").join(own, ["i", "j"]).select("u", F.col("z").alias("v"))
+def components(cells: DataFrame, width: int, tile: int = 256) -> DataFrame:
+    """(node, label) of the 8-connected components of a set of cells, the label the smallest node.
 
+    Components inside a tile are found in the tile; what is joined over the whole raster is one edge for each pair of
+    them that touch across a border.
+    """
+    numbered = cells.select("i", "j", (F.col("j") * width + F.col("i")).alias("node"))
+    place = [F.floor(F.col(c) / tile).alias(f"t{c}") for c in "ij"]
+    local = checkpointed(numbered.select("*", *place).groupBy("ti", "tj").applyInPandas(_labelled(tile), "i long, j long, node long, local long"))
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    rim = local.where(edge("i") | edge("j"))
+    met = neighbours(rim, "local").join(rim, ["i", "j"]).where(F.col("z") != F.col("local"))
+    found = labels(local.select(F.col("local").alias("node")).distinct(), met.select(F.col("local").alias("u"), F.col("z").alias("v")).distinct())
+    return local.join(found.select(F.col("node").alias("local"), "label"), "local").select("node", "label")
+
+
+def _labelled(tile: int):
+    def run(key, pdf):
+        import numpy as np
 
-def components(cells: DataFrame, width: int) -> DataFrame:
-    """(node, label) of the 8-connected components of a set of cells."""
-    return labels(cells.select((F.col("j") * width + F.col("i")).alias("node")), checkpointed(eight_edges(cells, width)))
+        i, j = pdf["i"].to_numpy() - key[0] * tile + 1, pdf["j"].to_numpy() - key[1] * tile + 1
+        none = np.iinfo(np.int64).max
+        held = np.full((tile + 2, tile + 2), none)
+        held[j, i] = pdf["node"]
+        taken = held < none
+        place = {int(n): k for k, n in enumerate(pdf["node"])}
+        while True:
+            low = held.copy()
+            for dy in (0, 1, 2):
+                for dx in (0, 1, 2):
+                    low[1:-1, 1:-1] = np.minimum(low[1:-1, 1:-1], held[dy : dy + tile, dx : dx + tile])
+            low[~taken] = none
+            # A cell's label is a cell of its component: follow it as far as it leads.
+            flat = low[j, i]
+            at = np.array([place[int(n)] for n in flat]) if len(flat) else np.zeros(0, int)
+            new = np.minimum(flat, flat[at])
+            if (new == held[j, i]).all():
+                break
+            held[j, i] = new
+        return pdf[["i", "j", "node"]].assign(local=held[j, i])
+
+    return run
 
 
 def depressions(cells: DataFrame, filled: DataFrame, width: int, value: str = "h") -> DataFrame:
@@ -132,11 +167,63 @@ def retained(n_cells: Column, depth: Column) -> Column:
 
 
 def river_threshold(acc: DataFrame, share: float) -> DataFrame:
-    """The accumulation at rank ceil(n * share) from above: a two-pass cut on counts, no global sort of cells."""
-    counts = acc.groupBy("acc").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    above = F.sum("n").over(Window.orderBy(F.desc("acc")))
-    total = acc.agg(F.count(F.lit(1)).alias("total"))
-    ranked = counts.withColumn("upto", above).crossJoin(F.broadcast(total))  # one row
-    return ranked.where(F.col("upto") >= F.ceil(F.col("total") * share)).agg(F.max("acc").alias("threshold"))
+    """The accumulation at rank ceil(n * share) from above; infinite where there are no cells."""
+    n = acc.count()
+    rank = min(n - 1, max(0, math.ceil(n * share) - 1))
+    threshold = at_ranks(acc, F.col("acc"), [n - 1 - rank])[0] if n else math.inf
+    return acc.sparkSession.range(1).select(F.lit(threshold).cast("double").alias("threshold"))
+
+
+def outlets(ends: DataFrame, acc: DataFrame, inside: DataFrame, depressions: DataFrame | None, members: DataFrame | None, top: int = TOP_BASINS) -> tuple[DataFrame, DataFrame]:
+    """Main basins and every cell's label.
+
+    ``ends`` (src, terminal), ``acc`` (src, acc), ``inside`` (src); ``depressions`` (label, bottom, retained) and
+    ``members`` (node, label) merge the ends in one retained depression. Basins: (id, terminal, outlet, outlet_acc,
+    n_cells, kind), by their largest accumulation inside, then by key; closed if retained or if the end is inside.
+    Labels: (src, basin) with 1 to ``top``, 0 for others inside and 255 outside.
+    """
+    cells = ends.join(acc, "src").join(inside.select("src", F.lit(True).alias("in")), "src", "left").withColumn("in", F.coalesce("in", F.lit(False)))
+    if depressions is not None:
+        kept = depressions.where("retained").select("label", "bottom")
+        merged = members.join(kept, "label").select(F.col("node").alias("terminal"), F.col("bottom"), F.lit(True).alias("merged"))
+        cells = cells.join(merged, "terminal", "left")
+    else:
+        cells = cells.withColumns({"bottom": F.lit(None).cast("long"), "merged": F.lit(None).cast("boolean")})
+    # Retained depressions come after single ends where accumulations are equal.
+    cells = checkpointed(cells.select("src", "acc", "in", F.coalesce("bottom", "terminal").alias("terminal"), F.coalesce("merged", F.lit(False)).alias("merged")))
+    groups = cells.where("in").groupBy("merged", "terminal").agg(F.max(F.struct("acc", (-F.col("src")).alias("minus"))).alias("o"), F.count(F.lit(1)).alias("n_cells"))
+    best = groups.orderBy(F.desc("o.acc"), "merged", "terminal").limit(top)
+    first = best.select(F.row_number().over(Window.orderBy(F.desc("o.acc"), "merged", "terminal")).cast("long").alias("id"), "merged", "terminal", (-F.col("o.minus")).alias("outlet"), F.col("o.acc").alias("outlet_acc"), "n_cells")
+    within = inside.select(F.col("src").alias("terminal"), F.lit(True).alias("end_in"))
+    basins = checkpointed(first.join(within, "terminal", "left"))
+    kind = F.when(F.col("merged") | F.coalesce("end_in", F.lit(False)), "cerrada").otherwise("abierta")
+    labelled = cells.join(F.broadcast(basins.select("merged", "terminal", "id")), ["merged", "terminal"], "left")  # ``top`` rows
+    basin = F.when(~F.col("in"), 255).otherwise(F.coalesce("id", F.lit(0))).cast("long")
+    return basins.select("id", "terminal", "outlet", "outlet_acc", "n_cells", kind.alias("kind")), labelled.select("src", basin.alias("basin"))
+
+
+def routing(cells: DataFrame, filled: DataFrame, minimal: DataFrame, found: DataFrame, members: DataFrame, width: int, epsilon: float = 0.01, value: str = "h", max_rounds: int = 10_000) -> DataFrame:
+    """(i, j, z): the surface that water follows. Outside retained depressions the fill by ``epsilon``; inside the ground,
+    raised by a small step for each cell of distance from the bottom, and kept below the brim.
+
+    ``filled`` and ``minimal`` are fills (i, j, f) with and without epsilon, ``found`` depressions (label, n_cells,
+    max_depth, bottom, retained), ``members`` (node, label). Distances spread one ring of cells a round.
+    """
+    node = F.col("j") * width + F.col("i")
+    kept = found.where("retained").select("label", "bottom", F.least(F.lit(epsilon), F.lit(0.5) * F.col("max_depth") / F.col("n_cells")).alias("step"))
+    ground = cells.select("i", "j", node.alias("node"), F.col(value).cast("double").alias("h"))
+    inner = checkpointed(members.join(kept, "label").join(ground, "node").select("node", "i", "j", "label", "bottom", "step", "h"))
+    reached = checkpointed(inner.where(F.col("node") == F.col("bottom")).select("i", "j", "label", F.lit(0).cast("long").alias("hops")))
+    front = reached
+    for hops in range(1, max_rounds):
+        near = neighbours(front.select("i", "j", "label"), "label").select("i", "j", F.col("z").alias("label")).distinct()
+        new = inner.join(near, ["i", "j", "label"], "left_semi").join(reached, ["i", "j"], "left_anti")
+        front = checkpointed(new.select("i", "j", "label", F.lit(hops).cast("long").alias("hops")))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+        if hops % 16 == 0:
+            reached = checkpointed(reached)
+    brim = minimal.select((F.col("j") * width + F.col("i")).alias("bottom"), (F.col("f") - epsilon).alias("brim"))
+    low = inner.join(reached.select("i", "j", "hops"), ["i", "j"]).join(brim, "bottom").select("i", "j", F.least(F.col("h") + F.col("step") * F.col("hops"), F.col("brim")).alias("low"))
+    return filled.join(low, ["i", "j"], "left").select("i", "j", F.coalesce("low", "f").cast("float").cast("double").alias("z"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import KM_PER_DEGREE, planar_km
+from gridloom.plans.shared import stored
 
 
 def buckets(low: Column, high: Column, size: float) -> Column:
@@ -37,10 +40,12 @@ def first_match(covered: DataFrame, key: list[str]) -> DataFrame:
 def nearest_named(points: DataFrame, sites: DataFrame, pattern: str, radius_km: float, fallback: str) -> DataFrame:
     """(id, name): the nearest site within the radius whose name matches; else the fallback.
 
-    Sites are listed under the latitude and longitude buckets around them, one radius wide.
+    Sites are listed under the latitude and longitude buckets around them. A latitude bucket is one radius high; a
+    longitude bucket is one radius wide at the point farthest from the equator, and at 89.9 degrees beyond that.
     """
     size = radius_km / KM_PER_DEGREE
-    wide = size * 1.2  # a degree of longitude is shorter; 1.2 holds up to latitude 33
+    far = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    wide = size / math.cos(math.radians(min(far, 89.9)))
     near = sites.where(F.col("name").rlike(pattern)).select("site", "name", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
     around = lambda c, s: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / s) + d)
     near = near.select("*", F.explode(around("slon", wide)).alias("bx")).select("*", F.explode(around("slat", size)).alias("by"))
@@ -67,26 +72,46 @@ def value_at(samples: DataFrame, targets: DataFrame, step: float) -> DataFrame:
     return best.select("tid", "at", F.when(F.col("s.d1") == F.col("s.d0"), F.col("s.e0")).otherwise(F.col("s.e0") + (F.col("s.e1") - F.col("s.e0")) * f).alias("elevation"))
 
 
+#: Segments in one piece of a line.
+PIECE = 32
+
+
 def nearest_on_line(line: DataFrame, targets: DataFrame) -> DataFrame:
-    """For targets (id, tid, px, py) the nearest segment of their own line (tid, k, x, y): (id, k, d2)."""
+    """For targets (id, tid, px, py) the nearest segment of their own line (tid, k, x, y): (id, k, d2).
+
+    A line is cut into pieces of PIECE segments with their bounding boxes. A target meets the boxes first; only pieces
+    no farther than the nearest box is at its farthest have their segments looked at. Of equally near ones the first counts.
+    """
     w = Window.partitionBy("tid").orderBy("k")
-    seg = line.select("tid", "k", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 is not null")
+    seg = line.select("tid", "k", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.floor((F.row_number().over(w) - 1) / PIECE).alias("piece")).where("x1 is not null")
+    seg = stored(seg)
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    boxes = seg.groupBy("tid", "piece").agg(low("x", "x1").alias("l"), high("x", "x1").alias("r"), low("y", "y1").alias("t"), high("y", "y1").alias("b"))
+    met = targets.join(boxes, "tid")
+    out = lambda p, a, b: F.greatest(F.col(a) - F.col(p), F.col(p) - F.col(b), F.lit(0.0))
+    across = lambda p, a, b: F.greatest(F.abs(F.col(p) - F.col(a)), F.abs(F.col(p) - F.col(b)))
+    square = lambda f: F.pow(f("px", "l", "r"), F.lit(2)) + F.pow(f("py", "t", "b"), F.lit(2))
+    bounded = stored(met.select("id", "tid", "px", "py", "piece", square(out).alias("least"), square(across).alias("most")))
+    limit = bounded.groupBy("id").agg(F.min("most").alias("limit"))
+    near = bounded.join(limit, "id").where(F.col("least") <= F.col("limit") * (1 + 1e-12)).select("id", "tid", "px", "py", "piece")
+    met = near.join(seg, ["tid", "piece"])
     dx, dy = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / length))).otherwise(0.0)
-    met = targets.join(seg, "tid").withColumn("t", t)
+    met = met.withColumn("t", t)
     d2 = F.pow(F.col("px") - F.col("x") - F.col("t") * dx, F.lit(2)) + F.pow(F.col("py") - F.col("y") - F.col("t") * dy, F.lit(2))
     best = met.withColumn("d2", d2).groupBy("id").agg(F.min(F.struct("d2", "k")).alias("b"))
     return best.select("id", F.col("b.k").alias("k"), F.col("b.d2").alias("d2"))
 
 
-def proximity_edges(points: DataFrame, tolerance: float) -> DataFrame:
-    """Edges (u, v), both ways, between points (id, x, y) at most ``tolerance`` apart, met on buckets of that size."""
+def proximity_edges(points: DataFrame, tolerance: float, strict: bool = False) -> DataFrame:
+    """Edges (u, v), both ways, between points (id, x, y) at most ``tolerance`` apart (``strict``: nearer), met on buckets of that size."""
     cell = lambda c: F.floor(F.col(c) / tolerance)
     own = points.select(F.col("id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), cell("x").alias("bx"), cell("y").alias("by"))
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     other = points.select(F.col("id").alias("v"), "x", "y", F.explode(offsets).alias("o")).select("v", "x", "y", (cell("x") + F.col("o.a")).alias("bx"), (cell("y") + F.col("o.b")).alias("by"))
-    return own.join(other, ["bx", "by"]).where((F.col("u") != F.col("v")) & (F.hypot(F.col("x") - F.col("ux"), F.col("y") - F.col("uy")) <= tolerance)).select("u", "v")
+    apart = F.hypot(F.col("x") - F.col("ux"), F.col("y") - F.col("uy"))
+    return own.join(other, ["bx", "by"]).where((F.col("u") != F.col("v")) & (apart < tolerance if strict else apart <= tolerance)).select("u", "v")
 
 
 def record_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

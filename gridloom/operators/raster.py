@@ -12,10 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import half_up
+from gridloom.operators.ranks import percentiles
+from gridloom.plans.shared import stored
 
 
-def crop(cells: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
-    """The window's cells with (x, y) as the new origin; the filter reaches the scan."""
+def crop(cells: DataFrame, x: int, y: int, width: int, height: int, size: tuple[int, int] | None = None) -> DataFrame:
+    """The window's cells with (x, y) as the new origin; the filter reaches the scan.
+
+    A window that leaves a raster of the given size (width, height) is an error.
+    """
+    if width < 1 or height < 1 or x < 0 or y < 0 or size and (x + width > size[0] or y + height > size[1]):
+        raise ValueError(f"window {(x, y, width, height)} leaves the raster {size}")
     inside = F.col("i").between(x, x + width - 1) & F.col("j").between(y, y + height - 1)
     return cells.where(inside).withColumns({"i": F.col("i") - x, "j": F.col("j") - y})
 
@@ -26,6 +33,12 @@ def box_downsample(cells: DataFrame, factor: int, value: str = "h") -> DataFrame
     return cells.groupBy(*block).agg(F.avg(value).alias(value))
 
 
+def rgba_downsample(pixels: DataFrame, factor: int) -> DataFrame:
+    """Each channel's mean over a block, rounded half up."""
+    block = [F.floor(F.col(c) / factor).alias(c) for c in ("i", "j")]
+    return pixels.groupBy(*block).agg(*[half_up(F.avg(c)).cast("long").alias(c) for c in "rgba"])
+
+
 def plurality_downsample(cells: DataFrame, factor: int, value: str = "v") -> DataFrame:
     """Most frequent value of each block; ties prefer a value other than 0, then the lowest."""
     block = [F.floor(F.col(c) / factor).alias(c) for c in ("i", "j")]
@@ -34,8 +47,8 @@ def plurality_downsample(cells: DataFrame, factor: int, value: str = "v") -> Dat
 
 
 def elevation_stats(cells: DataFrame, value: str = "h") -> DataFrame:
-    tails = F.percentile(value, F.array(F.lit(0.001), F.lit(0.999)))
-    return cells.agg(F.min(value).alias("min_h"), F.max(value).alias("max_h"), F.avg(value).alias("mean_h"), tails[0].alias("p001"), tails[1].alias("p999"))
+    low, high = percentiles(cells, F.col(value), [0.001, 0.999])
+    return cells.agg(F.min(value).alias("min_h"), F.max(value).alias("max_h"), F.avg(value).alias("mean_h"), F.lit(low).cast("double").alias("p001"), F.lit(high).cast("double").alias("p999"))
 
 
 def bilinear(points: DataFrame, cells: DataFrame, width: int, height: int, value: str = "h") -> DataFrame:
@@ -60,7 +73,9 @@ def reconstruction_error(cells: DataFrame, width: int, height: int, factor: int
     half = box_downsample(cells, factor, value)
     at = cells.select(F.col("i").alias("fi"), F.col("j").alias("fj"), F.col(value).alias("full"), ((F.col("i") + 0.5) / factor - 0.5).alias("i"), ((F.col("j") + 0.5) / factor - 0.5).alias("j"))
     e = bilinear(at, half, -(-width // factor), -(-height // factor), value).select(F.abs(F.col("full") - F.col("sample")).alias("e"))
-    return e.agg(F.max("e").alias("max_e"), F.avg("e").alias("mean_e"), F.percentile("e", F.lit(0.99)).alias("p99_e"), F.avg((F.col("e") > limit).cast("double")).alias("share"))
+    e = stored(e)
+    p99 = percentiles(e, F.col("e"), [0.99])[0]
+    return e.agg(F.max("e").alias("max_e"), F.avg("e").alias("mean_e"), F.lit(p99).cast("double").alias("p99_e"), F.avg((F.col("e") > limit).cast("double")).alias("share"))
 
 
 def hillshade(cells: DataFrame, cell_size: float, azimuth: float = 315.0, altitude: float = 45.0, value: str = "h") -> DataFrame:
@@ -99,6 +114,10 @@ def log_code(acc: Column) -> Column:
     return F.when(acc <= 1, F.lit(0)).otherwise(half_up(F.log2(acc.cast("double")) * 256)).cast("long")
 
 
+def log_decode(code: Column) -> Column:
+    return F.pow(F.lit(2.0), code / 256)
+
+
 def rasterize(edges: DataFrame) -> DataFrame:
     """Cells inside polygons, by even-odd scan lines through cell centres.
 
@@ -133,11 +152,14 @@ def contour_segments(cells: DataFrame, value: str = "s") -> DataFrame:
 def signed_distance(cells: DataFrame, inside: str = "inside", clamp: int = 127) -> DataFrame:
     """Rounded distance to the nearest cell of the other kind, negative outside, kept within the clamp.
 
-    Exact: distances along a column first (windows), then the least of squares over the row (a row at a time).
+    Exact: distances along a column first (windows), then the least of squares over the row, a row at a time, as the
+    lower envelope of its cells' parabolas, in time linear in the row.
     """
     import numpy as np
     import pandas as pd
 
+    from gridloom.operators.envelope import nearest_squares
+
     column = Window.partitionBy("i").orderBy("j")
     up, down = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
 
@@ -149,15 +171,9 @@ def signed_distance(cells: DataFrame, inside: str = "inside", clamp: int = 127)
 
     def line(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        i = pdf["i"].to_numpy(float)
-        out = np.empty(len(i))
         own = pdf[inside].to_numpy(bool)
-        for mask, gaps in ((own, pdf["to_out"].to_numpy(float)), (~own, pdf["to_in"].to_numpy(float))):
-            for at in range(0, len(i), 256):  # blocks of a row against the row
-                part = (i[at : at + 256, None] - i[None, :]) ** 2 + gaps[None, :] ** 2
-                best = np.sqrt(part.min(axis=1))
-                chosen = mask[at : at + 256]
-                out[at : at + 256][chosen] = best[chosen]
+        i, gaps = pdf["i"].to_numpy(float), {k: pdf[k].to_numpy(float) for k in ("to_in", "to_out")}
+        out = np.sqrt(np.where(own, nearest_squares(i, gaps["to_out"] ** 2), nearest_squares(i, gaps["to_in"] ** 2)))
         signed = np.where(own, out, -out)
         return pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "s": np.clip(np.floor(signed + 0.5), -clamp, clamp).astype("int64")})
 

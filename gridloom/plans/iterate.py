@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.shared import skew_safe_join, stored
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder named by ``spark.checkpoint.dir``; set only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        base = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        context.setCheckpointDir(base)
-    return df.checkpoint()
+#: A step of a loop, written to the shared folder.
+checkpointed = stored
 
 
 def terminals(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -44,18 +38,49 @@ def upstream_counts(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the graph has a cycle or paths beyond 2**max_rounds")
 
 
-def labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Connected components: rows (node, label), label the smallest node. ``edges`` (u, v) hold both directions.
+def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Connected components: rows (node, label), label the smallest node. ``edges`` (u, v), one or both ways."""
+    found = components(edges)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(u long, v long)``: rows (node, root), root the smallest node reached.
 
-    Each round takes the least label among neighbours, then jumps along labels.
+    Alternating large-star and small-star steps. A step needs each node's smallest neighbour only: a minimum
+    with map-side partial sums, and a join back that spreads hot nodes. Every step is written to the shared
+    folder; the loop ends when a pass changes nothing and fails loudly if 60 passes do not suffice. Null and
+    self edges are ignored; nodes without an edge do not appear.
     """
-    state = checkpointed(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
-        near = edges.join(state, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("least"))
-        hooked = state.join(near, F.col("u") == F.col("node"), "left").select("node", "label", F.least("label", F.coalesce("least", "label")).alias("new"))
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = checkpointed(hooked.join(jump, "new").select("node", F.col("far").alias("label"), (F.col("label") != F.col("far")).alias("moved")))
-        state = step.select("node", "label")
-        if step.where("moved").isEmpty():
-            return state
-    raise RuntimeError("labels did not settle")
+    e = stored(
+        edges.where(F.col("u") != F.col("v"))
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        .distinct()
+    )
+    for _ in range(60):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        n = 2 * e.count()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).withColumn("m", F.least("m", "u"))
+        large = stored(
+            skew_safe_join(both, low, ["u"], "deg", n, "inner")
+            .where(F.col("v") > F.col("u"))
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where(F.col("u") != F.col("v"))
+            .distinct()
+        )
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
+        joined = skew_safe_join(large, low, ["u"], "deg", max(large.count(), 1), "inner")
+        small = stored(
+            joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+            .select("s.u", "s.v")
+            .where(F.col("u") != F.col("v"))
+            .distinct()
+        )
+        total = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, after = total(e), total(small)
+        e = small
+        if before == after:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
+    raise RuntimeError("connected components did not settle in 60 passes")

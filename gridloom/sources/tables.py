@@ -27,8 +27,8 @@ def height(cells: DataFrame) -> int:
 
 
 def tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid's first 64 rows on a slope, so that water runs far."""
-    return grid(spark, sf_dir).where("j < 64").select("i", "j", (F.col("h") + 40 * F.col("j")).alias("h"))
+    """The grid on a slope, so that water runs far."""
+    return grid(spark, sf_dir).select("i", "j", (F.col("h") + 40 * F.col("j")).alias("h"))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "grid": "grid AS (SELECT CAST(i AS BIGINT) AS i, j, CAST(floor((CAST(x AS DOUBLE) + 1) * 1000) AS BIGINT) AS h FROM (SELECT unnest(range(len(embedding))) AS i, vec_id AS j, unnest(embedding) AS x FROM embeddings))",
-    "tilted": "tilted AS (SELECT i, j, h + 40 * j AS h FROM grid WHERE j < 64)",
+    "tilted": "tilted AS (SELECT i, j, h + 40 * j AS h FROM grid)",
     "zones": "zones AS (SELECT CAST(n_nationkey AS BIGINT) + 1 AS cls, CAST(n_regionkey AS BIGINT) AS grp, n_name AS name, CAST((n_nationkey % 5) * 12 + 0.5 AS DOUBLE) AS x0, CAST((n_nationkey // 5) * 90 + 3.5 AS DOUBLE) AS y0, CAST((n_nationkey % 5) * 12 + 13.25 AS DOUBLE) AS x1, CAST((n_nationkey // 5) * 90 + 95 AS DOUBLE) AS y1 FROM nation)",
     "points": "points AS (SELECT c_custkey AS id, CAST(-67.2 AS DOUBLE) + (c_custkey % 360) * CAST(0.01 AS DOUBLE) AS lon, CAST(-24.8 AS DOUBLE) + ((c_custkey * 7) % 320) * CAST(0.01 AS DOUBLE) AS lat FROM customer)",
     "sites": "sites AS (SELECT s_suppkey AS site, CASE WHEN s_suppkey % 4 = 0 THEN 'Laguna ' || s_suppkey ELSE s_name END AS name, CAST(-67.2 AS DOUBLE) + ((s_suppkey * 37) % 360) * CAST(0.01 AS DOUBLE) AS lon, CAST(-24.8 AS DOUBLE) + ((s_suppkey * 53) % 320) * CAST(0.01 AS DOUBLE) AS lat FROM supplier)",

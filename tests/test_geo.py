@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridloom import catalog
 from gridloom.functions import geo, solar, text
-from gridloom.operators import hydro, joins, profile, raster
+from gridloom.operators import hydro, joins, profile, ranks, raster
 from gridloom.streaming import state
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,32 +44,84 @@ def test_coordinates(spark):
     assert spec.coarser(3) == geo.GridSpec(10, 100, 200, 4, 4, 3)
 
 
+#: Instants (UTC) with the sun's elevation and azimuth there by an independent almanac.
+ALMANAC = [("2026-06-21 15:30:00", 40.6886, 16.1047), ("2026-06-21 21:00:00", 7.8012, 300.0409), ("2026-12-21 15:30:00", 78.7021, 88.7096), ("2026-10-03 16:00:00", 69.8125, 7.3467)]
+SUNRISE, SUNSET = 11 * 60 + 2.63, 21 * 60 + 43.48
+
+
 def test_sun(spark):
-    rows = [("2026-06-21 15:30:00", 40.6886, 16.1047), ("2026-06-21 21:00:00", 7.8012, 300.0409), ("2026-12-21 15:30:00", 78.7021, 88.7096), ("2026-10-03 16:00:00", 69.8125, 7.3467)]
-    t = spark.createDataFrame(rows, "t string, e double, a double").withColumn("t", F.to_timestamp("t"))
+    t = spark.createDataFrame(ALMANAC, "t string, e double, a double").withColumn("t", F.to_timestamp("t"))
     e, a, _ = solar.position(F.col("t"), -24.1856, -65.2994)
     for r in t.select("e", "a", e.alias("x"), a.alias("y")).collect():
         assert abs(r.e - r.x) < 0.5 and abs(r.a - r.y) < 0.5
     rise, fall = solar.sunrise_sunset(F.to_timestamp(F.lit("2026-06-21")), -24.1856, -65.2994)
-    assert one(spark, rise, fall) == pytest.approx((11 * 60 + 2.63, 21 * 60 + 43.48), abs=3)
-
-
-def test_raster_vectors(spark):
-    assert as_rows(raster.box_downsample(cells(spark, [[0, 2, 4, 6], [8, 10, 12, 14]]), 2), "h", 2) == [[5, 9]]
-    assert as_rows(raster.box_downsample(cells(spark, [[0, 0, 8], [0, 0, 8], [4, 4, 8]]), 2), "h", 2) == [[0, 8], [4, 8]]
-    p = cells(spark, [[5, 5, 0, 0], [5, 5, 0, 9], [0, 0, 0, 9], [0, 2, 0, 9]], "v")
-    assert as_rows(raster.plurality_downsample(p, 2), "v", 2) == [[5, 0], [0, 9]]
-    s = raster.elevation_stats(cells(spark, [[10, 20, 30, 40]])).first()
-    assert tuple(s) == pytest.approx((10, 40, 25, 10.03, 39.97))
-    planar = cells(spark, [[40 * i + 20 * j for i in range(4)] for j in range(4)])
-    assert tuple(raster.reconstruction_error(planar, 4, 4).first()) == pytest.approx((30, 12.5, 30, 0.125))
-    flat = as_rows(raster.hillshade(cells(spark, [[7] * 4] * 3), 30.0), "shade", 4)
-    assert flat == [[math.floor(math.sin(math.pi / 4) * 255 + 0.5)] * 4] * 3
-    block = spark.createDataFrame([(i, j, 2 <= i <= 6 and 2 <= j <= 6) for i in range(9) for j in range(9)], "i long, j long, inside boolean")
-    d = as_rows(raster.signed_distance(block), "s", 9)
-    assert (d[4][4], d[4][0], d[0][0]) == (3, -2, -3)
+    assert one(spark, rise, fall) == pytest.approx((SUNRISE, SUNSET), abs=3)
+
+
+def noise(seed, width, height, most=60):
+    rng = random.Random(seed)
+    return [[float(rng.randrange(most)) for _ in range(width)] for _ in range(height)]
+
+
+def test_downsampling_by_brute_force(spark):
+    h = noise(1, 11, 7)
+    blocks = {}
+    for j, row in enumerate(h):
+        for i, v in enumerate(row):
+            blocks.setdefault((j // 3, i // 3), []).append(v)
+    got = raster.box_downsample(cells(spark, h), 3).collect()
+    assert {(r.j, r.i): r.h for r in got} == pytest.approx({k: sum(v) / len(v) for k, v in blocks.items()})
+    few = noise(2, 11, 7, 3)
+    groups = {}
+    for j, row in enumerate(few):
+        for i, v in enumerate(row):
+            groups.setdefault((j // 3, i // 3), []).append(v)
+    want = {k: min(set(v), key=lambda x: (-v.count(x), x == 0, x)) for k, v in groups.items()}  # noqa: B023
+    assert {(r.j, r.i): r.v for r in raster.plurality_downsample(cells(spark, few, "v"), 3).collect()} == want
+
+
+def test_statistics_by_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranks, "READ", 5)
+    monkeypatch.setattr(ranks, "BINS", 7)
+    h = noise(3, 13, 9, 500)
+    flat = np.array(h).ravel()
+    s = raster.elevation_stats(cells(spark, h)).first()
+    assert tuple(s) == pytest.approx((flat.min(), flat.max(), flat.mean(), *np.percentile(flat, [0.1, 99.9])))
+    coarse = {(j, i): np.mean([h[y][x] for y in range(2 * j, min(2 * j + 2, 9)) for x in range(2 * i, min(2 * i + 2, 13))]) for j in range(5) for i in range(7)}
+    off = []
+    for j in range(9):
+        for i in range(13):
+            x, y = min(max((i + 0.5) / 2 - 0.5, 0), 6), min(max((j + 0.5) / 2 - 0.5, 0), 4)
+            a, b = int(x), int(y)
+            at = lambda di, dj: coarse[min(b + dj, 4), min(a + di, 6)]  # noqa: B023, E731
+            top, low = at(0, 0) + (at(1, 0) - at(0, 0)) * (x - a), at(0, 1) + (at(1, 1) - at(0, 1)) * (x - a)
+            off.append(abs(h[j][i] - (top + (low - top) * (y - b))))
+    want = (max(off), np.mean(off), np.percentile(off, 99), np.mean(np.array(off) > 20))
+    assert tuple(raster.reconstruction_error(cells(spark, h), 13, 9).first()) == pytest.approx(want)
+    values = spark.createDataFrame([(float(v),) for v in flat], "v double")
+    assert ranks.at_ranks(values, F.col("v"), [0, 50, 116]) == [sorted(flat)[k] for k in (0, 50, 116)]
+
+
+def test_hillshade_of_a_plain(spark):
+    flat = as_rows(raster.hillshade(cells(spark, [[31] * 5] * 4), 25.0), "shade", 5)
+    assert flat == [[math.floor(math.sin(math.pi / 4) * 255 + 0.5)] * 5] * 4
+
+
+def test_signed_distance_by_brute_force(spark):
+    rng = random.Random(9)
+    kind = [[rng.random() < 0.2 for _ in range(17)] for _ in range(12)]
+    block = spark.createDataFrame([(i, j, kind[j][i]) for i in range(17) for j in range(12)], "i long, j long, inside boolean")
+    got = as_rows(raster.signed_distance(block), "s", 17)
+    for j in range(12):
+        for i in range(17):
+            d = min(math.hypot(i - x, j - y) for x in range(17) for y in range(12) if kind[y][x] != kind[j][i])
+            assert got[j][i] == math.floor((d if kind[j][i] else -d) + 0.5)
     line = spark.createDataFrame([(i, 0, True) for i in range(300)], "i long, j long, inside boolean")
     assert {r.s for r in raster.signed_distance(line).collect()} == {127}
+    with pytest.raises(ValueError):
+        raster.crop(block, 10, 0, 8, 4, (17, 12))
 
 
 def test_rasterize_hole(spark):
@@ -128,30 +180,38 @@ def test_flow(spark):
     assert hydro.river_threshold(spark.createDataFrame([(x,) for x in (10, 8, 6, 4, 2)], "acc long"), 0.4).first()[0] == 8
 
 
-def test_profiles(spark):
-    def stats(values):
-        rows = [(1, k, k * 100.0, v) for k, v in enumerate(values)]
-        return profile.profile_stats(spark.createDataFrame(rows, "tid long, k long, distance double, elevation double")).collect()
-
-    r = stats([1000.0, 1500.0, 2000.0])[0]
-    assert (r.ascent, r.descent, r.min_k, r.max_k) == (1000, 0, 0, 2)
-    r = stats([100.0, 300.0, 200.0, 400.0])[0]
-    assert (r.ascent, r.descent) == (400, 100)
-    assert stats([100.0, None, 300.0])[0].ascent == 200
-    r = stats([1000.0, 1010.0, 1000.0, 1012.0, 1001.0])[0]
-    assert (r.ascent, r.descent) == (0, 0)
-    assert stats([1.0]) == []
-    line = spark.createDataFrame([(1, k, k * 100.0, v) for k, v in enumerate([0.0, 10.0, None, 30.0])], "tid long, k long, distance double, elevation double")
-    t = spark.createDataFrame([(1, x) for x in (-5.0, 50.0, 150.0, 999.0)], "tid long, at double")
-    assert {r.at: r.elevation for r in joins.value_at(line, t, 100.0).collect()} == {-5.0: 0.0, 50.0: 5.0, 150.0: None, 999.0: 30.0}
+def test_profiles_by_brute_force(spark):
+    rng = random.Random(4)
+    lines = {t: [None if rng.random() < 0.1 else float(rng.randrange(0, 200)) for _ in range(rng.randrange(1, 40))] for t in range(12)}
+    rows = [(t, k, k * 70.0, v) for t, line in lines.items() for k, v in enumerate(line)]
+    base = spark.createDataFrame(rows, "tid long, k long, distance double, elevation double")
+    want = {}
+    for t, line in lines.items():
+        known = [(k, v) for k, v in enumerate(line) if v is not None]
+        if len(known) < 2:
+            continue
+        anchor, up, down = known[0][1], 0.0, 0.0
+        for _, v in known:
+            if abs(v - anchor) >= 25:
+                up, down, anchor = up + max(v - anchor, 0), down + max(anchor - v, 0), v
+        low, high = min(v for _, v in known), max(v for _, v in known)
+        want[t] = (len(known), low, high, next(k for k, v in known if v == low), next(k for k, v in known if v == high), up, down)
+    got = {r.tid: (r.defined, r.min_e, r.max_e, r.min_k, r.max_k, r.ascent, r.descent) for r in profile.profile_stats(base).collect()}
+    assert got == want
+    asked = [(t, x) for t in lines for x in (-3.0, 0.0, 35.0, 77.0, 350.0, 1e6)]
+    for r in joins.value_at(base, spark.createDataFrame(asked, "tid long, at double"), 100.0).collect():
+        line, q = lines[r.tid], min(max(r.at, 0.0), 70.0 * (len(lines[r.tid]) - 1))
+        k = min(int(q // 70), len(line) - 1)
+        a, b, f = line[k], line[min(k + 1, len(line) - 1)], q / 70 - k
+        assert r.elevation == (a if f == 0 else None if a is None or b is None else pytest.approx(a + (b - a) * f))
 
 
 def test_text(spark):
-    u = text.strip_utm
-    assert one(spark, u(F.lit("a.jpg?foo=1&utm_source=x&bar=2")), u(F.lit("a.jpg?utm_source=x&utm_campaign=y")), u(F.lit("a.jpg"))) == ("a.jpg?foo=1&bar=2", "a.jpg", "a.jpg")
+    u, f = text.strip_utm, F.lit
+    assert one(spark, u(f("https://m.org/p?utm_id=9&q=1&utm_term=b&z=")), u(f("https://m.org/p?utm_id=9")), u(f("https://m.org/p"))) == ("https://m.org/p?q=1&z=", "https://m.org/p", "https://m.org/p")
     y = text.literal_year
-    assert one(spark, *[y(F.lit(x)) for x in ("+2022-00-00T00:00:00Z", "-0500-01-01T00:00:00Z", "2022")]) == (2022, -500, None)
-    assert one(spark, text.name_key(F.lit("Dr. Manuel Belgráno")), text.metres_es(F.lit(1234567.4))) == ("drmanuelbelgrano", "1.234.567 m")
+    assert one(spark, *[y(f(x)) for x in ("+1987-00-00T00:00:00Z", "-0044-03-15T00:00:00Z", "1987")]) == (1987, -44, None)
+    assert one(spark, text.name_key(f("Señora Íñiguez, 2ª")), text.metres_es(f(7654321.5))) == ("senorainiguez2", "7.654.322 m")
 
 
 def test_stream_keeps_what_batch_finds(spark, tmp_path):
