@@ -212,7 +212,7 @@ TARGETS = ", t AS (SELECT tid, CAST(unnest([-5, 50, 130, 375, 1000, 99999]) AS D
 
 
 @query(with_tables("samples", TARGETS + f""", e AS (SELECT tid, min(distance) AS lo, max(distance) AS hi FROM samples GROUP BY tid), s AS (SELECT tid, distance AS d0, elevation AS e0, lead(distance) OVER w AS d1, lead(elevation) OVER w AS e1 FROM samples WINDOW w AS (PARTITION BY tid ORDER BY k)),
-q AS (SELECT tid, pos, least(greatest(pos, lo), hi) AS q FROM t JOIN e USING (tid)) SELECT q.tid, q.pos, {rounded('CASE WHEN s.d1 IS NULL THEN s.e0 ELSE s.e0 + (s.e1 - s.e0) * (q.q - s.d0) / (s.d1 - s.d0) END')} AS elevation FROM q ASOF JOIN s ON q.tid = s.tid AND q.q >= s.d0"""))
+q AS (SELECT tid, pos, lo, least(greatest(pos, lo), hi) AS q FROM t JOIN e USING (tid)) SELECT q.tid, q.pos, {rounded('CASE WHEN s.d1 IS NULL OR q.q <= q.lo THEN s.e0 ELSE s.e0 + (s.e1 - s.e0) * (q.q - s.d0) / (s.d1 - s.d0) END')} AS elevation FROM q ASOF JOIN s ON q.tid = s.tid AND q.q >= s.d0"""))
 def asof_sample(spark, d):
     s = samples(spark, d)
     t = s.select("tid").distinct().select("tid", F.explode(F.array(*[F.lit(float(x)) for x in (-5, 50, 130, 375, 1000, 99999)])).alias("at"))

@@ -47,7 +47,7 @@ def mercator_pixels(spark, d):
 LAT = "degrees(atan(sinh(pi() * (1 - 2 * ({y}) / 262144.0))))"
 
 
-@query(f"SELECT 82048.0 AS x0, 145664.0 AS y0, 83072.0 AS x1, 146432.0 AS y1, {sql_whole(('west', '82048 / 262144.0 * 360 - 180'), ('south', LAT.format(y=146432)), ('east', '83072 / 262144.0 * 360 - 180'), ('north', LAT.format(y=145664)))}, true AS same, false AS other, 342::BIGINT AS coarse_width")
+@query(f"SELECT 82048::DOUBLE AS x0, 145664::DOUBLE AS y0, 83072::DOUBLE AS x1, 146432::DOUBLE AS y1, {sql_whole(('west', '82048 / 262144.0 * 360 - 180'), ('south', LAT.format(y=146432)), ('east', '83072 / 262144.0 * 360 - 180'), ('north', LAT.format(y=145664)))}, true AS same, false AS other, 342::BIGINT AS coarse_width")
 def grid_extent(spark, d):
     a, b = BASE.extent_pixels(), BASE.extent_degrees()
     coarse = BASE.coarser(3)

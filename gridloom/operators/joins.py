@@ -58,7 +58,7 @@ def nearest_named(points: DataFrame, sites: DataFrame, pattern: str, radius_km:
 def value_at(samples: DataFrame, targets: DataFrame, step: float) -> DataFrame:
     """Linear reading of transects (tid, k, distance, elevation) at targets (tid, at), clamped to the ends.
 
-    Null where an end of the bracket has no elevation. Brackets meet targets on buckets of ``step`` metres.
+    Null where an end of the bracket has no elevation; at its own ends a transect has what its sample has. Brackets meet targets on buckets of ``step`` metres.
     """
     w = Window.partitionBy("tid").orderBy("k")
     ends = samples.groupBy("tid").agg(F.max("distance").alias("far"), F.min("distance").alias("near"))
@@ -67,9 +67,10 @@ def value_at(samples: DataFrame, targets: DataFrame, step: float) -> DataFrame:
     seg = seg.withColumn("d1", F.coalesce("d1", "d0"))
     seg = seg.select("*", F.explode(buckets(F.col("d0"), F.col("d1"), step)).alias("b"))
     met = t.withColumn("b", F.floor(F.col("q") / step)).join(seg, ["tid", "b"]).where("q between d0 and d1")
-    best = met.groupBy("tid", "at", "q").agg(F.max_by(F.struct("d0", "e0", "d1", "e1"), F.col("d0")).alias("s"))
+    best = met.groupBy("tid", "at", "q", "near").agg(F.max_by(F.struct("d0", "e0", "d1", "e1"), F.col("d0")).alias("s"))
     f = F.when(F.col("s.d1") > F.col("s.d0"), (F.col("q") - F.col("s.d0")) / (F.col("s.d1") - F.col("s.d0"))).otherwise(0.0)
-    return best.select("tid", "at", F.when(F.col("s.d1") == F.col("s.d0"), F.col("s.e0")).otherwise(F.col("s.e0") + (F.col("s.e1") - F.col("s.e0")) * f).alias("elevation"))
+    first = (F.col("s.d1") == F.col("s.d0")) | (F.col("q") <= F.col("near"))
+    return best.select("tid", "at", F.when(first, F.col("s.e0")).otherwise(F.col("s.e0") + (F.col("s.e1") - F.col("s.e0")) * f).alias("elevation"))
 
 
 #: Segments in one piece of a line.

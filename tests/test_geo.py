@@ -203,7 +203,7 @@ def test_profiles_by_brute_force(spark):
         line, q = lines[r.tid], min(max(r.at, 0.0), 70.0 * (len(lines[r.tid]) - 1))
         k = min(int(q // 70), len(line) - 1)
         a, b, f = line[k], line[min(k + 1, len(line) - 1)], q / 70 - k
-        assert r.elevation == (a if f == 0 else None if a is None or b is None else pytest.approx(a + (b - a) * f))
+        assert r.elevation == (a if q in (0, 70.0 * (len(line) - 1)) else None if a is None or b is None else pytest.approx(a + (b - a) * f))
 
 
 def test_text(spark):
