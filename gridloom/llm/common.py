@@ -1,82 +1,20 @@
-"""Shared pieces of the training-data operators.
-
-Nothing here keeps state on an executor's disk. Tables that cut lineage go to the folder named by
-``spark.checkpoint.dir`` (read from the session; another one is used only where it is unset), so a lost
-executor costs the tasks it ran and nothing else.
-"""
+"""Shared pieces of the training-data operators; stored tables and loops come from the library's plans."""
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when a count has shown it to be under this many bytes.
-BROADCAST_BYTES = 32 << 20
-#: Keys with more than 1/HOT_PARTS of all rows are hot; there are fewer than HOT_PARTS of them.
-HOT_PARTS = 1000
-
-_roots: dict[str, str] = {}
-_tables: dict[str, list[str]] = {}
-
+from gridloom.plans.iterate import components
+from gridloom.plans.shared import release, remove, shared_root, skew_safe_join, stored
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``; removed when the driver ends.
+__all__ = ["components", "release", "remove", "shared_root", "skew_safe_join", "stored"]
 
-    Where that is unset, a local session (tests) gets a temporary folder, any other one the warehouse, which the
-    whole cluster shares.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    app = context.applicationId
-    if app not in _roots:
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="gridloom-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-            context.setCheckpointDir(base)
-        _roots[app] = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-        _tables[app] = []
-        atexit.register(remove, spark, _roots[app])
-    return _roots[app]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this session, if it is still there."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the gateway may be gone by then; the folder is the cluster's scratch
-        pass
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later plans start from the files."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
-    _tables[spark.sparkContext.applicationId].append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(docs: DataFrame) -> None:
-    """Remove the tables stored so far, and shuffles that nothing refers to; ``docs`` must have been written since.
-
-    If ``docs`` still reads such a table, all of them stay.
-    """
-    spark = docs.sparkSession
-    shared_root(spark)
-    names = {path.rsplit("/", 1)[1] for path in _tables[spark.sparkContext.applicationId]}
-    if names and any(part in names for f in docs.inputFiles() for part in f.split("/")[-2:]):
-        return
-    old, _tables[spark.sparkContext.applicationId] = _tables[spark.sparkContext.applicationId], []
-    for path in old:
-        remove(spark, path)
-    spark.sparkContext._jvm.System.gc()
+#: A side of a join is broadcast only when a count has shown it to be under this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -106,23 +44,6 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def skew_safe_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
-    """Join ``rows`` with one row per key of ``groups`` although a key may hold a third of ``rows``.
-
-    ``size`` is the column of ``groups`` that counts the key's rows in ``rows``; ``total`` is their sum over
-    all keys at least. Keys above ``total / HOT_PARTS`` are fewer than HOT_PARTS, which bounds what is
-    broadcast for them; all other keys are small and meet in a shuffle.
-    """
-    cut = max(total // HOT_PARTS, 1)
-    values = [c for c in groups.columns if c not in keys]
-    hot = groups.where(F.col(size) > cut).withColumn("_hot", F.lit(True))
-    cold = groups.where(F.col(size) <= cut)
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    in_hot = marked.where(F.col("_hot")).drop("_hot")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot", *values)
-    return in_hot.unionByName(rest.join(cold, keys, how))
-
-
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker: tokenizers are loaded once, not once a task."""
     name = "_gridloom_worker_cache"
@@ -131,45 +52,3 @@ def worker_cache() -> dict:
         module = sys.modules[name] = types.ModuleType(name)
         module.items = {}
     return module.items
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(u long, v long)``: rows (node, root), root the smallest node reached.
-
-    Alternating large-star and small-star steps. A step needs each node's smallest neighbour only: a minimum
-    with map-side partial sums, and a join back that spreads hot nodes. Every step is written to the shared
-    folder; the loop ends when a pass changes nothing and fails loudly if 60 passes do not suffice. Null and
-    self edges are ignored; nodes without an edge do not appear.
-    """
-    e = stored(
-        edges.where(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    for _ in range(60):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        n = 2 * e.count()
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).withColumn("m", F.least("m", "u"))
-        large = stored(
-            skew_safe_join(both, low, ["u"], "deg", n, "inner")
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-        joined = skew_safe_join(large, low, ["u"], "deg", max(large.count(), 1), "inner")
-        small = stored(
-            joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
-            .select("s.u", "s.v")
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        total = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        before, after = total(e), total(small)
-        e = small
-        if before == after:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-    raise RuntimeError("connected components did not settle in 60 passes")
