@@ -118,7 +118,7 @@ def sun_look(spark, d):
     return s.select("id", *whole(*zip(("east", "up", "south"), ways), ("green", at("sun", 1)), ("blue", at("sun", 2)), ("air", at("air", 0)), ("sky", at("sky", 2) + 1.3e-7), ("apart", apart), digits=2))
 
 
-@query(NUMBERS + f", p AS (SELECT id, CAST(id % 720 - 360 AS DOUBLE) AS a, CAST(id * 7 % 720 - 360 AS DOUBLE) AS b, (id % 101) / 100.0 AS t FROM n) SELECT id, {sql_whole(('angle', 'a + (fmod(b - a + 540, 360) - 180) * t'), ('eased', 'CASE WHEN t < 0.5 THEN 4 * t * t * t ELSE 1 - pow(2 - 2 * t, 3) / 2 END'))} FROM p")
+@query(NUMBERS + f", p AS (SELECT id, CAST(id % 720 - 360 AS DOUBLE) AS a, CAST(id * 7 % 720 - 360 AS DOUBLE) AS b, (id % 101) / 100.0 AS t FROM n) SELECT id, {sql_whole(('angle', 'a + ((b - a + 540) - 360 * trunc((b - a + 540) / 360) - 180) * t'), ('eased', 'CASE WHEN t < 0.5 THEN 4 * t * t * t ELSE 1 - pow(2 - 2 * t, 3) / 2 END'))} FROM p")
 def pose_path(spark, d):
     p = numbers(spark, d).select("id", (F.pmod("id", F.lit(720)) - 360).cast("double").alias("a"), (F.pmod(F.col("id") * 7, F.lit(720)) - 360).cast("double").alias("b"), (F.pmod("id", F.lit(101)) / 100.0).alias("t"))
     return p.select("id", *whole(("angle", scene.angle_lerp(F.col("a"), F.col("b"), F.col("t"))), ("eased", scene.ease(F.col("t")))))

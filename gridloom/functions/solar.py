@@ -28,15 +28,18 @@ def fractional_year(utc: Column) -> Column:
     return F.lit(2 * math.pi) / F.when(leap, 366).otherwise(365) * (F.dayofyear(utc) - 1 + (hour - 12) / 24)
 
 
+#: Refraction in seconds of arc. Above 5 degrees by the tangent, its third and fifth power; above the
+#: horizon by powers of the elevation from 0 on; below it by the tangent.
+HIGH, LOW, BELOW = (58.1, -0.07, 0.000086), (1735, -518.2, 103.4, -12.79, 0.711), -20.772
+
+
 def refraction(elevation: Column) -> Column:
     tan = F.tan(F.radians(elevation))
-    polynomial = 1735 + elevation * (-518.2 + elevation * (103.4 + elevation * (-12.79 + elevation * 0.711)))
-    return (
-        F.when(elevation > 85, 0.0)
-        .when(elevation > 5, (58.1 / tan - 0.07 / F.pow(tan, F.lit(3)) + 0.000086 / F.pow(tan, F.lit(5))) / 3600)
-        .when(elevation > -0.575, polynomial / 3600)
-        .otherwise(-20.772 / tan / 3600)
-    )
+    polynomial = F.lit(LOW[-1])
+    for c in LOW[-2::-1]:
+        polynomial = c + elevation * polynomial
+    high = HIGH[0] / tan + HIGH[1] / F.pow(tan, F.lit(3)) + HIGH[2] / F.pow(tan, F.lit(5))
+    return F.when(elevation > 85, 0.0).when(elevation > 5, high / 3600).when(elevation > -0.575, polynomial / 3600).otherwise(BELOW / tan / 3600)
 
 
 def position(utc: Column, lat: float, lon: float) -> tuple[Column, Column, Column]:

@@ -202,7 +202,53 @@ def outlets(ends: DataFrame, acc: DataFrame, inside: DataFrame, depressions: Dat
     return basins.select("id", "terminal", "outlet", "outlet_acc", "n_cells", kind.alias("kind")), labelled.select("src", basin.alias("basin"))
 
 
-def routing(cells: DataFrame, filled: DataFrame, minimal: DataFrame, found: DataFrame, members: DataFrame, width: int, epsilon: float = 0.01, value: str = "h", max_rounds: int = 10_000) -> DataFrame:
+def hops(cells: DataFrame, tile: int = TILE, max_rounds: int = 2000) -> DataFrame:
+    """(i, j, hops): steps to eight neighbours of the same label from the cells that ``start``, for cells (i, j, label, start).
+
+    A round relaxes each tile until it is still, as in filling; rounds are as many as tiles on a path.
+    """
+    side = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)]))
+    relax = _stepped(tile)
+    state = checkpointed(cells.select("i", "j", "label", F.when(F.col("start"), 0).otherwise(1 << 40).cast("long").alias("hops")))
+    for _ in range(max_rounds):
+        dealt = state.select("*", F.explode(side("i")).alias("ti")).select("*", F.explode(side("j")).alias("tj"))
+        step = checkpointed(dealt.groupBy("ti", "tj").applyInPandas(relax, "i long, j long, label long, hops long, moved boolean"))
+        state = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return state.select("i", "j", "hops")
+    raise RuntimeError("distances did not settle")
+
+
+def _stepped(tile: int):
+    def relax(key, pdf):
+        import numpy as np
+
+        a, b = key[0] * tile - 1, key[1] * tile - 1
+        i, j = pdf["i"].to_numpy() - a, pdf["j"].to_numpy() - b
+        own = (i >= 1) & (i <= tile) & (j >= 1) & (j <= tile)
+        shape, far = (tile + 2, tile + 2), 1 << 40
+        label, f = np.full(shape, -1), np.full(shape, far)
+        label[j, i], f[j, i] = pdf["label"], pdf["hops"]
+        before, inner = f.copy(), (slice(1, -1), slice(1, -1))
+        while True:
+            m = f.copy()
+            for dy in (0, 1, 2):
+                for dx in (0, 1, 2):
+                    part = (slice(dy, dy + tile), slice(dx, dx + tile))
+                    same = label[part] == label[inner]
+                    m[inner] = np.minimum(m[inner], np.where(same & (label[inner] >= 0), f[part] + 1, far))
+            if (m == f).all():
+                break
+            f = m
+        out = pdf.loc[own, ["i", "j", "label"]].copy()
+        out["hops"] = f[j[own], i[own]]
+        out["moved"] = out["hops"].to_numpy() < before[j[own], i[own]]
+        return out
+
+    return relax
+
+
+def routing(cells: DataFrame, filled: DataFrame, minimal: DataFrame, found: DataFrame, members: DataFrame, width: int, epsilon: float = 0.01, value: str = "h") -> DataFrame:
     """(i, j, z): the surface that water follows. Outside retained depressions the fill by ``epsilon``; inside the ground,
     raised by a small step for each cell of distance from the bottom, and kept below the brim.
 
@@ -213,17 +259,7 @@ def routing(cells: DataFrame, filled: DataFrame, minimal: DataFrame, found: Data
     kept = found.where("retained").select("label", "bottom", F.least(F.lit(epsilon), F.lit(0.5) * F.col("max_depth") / F.col("n_cells")).alias("step"))
     ground = cells.select("i", "j", node.alias("node"), F.col(value).cast("double").alias("h"))
     inner = checkpointed(members.join(kept, "label").join(ground, "node").select("node", "i", "j", "label", "bottom", "step", "h"))
-    reached = checkpointed(inner.where(F.col("node") == F.col("bottom")).select("i", "j", "label", F.lit(0).cast("long").alias("hops")))
-    front = reached
-    for hops in range(1, max_rounds):
-        near = neighbours(front.select("i", "j", "label"), "label").select("i", "j", F.col("z").alias("label")).distinct()
-        new = inner.join(near, ["i", "j", "label"], "left_semi").join(reached, ["i", "j"], "left_anti")
-        front = checkpointed(new.select("i", "j", "label", F.lit(hops).cast("long").alias("hops")))
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-        if hops % 16 == 0:
-            reached = checkpointed(reached)
+    reached = hops(inner.select("i", "j", "label", (F.col("node") == F.col("bottom")).alias("start")))
     brim = minimal.select((F.col("j") * width + F.col("i")).alias("bottom"), (F.col("f") - epsilon).alias("brim"))
     low = inner.join(reached.select("i", "j", "hops"), ["i", "j"]).join(brim, "bottom").select("i", "j", F.least(F.col("h") + F.col("step") * F.col("hops"), F.col("brim")).alias("low"))
     return filled.join(low, ["i", "j"], "left").select("i", "j", F.coalesce("low", "f").cast("float").cast("double").alias("z"))
