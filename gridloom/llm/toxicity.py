@@ -31,13 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import BROADCAST_BYTES, column_of, maybe_broadcast, numbered, pick, stored, text_of
-from gridloom.llm.words import ALNUM, join_hash, slices
+from gridloom.llm.words import ALNUM, join_hash, mix, slices
 
 #: Words whose counts go to every task (ROW_BYTES each); those of rarer words are joined in.
 ROW_BYTES = 20
 HOT_WORDS = BROADCAST_BYTES // ROW_BYTES
 #: Words that a task holds before it sends their sums.
-FLUSH_WORDS = 1 << 21
+FLUSH_WORDS = 3 << 19
+#: The most frequent words of about SPREAD_TEXTS texts have their pairs dealt to all buckets. This chooses where pairs
+#: are counted, not what: any choice gives the same counts.
+SPREAD_WORDS, SPREAD_TEXTS = 256, 2_000
+#: Texts whose pairs one bucket holds, on average, at most.
+BUCKET_TEXTS = 1 << 15
 #: Bytes of a context: its hash, and below it MARKS bits that say which texts have the pair: ordinary and toxic
 #: ones of the larger part, ordinary and toxic ones of the part that the curve is fitted on.
 CONTEXT_BYTES, MARKS = 6, 4
@@ -87,28 +92,47 @@ def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return w, c, np.flatnonzero(new)
 
 
-def _packed(held: list, buckets: int):
+def _packed(held: list, buckets: int, spread: np.ndarray):
     """(words, contexts) -> for each bucket its words, how many pairs each has, and the pairs' contexts.
 
-    Buckets are ranges of hashes; some of them at a time, so that what sorting takes stays small.
+    A word's pairs are in one bucket, but those of the words in ``spread`` are dealt by their contexts.
     """
     word, context = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    bucket = (((word >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-    some = -(-buckets // 16)
-    for low in range(0, buckets, some):
-        mine = (bucket >= low) & (bucket < low + some)
+    key = np.where(np.isin(word, spread), mix(word ^ (context >> np.uint64(MARKS))), word) if len(spread) else word
+    bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    del key
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows, size = [], 0
+    for k in range(buckets):
+        mine = order[at[k] : at[k + 1]]
+        if not len(mine):
+            continue
         w, c, starts = _pairs(word[mine], context[mine])
-        words, n = w[starts], np.diff(np.append(starts, len(w)))
-        tails = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES]
-        at = np.searchsorted((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(low, low + some + 1).astype(np.uint64))
-        ends = np.append(starts, len(w))
-        rows = [(low + k, words[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), tails[ends[a] : ends[b]].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "words", "pairs", "contexts"])
+        tails = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES].tobytes()
+        rows.append((k, w[starts].tobytes(), np.diff(np.append(starts, len(w))).astype("<u4").tobytes(), tails))
+        size += len(tails)
+        if size > 1 << 20 or k == buckets - 1:
+            yield _messages(rows)
+            rows, size = [], 0
+    if rows:
+        yield _messages(rows)
 
 
-def _count(buckets: int, flush: int = FLUSH_WORDS):
+def _messages(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "words", "pairs", "contexts"])
+
+
+def _frequent(batches):
+    """(text) -> each task's word counts."""
+    for batch in batches:
+        for part in slices(batch):
+            word, n = np.unique(part.words(ALNUM).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def _count(buckets: int, spread: np.ndarray, flush: int):
     """(text, mark or null) -> this task's pairs by bucket of words."""
 
     def run(batches):
@@ -120,10 +144,10 @@ def _count(buckets: int, flush: int = FLUSH_WORDS):
                 held.append((g.word, g.context() | mark[g.doc]))
                 size += len(g.word)
                 if size >= flush:
-                    yield from _packed(held, buckets)
+                    yield from _packed(held, buckets, spread)
                     size = 0
         if size:
-            yield from _packed(held, buckets)
+            yield from _packed(held, buckets, spread)
 
     return run
 
@@ -329,9 +353,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     curve = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CURVE_PART)) == 0
     known = known.withColumn("curve", curve).withColumn("mark", (F.col("label") + 1) * F.when(curve, 4).otherwise(1))
     joined = base.join(maybe_broadcast(known, 24), "doc_id", "left").select("text", "label", "mark", "curve", "doc_id")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = joined.select("text", "mark").mapInArrow(_count(buckets), PACKED)
-    vocabulary = stored(parts.groupBy("bucket").applyInArrow(_merge, VOCABULARY))
+    total = base.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXTS))
+    few = base.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(-(-max(total, 1) // SPREAD_TEXTS))) == 0).select("text")
+    often = few.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SPREAD_WORDS).select("word")
+    spread = np.array([r[0] for r in often.collect()], np.int64)
+    parts = joined.select("text", "mark").mapInArrow(_count(buckets, spread.view(np.uint64), FLUSH_WORDS), PACKED)
+    counted = stored(parts.groupBy("bucket").applyInArrow(_merge, VOCABULARY))
+    dealt = F.col("word").isin([int(w) for w in spread])
+    sums = counted.where(dealt).groupBy("word").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]])
+    vocabulary = counted.where(~dealt).unionByName(sums)
     larger = Models.of(vocabulary.select("word", "before", F.col("a0").alias("c0"), F.col("a1").alias("c1")))
     models = Models.of(vocabulary.select("word", *COUNTS))
     scale = 1 << 20

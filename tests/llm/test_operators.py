@@ -525,6 +525,8 @@ def test_toxicity_joins_rare_words_in(spark, docs, monkeypatch):
     whole = by_id(toxicity.score_toxicity(docs, toxicity.train(docs, labels)))
     monkeypatch.setattr(toxicity, "HOT_WORDS", 50)
     monkeypatch.setattr(toxicity, "FLUSH_WORDS", 1000)
+    monkeypatch.setattr(toxicity, "BUCKET_TEXTS", 10)
+    monkeypatch.setattr(toxicity, "SPREAD_WORDS", 20)
     models = toxicity.train(docs, labels)
     assert models.tail is not None
     split = by_id(toxicity.score_toxicity(docs, models))
