@@ -192,7 +192,7 @@ def lut_violations(spark, d):
 
 
 @query(with_tables("zones", CELL_POINTS + f""", m AS (SELECT id, cls, sqrt(pow(p.i - (x0 + x1) / 2, 2) + pow(p.j - (y0 + y1) / 2, 2)) AS d FROM p JOIN zones ON p.i BETWEEN x0 AND x1 AND p.j BETWEEN y0 AND y1),
-n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cls) AS n FROM m) SELECT id, min(cls) FILTER (n = 1) AS cls, {rounded('min(d) FILTER (n = 2) - min(d)')} AS margin FROM n GROUP BY id"""))
+g AS (SELECT a.id, a.cls, min(CASE WHEN b.cls IS NULL THEN NULL WHEN abs(b.d - a.d) > 0.001 THEN b.d - a.d WHEN b.cls < a.cls THEN -0.001 ELSE 0.001 END) AS margin FROM m a LEFT JOIN m b ON a.id = b.id AND a.cls <> b.cls GROUP BY a.id, a.cls), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cls) AS n FROM g WHERE margin IS NULL OR margin >= 0) SELECT id, cls, {rounded('margin')} AS margin FROM w WHERE n = 1"""))
 def voronoi_owner(spark, d):
     return joins.owner(joins.in_rectangles(cell_points(spark, d), zones(spark, d)), ["id"]).select("id", "cls", micro(F.col("margin")).alias("margin"))
 
@@ -308,7 +308,7 @@ def cell_components(spark, d):
 @query(with_tables("samples", """, s AS (SELECT tid, elevation AS e, k, row_number() OVER (PARTITION BY tid ORDER BY k) AS n FROM samples WHERE elevation IS NOT NULL),
 f AS (SELECT tid, n, e AS anchor, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down FROM s WHERE n = 1 UNION ALL SELECT s.tid, s.n, CASE WHEN abs(e - anchor) >= 25 THEN e ELSE anchor END, up + CASE WHEN e - anchor >= 25 THEN e - anchor ELSE 0 END, down + CASE WHEN anchor - e >= 25 THEN anchor - e ELSE 0 END FROM f JOIN s ON s.tid = f.tid AND s.n = f.n + 1),
 b AS (SELECT tid, count(*) AS defined, min(e) AS min_e, max(e) AS max_e, arg_min(k, e * 1e6 + k) AS min_k, arg_max(k, e * 1e6 - k) AS max_k FROM s GROUP BY tid)
-SELECT b.*, f.up AS ascent, f.down AS descent FROM b JOIN f ON f.tid = b.tid AND f.n = b.defined WHERE defined >= 2"""))
+SELECT b.*, b.max_e - b.min_e AS span, (SELECT max(distance) FROM samples x WHERE x.tid = b.tid) AS total, f.up AS ascent, f.down AS descent FROM b JOIN f ON f.tid = b.tid AND f.n = b.defined WHERE defined >= 2"""))
 def profile_stats(spark, d):
     return profile.profile_stats(samples(spark, d))
 
@@ -319,6 +319,19 @@ def transect_distance(spark, d):
     return profile.cumulative_distance(line).select("tid", "k", F.floor(micro(F.col("along")) / 1000).cast("long").alias("along"))
 
 
+@query(with_tables("samples", f", l AS (SELECT tid, k, CAST(k * 3 AS DOUBLE) AS px, coalesce(elevation, 0) AS py, -20 - k / 50.0 AS lat FROM samples), st AS (SELECT tid, k, coalesce(sqrt(pow(px - lag(px) OVER w, 2) + pow(py - lag(py) OVER w, 2)) * 76.5 * cos(radians((lat + lag(lat) OVER w) / 2)), 0) AS step FROM l WINDOW w AS (PARTITION BY tid ORDER BY k)) SELECT tid, k, {rounded('sum(step) OVER (PARTITION BY tid ORDER BY k)')} // 10000 AS along FROM st"))
+def transect_ground(spark, d):
+    line = samples(spark, d).select("tid", "k", (F.col("k") * 3).cast("double").alias("px"), F.coalesce("elevation", F.lit(0.0)).alias("py"), (-20 - F.col("k") / 50.0).alias("lat"))
+    return profile.ground_distance(line, 76.5).select("tid", "k", F.floor(micro(F.col("along")) / 10000).cast("long").alias("along"))
+
+
+@query(with_tables("samples", """, r AS (SELECT tid, min(distance) AS ax, max(distance) - min(distance) AS sx, min(elevation) AS ay, max(elevation) - min(elevation) AS sy FROM samples GROUP BY tid), p AS (SELECT s.tid, k, elevation IS NOT NULL AS there, lag(elevation) OVER (PARTITION BY s.tid ORDER BY k) IS NOT NULL AS goes_on,
+(distance - ax) / CASE WHEN sx > 0 THEN sx ELSE 1 END * 600 AS x, (1 - (elevation - ay + CASE WHEN sy > 0 THEN sy ELSE 1 END * 0.04) / (CASE WHEN sy > 0 THEN sy ELSE 1 END * 1.08)) * 160 AS y FROM samples s JOIN r USING (tid))
+SELECT tid, coalesce(string_agg(CASE WHEN goes_on THEN 'L' ELSE 'M' END || printf('%.1f', floor(x * 10 + 0.5) / 10) || ',' || printf('%.1f', floor(y * 10 + 0.5) / 10), ' ' ORDER BY k) FILTER (there), '') AS path FROM p GROUP BY tid"""))
+def chart_paths(spark, d):
+    return profile.chart_path(samples(spark, d).select("tid", "k", F.col("distance").alias("x"), F.col("elevation").alias("y")), 600.0, 160.0)
+
+
 @query("""WITH t AS (SELECT user_id AS key, epoch_us(ts) // 60000000 % 100000 AS t, event_id AS n FROM events), g AS (SELECT *, t - lag(t) OVER w AS gap FROM t WINDOW w AS (PARTITION BY key ORDER BY t, n)),
 r AS (SELECT *, sum(CASE WHEN gap > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY t, n) AS run FROM g),
 s AS (SELECT key, t, n, count(CASE WHEN gap <= 500 THEN gap END) OVER w AS intervals, sum(CASE WHEN gap <= 500 THEN gap END) OVER w AS total FROM r WINDOW w AS (PARTITION BY key, run ORDER BY t, n ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
@@ -455,7 +468,7 @@ def record_diff(spark, d):
     k = F.col("s_suppkey")
     old = s.where("s_suppkey % 11 <> 0").select(k.alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     new = s.where("s_suppkey % 13 <> 0").select(k.alias("key"), F.when(k % 5 == 0, F.concat("s_name", F.lit("*"))).otherwise(F.col("s_name")).alias("name"), F.when(k % 9 == 0, 0).otherwise(F.col("s_nationkey")).alias("nation"))
-    return joins.record_diff(old, new, "key", ["name", "nation"])
+    return joins.record_diff(old, new, "key")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, CASE WHEN doc_id % 6 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS verdict FROM documents")

@@ -44,6 +44,21 @@ def licence_ok(x: Column) -> Column:
     return x.rlike(LICENCES)
 
 
+def licence_required(x: Column) -> Column:
+    """The licence; one that is not allowed, or none, fails."""
+    return F.when(F.coalesce(licence_ok(x), F.lit(False)), x).otherwise(F.raise_error(F.concat(F.lit("licence not allowed: "), F.coalesce(x, F.lit("none")))).cast("string"))
+
+
+def year_required(x: Column) -> Column:
+    """The signed year of a time literal; anything else fails."""
+    return F.coalesce(literal_year(x), F.raise_error(F.concat(F.lit("not a time: "), F.coalesce(x, F.lit("none")))).cast("long"))
+
+
+def description(x: Column, key: Column, withheld: list[str]) -> Column:
+    """A record's description, unless its key is among those that are withheld."""
+    return F.when(~key.isin(withheld), x) if withheld else x
+
+
 def metres_es(x: Column) -> Column:
     """Whole metres with points between thousands; never minus zero."""
     return F.concat(F.translate(F.format_number(F.floor(x + 0.5), 0), ",", "."), F.lit(" m"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.geo import KM_PER_DEGREE, planar_km
 from gridloom.plans.shared import stored
@@ -26,11 +27,24 @@ def in_rectangles(points: DataFrame, rects: DataFrame, x: str = "i", y: str = "j
     return p.join(r, ["bx", "by"]).where(covered).drop("bx", "by")
 
 
+#: Margins up to this count as a tie, which the lower class wins.
+TIE = 0.001
+
+
 def owner(covered: DataFrame, key: list[str], x: str = "i", y: str = "j") -> DataFrame:
-    """Among covering rectangles the one with the nearest centre (ties: lower cls), and by how much it is nearer."""
+    """Among covering rectangles the one that no other's centre is nearer than, and by how much it is nearer (null: alone).
+
+    Distances that differ by TIE at most count as TIE in favour of the lower class. A point meets the pairs of the
+    rectangles that cover it, which are few.
+    """
     d = F.hypot(F.col(x) - (F.col("x0") + F.col("x1")) / 2, F.col(y) - (F.col("y0") + F.col("y1")) / 2)
-    ranked = covered.withColumn("d", d).withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("d", "cls")))
-    return ranked.groupBy(*key).agg(F.min_by("cls", F.col("n")).alias("cls"), (F.min(F.when(F.col("n") == 2, F.col("d"))) - F.min("d")).alias("margin"))
+    own = covered.select(*key, "cls", d.alias("d"))
+    all_of = own.groupBy(*key).agg(F.collect_list(F.struct("cls", "d")).alias("c"))
+    each = all_of.select(*key, "c", F.explode("c").alias("s"))
+    apart = lambda q: q["d"] - F.col("s.d")
+    margin = F.transform(F.filter("c", lambda q: q["cls"] != F.col("s.cls")), lambda q: F.when(F.abs(apart(q)) > TIE, apart(q)).otherwise(F.when(q["cls"] < F.col("s.cls"), -TIE).otherwise(TIE)))
+    judged = each.select(*key, F.col("s.cls").alias("cls"), F.array_min(margin).alias("margin")).where("margin is null or margin >= 0")
+    return judged.groupBy(*key).agg(F.min_by(F.struct("cls", "margin"), F.col("cls")).alias("o")).select(*key, "o.cls", "o.margin")
 
 
 def first_match(covered: DataFrame, key: list[str]) -> DataFrame:
@@ -115,8 +129,29 @@ def proximity_edges(points: DataFrame, tolerance: float, strict: bool = False) -
     return own.join(other, ["bx", "by"]).where((F.col("u") != F.col("v")) & (apart < tolerance if strict else apart <= tolerance)).select("u", "v")
 
 
-def record_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Rows (key, path, old, new) of fields that differ, and of records on one side only, by a full outer join."""
-    flat = lambda d, side: d.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("path"), F.col(f).cast("string").alias("value")) for f in fields])).alias("f")).select(F.col(key), F.col("f.path").alias("path"), F.col("f.value").alias(side))
-    both = flat(old, "old").join(flat(new, "new"), [key, "path"], "full")
-    return both.where(~F.col("old").eqNullSafe(F.col("new")))
+def flattened(records: DataFrame, key: str) -> DataFrame:
+    """(key, path, value): every leaf of nested records; fields by name, elements of arrays by number, maps by key."""
+
+    def leaves(kind, at: Column, path: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            parts = [leaves(f.dataType, at[f.name], F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+            return F.when(at.isNotNull(), F.concat(*parts)).otherwise(none) if parts else none
+        if isinstance(kind, T.ArrayType):
+            inner = F.transform(at, lambda x, k: leaves(kind.elementType, x, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+            return F.coalesce(F.flatten(inner), none)
+        if isinstance(kind, T.MapType):
+            inner = F.transform(F.map_entries(at), lambda e: leaves(kind.valueType, e["value"], F.concat(path, F.lit("."), e["key"].cast("string"))))
+            return F.coalesce(F.flatten(inner), none)
+        return F.array(F.struct(path.alias("path"), at.cast("string").alias("value")))
+
+    none = F.expr("cast(array() as array<struct<path:string,value:string>>)")
+    fields = [f for f in records.schema.fields if f.name != key]
+    every = F.concat(none, *[leaves(f.dataType, F.col(f.name), F.lit(f.name)) for f in fields])
+    return records.select(key, F.explode(every).alias("l")).select(key, "l.path", "l.value").where("value is not null")
+
+
+def record_diff(old: DataFrame, new: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Leaves (key, path, old, new) that differ or stand on one side only; with a ``limit``, the first of a report."""
+    both = flattened(old, key).withColumnRenamed("value", "old").join(flattened(new, key).withColumnRenamed("value", "new"), [key, "path"], "full")
+    apart = both.where(~F.col("old").eqNullSafe(F.col("new")))
+    return apart if limit is None else apart.orderBy(key, "path").limit(limit)

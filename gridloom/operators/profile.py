@@ -22,7 +22,7 @@ def profile_stats(samples: DataFrame) -> DataFrame:
         F.min_by("k", F.struct("elevation", "k")).alias("min_k"),
         F.max_by("k", F.struct(F.col("elevation"), -F.col("k"))).alias("max_k"),
         F.sort_array(F.collect_list(F.struct("k", "elevation"))).alias("line"),
-    )
+    ).join(samples.groupBy("tid").agg(F.max("distance").alias("total")), "tid")
     zero = F.struct(F.get("line", F.lit(0)).elevation.alias("anchor"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
 
     def merge(a, x):
@@ -31,7 +31,7 @@ def profile_stats(samples: DataFrame) -> DataFrame:
         return F.struct(F.when(moved, x.elevation).otherwise(a.anchor).alias("anchor"), (a.up + F.when(moved & (d > 0), d).otherwise(0.0)).alias("up"), (a.down - F.when(moved & (d < 0), d).otherwise(0.0)).alias("down"))
 
     folded = base.withColumn("f", F.aggregate("line", zero, merge))
-    return folded.where("defined >= 2").select("tid", "defined", "min_e", "max_e", "min_k", "max_k", F.col("f.up").alias("ascent"), F.col("f.down").alias("descent"))
+    return folded.where("defined >= 2").select("tid", "defined", "min_e", "max_e", "min_k", "max_k", (F.col("max_e") - F.col("min_e")).alias("span"), "total", F.col("f.up").alias("ascent"), F.col("f.down").alias("descent"))
 
 
 def cumulative_distance(samples: DataFrame) -> DataFrame:
@@ -41,6 +41,29 @@ def cumulative_distance(samples: DataFrame) -> DataFrame:
     return samples.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("along", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def ground_distance(samples: DataFrame, metres_per_pixel: float) -> DataFrame:
+    """Distance on the ground along a path (tid, k, px, py, lat): pixels shrink with the cosine of the latitude between."""
+    w = Window.partitionBy("tid").orderBy("k")
+    before = lambda c: F.lag(c).over(w)
+    middle = F.radians((F.col("lat") + before("lat")) / 2)
+    step = F.hypot(F.col("px") - before("px"), F.col("py") - before("py")) * metres_per_pixel * F.cos(middle)
+    return samples.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("along", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def chart_path(points: DataFrame, width: float, height: float, pad: float = 0.04) -> DataFrame:
+    """(tid, path): an SVG path of a chart (tid, k, x, y); a null y ends a run. Places are rounded to a tenth of a pixel.
+
+    The chart spans the values, and ``pad`` of their range beyond them. One chart's points make one string.
+    """
+    lines = points.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("p"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("a", F.min), ("b", F.max))])
+    span = lambda c: F.when(F.col(f"b{c}") > F.col(f"a{c}"), F.col(f"b{c}") - F.col(f"a{c}")).otherwise(1.0)
+    tenth = lambda v: F.format_string("%.1f", F.floor(v * 10 + 0.5) / 10)
+    at = lambda p: F.concat(tenth((p["x"] - F.col("ax")) / span("x") * width), F.lit(","), tenth((1 - (p["y"] - F.col("ay") + span("y") * pad) / (span("y") * (1 + 2 * pad))) * height))
+    known = F.transform("p", lambda p, k: F.struct(p["y"].isNotNull().alias("there"), F.coalesce(F.get("p", k - 1)["y"].isNotNull() & (k > 0), F.lit(False)).alias("goes_on"), at(p).alias("at")))
+    parts = F.transform(F.filter(known, lambda q: q["there"]), lambda q: F.concat(F.when(q["goes_on"], "L").otherwise("M"), q["at"]))
+    return lines.select("tid", F.array_join(parts, " ").alias("path"))
+
+
 def frame_stats(ticks: DataFrame) -> DataFrame:
     """Frame rate over the last FRAMES intervals of (key, t in ms, n for ties); a long gap starts a new run."""
     w = Window.partitionBy("key").orderBy("t", "n")

@@ -1,7 +1,7 @@
 """Per-step state: particles on a flow field, resident sets, and a stream that keeps them.
 
 A particle step is one keyed join of particles with the field; the resident set is a top-k with a stable
-tie-break. The streaming variant keeps each user's newest events in keyed state, with a watermark.
+tie-break. The streaming variant keeps the same set in keyed state, with a watermark.
 """
 
 from __future__ import annotations
@@ -45,16 +45,24 @@ def evictions(resident: DataFrame, wanted: DataFrame, key: str, excess: int) ->
     return free.withColumn("n", F.row_number().over(w)).where(F.col("n") <= excess).select(key, "item", F.col("n").cast("long").alias("n"))
 
 
-def resident_stream(events: DataFrame, limit: int = 3) -> DataFrame:
-    """Stream of (user_id, ts, event_id) -> after each batch a user's newest ``limit`` events, from bounded state."""
+def resident_stream(events: DataFrame, limit: int = 3, idle_days: int = 1) -> DataFrame:
+    """Stream of (key, ts, item, d) -> after each batch a key's resident set, the nearest ``limit`` items, ties by item.
+
+    State holds that set alone, since what is farther can never come back into it; it goes when a key has had no event
+    for ``idle_days`` of event time. Events later than that are left out.
+    """
 
     def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(zip(*state.get)) if state.exists else []
         for pdf in batches:
-            kept += list(zip(pdf["ts"].map(lambda t: int(t.value // 1000)), pdf["event_id"].map(int)))
-        kept = sorted(set(kept), reverse=True)[:limit]
-        state.update(([t for t, _ in kept], [e for _, e in kept]))
-        yield pd.DataFrame({"user_id": [key[0]], "newest": [[e for _, e in kept]]})
-
-    watched = events.withWatermark("ts", "1 day").groupBy("user_id")
-    return watched.applyInPandasWithState(update, "user_id long, newest array<long>", "t array<long>, e array<long>", "update", "NoTimeout")
+            kept += list(zip(pdf["d"].map(float), pdf["item"].map(int)))
+        kept = sorted(set(kept))[:limit]
+        state.update(([d for d, _ in kept], [i for _, i in kept]))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_days * 86_400_000)
+        yield pd.DataFrame({"key": [key[0]], "items": [[i for _, i in kept]]})
+
+    watched = events.withWatermark("ts", f"{idle_days} days").groupBy("key")
+    return watched.applyInPandasWithState(update, "key long, items array<long>", "d array<double>, i array<long>", "update", "EventTimeTimeout")

@@ -215,18 +215,34 @@ def test_text(spark):
 
 
 def test_stream_keeps_what_batch_finds(spark, tmp_path):
-    e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("item"), F.col("value").alias("d"))
     e.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = state.resident_stream(stream).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = state.resident_stream(stream, idle_days=4000).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+    last = {}
+    q = query.foreachBatch(lambda df, n: last.update({r.key: set(r["items"]) for r in df.collect()})).start()
     q.processAllAvailable()
     q.stop()
-    got = {}
-    for r in spark.sql("select * from newest").collect():
-        best = got.get(r.user_id, [])
-        got[r.user_id] = max(best, r.newest, key=lambda x: (len(x), x)) if not best else (r.newest if set(r.newest) != set(best) else best)
-    users = {r.user_id for r in e.select("user_id").distinct().collect()}
-    assert set(got) == users and all(1 <= len(v) <= 3 for v in got.values())
+    want = {}
+    for r in state.resident_set(e, "key", 3).collect():
+        want.setdefault(r.key, set()).add(r.item)
+    assert last == want
+
+
+def test_rules_that_fail(spark):
+    for c, message in ((text.licence_required(F.lit("CC BY-NC 4.0")), "licence not allowed"), (text.year_required(F.lit("1987")), "not a time"), (text.element_id(F.lit("area/5")), "bad element"), (text.display_name(F.lit(None), F.lit(None), F.lit("Q5")), "Q5 has no name")):
+        with pytest.raises(Exception, match=message):
+            spark.range(1).select(c).collect()
+    assert one(spark, text.licence_required(F.lit("CC0")), text.year_required(F.lit("-0044-03-15T00:00:00Z")), text.description(F.lit("d"), F.lit("Q1"), ["Q1"]), text.description(F.lit("d"), F.lit("Q2"), ["Q1"])) == ("CC0", -44, None, "d")
+
+
+def test_nested_records_differ_by_path(spark):
+    schema = "key long, a struct<b:array<struct<c:int>>,m:map<string,int>>, t string"
+    old = spark.createDataFrame([(1, ([(1,), (2,)], {"x": 1}), "same"), (2, None, "gone")], schema)
+    new = spark.createDataFrame([(1, ([(1,), (3,), (4,)], {"x": 1, "y": 2}), "same")], schema)
+    got = {(r.key, r.path, r.old, r.new) for r in joins.record_diff(old, new, "key").collect()}
+    assert got == {(1, "a.b[1].c", "2", "3"), (1, "a.b[2].c", None, "4"), (1, "a.m.y", None, "2"), (2, "t", "gone", None)}
+    assert joins.record_diff(old, new, "key", 2).count() == 2
 
 
 def value(x):
