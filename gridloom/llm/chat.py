@@ -81,10 +81,19 @@ class Segments:
 def _render(trained: str):
     def run(batches):
         out, key, role, text, open_ = Segments(trained), None, "", "", False
+        conversation, cut, begun = None, None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                for conv, turn, kind, r, t in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                for conv, turn, kind, r, t, seq in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
                     kind, r, t = kind or "message", r or "", t or ""
+                    if cut is not None and conv != conversation:
+                        cut = None
+                    conversation = conv
+                    # What followed a turn goes when that turn is generated anew, unless it came after that.
+                    if cut is not None and turn != begun and (seq is None or seq < cut):
+                        continue
+                    if kind == "regenerate" and seq is not None and (cut is None or seq > cut):
+                        cut, begun = seq, turn
                     if not open_ or (conv, turn) != key or kind == "message":
                         if open_:
                             out.turn(key[0], role, text)
@@ -104,8 +113,9 @@ def chat_format(events: DataFrame, trained_role: str = "assistant") -> DataFrame
     """Format the conversations of ``events`` (conv_id, turn, role, text; optionally kind and seq).
 
     An event's kind is ``message`` (begins a turn; also when null or without that column), ``delta`` (appends
-    to the turn's text), ``edit`` or ``regenerate`` (replaces it). Events of a turn are folded in the order of
-    seq; without it, or on ties, in the order of kind, role, text, nulls first.
+    to the turn's text), ``edit`` (replaces it) or ``regenerate`` (replaces it, and takes away the events of later
+    turns whose seq is lower or null: they answered what is gone). Events of a turn are folded in the order of seq;
+    without it, or on ties, in the order of kind, role, text, nulls first.
 
     Returns rows (conv_id, segment, formatted, loss), a conversation's segments in order: whole turns of about
     SEGMENT_CHARS characters together, and the places (code points of the segment) of the trained role's
@@ -120,7 +130,7 @@ def chat_format(events: DataFrame, trained_role: str = "assistant") -> DataFrame
     e = pick(events, *names)
     e = e.select("conv_id", "turn", (F.col("kind") if "kind" in have else F.lit("message")).alias("kind"), "role", "text", (F.col("seq") if "seq" in have else F.lit(0)).cast("long").alias("seq"))
     ordered = e.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
-    return ordered.select("conv_id", "turn", "kind", "role", "text").mapInArrow(_render(trained_role), FORMATTED)
+    return ordered.select("conv_id", "turn", "kind", "role", "text", "seq").mapInArrow(_render(trained_role), FORMATTED)
 
 
 class Reader:

@@ -594,6 +594,10 @@ def test_chat_events_fold(spark):
         (1, 1, 3, "delta", None, "c<"),
         (1, 1, 4, "delta", None, "|d"),
         (1, 0, 5, "edit", None, "edited"),
+        (1, 2, 1, "message", "user", "to the answer that is gone"),
+        (1, 3, 1, "message", "assistant", "likewise"),
+        (1, 3, None, "delta", None, "!"),
+        (1, 3, 6, "message", "user", "to the new one"),
         (None, None, None, None, None, None),
         (2, 0, 0, "delta", "assistant", "x"),
         (2, 0, 0, "message", "user", "tie"),
@@ -601,7 +605,7 @@ def test_chat_events_fold(spark):
     events = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
     out = {(r.conv_id, r.segment): r for r in chat.chat_format(events).collect()}
     turns = {k: [(chat.unescape(m[1]), chat.unescape(m[2])) for m in chat.PARSE.finditer(r.formatted)] for k, r in out.items()}
-    assert turns == {(1, 0): [("user", "edited"), ("assistant", "c<|d")], (None, 0): [("", "")], (2, 0): [("assistant", "x"), ("user", "tie")]}
+    assert turns == {(1, 0): [("user", "edited"), ("assistant", "c<|d"), ("user", "to the new one")], (None, 0): [("", "")], (2, 0): [("assistant", "x"), ("user", "tie")]}
     r = out[1, 0]
     assert [chat.unescape(r.formatted[s.begin : s.end]) for s in r.loss] == ["c<|d"]
     bad = spark.createDataFrame([(1, 0, 0, "what", "user", "x")], events.schema)
