@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import text
 from gridloom.operators import raster, validate, vectors
 from gridloom.plans.shared import shared_root
-from gridloom.registry import query
+from gridloom.registry import ORACLE_SQL, query
 from gridloom.sources import files
-from gridloom.sources.tables import grid, table, with_tables
+from gridloom.sources.tables import SQL, grid, table, with_tables
 
 #: Rows of the grid in one file.
 STRIP = 50
@@ -85,6 +85,22 @@ def tile_mosaic(spark, d):
     return files.mosaic(files.verified(files.binary(spark, at), manifest), 12, (7, 9), (9, 10), 16)
 
 
+@query(f"""WITH s AS ({ORACLE_SQL['hillshade']}), b AS ({ORACLE_SQL['class_borders']}), {SQL['grid']} SELECT grid.i, grid.j, CASE WHEN b.i IS NULL THEN CAST(floor((shade + h % 256) / 2.0 + 0.5) AS BIGINT) ELSE 255 END AS r, CASE WHEN b.i IS NULL THEN CAST(floor((shade + h // 8 % 256) / 2.0 + 0.5) AS BIGINT) ELSE 0 END AS g FROM grid JOIN s USING (i, j) LEFT JOIN b USING (i, j)""")
+def debug_images(spark, d):
+    """Relief shading half over an image, with the borders of classes in red, written for looking at and read again."""
+    cells = strips(spark, d).withColumn("row", F.regexp_extract("name", r"(\d+)", 1).cast("long") * STRIP + F.col("j"))
+    g = grid(spark, d)
+    shade = raster.hillshade(g, 300.0).withColumnRenamed("j", "row")
+    borders = raster.borders(g.select("i", "j", F.when(F.col("h") >= 1000, 1).otherwise(0).alias("v"))).select("i", F.col("j").alias("row"), F.lit(True).alias("border"))
+    half = lambda c: F.floor((F.col("shade") + c) / 2 + 0.5)
+    px = cells.join(shade, ["i", "row"]).join(borders, ["i", "row"], "left")
+    plain = F.col("border").isNull()
+    px = px.select(F.concat(F.lit("debug-"), "name", F.lit(".png")).alias("name"), "i", "j", F.when(plain, half(F.pmod("h", F.lit(256)))).otherwise(255).alias("r"), F.when(plain, half(F.pmod(F.floor(F.col("h") / 8), F.lit(256)))).otherwise(0).alias("g"), F.lit(0).alias("b"))
+    at = folder(spark)
+    files.written(files.images(px), at)
+    return placed(files.image_pixels(files.binary(spark, at))).select("i", "j", "r", "g")
+
+
 @query(with_tables("zones", " SELECT name, CAST(x0 AS DOUBLE) AS west, CAST(y0 AS DOUBLE) AS south, CAST(x1 AS DOUBLE) AS east, CAST(y1 AS DOUBLE) AS north FROM zones WHERE cls % 6 <> 0 AND cls % 7 <> 0"))
 def geojson_scan(spark, d):
     from gridloom.catalog_view import features

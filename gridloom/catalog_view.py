@@ -12,7 +12,7 @@ from gridloom.functions.geo import GridSpec, micro
 from gridloom.operators import hydro, raster, vectors, view
 from gridloom.registry import query, rounded
 from gridloom.sources.tables import grid, height, table, with_tables, zones
-from gridloom.streaming import reducers
+from gridloom.streaming import reducers, state
 
 SUN = (math.cos(math.radians(20)) * 0.6, math.sin(math.radians(20)), -math.cos(math.radians(20)) * 0.8)
 
@@ -176,6 +176,17 @@ def shadow_map(spark, d):
     return lit.select("i", "j", *whole(("lit", F.col("lit")), digits=2))
 
 
+HASH = "(SELECT xor(w >> 22, w) FROM (SELECT CAST(CAST(xor(h >> CAST((h >> 28) + 4 AS BIGINT), h) AS HUGEINT) * 277803737 % 4294967296 AS BIGINT) AS w FROM (SELECT CAST((CAST({x} AS HUGEINT) * 747796405 + 2891336453) % 4294967296 AS BIGINT) AS h)))"
+
+
+@query(with_tables("grid", f", s AS (SELECT row_number() OVER (ORDER BY j, i) - 1 AS idx, i, j FROM grid WHERE h >= 1300), c AS (SELECT count(*) AS n FROM s), a AS (SELECT c_custkey AS id, {HASH.format(x='c_custkey')} AS p, {HASH.format(x='7')} AS q FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT id, xor(p, q) AS x FROM a), d AS (SELECT id, {HASH.format(x='b.x')} % n AS idx FROM b, c) SELECT id, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, 0::DOUBLE AS age FROM d JOIN s USING (idx) UNION ALL SELECT c_custkey, 1.5::DOUBLE, 2.5::DOUBLE, 3::DOUBLE FROM customer WHERE c_custkey % 3 <> 0"))
+def particle_respawn(spark, d):
+    spawn = raster.numbered(grid(spark, d).where("h >= 1300"))
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.alias("id"), F.lit(1.5).alias("x"), F.lit(2.5).alias("y"), F.lit(3.0).alias("age"), (k % 3 == 0).alias("dead"))
+    return state.respawned(p, spawn, spawn.count(), 7).drop("dead")
+
+
 # State
 
 

@@ -78,6 +78,18 @@ def reconstruction_error(cells: DataFrame, width: int, height: int, factor: int
     return e.agg(F.max("e").alias("max_e"), F.avg("e").alias("mean_e"), F.lit(p99).cast("double").alias("p99_e"), F.avg((F.col("e") > limit).cast("double")).alias("share"))
 
 
+def numbered(cells: DataFrame) -> DataFrame:
+    """Cells with ``idx`` from 0 in row-major order: places in a row, after the cells of all rows before it.
+
+    Only the rows' counts meet in one task.
+    """
+    counts = cells.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("j", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("j").orderBy("i")) - 1
+    return cells.withColumn("place", place).join(bases, "j").withColumn("idx", F.col("base") + F.col("place")).drop("place", "base")
+
+
 def hillshade(cells: DataFrame, cell_size: float, azimuth: float = 315.0, altitude: float = 45.0, value: str = "h") -> DataFrame:
     """Horn's 3 x 3 shading, 0 to 255; neighbours beyond the edge are the edge's own."""
     row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import pcg
 from gridloom.operators.hydro import STEPS
 
 SPEED, GAIN, LIFE, FADE = 2.0, 0.1, 90.0, 4.0
@@ -32,6 +33,17 @@ def particle_step(particles: DataFrame, field: DataFrame, width: int, height: in
     return moved.select("id", "x", "y", age.alias("age"), (off | (age >= LIFE)).alias("dead"))
 
 
+def respawned(particles: DataFrame, spawn: DataFrame, n: int, frame: int) -> DataFrame:
+    """Particles (id, x, y, age, dead) whose dead ones begin anew on a cell of ``spawn`` (idx from 0 to n - 1, i, j).
+
+    The cell follows from a hash of the particle's number and the frame's, so a step can be run again.
+    """
+    draw = pcg(pcg(F.col("id")).bitwiseXOR(pcg(F.lit(frame).cast("long"))))
+    dead = particles.where("dead").withColumn("idx", F.pmod(draw, F.lit(n))).join(spawn.select("idx", "i", "j"), "idx")
+    begun = dead.select("id", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.lit(0.0).alias("age"), F.lit(False).alias("dead"))
+    return particles.where(~F.col("dead")).select("id", "x", "y", "age", "dead").unionByName(begun)
+
+
 def resident_set(wanted: DataFrame, key: str, limit: int) -> DataFrame:
     """The nearest ``limit`` of each key's (item, d), ties by item."""
     w = Window.partitionBy(key).orderBy("d", "item")
