@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.plans.iterate import components
-from gridloom.plans.shared import release, remove, shared_root, skew_safe_join, stored
+from gridloom.plans.shared import shared_root, skew_safe_join, stored
 
-__all__ = ["components", "release", "remove", "shared_root", "skew_safe_join", "stored"]
+__all__ = ["components", "shared_root", "skew_safe_join", "stored"]
 
 #: A side of a join is broadcast only when a count has shown it to be under this many bytes.
 BROADCAST_BYTES = 32 << 20
