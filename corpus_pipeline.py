@@ -13,12 +13,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, remove, shared_root
 from gridloom.llm.decontaminate import drop_leaks
 from gridloom.llm.line_dedup import line_dedup
 from gridloom.llm.ngram_join import drop_near_copies
 from gridloom.llm.packing import pack
 from gridloom.llm.toxicity import drop_toxic, train
+from gridloom.plans.shared import remove, scratch, shared_root
 
 #: Near-duplicates: five-word shingles with a similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
@@ -30,9 +30,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is judged like one of unknown words. Repeated rows share one fate. An empty table gives an
     empty one; without labels nothing goes. Columns with clashing names pass through.
     """
-    release(docs)
-    models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held=0)
-    return drop_toxic(docs, models)
+    with scratch(docs):
+        models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held=0)
+        return drop_toxic(docs, models)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A null text stays null, and its n_chars too; a null source is a source of its own. Repeated rows count as pages
     of their own and stay. An empty table gives an empty one.
     """
-    release(docs)
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    with scratch(docs):
+        return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Wordless documents, null and empty texts among them, are nobody's duplicates and all stay. Of a group without
     ids one stays. An empty table gives an empty one. Columns with clashing names pass through.
     """
-    release(docs)
-    return drop_near_copies(docs, SHINGLE_WORDS, SIMILARITY)
+    with scratch(docs):
+        return drop_near_copies(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none; null and blank items are held by none. Repeated rows share one fate. An empty
     table gives an empty one, an empty benchmark all rows. Columns with clashing names pass through.
     """
-    release(docs)
-    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with scratch(docs):
+        return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +73,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    release(docs)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with scratch(docs):
+        return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_deduplication), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]

@@ -8,6 +8,7 @@ executor costs the tasks it ran and nothing else.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1000
 
 _roots: dict[str, str] = {}
-_tables: dict[str, list[str]] = {}
+_scratch: dict[str, list[str]] = {}
+_inside: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,7 +37,6 @@ def shared_root(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="gridloom-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
             context.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-        _tables[app] = []
         atexit.register(remove, spark, _roots[app])
     return _roots[app]
 
@@ -54,25 +55,34 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from the files."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
-    _tables[spark.sparkContext.applicationId].append(path)
+    if spark.sparkContext.applicationId in _inside:
+        _scratch[spark.sparkContext.applicationId].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(docs: DataFrame) -> None:
-    """Remove the tables stored so far, and shuffles that nothing refers to; ``docs`` must have been written since.
+@contextlib.contextmanager
+def scratch(docs: DataFrame):
+    """Tables stored inside go when the next such block begins, and shuffles that nothing refers to with them.
 
-    If ``docs`` still reads such a table, all of them stay.
+    What a block returns must be written before the next one begins. If ``docs`` still reads such a table, all of them
+    stay. Tables stored outside of such blocks stay until the driver ends.
     """
     spark = docs.sparkSession
     shared_root(spark)
-    names = {path.rsplit("/", 1)[1] for path in _tables[spark.sparkContext.applicationId]}
-    if names and any(part in names for f in docs.inputFiles() for part in f.split("/")[-2:]):
-        return
-    old, _tables[spark.sparkContext.applicationId] = _tables[spark.sparkContext.applicationId], []
-    for path in old:
-        remove(spark, path)
-    spark.sparkContext._jvm.System.gc()
+    app = spark.sparkContext.applicationId
+    held = _scratch.setdefault(app, [])
+    names = {path.rsplit("/", 1)[1] for path in held}
+    if names and not any(part in names for f in docs.inputFiles() for part in f.split("/")[-2:]):
+        for path in held:
+            remove(spark, path)
+        held.clear()
+        spark.sparkContext._jvm.System.gc()
+    _inside.add(app)
+    try:
+        yield
+    finally:
+        _inside.discard(app)
 
 
 def skew_safe_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
