@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column_of, numbered, pick, stored
+from gridloom.llm.common import column_of, give_back, numbered, pick, stored
 from gridloom.llm.words import LOWER, slices
 
 #: The longest q-grams.
@@ -197,6 +197,7 @@ def _without(items: Items, text: str):
             for part in slices(batch, text):
                 found = search(items, part)
                 yield part.batch.filter(pa.array([r not in found for r in range(part.rows)], pa.bool_()))
+        give_back()
 
     return run
 

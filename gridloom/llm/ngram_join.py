@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column_of, components, maybe_broadcast, numbered, pick, skew_safe_join, stored
+from gridloom.llm.common import column_of, components, give_back, maybe_broadcast, numbered, pick, skew_safe_join, stored
 from gridloom.llm.words import SPACED, join_hash, mix, slices
 
 #: Bands widen by this factor: wider bands make more signatures a set, narrower ones more sets of two bands.
@@ -226,6 +226,7 @@ def _digest(n: int, bands: Bands):
                 number += part.rows
                 columns = [pa.array(count.astype(np.int64)), *hashes, nodes, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.batch.column(0), *part.batch.columns[2:], *columns], names=["doc_id", *part.batch.schema.names[2:], "n_shingles", "set_a", "set_b", "node", "signatures", "sketch"])
+        give_back()
 
     return run
 

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick, stored, worker_cache
+from gridloom.llm.common import give_back, pick, stored, worker_cache
 
 CLASSES = 64
 DEPTH = 4
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 # Characters for which the vocabulary's normaliser is str.lower() plus white space, and for which letters,
 # digits and the rest are told apart by the plain pattern below. Other texts go through the tokenizer itself.
@@ -105,6 +105,7 @@ def _tokenise(path: str, end_id: int, window: int):
                     names=["doc_id", "task", "pos", "n", "whole_before", "kind", "rank", "ids"],
                 )
                 pos += m
+        give_back()
 
     return run
 

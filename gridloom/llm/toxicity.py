@@ -30,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BROADCAST_BYTES, column_of, maybe_broadcast, numbered, pick, stored, text_of
+from gridloom.llm.common import BROADCAST_BYTES, column_of, give_back, maybe_broadcast, numbered, pick, stored, text_of
 from gridloom.llm.words import ALNUM, join_hash, mix, slices
 
 #: Words whose counts go to every task (ROW_BYTES each); those of rarer words are joined in.
 ROW_BYTES = 20
 HOT_WORDS = BROADCAST_BYTES // ROW_BYTES
 #: Words that a task holds before it sends their sums.
-FLUSH_WORDS = 3 << 19
+FLUSH_WORDS = 5 << 18
 #: The most frequent words of about SPREAD_TEXTS texts have their pairs dealt to all buckets. This chooses where pairs
 #: are counted, not what: any choice gives the same counts.
 SPREAD_WORDS, SPREAD_TEXTS = 256, 2_000
@@ -99,9 +99,10 @@ def _packed(held: list, buckets: int, spread: np.ndarray):
     """
     word, context = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    key = np.where(np.isin(word, spread), mix(word ^ (context >> np.uint64(MARKS))), word) if len(spread) else word
-    bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-    del key
+    bucket = _bucket(word, buckets)
+    if len(spread):
+        frequent = np.flatnonzero(spread[np.minimum(np.searchsorted(spread, word), len(spread) - 1)] == word)
+        bucket[frequent] = _bucket(mix(word[frequent] ^ (context[frequent] >> np.uint64(MARKS))), buckets)
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows, size = [], 0
@@ -120,6 +121,13 @@ def _packed(held: list, buckets: int, spread: np.ndarray):
         yield _messages(rows)
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    out = key >> np.uint64(32)
+    out *= np.uint64(buckets)
+    out >>= np.uint64(32)
+    return out.astype(np.int32)
+
+
 def _messages(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "words", "pairs", "contexts"])
 
@@ -148,6 +156,7 @@ def _count(buckets: int, spread: np.ndarray, flush: int):
                     size = 0
         if size:
             yield from _packed(held, buckets, spread)
+        give_back()
 
     return run
 
@@ -357,8 +366,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXTS))
     few = base.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(-(-max(total, 1) // SPREAD_TEXTS))) == 0).select("text")
     often = few.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SPREAD_WORDS).select("word")
-    spread = np.array([r[0] for r in often.collect()], np.int64)
-    parts = joined.select("text", "mark").mapInArrow(_count(buckets, spread.view(np.uint64), FLUSH_WORDS), PACKED)
+    spread = np.array([r[0] for r in often.collect()], np.int64)  # SPREAD_WORDS rows
+    parts = joined.select("text", "mark").mapInArrow(_count(buckets, np.sort(spread.view(np.uint64)), FLUSH_WORDS), PACKED)
     counted = stored(parts.groupBy("bucket").applyInArrow(_merge, VOCABULARY))
     dealt = F.col("word").isin([int(w) for w in spread])
     sums = counted.where(dealt).groupBy("word").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]])
@@ -399,6 +408,7 @@ def _keep(models, threshold: float, text: str, names: list):
         for batch in batches:
             for part in slices(batch, text):
                 yield part.batch.select(names).filter(pa.array(scores(models.value, part) < threshold))
+        give_back()
 
     return run
 
