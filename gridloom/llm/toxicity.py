@@ -42,7 +42,7 @@ FLUSH_WORDS = 5 << 18
 #: are counted, not what: any choice gives the same counts.
 SPREAD_WORDS, SPREAD_TEXTS = 256, 2_000
 #: Texts whose pairs one bucket holds, on average, at most.
-BUCKET_TEXTS = 1 << 15
+BUCKET_TEXTS = 1 << 11
 #: Bytes of a context: its hash, and below it MARKS bits that say which texts have the pair: ordinary and toxic
 #: ones of the larger part, ordinary and toxic ones of the part that the curve is fitted on.
 CONTEXT_BYTES, MARKS = 6, 4
@@ -171,7 +171,10 @@ def _merge(table: pa.Table) -> pa.Table:
     word, context, starts = _pairs(np.repeat(words, n), context.view("<u8").ravel())
     known = word[starts]
     held = {n: np.add.reduceat((context & np.uint64(m) != 0).astype(np.int64), starts) for n, m in (("a0", 1), ("a1", 2), ("c0", 5), ("c1", 10))}
-    return pa.table({"word": known.view(np.int64), "before": np.diff(np.append(starts, len(word)))} | held)
+    out = pa.table({"word": known.view(np.int64), "before": np.diff(np.append(starts, len(word)))} | held)
+    del words, n, tails, word, context, starts, held
+    give_back()
+    return out
 
 
 class Table:
@@ -316,6 +319,7 @@ def _fit_rows(models):
                 label = part.batch.column(1).to_numpy(zero_copy_only=False)
                 f = models.value.features(part)
                 yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), *[pa.array(f[:, k]) for k in range(N_FEATURES)]], names=["label", *[f"f{k}" for k in range(N_FEATURES)]])
+        give_back()
 
     return run
 
