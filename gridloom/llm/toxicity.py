@@ -377,19 +377,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
     sums = counted.where(dealt).groupBy("word").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]])
     vocabulary = counted.where(~dealt).unionByName(sums)
     larger = Models.of(vocabulary.select("word", "before", F.col("a0").alias("c0"), F.col("a1").alias("c1")))
-    models = Models.of(vocabulary.select("word", *COUNTS))
     scale = 1 << 20
     share = min(scale, int(scale * FIT_ROWS * CURVE_PART / max(n_known, 1)) + 1)
     chosen = joined.where(F.col("curve") & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(scale)) < share))
     shipped = spark.sparkContext.broadcast(larger)
     got = _with_tail(chosen.select("text", "label"), larger, shipped).mapInArrow(_fit_rows(shipped), "label int, " + ", ".join(f"f{k} double" for k in range(N_FEATURES))).toPandas()
+    # One set of tables at a time is held by the driver.
+    shipped.destroy()
+    del larger, shipped
+    models = Models.of(vocabulary.select("word", *COUNTS))
     y = got.pop("label").to_numpy(float)
     if 0 < y.sum() < len(y):
         models.curve = rising(got.to_numpy(), y)
     else:
         p = np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6)
         models.curve = np.array([np.log(p / (1 - p)), *[0.0] * (N_FEATURES - 1)])
-    shipped.unpersist()
     return models
 
 
