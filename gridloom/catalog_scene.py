@@ -268,14 +268,13 @@ def screen_clusters(spark, d):
     return c.select("label", "members", *whole(("x", F.col("x")), ("y", F.col("y")), ("spread", F.col("spread"))))
 
 
-@query("""WITH RECURSIVE r AS (SELECT user_id AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CAST(event_id * 37 % 500 AS BIGINT) AS x, CAST(event_id * 91 % 300 AS BIGINT) AS y FROM events), b AS (SELECT * FROM r WHERE n <= 40),
+@query("""WITH RECURSIVE r AS (SELECT user_id AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CAST(event_id * 37 % 500 AS BIGINT) AS x, CAST(event_id * 91 % 300 AS BIGINT) AS y FROM events), b AS (SELECT * FROM r),
 k AS (SELECT v, n, [{'x': x, 'y': y}] AS kept, true AS shown FROM b WHERE n = 1 UNION ALL SELECT b.v, b.n, CASE WHEN len(list_filter(kept, lambda q: b.x < q.x + 64 AND q.x < b.x + 64 AND b.y < q.y + 24 AND q.y < b.y + 24)) > 0 THEN kept ELSE list_append(kept, {'x': b.x, 'y': b.y}) END, len(list_filter(kept, lambda q: b.x < q.x + 64 AND q.x < b.x + 64 AND b.y < q.y + 24 AND q.y < b.y + 24)) = 0 FROM k JOIN b ON b.v = k.v AND b.n = k.n + 1)
 SELECT v, CAST(n AS BIGINT) AS n, shown FROM k""")
 def decluttered_labels(spark, d):
-    # A view shows forty labels: that limit is the feature, not a sample.
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, d, "events").select(F.col("user_id").alias("v"), F.row_number().over(w).cast("long").alias("n"), F.pmod(F.col("event_id") * 37, F.lit(500)).cast("double").alias("x"), F.pmod(F.col("event_id") * 91, F.lit(300)).cast("double").alias("y"))
-    return screen.declutter(e.where("n <= 40").withColumns({"width": F.lit(60.0), "height": F.lit(20.0)}), ["v"], "n", 4.0)
+    return screen.declutter(e.withColumns({"width": F.lit(60.0), "height": F.lit(20.0)}), ["v"], "n", 4.0)
 
 
 @query("""WITH o AS (SELECT s_suppkey AS id, CAST(s_suppkey AS DOUBLE) / 7 AS lon, 'CC BY 4.0' AS lic, 'https://c.org/by/4.0' AS url FROM supplier), f AS (SELECT s_suppkey AS id, CAST(s_suppkey AS DOUBLE) / 7 + CASE WHEN s_suppkey % 3 = 0 THEN 1e-3 ELSE 1e-12 END AS lon, CASE WHEN s_suppkey % 5 = 0 THEN 'cc0' ELSE 'cc  by 4.0' END AS lic, CASE WHEN s_suppkey % 10 = 0 THEN 'x' ELSE 'http://c.org/by/4.0/deed.es' END AS url FROM supplier WHERE s_suppkey % 4 <> 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from gridloom.catalog_scene import sql_whole, whole
 from gridloom.functions.geo import GridSpec, micro
 from gridloom.operators import hydro, raster, vectors, view
+from gridloom.plans.shared import shared_root
 from gridloom.registry import query, rounded
 from gridloom.sources.tables import grid, height, table, with_tables, zones
-from gridloom.streaming import reducers, state
+from gridloom.streaming import folds, reducers, state, streams
 
 SUN = (math.cos(math.radians(20)) * 0.6, math.sin(math.radians(20)), -math.cos(math.radians(20)) * 0.8)
 
@@ -195,22 +197,39 @@ def ordered(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("key"), F.row_number().over(w).cast("long").alias("n"), F.col("event_id"), F.col("value"))
 
 
+def load_event():
+    k = F.col("event_id") % 5
+    return F.when(k == 0, "camera-in-range").when(k == 1, "load-start").when(k == 2, "load-ok").when(k == 3, "load-fail").otherwise("release")
+
+
+def frames():
+    return F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 7).cast("double") / 2 + 0.25)
+
+
+def sheet_event():
+    k, s = F.col("event_id") % 4, F.col("event_id") % 3
+    return F.when(k == 0, "open-detail").when(k == 1, "close-detail").when(k == 2, "mode-snap").otherwise("detail-snap"), F.when(s == 0, "min").when(s == 1, "half").otherwise("full")
+
+
 ORDERED = "o AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id, value FROM events)"
 
 
-@query("WITH RECURSIVE " + ORDERED + """, e AS (SELECT key, n, CASE event_id % 5 WHEN 0 THEN 'in-range' WHEN 1 THEN 'start' WHEN 2 THEN 'ok' WHEN 3 THEN 'fail' ELSE 'release' END AS event FROM o), c AS (SELECT key, max(n) AS last FROM e GROUP BY key),
-f AS (SELECT key, CAST(0 AS BIGINT) AS n, 'idle' AS status FROM c UNION ALL SELECT f.key, e.n, CASE WHEN status IN ('idle', 'ready') AND event = 'in-range' THEN 'requested' WHEN status = 'requested' AND event = 'start' THEN 'loading' WHEN status = 'loading' AND event = 'ok' THEN 'ready' WHEN status = 'loading' AND event = 'fail' THEN 'failed' WHEN status IN ('requested', 'ready') AND event = 'release' THEN 'idle' ELSE status END FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+LOADED = ("WITH RECURSIVE " + ORDERED + """, e AS (SELECT key, n, CASE event_id % 5 WHEN 0 THEN 'camera-in-range' WHEN 1 THEN 'load-start' WHEN 2 THEN 'load-ok' WHEN 3 THEN 'load-fail' ELSE 'release' END AS event FROM o), c AS (SELECT key, max(n) AS last FROM e GROUP BY key),
+f AS (SELECT key, CAST(0 AS BIGINT) AS n, 'idle' AS status FROM c UNION ALL SELECT f.key, e.n, CASE WHEN status IN ('idle', 'ready') AND event = 'camera-in-range' THEN 'requested' WHEN status = 'requested' AND event = 'load-start' THEN 'loading' WHEN status = 'loading' AND event = 'load-ok' THEN 'ready' WHEN status = 'loading' AND event = 'load-fail' THEN 'failed' WHEN status IN ('requested', 'ready') AND event = 'release' THEN 'idle' ELSE status END FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
 SELECT f.key, status FROM f JOIN c ON c.key = f.key AND f.n = c.last""")
+
+
+@query(LOADED)
 def loading_status(spark, d):
-    k = F.col("event_id") % 5
-    event = F.when(k == 0, "in-range").when(k == 1, "start").when(k == 2, "ok").when(k == 3, "fail").otherwise("release")
-    return reducers.loading_status(ordered(spark, d).select("key", "n", event.alias("event")))
+    return reducers.loading_status(ordered(spark, d).select("key", "n", load_event().alias("event")))
+
 
+PENDING = ("WITH RECURSIVE " + ORDERED + ", e AS (SELECT key, n, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 7 AS DOUBLE) / 2 + 0.25 END AS frames FROM o), c AS (SELECT key, max(n) AS last FROM e GROUP BY key), f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS p FROM c UNION ALL SELECT f.key, e.n, CAST(CASE WHEN frames IS NULL THEN greatest(p - 1, 0) WHEN frames >= 1 THEN greatest(p, floor(frames)) ELSE p END AS BIGINT) FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1) SELECT f.key, p AS pending FROM f JOIN c ON c.key = f.key AND f.n = c.last")
 
-@query("WITH RECURSIVE " + ORDERED + ", e AS (SELECT key, n, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 7 AS DOUBLE) / 2 + 0.25 END AS frames FROM o), c AS (SELECT key, max(n) AS last FROM e GROUP BY key), f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS p FROM c UNION ALL SELECT f.key, e.n, CAST(CASE WHEN frames IS NULL THEN greatest(p - 1, 0) WHEN frames >= 1 THEN greatest(p, floor(frames)) ELSE p END AS BIGINT) FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1) SELECT f.key, p AS pending FROM f JOIN c ON c.key = f.key AND f.n = c.last")
+
+@query(PENDING)
 def pending_frames(spark, d):
-    frames = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 7).cast("double") / 2 + 0.25)
-    return reducers.pending_frames(ordered(spark, d).select("key", "n", frames.alias("frames")))
+    return reducers.pending_frames(ordered(spark, d).select("key", "n", frames().alias("frames")))
 
 
 @query("WITH RECURSIVE " + ORDERED + f", e AS (SELECT key, n, CAST(n * 50 + event_id % 400 * (n % 2) AS DOUBLE) AS t FROM o), c AS (SELECT key, max(n) AS last, any_value(t ORDER BY n) AS t0 FROM e WHERE true GROUP BY key), z AS (SELECT key, t AS t0 FROM e WHERE n = 1), f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(400 AS DOUBLE) AS m, t0 AS t FROM z UNION ALL SELECT f.key, e.n, CASE WHEN m + 3 * (least(120.0, e.t - f.t) / 1000) * 60 > 1100 THEN 390 + (m + 3 * (least(120.0, e.t - f.t) / 1000) * 60 - 1100) ELSE m + 3 * (least(120.0, e.t - f.t) / 1000) * 60 END, e.t FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1) SELECT f.key, {sql_whole(('minutes', 'm'))} FROM f JOIN c ON c.key = f.key AND f.n = c.last")
@@ -220,20 +239,46 @@ def playback_clock(spark, d):
     return reducers.playback(ticks, F.lit(400.0), F.lit(390.0), F.lit(1100.0), F.lit(3.0)).select("key", *whole(("minutes", F.col("minutes"))))
 
 
-@query("WITH RECURSIVE " + ORDERED + """, e AS (SELECT key, n, CASE event_id % 4 WHEN 0 THEN 'open-detail' WHEN 1 THEN 'close-detail' WHEN 2 THEN 'mode-snap' ELSE 'detail-snap' END AS event, CASE event_id % 3 WHEN 0 THEN 'min' WHEN 1 THEN 'half' ELSE 'full' END AS snap FROM o), c AS (SELECT key, max(n) AS last FROM e GROUP BY key),
+STACKED = ("WITH RECURSIVE " + ORDERED + """, e AS (SELECT key, n, CASE event_id % 4 WHEN 0 THEN 'open-detail' WHEN 1 THEN 'close-detail' WHEN 2 THEN 'mode-snap' ELSE 'detail-snap' END AS event, CASE event_id % 3 WHEN 0 THEN 'min' WHEN 1 THEN 'half' ELSE 'full' END AS snap FROM o), c AS (SELECT key, max(n) AS last FROM e GROUP BY key),
 f AS (SELECT key, CAST(0 AS BIGINT) AS n, 'min' AS mode, false AS open, 'min' AS detail, 'half' AS resume FROM c UNION ALL SELECT f.key, e.n,
 CASE event WHEN 'open-detail' THEN 'min' WHEN 'close-detail' THEN CASE WHEN open THEN resume ELSE mode END WHEN 'mode-snap' THEN CASE WHEN open AND snap = 'min' THEN 'min' ELSE snap END ELSE CASE WHEN NOT open THEN mode WHEN snap = 'min' THEN resume ELSE 'min' END END,
 CASE event WHEN 'open-detail' THEN true WHEN 'close-detail' THEN false ELSE open END,
 CASE event WHEN 'open-detail' THEN CASE WHEN open AND detail <> 'min' THEN detail ELSE 'half' END WHEN 'close-detail' THEN CASE WHEN open THEN 'min' ELSE detail END WHEN 'mode-snap' THEN CASE WHEN open AND snap <> 'min' THEN 'min' ELSE detail END ELSE CASE WHEN open THEN snap ELSE detail END END,
 CASE event WHEN 'open-detail' THEN CASE WHEN open THEN resume ELSE mode END WHEN 'mode-snap' THEN CASE WHEN open AND snap <> 'min' THEN snap ELSE resume END ELSE resume END FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
 SELECT f.key, mode, open, detail, resume FROM f JOIN c ON c.key = f.key AND f.n = c.last""")
+
+
+@query(STACKED)
 def sheet_stack(spark, d):
-    k, s = F.col("event_id") % 4, F.col("event_id") % 3
-    event = F.when(k == 0, "open-detail").when(k == 1, "close-detail").when(k == 2, "mode-snap").otherwise("detail-snap")
-    snap = F.when(s == 0, "min").when(s == 1, "half").otherwise("full")
+    event, snap = sheet_event()
     return reducers.sheets(ordered(spark, d).select("key", "n", event.alias("event"), snap.alias("snap")))
 
 
+def replay(spark, d, fold, types, out, **columns):
+    """A fold over the events as a stream from files, run until it has read them all; events may be a year late."""
+    at = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    # As a pattern, a path may be a file as well as a folder.
+    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+    e = e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("n"), *[c.alias(name) for name, c in columns.items()])
+    return streams.replayed(streams.keyed(e, streams.Folded(fold, types), out, "366 days"), at)
+
+
+@query(LOADED)
+def loading_stream(spark, d):
+    return replay(spark, d, folds.loading(), "event string", "status string", event=load_event())
+
+
+@query(PENDING)
+def pending_stream(spark, d):
+    return replay(spark, d, folds.Pending(), "frames double", "pending long", frames=frames())
+
+
+@query(STACKED)
+def sheet_stream(spark, d):
+    event, snap = sheet_event()
+    return replay(spark, d, folds.sheets(), "event string, snap string", "mode string, open boolean, detail string, resume string", event=event, snap=snap)
+
+
 @query()
 def shadow_requests(spark, d):
     o = ordered(spark, d)

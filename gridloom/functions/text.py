@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their base letters (there is no Unicode decomposition in the engine).
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 #: Fixed value: the licences that records may have.
 LICENCES = r"^(CC BY(-SA)? \d(\.\d)?|CC0|Public domain)$"
 
 
+@functools.cache
+def decomposed() -> tuple[str, str]:
+    """Characters that are a base and marks, by Unicode's canonical decomposition, and their bases."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x110000)):
+        kind = unicodedata.decomposition(c)
+        if kind and not kind.startswith("<"):
+            base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"]
+            if len(base) == 1:
+                pairs.append((c, base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def unaccented(x: Column) -> Column:
-    return F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower-case text without marks, whether they stand alone or are part of a character."""
+    accented, plain = decomposed()
+    return F.lower(F.regexp_replace(F.translate(x, accented, plain), r"\p{M}", ""))
 
 
 def name_key(x: Column) -> Column:
-    """Lower-case letters and digits only, without accents."""
+    """Lower-case letters a-z and digits only, without accents."""
     return F.regexp_replace(unaccented(x), "[^a-z0-9]", "")
 
 

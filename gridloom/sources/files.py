@@ -1,8 +1,8 @@
 """Sources and sinks of binary rasters, images, GeoJSON and JSON documents, with manifests that are checked.
 
 Files are read by Spark's own readers (binaryFile, text, json), so any store that Spark reaches will do. A raster file
-is decoded where it is read, a file a row; what a task holds is one file. Sinks write files one at a time through the
-file system of the path, so the driver holds one file.
+is decoded where it is read, a file a row; what a task holds is one file. Folders with a committed manifest are written
+and read in parts by ``rasters``.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Encodings of raster files: how numpy reads their cells.
-ENCODINGS = {"int16-le": "<i2", "uint16-le": "<u2", "uint8": "u1", "int8": "i1", "float32-le": "<f4"}
-CELLS = "name string, i long, j long, v double"
+from gridloom.sources.rasters import CELLS, ENCODINGS
 
 
 # Codecs
@@ -245,24 +243,6 @@ def encoded(cells: DataFrame, encoding: str, width: int, height: int) -> DataFra
     return cells.select("name", "i", "j", "v").groupBy("name").applyInPandas(run, "name string, content binary, encoding string, width long, height long")
 
 
-def written(files: DataFrame, folder: str) -> DataFrame:
-    """Write files (name, content, further columns) to a folder and give their manifest, with size and hash of each.
-
-    What was written is read again: the manifest says what is there.
-    """
-    spark = files.sparkSession
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(base)
-    for name, content in files.select("name", "content").toLocalIterator():  # one file at a time
-        out = system.create(jvm.org.apache.hadoop.fs.Path(base, name), True)
-        out.write(bytes(content))
-        out.close()
-    there = binary(spark, folder).select("name", "bytes", F.sha2("content", 256).alias("sha256"))
-    return there.join(files.drop("content"), "name")
-
-
 def images(pixels: DataFrame) -> DataFrame:
     """(name, content): PNG files of (name, i, j, r, g, b)."""
 
@@ -274,6 +254,17 @@ def images(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("name").applyInPandas(run, "name string, content binary")
 
 
+def assembled(items: DataFrame, field: str, head: dict) -> DataFrame:
+    """(name, content): a JSON document for each name of ``items`` (name, n, item as JSON): ``head``, and the items by n under ``field``."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"name": pdf["name"], "content": [document_text(head | {field: [json.loads(x["item"]) for x in listed]}).encode() for listed in pdf["listed"]]})
+
+    grouped = items.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("listed"))
+    return grouped.mapInPandas(run, "name string, content binary")
+
+
 def document_text(value) -> str:
     """A JSON document as it is stored: two spaces, keys in their order, a line end; it must parse back to itself."""
     out = json.dumps(value, indent=2, ensure_ascii=False) + "\n"

@@ -1,25 +1,12 @@
-"""State machines over ordered events: folds inside the engine, and rules that windows can say.
-
-Each takes events of many keys (a session, a site, a sheet) and gives the state after every event or at the end. A
-fold holds one key's events.
-"""
+"""Rules over ordered events of many keys (a session, a site, a sheet): folds that can be cut, and what windows can say."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Statuses after an event; pairs that are not named change nothing.
-LOADING = {
-    ("idle", "in-range"): "requested",
-    ("ready", "in-range"): "requested",
-    ("requested", "start"): "loading",
-    ("loading", "ok"): "ready",
-    ("loading", "fail"): "failed",
-    ("requested", "release"): "idle",
-    ("ready", "release"): "idle",
-}
-PLAY_STEP_MS = 120.0
+from gridloom.streaming import folds
+
 SHADOW_DEGREES = 0.25
 FLING_MS = 120.0
 
@@ -29,25 +16,13 @@ def _ordered(events: DataFrame, key: str, *fields: str) -> DataFrame:
 
 
 def loading_status(events: DataFrame) -> DataFrame:
-    """(key, status) after all events (key, n, event), from ``idle``."""
-
-    def step(s: Column, e: Column) -> Column:
-        out = s
-        for (status, event), new in LOADING.items():
-            out = F.when((s == status) & (e["event"] == event), F.lit(new)).otherwise(out)
-        return out
-
-    return _ordered(events, "key", "event").select("key", F.aggregate("e", F.lit("idle"), step).alias("status"))
+    """(key, status) after all events (key, n, event), from ``idle``; events out of order change nothing."""
+    return folds.folded(events, folds.loading(), "string").withColumnRenamed("result", "status")
 
 
 def pending_frames(events: DataFrame) -> DataFrame:
     """(key, pending): requests (n, frames) raise the count to theirs, rounded down; a null one is a frame that was drawn."""
-
-    def step(p: Column, e: Column) -> Column:
-        asked = F.floor(e["frames"]).cast("long")
-        return F.when(e["frames"].isNull(), F.greatest(p - 1, F.lit(0))).when(e["frames"] >= 1, F.greatest(p, asked)).otherwise(p)
-
-    return _ordered(events, "key", "frames").select("key", F.aggregate("e", F.lit(0).cast("long"), step).alias("pending"))
+    return folds.folded(events, folds.Pending(), "long").withColumnRenamed("result", "pending")
 
 
 def playback(ticks: DataFrame, start: Column, low: Column, high: Column, speed: Column) -> DataFrame:
@@ -56,36 +31,13 @@ def playback(ticks: DataFrame, start: Column, low: Column, high: Column, speed:
     ``start``, ``low``, ``high`` and ``speed`` (hours a second) are columns that a key's ticks share.
     """
     rows = ticks.withColumns({"start": start, "low": low, "high": high, "speed": speed})
-    keyed = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("e"), *[F.first(c).alias(c) for c in ("start", "low", "high", "speed")])
-    zero = F.struct(F.col("start").cast("double").alias("m"), F.get("e", F.lit(0))["t"].cast("double").alias("t"))
-
-    def step(s: Column, e: Column) -> Column:
-        m = s["m"] + F.col("speed") * (F.least(F.lit(PLAY_STEP_MS), e["t"] - s["t"]) / 1000) * 60
-        return F.struct(F.when(m > F.col("high"), F.col("low") + (m - F.col("high"))).otherwise(m).alias("m"), e["t"].cast("double").alias("t"))
-
-    return keyed.select("key", F.aggregate("e", zero, step)["m"].alias("minutes"))
+    return folds.folded(rows, folds.Clock(), "double").withColumnRenamed("result", "minutes")
 
 
 def sheets(events: DataFrame) -> DataFrame:
-    """(key, mode, open, detail, resume) after events (key, n, event, snap) of two sheets that share a screen.
-
-    Opening a detail folds the mode's sheet and remembers how far it was up; closing or folding the detail brings that
-    back; whichever of the two is pulled up folds the other.
-    """
-    state = lambda mode, open_, detail, resume: F.struct(mode.alias("mode"), open_.alias("open"), detail.alias("detail"), resume.alias("resume"))
-    low, half = F.lit("min"), F.lit("half")
-    yes, no = F.lit(True), F.lit(False)
-
-    def step(s: Column, e: Column) -> Column:
-        kind, snap, folds = e["event"], e["snap"], e["snap"] == "min"
-        opened = F.when(s["open"], state(low, yes, F.when(s["detail"] == "min", half).otherwise(s["detail"]), s["resume"])).otherwise(state(low, yes, half, s["mode"]))
-        closed = F.when(s["open"], state(s["resume"], no, low, s["resume"])).otherwise(s)
-        pulled = F.when(~s["open"], state(snap, no, s["detail"], s["resume"])).when(folds, state(low, yes, s["detail"], s["resume"])).otherwise(state(snap, yes, low, snap))
-        detail = F.when(~s["open"], s).when(folds, state(s["resume"], yes, low, s["resume"])).otherwise(state(low, yes, snap, s["resume"]))
-        return F.when(kind == "open-detail", opened).when(kind == "close-detail", closed).when(kind == "mode-snap", pulled).when(kind == "detail-snap", detail).otherwise(s)
-
-    zero = state(low, no, low, half)
-    return _ordered(events, "key", "event", "snap").select("key", F.aggregate("e", zero, step).alias("s")).select("key", "s.*")
+    """(key, mode, open, detail, resume) after events (key, n, event, snap) of two sheets that share a screen."""
+    made = folds.folded(events, folds.sheets(), "struct<mode:string,open:boolean,detail:string,resume:string>")
+    return made.select("key", "result.*")
 
 
 def recomputed(requests: DataFrame) -> DataFrame:

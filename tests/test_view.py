@@ -12,7 +12,7 @@ from gridloom import catalog
 from gridloom.functions import geo
 from gridloom.operators import hydro, validate, vectors, view
 from gridloom.operators.envelope import nearest_squares
-from gridloom.sources import files
+from gridloom.sources import files, rasters
 from gridloom.streaming import reducers
 
 SF = "/root/testdata/sf0.001"
@@ -278,7 +278,7 @@ def test_png_round_trip_and_filters():
 def test_files_that_are_not_as_declared_fail(spark, tmp_path):
     cells = spark.createDataFrame([("a", i, j, float(i - j * 40_000)) for i in range(3) for j in range(2)], "name string, i long, j long, v double")
     made = files.encoded(cells, "int16-le", 3, 2)
-    manifest = files.written(made, str(tmp_path / "f"))
+    manifest = rasters.written(made, str(tmp_path / "f"))
     assert {(r.i, r.j): r.v for r in files.dataset(spark, str(tmp_path / "f"), manifest).collect()} == {(i, j): max(i - j * 40_000, -32768) for i in range(3) for j in range(2)}
     bad = {
         "another hash": manifest.withColumn("sha256", F.lit("0" * 64)),
