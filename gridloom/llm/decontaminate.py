@@ -3,7 +3,7 @@
 A text that holds an item of m characters with at most k edits shares at least m + 1 - q * (k + 1) of the
 item's q-grams, all on diagonals that differ by at most k. Diagonals are cut into bands of width 2 * (k + 1)
 that overlap by half, so one band sees all of them. A band with fewer hits than the bound is passed over; the
-region under any other is aligned with the item inside a band of the matrix, exactly.
+region under any other, and under those that touch it, is aligned with the item inside a band of the matrix, exactly.
 
 Q is 8, or less where an item is so short that no gram of 8 need survive its edits; an item that allows none is
 its own gram up to that length, so the shortest items are found too, exactly.
@@ -27,6 +27,8 @@ Q = 8
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.1
 TABLE_BITS = 22
+#: Places of texts, and pairs of them and groups of an item's places, that are held at a time.
+HELD = 1 << 18
 #: Items are looked for in blocks of so many characters and items, which bounds what each task holds; and with so
 #: many blocks in one plan.
 BLOCK_CHARS, BLOCK_ITEMS, PLAN_BLOCKS = 1 << 20, 1 << 16, 16
@@ -55,7 +57,12 @@ def squeeze(low: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 class Index:
-    """Items of one block that are looked for by grams of one length."""
+    """Items of one block that are looked for by grams of one length.
+
+    A group is an item's places of one gram, ascending. What is counted are places of a text that meet a group, and how
+    many of its places lie on a band's diagonals: a gram that both text and item repeat is a few numbers for each place
+    of the text, not one for each pair of places. Rows are taken HELD at a time, so memory is linear in text and items.
+    """
 
     def __init__(self, q: int, items: list[int], data: list[np.ndarray], k: list[int]):
         self.q = q
@@ -66,47 +73,102 @@ class Index:
         value = np.concatenate(g)
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
         at = np.concatenate([np.arange(len(x)) for x in g])
-        order = np.argsort(value, kind="stable")
-        self.value, self.item, self.at = value[order], item[order], at[order]
+        order = np.lexsort((at, item, value))
+        value, item, self.at = value[order], item[order], at[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (item[1:] != item[:-1])
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(value)))
+        self.item = item[self.first]
+        # Places in one ascending row: those of group n begin at n * span.
+        self.span = int(at.max(initial=0)) + 2
+        self.line = np.repeat(np.arange(len(self.first)), self.size) * self.span + self.at
+        self.value, self.begin = np.unique(value[self.first], return_index=True)
+        self.groups = np.diff(np.append(self.begin, len(self.first)))
         self.table = None
 
     def cell(self, values: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
+    def met(self, low: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(place, row, group) of every place of a text that meets a group, some HELD at a time."""
+        for base in range(0, max(len(low) - self.q + 1, 0), HELD):
+            g = grams(low[base : base + HELD + self.q - 1], self.q)
+            place = np.flatnonzero(self.table[self.cell(g)])
+            u = np.minimum(np.searchsorted(self.value, g[place]), len(self.value) - 1)
+            same = self.value[u] == g[place]
+            place, u = place[same] + base, u[same]
+            row = np.searchsorted(start, place, "right") - 1
+            inside = place + self.q <= end[row]
+            place, u, row = place[inside], u[inside], row[inside]
+            upto = np.cumsum(self.groups[u])
+            a = 0
+            while a < len(place):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HELD, "right")))
+                n = self.groups[u[a:b]]
+                group = np.repeat(self.begin[u[a:b]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield np.repeat(place[a:b], n), np.repeat(row[a:b], n), group
+                a = b
+
     def regions(self, low: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """(row, item, first diagonal, width) of bands whose hits meet the bound. ``start``, ``end``: rows' offsets in ``low``."""
+        """(row, item, first diagonal, last diagonal) where bands meet the bound; bands that touch are one region.
+        ``start``, ``end``: rows' offsets in ``low``."""
         if self.table is None:  # made where it is used, not sent there
             self.table = np.zeros(1 << TABLE_BITS, bool)
             self.table[self.cell(self.value)] = True
-        g = grams(low, self.q)
-        place = np.flatnonzero(self.table[self.cell(g)])
-        a, b = np.searchsorted(self.value, g[place], "left"), np.searchsorted(self.value, g[place], "right")
-        row = np.searchsorted(start, place, "right") - 1
-        some = (b > a) & (place + self.q <= end[row])
-        place, a, n, row = place[some], a[some], (b - a)[some], row[some]
-        if not len(place):
-            return np.zeros((0, 4), np.int64)
-        hit = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        place, row, item, at = np.repeat(place, n), np.repeat(row, n), self.item[hit], self.at[hit]
+        many = len(self.least)
         # A pair of row and item with fewer hits than the bound has no band that meets it.
-        _, pair, hits = np.unique(row * len(self.least) + item, return_inverse=True, return_counts=True)
-        enough = hits[pair] >= self.least[item]
-        row, item, at, place = row[enough], item[enough], at[enough], place[enough]
-        if not len(row):
+        hits = Sums()
+        for _, row, group in self.met(low, start, end):
+            hits.add(row * many + self.item[group], self.size[group])
+        pairs = hits.key[hits.total >= self.least[hits.key % many]]
+        if not len(pairs):
             return np.zeros((0, 4), np.int64)
-        diagonal, half = place - start[row] - at, self.half[item]
         out = []
         for shift in (0, 1):
-            band = (diagonal // half - shift) // 2  # bands [2b + shift, 2b + shift + 2) of half widths
-            order = np.lexsort((band, item, row))
-            r, i, b = row[order], item[order], band[order]
-            first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
-            count = np.diff(np.append(first, len(r)))
-            first = first[count >= self.least[i[first]]]
-            width = self.half[i[first]]
-            out.append(np.stack([r[first], self.number[i[first]], (2 * b[first] + shift) * width, 2 * width], 1))
-        return np.concatenate(out)
+            # Bands [2b + shift, 2b + shift + 2) of half widths.
+            counts, reach = Sums(), 1 + (len(low) + self.span) // self.half.min()
+            for place, row, group in self.met(low, start, end):
+                pair = row * many + self.item[group]
+                n = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                some = pairs[n] == pair
+                place, row, group, n = place[some], row[some], group[some], n[some]
+                half, x = self.half[self.item[group]], place - start[row]
+                band = lambda at: ((x - at) // half - shift) // 2
+                low_band = band(self.at[self.first[group] + self.size[group] - 1])
+                many_bands = band(self.at[self.first[group]]) - low_band + 1
+                of = np.repeat(np.arange(len(x)), many_bands)
+                b = low_band[of] + np.arange(len(of)) - np.repeat(np.cumsum(many_bands) - many_bands, many_bands)
+                below = (2 * b + shift) * half[of]  # diagonals from here, 2 * half of them
+                last = np.clip(x[of] - below, -1, self.span - 2)
+                before = np.clip(x[of] - below - 2 * half[of], -1, self.span - 2)
+                line = group[of] * self.span
+                held = np.searchsorted(self.line, line + last, "right") - np.searchsorted(self.line, line + before, "right")
+                counts.add(n[of] * (2 * reach) + b + reach, held)
+            met = counts.key[counts.total >= self.least[pairs[counts.key // (2 * reach)] % many]]
+            pair, b = pairs[met // (2 * reach)], met % (2 * reach) - reach
+            half = self.half[pair % many]
+            out.append(np.stack([pair // many, pair % many, (2 * b + shift) * half, (2 * b + shift + 2) * half], 1))
+        found = np.concatenate(out)
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:, :2] != found[:-1, :2]).any(1) | (found[1:, 2] > found[:-1, 3])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(found)) - 1
+        return np.stack([found[first, 0], self.number[found[first, 1]], found[first, 2], found[last, 3]], 1)
+
+
+class Sums:
+    """Sums by whole-number key, ascending, added to in parts."""
+
+    def __init__(self):
+        self.key, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        if len(key):
+            self.key, place = np.unique(np.concatenate([self.key, key]), return_inverse=True)
+            self.total = np.bincount(place, np.concatenate([self.total, n])).astype(np.int64)
 
 
 class Items:
@@ -157,13 +219,13 @@ def search(items: Items, part) -> dict[int, list]:
     """For each row of a slice that holds an item: (item's id, fewest edits found)."""
     low, start, end = squeeze(part.low, part.start, part.end)
     best: dict[tuple[int, int], int] = {}
-    for row, item, diagonal, width in np.concatenate([np.zeros((0, 4), np.int64), *[x.regions(low, start, end) for x in items.indexes]]):
+    for row, item, diagonal, until in np.concatenate([np.zeros((0, 4), np.int64), *[x.regions(low, start, end) for x in items.indexes]]):
         name, k, data = (int(row), int(item)), items.k[item], items.data[item]
         if best.get(name) == 0:
             continue
         # The region: where the item may lie on these diagonals, with k characters of slack.
         a = max(int(start[row]), int(start[row] + diagonal) - k)
-        b = min(int(end[row]), int(start[row] + diagonal + width) + len(data) + k)
+        b = min(int(end[row]), int(start[row] + until) + len(data) + k)
         edits = banded(low[a:b], data, k)
         if edits <= k and edits < best.get(name, k + 1):
             best[name] = edits
