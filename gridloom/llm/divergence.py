@@ -37,7 +37,7 @@ DEPTH, LEAST_BITS, MOST_BITS, CELLS_PER_DOC = 4, 16, 24, 16
 #: Cells that travel and are merged together, and sketches that are merged at a time.
 BLOCK, FAN_IN = 1 << 16, 64
 #: Rows of counts that a task holds before it sends their sums.
-HELD_ROWS = 1 << 18
+HELD_ROWS = 1 << 20
 COUNTS = "lang string, source string, term string, docs long, n long"
 TOP_TERMS = 50
 
@@ -141,9 +141,8 @@ def _reached(least: int):
     return run
 
 
-def _sums(held: list) -> pa.RecordBatch:
+def _sums(held: list) -> list[pa.RecordBatch]:
     t = pa.Table.from_batches(held).group_by(["lang", "source", "term"]).aggregate([("docs", "sum"), ("n", "sum")])
-    held.clear()
     return t.select(["lang", "source", "term", "docs_sum", "n_sum"]).rename_columns(["lang", "source", "term", "docs", "n"]).combine_chunks().to_batches()
 
 
@@ -172,8 +171,11 @@ def _count(shipped, bits: int):
                 held.append(pa.RecordBatch.from_arrays([l.take(g), s.take(g), name, pa.array(docs.astype(np.int64)), pa.array(n)], names=["lang", "source", "term", "docs", "n"]))
                 size += len(kind)
                 if size > HELD_ROWS:
-                    yield from _sums(held)
-                    size = 0
+                    held = _sums(held)
+                    size = sum(b.num_rows for b in held)
+                    if size > HELD_ROWS // 2:
+                        yield from held
+                        held, size = [], 0
         if held:
             yield from _sums(held)
         give_back()
@@ -200,6 +202,7 @@ def source_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame, D
 def share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * terms)), exactly; 1 where there are no terms."""
     wide = lambda c: c.cast("decimal(27,0)")
+    n, total, terms = (c.cast("long") for c in (n, total, terms))
     scaled, whole = wide(n + PRIOR) * F.lit(SCALE).cast("decimal(10,0)"), wide(total + PRIOR * terms)
     return F.coalesce(F.call_function("div", scaled, F.nullif(whole, F.lit(0).cast("decimal(27,0)"))), F.lit(0).cast("long")) + 1
 

@@ -448,6 +448,30 @@ def test_decontamination_in_many_blocks(spark, monkeypatch):
     assert {(r.doc_id, tuple(r.leaks)) for r in got} == {(i, (i,) if i < 9 else ()) for i in range(12)}
 
 
+def test_repetitive_texts_are_searched_in_little_memory():
+    """A letter 100,000 times against long items of it: what is held does not grow with the product of the two."""
+    import tracemalloc
+
+    items = decontaminate.Items([1, 2, 3], ["a" * 5000, "a" * 3000 + "b" * 400, "ab" * 900], 0.1)
+    batch = pa.record_batch([pa.array(["a" * 100_000, None, "x" + "a" * 4600 + "y", "ab" * 850, "ab" * 700, "a" * 3000 + "b" * 70])], ["text"])
+    tracemalloc.start()
+    found = [decontaminate.search(items, part) for part in slices(batch)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert found == [{0: [(1, 0)], 2: [(1, 400)], 3: [(3, 100)], 5: [(2, 330)]}]
+
+
+def test_repetitive_texts_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        items = ["".join(rng.choice(("a", "ab", "aab", "c")) * rng.randrange(1, 20) for _ in range(rng.randrange(1, 4))) for _ in range(4)]
+        texts = ["".join(rng.choice(("a", "ab", "aab", "c")) * rng.randrange(1, 40) for _ in range(rng.randrange(1, 5))) for _ in range(6)]
+        index = decontaminate.Items(list(range(4)), items, 0.15)
+        got = {(d, i): e for part in slices(pa.record_batch([pa.array(texts)], ["text"])) for d, held in decontaminate.search(index, part).items() for i, e in held}
+        want = {(d, i): e for d, t in enumerate(texts) for i, x in enumerate(items) if (e := edits_brute(x, t, 0)) <= int(len(x) * 0.15)}
+        assert got == want
+
+
 def test_leaks_of_documents(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
@@ -520,6 +544,16 @@ def test_toxicity_is_the_model_by_brute_force(spark):
     assert (models.curve[1:] >= 0).all()
 
 
+def test_flushes_take_the_buckets_that_occur():
+    """A million buckets cost no more than the words that are held."""
+    import time
+
+    words = np.arange(1, 50_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    began = time.time()
+    out = pa.Table.from_batches(list(toxicity._packed([(words, words & ~toxicity.MARK_BITS)], 1 << 20, np.zeros(0, np.uint64))))
+    assert sum(len(x.as_py()) // 8 for x in out.column("words")) == 50_000 and time.time() - began < 8
+
+
 def test_toxicity_joins_rare_words_in(spark, docs, monkeypatch):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     whole = by_id(toxicity.score_toxicity(docs, toxicity.train(docs, labels)))
