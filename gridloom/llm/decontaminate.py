@@ -29,6 +29,8 @@ EDIT_SHARE = 0.1
 TABLE_BITS = 22
 #: Places of texts, and pairs of them and groups of an item's places, that are held at a time.
 HELD = 1 << 18
+#: So many pairs are kept for a second look; if there are more, they are found again.
+KEPT = 1 << 20
 #: Items are looked for in blocks of so many characters and items, which bounds what each task holds; and with so
 #: many blocks in one plan.
 BLOCK_CHARS, BLOCK_ITEMS, PLAN_BLOCKS = 1 << 20, 1 << 16, 16
@@ -119,38 +121,46 @@ class Index:
             self.table[self.cell(self.value)] = True
         many = len(self.least)
         # A pair of row and item with fewer hits than the bound has no band that meets it.
-        hits = Sums()
-        for _, row, group in self.met(low, start, end):
-            hits.add(row * many + self.item[group], self.size[group])
+        hits, kept, size = Sums(), [], 0
+        for part in self.met(low, start, end):
+            hits.add(part[1] * many + self.item[part[2]], self.size[part[2]])
+            size += len(part[0])
+            if size <= KEPT:
+                kept.append(part)
         pairs = hits.key[hits.total >= self.least[hits.key % many]]
         if not len(pairs):
             return np.zeros((0, 4), np.int64)
-        out = []
-        for shift in (0, 1):
-            # Bands [2b + shift, 2b + shift + 2) of half widths.
-            counts, reach = Sums(), 1 + (len(low) + self.span) // self.half.min()
-            for place, row, group in self.met(low, start, end):
-                pair = row * many + self.item[group]
-                n = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                some = pairs[n] == pair
-                place, row, group, n = place[some], row[some], group[some], n[some]
-                half, x = self.half[self.item[group]], place - start[row]
-                band = lambda at: ((x - at) // half - shift) // 2
-                low_band = band(self.at[self.first[group] + self.size[group] - 1])
-                many_bands = band(self.at[self.first[group]]) - low_band + 1
-                of = np.repeat(np.arange(len(x)), many_bands)
-                b = low_band[of] + np.arange(len(of)) - np.repeat(np.cumsum(many_bands) - many_bands, many_bands)
+        # Bands [2b + shift, 2b + shift + 2) of half widths, for shifts of 0 and 1.
+        reach = 1 + (len(low) + self.span) // self.half.min()
+        counts = [Sums(), Sums()]
+        for place, row, group in kept if size <= KEPT else self.met(low, start, end):
+            pair = row * many + self.item[group]
+            n = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            some = pairs[n] == pair
+            place, row, group, n = place[some], row[some], group[some], n[some]
+            half, x = self.half[self.item[group]], place - start[row]
+            first = self.at[self.first[group]]
+            last = self.at[self.first[group] + self.size[group] - 1]
+            for shift in (0, 1):
+                low_band = ((x - last) // half - shift) // 2
+                bands = ((x - first) // half - shift) // 2 - low_band + 1
+                of = np.repeat(np.arange(len(x)), bands)
+                b = low_band[of] + np.arange(len(of)) - np.repeat(np.cumsum(bands) - bands, bands)
                 below = (2 * b + shift) * half[of]  # diagonals from here, 2 * half of them
-                last = np.clip(x[of] - below, -1, self.span - 2)
+                upto = np.clip(x[of] - below, -1, self.span - 2)
                 before = np.clip(x[of] - below - 2 * half[of], -1, self.span - 2)
                 line = group[of] * self.span
-                held = np.searchsorted(self.line, line + last, "right") - np.searchsorted(self.line, line + before, "right")
-                counts.add(n[of] * (2 * reach) + b + reach, held)
-            met = counts.key[counts.total >= self.least[pairs[counts.key // (2 * reach)] % many]]
+                held = np.searchsorted(self.line, line + upto, "right") - np.searchsorted(self.line, line + before, "right")
+                counts[shift].add(n[of] * (2 * reach) + b + reach, held)
+        out = []
+        for shift in (0, 1):
+            met = counts[shift].key[counts[shift].total >= self.least[pairs[counts[shift].key // (2 * reach)] % many]]
             pair, b = pairs[met // (2 * reach)], met % (2 * reach) - reach
             half = self.half[pair % many]
             out.append(np.stack([pair // many, pair % many, (2 * b + shift) * half, (2 * b + shift + 2) * half], 1))
         found = np.concatenate(out)
+        if not len(found):
+            return found
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
         new = np.ones(len(found), bool)
         new[1:] = (found[1:, :2] != found[:-1, :2]).any(1) | (found[1:, 2] > found[:-1, 3])

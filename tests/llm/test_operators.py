@@ -461,7 +461,18 @@ def test_repetitive_texts_are_searched_in_little_memory():
     assert found == [{0: [(1, 0)], 2: [(1, 400)], 3: [(3, 100)], 5: [(2, 330)]}]
 
 
-def test_repetitive_texts_by_brute_force():
+def test_pieces_of_an_item_far_apart_are_no_leak():
+    """Enough hits in all, but on no band enough of them."""
+    rng = random.Random(2)
+    item = "".join(rng.choice("abcdefghijklmnop") for _ in range(100))
+    text = "zz".join(item[k : k + 15] + "y" * 70 for k in (0, 60, 30, 80))
+    items = decontaminate.Items([1], [item], 0.1)
+    assert [decontaminate.search(items, part) for part in slices(pa.record_batch([pa.array([text, item])], ["text"]))] == [{1: [(1, 0)]}]
+
+
+def test_repetitive_texts_by_brute_force(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD", 50)
+    monkeypatch.setattr(decontaminate, "KEPT", 200)
     rng = random.Random(12)
     for _ in range(60):
         items = ["".join(rng.choice(("a", "ab", "aab", "c")) * rng.randrange(1, 20) for _ in range(rng.randrange(1, 4))) for _ in range(4)]
