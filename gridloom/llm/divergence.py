@@ -36,8 +36,9 @@ SCALE, PRIOR = 1_000_000_000, 5
 DEPTH, LEAST_BITS, MOST_BITS, CELLS_PER_DOC = 4, 16, 24, 16
 #: Cells that travel and are merged together, and sketches that are merged at a time.
 BLOCK, FAN_IN = 1 << 16, 64
-#: Rows of counts that a task holds before it sends their sums.
-HELD_ROWS = 1 << 20
+#: Bytes of text that are worked on at a time, and rows of counts that a task holds before it sends their sums.
+SLICE = 1 << 19
+HELD_ROWS = 1 << 18
 COUNTS = "lang string, source string, term string, docs long, n long"
 TOP_TERMS = 50
 
@@ -87,7 +88,7 @@ def _sketch(bits: int, least: int):
     def run(batches):
         sketch = np.zeros(DEPTH << bits, np.uint8)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 t = Terms(part)
                 if not len(t.code):
                     continue
@@ -112,7 +113,9 @@ def _added(least: int):
         total = np.zeros(len(table.column("cells")[0].as_py()), np.int64)
         for x in table.column("cells"):
             total += np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "cells": pa.array([np.minimum(total, least).astype(np.uint8).tobytes()], pa.binary())})
+        out = pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "cells": pa.array([np.minimum(total, least).astype(np.uint8).tobytes()], pa.binary())})
+        give_back()
+        return out
 
     return run
 
@@ -152,7 +155,7 @@ def _count(shipped, bits: int):
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 t = Terms(part)
                 if not len(t.code):
                     continue
@@ -176,6 +179,7 @@ def _count(shipped, bits: int):
                     if size > HELD_ROWS // 2:
                         yield from held
                         held, size = [], 0
+                    give_back()
         if held:
             yield from _sums(held)
         give_back()
