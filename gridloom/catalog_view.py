@@ -79,14 +79,15 @@ def signed(spark, d):
 @query()
 def outline_rings(spark, d):
     # Chains have no SQL of their own; tests hold them against a walk.
-    found = vectors.simplify(vectors.rings(vectors.crossings(signed(spark, d))), 0.5)
-    area, length = vectors.ring_measures(F.col("points"))
-    return found.select("ring", F.size("points").cast("long").alias("n_points"), *whole(("area", area), ("length", length), digits=2))
+    vertices, _ = vectors.rings(vectors.crossings(signed(spark, d)))
+    found = vectors.line_measures(vectors.simplify(vertices, 0.5))
+    return found.select("ring", F.col("n").alias("n_points"), *whole(("area", F.col("area")), ("length", F.col("length")), digits=2))
 
 
 @query()
 def longest_outline(spark, d):
-    return vectors.longest(vectors.rings(vectors.crossings(signed(spark, d)))).select("ring", F.size("points").cast("long").alias("n_points"), *whole(("length", F.col("length")), digits=2))
+    _, measures = vectors.rings(vectors.crossings(signed(spark, d)))
+    return vectors.longest(measures).select("ring", F.col("n").alias("n_points"), *whole(("length", F.col("length")), digits=2))
 
 
 # Water

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.ranks import at_ranks
 from gridloom.plans.iterate import checkpointed, labels, terminals, upstream_counts
+from gridloom.plans.shared import skew_safe_join
 
 #: Fixed values: (code, di, dj).
 STEPS = ((1, 1, 0), (2, 1, 1), (3, 0, 1), (4, -1, 1), (5, -1, 0), (6, -1, -1), (7, 0, -1), (8, 1, -1))
@@ -61,10 +62,13 @@ TILE = 128
 def fill(cells: DataFrame, width: int, height: int, epsilon: float, value: str = "h", tile: int = TILE, max_rounds: int = 2000) -> DataFrame:
     """Depression filling: (i, j, f), the least surface that drains to the edge with steps of epsilon.
 
-    The fixpoint f = h at the edge and h or m + epsilon inside, whichever is higher, m the least f around. A
-    round relaxes each tile until it is still, with its neighbours' outermost cells held; rounds end when no
+    The fixpoint f = h at the edge and h or m + epsilon inside, whichever is higher, m the least f around. Without
+    epsilon it is found by watersheds (``spilled``), in two passes over the cells. With it levels depend on the steps taken:
+    a round relaxes each tile until it is still, with its neighbours' outermost cells held; rounds end when no
     cell moves. Their number is that of tiles on a drain path, not of cells.
     """
+    if epsilon == 0:
+        return spilled(cells, width, height, value)
     edge = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == width - 1) | (F.col("j") == height - 1)
     relax = _relaxed(epsilon, tile)
     side = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)]))
@@ -79,6 +83,156 @@ def fill(cells: DataFrame, width: int, height: int, epsilon: float, value: str =
     raise RuntimeError("filling did not settle")
 
 
+#: The watershed of what drains over the raster's edge; others are numbered by tile, LABELS to a tile.
+OUTSIDE, LABELS = 0, 1 << 20
+#: Edges of a spill graph that one task solves; larger graphs are contracted in rounds.
+SMALL_GRAPH = 1 << 20
+
+
+def spilled(cells: DataFrame, width: int, height: int, value: str = "h", tile: int = 256, small: int = SMALL_GRAPH) -> DataFrame:
+    """(i, j, f): the least surface without pits, by watersheds of tiles.
+
+    Each tile is flooded from its own rim, lowest first: every cell gets the level at which it spills over the rim, and the
+    watershed by which it does. Watersheds that touch, in a tile or across its border, are joined by the level at which
+    one runs over into the other. On that graph, which is as large as the tiles' rims, each watershed's level is the
+    least highest step on the ways to the raster's edge; a cell's is the higher of its own and its watershed's.
+    """
+    place = [F.floor(F.col(c) / tile).alias(f"t{c}") for c in "ij"]
+    local = checkpointed(cells.select("i", "j", F.col(value).cast("double").alias("h"), *place).groupBy("ti", "tj").applyInArrow(_flooded(width, height, tile), "i long, j long, f double, label long, other long"))
+    held = local.where("other is null").select("i", "j", "f", "label")
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    rim = held.where(edge("i") | edge("j")).withColumn("s", F.struct("label", "f"))
+    met = neighbours(rim, "s").join(rim, ["i", "j"]).where(F.col("z.label") != F.col("label"))
+    across = met.select(F.col("label").alias("u"), F.col("z.label").alias("v"), F.greatest("f", "z.f").alias("w"))
+    inside = local.where("other is not null").select(F.col("label").alias("u"), F.col("other").alias("v"), F.col("f").alias("w"))
+    every = across.unionByName(inside)
+    graph = checkpointed(every.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w")))
+    levels = spill_levels(graph, small)
+    low = held.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    known = checkpointed(low.join(levels, "label", "left"))
+    risen = skew_safe_join(held, known, ["label"], "n", width * height, "inner")
+    return risen.select("i", "j", F.greatest("f", F.coalesce("level", F.lit(-math.inf))).alias("f"))
+
+
+def _flooded(width: int, height: int, tile: int):
+    def run(key, table):
+        import heapq
+
+        import numpy as np
+        import pyarrow as pa
+
+        ti, tj = (k.as_py() for k in key)
+        i, j, h = (table.column(c).to_numpy() for c in ("i", "j", "h"))
+        i0, j0 = ti * tile, tj * tile
+        w, n = int(i.max()) - i0 + 1, int(j.max()) - j0 + 1
+        line = w + 2  # a wall around the tile, so that steps need no bounds
+        ground = np.full((n + 2) * line, np.nan)
+        ground[(j - j0 + 1) * line + i - i0 + 1] = h
+        label = np.where(np.isnan(ground), -2, -1).tolist()
+        level = ground.tolist()
+        outside = (i == 0) | (j == 0) | (i == width - 1) | (j == height - 1)
+        rim = outside | (i == i0) | (j == j0) | (i == i0 + w - 1) | (j == j0 + n - 1)
+        at = ((j - j0 + 1) * line + i - i0 + 1).tolist()
+        for k in np.flatnonzero(outside).tolist():
+            label[at[k]] = OUTSIDE
+        queue = [(level[at[k]], at[k]) for k in np.flatnonzero(rim).tolist()]
+        heapq.heapify(queue)
+        base = ((tj * -(-width // tile) + ti) * LABELS) + 1
+        steps, found, spills = (-line - 1, -line, -line + 1, -1, 1, line - 1, line, line + 1), 0, {}
+        done = bytearray(len(label))
+        while queue:
+            z, c = heapq.heappop(queue)
+            if done[c]:
+                continue
+            done[c] = 1
+            if label[c] == -1:
+                label[c] = base + found
+                found += 1
+            own = label[c]
+            for d in steps:
+                q = c + d
+                other = label[q]
+                if other == -1:
+                    label[q] = own
+                    if level[q] < z:
+                        level[q] = z
+                    heapq.heappush(queue, (level[q], q))
+                elif other >= 0 and other != own:
+                    pair = (own, other) if own < other else (other, own)
+                    top = max(z, level[q])
+                    if top < spills.get(pair, math.inf):
+                        spills[pair] = top
+        out = {
+            "i": i, "j": j, "f": np.array([level[k] for k in at]), "label": np.array([label[k] for k in at], np.int64),
+        }
+        own = pa.table(out | {"other": pa.nulls(len(i), pa.int64())})
+        pairs = list(spills)
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.concat_tables([own, pa.table({"i": none, "j": none, "f": pa.array([spills[p] for p in pairs], pa.float64()), "label": pa.array([p[0] for p in pairs], pa.int64()), "other": pa.array([p[1] for p in pairs], pa.int64())})])
+
+    return run
+
+
+def spill_levels(graph: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(label, level) of a graph (u, v, w), each pair once: the least highest w on the ways to OUTSIDE; what has none is left out.
+
+    A graph of ``small`` edges at most, by count, is solved in one task. A larger one is contracted: every watershed takes
+    its lowest way out, watersheds that this connects become one, and the lowest ways between those are left. A
+    watershed's level is the highest of the ways that it and what it became a part of took.
+    """
+    if graph.count() <= small:
+        return graph.groupBy(F.lit(0).alias("one")).applyInPandas(_by_height, "label long, level double")
+    both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    held = checkpointed(both.select("u").distinct().select(F.col("u").alias("label"), F.col("u").alias("at"), F.lit(-math.inf).alias("level")))
+    for _ in range(64):
+        if graph.isEmpty():
+            break
+        both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+        # The order of all edges is total, so that ways out meet in pairs only.
+        best = both.where(F.col("u") != OUTSIDE).groupBy("u").agg(F.min(F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).alias("e"))
+        out = checkpointed(best.select("u", F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("to"), F.col("e.w").alias("w")))
+        back = out.select(F.col("u").alias("to"), F.col("to").alias("again"))
+        linked = out.join(back, "to", "left")
+        # Of two that take each other the smaller one stands for both.
+        stays = (F.col("again") == F.col("u")) & (F.col("u") < F.col("to"))
+        forest = checkpointed(linked.select("u", F.when(~F.coalesce(stays, F.lit(False)), F.col("to")).alias("to"), "w"))
+        ends = terminals(forest.select(F.col("u").alias("src"), F.col("to").alias("dst")).unionByName(forest.sparkSession.createDataFrame([(OUTSIDE, None)], "src long, dst long")))
+        root = checkpointed(ends.join(forest.select(F.col("u").alias("src"), "w", F.col("to").isNull().alias("stays")), "src", "left"))
+        step = F.when(F.coalesce("stays", F.lit(True)), F.lit(-math.inf)).otherwise(F.col("w"))
+        held = checkpointed(held.join(root.select(F.col("src").alias("at"), "terminal", step.alias("step")), "at", "left").select("label", F.coalesce("terminal", "at").alias("at"), F.greatest("level", F.coalesce("step", F.lit(-math.inf))).alias("level")))
+        to = lambda c: root.select(F.col("src").alias(c), F.col("terminal").alias(f"{c}2"))
+        moved = graph.join(to("u"), "u").join(to("v"), "v").where("u2 <> v2")
+        graph = checkpointed(moved.groupBy(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).agg(F.min("w").alias("w")))
+    else:
+        raise RuntimeError("the spill graph did not settle")
+    return held.where((F.col("at") == OUTSIDE) & (F.col("label") != OUTSIDE)).select("label", "level")
+
+
+def _by_height(pdf):
+    """Edges from the lowest one up: what a rise connects to the outside has its level then."""
+    import pandas as pd
+
+    members, of, level = {}, {}, {}
+    for u, v, w in pdf.sort_values(["w", "u", "v"])[["u", "v", "w"]].itertuples(index=False):
+        a, b = of.setdefault(u, u), of.setdefault(v, v)
+        if a == b:
+            continue
+        groups = [members.pop(k, [k]) for k in (a, b)]
+        if OUTSIDE in (a, b):
+            name = OUTSIDE
+            for m in groups[0] if b == OUTSIDE else groups[1]:
+                level[m] = w
+        else:
+            name = a if len(groups[0]) >= len(groups[1]) else b
+        moved = groups[0] if name == b else groups[1]
+        for m in moved:
+            of[m] = name
+        stays = groups[1] if name == b else groups[0]
+        stays += moved
+        members[name] = stays
+    return pd.DataFrame({"label": list(level), "level": list(level.values())}).astype({"label": "int64", "level": "float64"})
+
+
 def _relaxed(epsilon: float, tile: int):
     def relax(key, pdf):
         import numpy as np

@@ -1,17 +1,19 @@
 """Raster operators on cells (i, j, value), one row each.
 
-Windows are partitioned by a row or a column of the raster, never by nothing, so a raster of any size
-spreads over its lines. Neighbours come from shifted keys in one grouping or from lag and lead on a line.
+Neighbourhoods come from tiles with a rim of their neighbours' cells, or from shifted keys in one grouping, so a raster of
+any size and shape spreads over its tiles.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import half_up
+from gridloom.operators import tiles
 from gridloom.operators.ranks import percentiles
 from gridloom.plans.shared import stored
 
@@ -90,27 +92,34 @@ def numbered(cells: DataFrame) -> DataFrame:
     return cells.withColumn("place", place).join(bases, "j").withColumn("idx", F.col("base") + F.col("place")).drop("place", "base")
 
 
-def hillshade(cells: DataFrame, cell_size: float, azimuth: float = 315.0, altitude: float = 45.0, value: str = "h") -> DataFrame:
+def hillshade(cells: DataFrame, cell_size: float, azimuth: float = 315.0, altitude: float = 45.0, value: str = "h", tile: int = tiles.TILE) -> DataFrame:
     """Horn's 3 x 3 shading, 0 to 255; neighbours beyond the edge are the edge's own."""
-    row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
-    v = F.col(value)
-    west, east = F.coalesce(F.lag(v).over(row), v), F.coalesce(F.lead(v).over(row), v)
-    lines = cells.select("i", "j", (east - west).alias("dx"), (west + 2 * v + east).alias("sx"))
-    around = lambda c, f: F.coalesce(f(c).over(column), F.col(c))
-    dzdx = (around("dx", F.lag) + 2 * F.col("dx") + around("dx", F.lead)) / (8 * cell_size)
-    dzdy = (around("sx", F.lead) - around("sx", F.lag)) / (8 * cell_size)
     az, alt = math.radians(azimuth), math.radians(altitude)
     lx, ly, lz = math.sin(az) * math.cos(alt), -math.cos(az) * math.cos(alt), math.sin(alt)
-    slopes = lines.select("i", "j", dzdx.alias("p"), dzdy.alias("q"))
-    light = (lz - F.col("p") * lx - F.col("q") * ly) / F.sqrt(F.col("p") ** 2 + F.col("q") ** 2 + 1)
-    return slopes.select("i", "j", half_up(F.least(F.greatest(light, F.lit(0.0)), F.lit(1.0)) * 255).cast("long").alias("shade"))
 
+    def work(b: tiles.Block) -> dict:
+        v = b.whole[value]
+        mid = v[:, 1:-1]
+        west, east = (np.where(np.isnan(x), mid, x) for x in (v[:, :-2], v[:, 2:]))
+        dx, sx = east - west, west + 2 * mid + east
+        own = lambda x, k: np.where(np.isnan(x[k : k + b.height]), x[1:-1], x[k : k + b.height])
+        p = (own(dx, 0) + 2 * dx[1:-1] + own(dx, 2)) / (8 * cell_size)
+        q = (own(sx, 2) - own(sx, 0)) / (8 * cell_size)
+        light = (lz - p * lx - q * ly) / np.sqrt(p**2 + q**2 + 1)
+        return {"shade": np.floor(np.nan_to_num(np.clip(light, 0, 1)) * 255 + 0.5).astype(np.int64)}
 
-def borders(cells: DataFrame, value: str = "v") -> DataFrame:
+    return tiles.tiled(cells, [value], work, "shade long", tile=tile)
+
+
+def borders(cells: DataFrame, value: str = "v", tile: int = tiles.TILE) -> DataFrame:
     """Cells whose east or south neighbour has another value."""
-    row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
-    differs = lambda w: F.coalesce(F.lead(value).over(w) != F.col(value), F.lit(False))
-    return cells.select("i", "j", differs(row).alias("east"), differs(column).alias("south")).where("east or south")
+
+    def work(b: tiles.Block) -> dict:
+        own = b.side(value, 0, 0)
+        differs = {n: ~np.isnan(x := b.side(value, *to)) & (x != own) for n, to in (("east", (1, 0)), ("south", (0, 1)))}
+        return differs | {"keep": differs["east"] | differs["south"]}
+
+    return tiles.tiled(cells, [value], work, "east boolean, south boolean", tile=tile)
 
 
 def bounds(cells: DataFrame, inside: Column) -> DataFrame:
@@ -153,40 +162,36 @@ def contour_segments(cells: DataFrame, value: str = "s") -> DataFrame:
 
     Bits: 1 own cell, 2 east, 4 south-east, 8 south.
     """
-    row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
-    lines = cells.select("i", "j", F.col(value).alias("a"), F.lead(value).over(row).alias("b"))
-    squares = lines.select("i", "j", "a", "b", F.lead("a").over(column).alias("d"), F.lead("b").over(column).alias("c"))
     bit = lambda c, k: F.when(F.col(c) >= 0, k).otherwise(0)
-    code = (bit("a", 1) + bit("b", 2) + bit("c", 4) + bit("d", 8)).cast("long")
-    return squares.where("b is not null and c is not null and d is not null").select("i", "j", code.alias("code")).where("code between 1 and 14")
+    code = (bit("tl", 1) + bit("tr", 2) + bit("br", 4) + bit("bl", 8)).cast("long")
+    return tiles.corners(cells, value).select("i", "j", code.alias("code")).where("code between 1 and 14")
 
 
-def signed_distance(cells: DataFrame, inside: str = "inside", clamp: int = 127) -> DataFrame:
+def signed_distance(cells: DataFrame, inside: str = "inside", clamp: int = 127, tile: int = tiles.TILE) -> DataFrame:
     """Rounded distance to the nearest cell of the other kind, negative outside, kept within the clamp.
 
-    Exact: distances along a column first (windows), then the least of squares over the row, a row at a time, as the
-    lower envelope of its cells' parabolas, in time linear in the row.
+    Exact: what lies beyond the clamp cannot tell, so a tile with a rim of so many cells knows all that counts. Gaps along
+    columns are carried down and up in whole rows, then the least of squares is taken over as many steps to each side.
     """
-    import numpy as np
-    import pandas as pd
-
-    from gridloom.operators.envelope import nearest_squares
-
-    column = Window.partitionBy("i").orderBy("j")
-    up, down = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
-
-    def gap(kind: bool) -> Column:
-        at = F.when(F.col(inside) == kind, F.col("j"))
-        return F.least(F.coalesce(F.col("j") - F.last(at, True).over(up), F.lit(10**6)), F.coalesce(F.first(at, True).over(down) - F.col("j"), F.lit(10**6)))
-
-    columns = cells.select("i", "j", inside, gap(True).alias("to_in"), gap(False).alias("to_out"))
-
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        own = pdf[inside].to_numpy(bool)
-        i, gaps = pdf["i"].to_numpy(float), {k: pdf[k].to_numpy(float) for k in ("to_in", "to_out")}
-        out = np.sqrt(np.where(own, nearest_squares(i, gaps["to_out"] ** 2), nearest_squares(i, gaps["to_in"] ** 2)))
-        signed = np.where(own, out, -out)
-        return pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "s": np.clip(np.floor(signed + 0.5), -clamp, clamp).astype("int64")})
-
-    return columns.groupBy("j").applyInPandas(line, "i long, j long, s long")
+    tile = max(tile, clamp)
+
+    def work(b: tiles.Block) -> dict:
+        v = b.whole[inside]
+        own = v[clamp : clamp + b.height, clamp : clamp + b.width] == 1
+        squares = [_nearest(v == kind, clamp, b) for kind in (0, 1)]
+        d = np.sqrt(np.where(own, *squares))
+        return {"s": np.clip(np.floor(np.where(own, d, -d) + 0.5), -clamp, clamp).astype(np.int64)}
+
+    return tiles.tiled(cells, [inside], work, "s long", halo=clamp, tile=tile)
+
+
+def _nearest(there: np.ndarray, reach: int, b: tiles.Block) -> np.ndarray:
+    """For each own cell the square of its distance to the nearest one of ``there``, if that is at most ``reach`` away on either axis."""
+    rows = np.arange(len(there))[:, None]
+    above = np.maximum.accumulate(np.where(there, rows, -(10**6)), 0)
+    below = np.minimum.accumulate(np.where(there, rows, 10**6)[::-1], 0)[::-1]
+    gap = np.minimum(rows - above, below - rows)[reach : reach + b.height].astype(float) ** 2
+    best = np.full((b.height, b.width), float(10**12))
+    for k in range(2 * reach + 1):
+        np.minimum(best, gap[:, k : k + b.width] + float((k - reach) ** 2), out=best)
+    return best

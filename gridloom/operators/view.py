@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import GridSpec
 from gridloom.functions.scene import smoothstep
+from gridloom.operators import tiles
 from gridloom.operators.raster import bilinear, box_downsample
 from gridloom.plans.shared import stored
 
@@ -28,50 +31,135 @@ def clipped(low: tuple, high: tuple) -> tuple[Column, Column]:
     return F.when(hit, F.greatest(enter, F.lit(0.0))), F.when(hit, leave)
 
 
-def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration: float, step_cells: float = 0.5, refine_metres: float = 1.0, max_steps: int = 20_000, value: str = "h") -> DataFrame:
+#: Cells of a leaf's side, nodes of a level's side that one above holds, and rays that meet a leaf's cells together.
+LEAF, FAN, RAYS = 64, 4, 4096
+RAY = ["ray", "ox", "oy", "oz", "dx", "dy", "dz"]
+
+
+def pyramid(leaves: DataFrame, tiles_wide: int, tiles_high: int) -> list[DataFrame]:
+    """(a, b, low, high) of the leaves' heights, and of FAN x FAN nodes of each level below, up to a single one."""
+    levels = [leaves.select(F.col("ti").alias("a"), F.col("tj").alias("b"), "low", "high")]
+    while max(tiles_wide, tiles_high) > 1:
+        up = levels[-1].groupBy(F.floor(F.col("a") / FAN).alias("a"), F.floor(F.col("b") / FAN).alias("b"))
+        levels.append(stored(up.agg(F.min("low").alias("low"), F.max("high").alias("high"))))
+        tiles_wide, tiles_high = -(-tiles_wide // FAN), -(-tiles_high // FAN)
+    return levels
+
+
+def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration: float, step_cells: float = 0.5, refine_metres: float = 1.0, max_steps: int = 20_000, value: str = "h", leaf: int = LEAF) -> DataFrame:
     """(ray, t, x, y, z, i, j): where rays (ray, ox, oy, oz, dx, dy, dz; km, unit directions) first meet the relief.
 
-    Rays that miss are left out. A ray is cut into steps inside the relief's box; steps meet their cells in an equi
-    join, the first change of side is a ray's bracket, and brackets are halved together until all are short.
+    Rays that miss are left out. A ray is looked at in steps inside the relief's box; the first change of side brackets
+    the hit, and brackets are halved until they are short. The steps come from a pyramid of least and greatest heights: it
+    is descended level by level, only where a ray's heights over a node meet the node's, since a ray that is above or below
+    all of a node cannot change sides there. Steps are taken inside the leaves that are left, each a block of cells that
+    RAYS rays share, so rows follow the nodes that rays meet. A leaf that most rays meet is as many rows as its
+    rays need.
     """
     if exaggeration <= 0 or step_cells <= 0:
         raise ValueError("exaggeration and step must be positive")
-    low, high = cells.agg(F.min(value), F.max(value)).first()
-    km = spec.metres_per_cell / 1000
-    half = (spec.width * km / 2, spec.height * km / 2)
+    km, width, height = spec.metres_per_cell / 1000, spec.width, spec.height
+    leaves = stored(tiles.blocks(cells, value, math.ceil(step_cells) + 2, leaf))
+    levels = pyramid(leaves, -(-width // leaf), -(-height // leaf))
+    low, high = leaves.agg(F.min("low"), F.max("high")).first()
+    half = (width * km / 2, height * km / 2)
     enter, leave = clipped((-half[0], low / 1000 * exaggeration, -half[1]), (half[0], high / 1000 * exaggeration, half[1]))
-    level = F.hypot("dx", "dz")
-    inside = rays.withColumns({"t0": enter, "t1": leave}).where("t0 is not null").withColumn("step", F.when(level > 1e-9, km * step_cells / level).otherwise(F.col("t1") - F.col("t0")))
+    flat = F.hypot("dx", "dz")
+    inside = rays.select(*RAY).withColumns({"t0": enter, "t1": leave}).where("t0 is not null").withColumn("step", F.when(flat > 1e-9, km * step_cells / flat).otherwise(F.col("t1") - F.col("t0")))
     steps = F.least(F.when(F.col("step") > 0, F.ceil((F.col("t1") - F.col("t0")) / F.col("step"))).otherwise(0), F.lit(max_steps)).cast("int")
-    marched = inside.select("*", F.explode(F.sequence(F.lit(0), steps)).alias("s")).withColumn("t", F.least(F.col("t0") + F.col("s") * F.col("step"), F.col("t1")))
-
-    def above(df: DataFrame, t: str, name: str) -> DataFrame:
-        """``df`` with how far the ray is above the relief at ``t``, a column of its own."""
-        i, j = spec.of_world(F.col("ox") + F.col("dx") * F.col(t), F.col("oz") + F.col("dz") * F.col(t))
-        read = bilinear(df.withColumns({"i": i, "j": j}), cells, spec.width, spec.height, value)
-        return read.withColumn(name, F.col("oy") + F.col("dy") * F.col(t) - F.col("sample") / 1000 * exaggeration).drop("sample", "i", "j")
-
-    whole = ["ray", "ox", "oy", "oz", "dx", "dy", "dz"]
-    along = Window.partitionBy("ray").orderBy("s")
-    f = above(marched.select(*whole, "s", "t"), "t", "f").withColumns({"fp": F.lag("f").over(along), "tp": F.lag("t").over(along)})
-    met = f.where((F.col("f") == 0) | (F.signum("fp") * F.signum("f") < 0))
-    first = met.groupBy(*whole).agg(F.min_by(F.struct("f", "t", "tp", "fp"), F.col("s")).alias("m"))
-    exact = F.col("m.f") == 0
-    state = stored(first.select(*whole, F.when(exact, F.col("m.t")).otherwise(F.col("m.tp")).alias("lo"), F.col("m.t").alias("hi"), F.when(exact, F.lit(0.0)).otherwise(F.col("m.fp")).alias("flo")))
-    longest = (F.col("hi") - F.col("lo")) * F.greatest(F.hypot("dx", "dz"), F.abs("dy"))
-    for _ in range(64):
-        wide = longest > refine_metres / 1000
-        if state.where(wide).isEmpty():
-            break
-        mid = above(state.where(wide).withColumn("mid", (F.col("lo") + F.col("hi")) / 2), "mid", "fm")
-        same = F.signum("fm") == F.signum("flo")
-        halved = mid.select(*whole, F.when(same | (F.col("fm") == 0), F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi")).otherwise(F.col("mid")).alias("hi"), "flo")
-        state = stored(halved.unionByName(state.where(~wide)))
-    hit = state.select("ray", *whole[1:], ((F.col("lo") + F.col("hi")) / 2).alias("t"))
-    x, z = F.col("ox") + F.col("dx") * F.col("t"), F.col("oz") + F.col("dz") * F.col("t")
-    i, j = spec.of_world(x, z)
-    placed = bilinear(hit.select("ray", "t", x.alias("x"), z.alias("z"), i.alias("i"), j.alias("j")), cells, spec.width, spec.height, value)
-    return placed.select("ray", "t", "x", (F.col("sample") / 1000 * exaggeration).alias("y"), "z", "i", "j")
+    top = len(levels) - 1
+    at = inside.select(*RAY, "t0", "t1", "step", steps.alias("steps"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    for level in range(top, -1, -1):
+        if level < top:
+            fan = F.sequence(F.lit(0), F.lit(FAN - 1))
+            at = at.withColumn("da", F.explode(fan)).withColumn("db", F.explode(fan)).withColumns({"a": F.col("a") * FAN + F.col("da"), "b": F.col("b") * FAN + F.col("db")}).drop("da", "db")
+        at = _crossing(at, leaf * FAN**level, spec, km)
+        near = at.join(levels[level], ["a", "b"])
+        heights = [F.col("oy") + F.col("dy") * F.col(t) for t in ("ta", "tb")]
+        scaled = lambda c: F.col(c) / 1000 * exaggeration
+        at = near.where((F.least(*heights) <= scaled("high") + 1e-9) & (F.greatest(*heights) >= scaled("low") - 1e-9)).drop("low", "high")
+    first = F.when(F.col("step") > 0, F.floor((F.col("ta") - F.col("t0")) / F.col("step"))).otherwise(0)
+    last = F.when(F.col("step") > 0, F.ceil((F.col("tb") - F.col("t0")) / F.col("step"))).otherwise(0)
+    spans = at.select(*RAY, "t0", "t1", "step", F.greatest(first, F.lit(0)).cast("int").alias("s0"), F.least(last, F.col("steps")).cast("int").alias("s1"), F.col("a").alias("ti"), F.col("b").alias("tj")).where("s0 <= s1")
+    spans = stored(spans)
+    many = spans.groupBy("ti", "tj").agg(F.ceil(F.count(F.lit(1)) / RAYS).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("ray"), F.col("parts"))
+    taken = spans.join(many, ["ti", "tj"]).groupBy("ti", "tj", part.alias("part")).agg(F.collect_list(F.struct(*RAY, "t0", "t1", "step", "s0", "s1")).alias("rays"))
+    met = taken.join(leaves, ["ti", "tj"]).select("rays", "i0", "j0", "width", "height", "data")
+    ray_type = rays.schema["ray"].dataType.simpleString()
+    hits = met.mapInArrow(_marched(spec, exaggeration, refine_metres / 1000), f"ray {ray_type}, s int, t double, x double, y double, z double, i double, j double")
+    return hits.groupBy("ray").agg(F.min_by(F.struct("t", "x", "y", "z", "i", "j"), F.struct("s", "t")).alias("m")).select("ray", "m.*")
+
+
+def _crossing(at: DataFrame, size: int, spec: GridSpec, km: float) -> DataFrame:
+    """Rays over a node (a, b) of so many cells' side: those that cross it, with the way (ta, tb) on which they do."""
+    ta, tb, misses = F.col("t0"), F.col("t1"), F.lit(False)
+    for n, o, d, cells_ in (("a", "ox", "dx", spec.width), ("b", "oz", "dz", spec.height)):
+        edge = lambda c: (c - (cells_ - 1) / 2) * km  # noqa: B023, E731
+        # The outermost nodes reach to the raster's edge, half a cell beyond its last centre.
+        low, high = edge(F.when(F.col(n) == 0, F.lit(-1.0)).otherwise(F.col(n) * float(size))), edge(F.least((F.col(n) + 1) * float(size), F.lit(float(cells_))))
+        still = F.abs(F.col(d)) < 1e-12
+        misses = misses | (still & ((F.col(o) < low) | (F.col(o) > high)))
+        safe = F.when(still, F.lit(1.0)).otherwise(F.col(d))
+        p, q = (low - F.col(o)) / safe, (high - F.col(o)) / safe
+        ta, tb = F.when(still, ta).otherwise(F.greatest(ta, F.least(p, q))), F.when(still, tb).otherwise(F.least(tb, F.greatest(p, q)))
+    return at.withColumns({"ta": ta, "tb": tb}).where(~misses & (F.col("ta") <= F.col("tb")))
+
+
+def _marched(spec: GridSpec, exaggeration: float, refine_km: float):
+    """Rays over a leaf's cells -> the first change of side of each, halved until it is short."""
+    km, width, height = spec.metres_per_cell / 1000, spec.width, spec.height
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i0, j0, w, h = (batch.column(k)[r].as_py() for k in range(1, 5))
+                ground = np.frombuffer(batch.column(5)[r].as_py()).reshape(h, w)
+                yield _first_in(batch.column(0)[r].values, ground, i0, j0)
+
+    def _first_in(rays: pa.StructArray, ground: np.ndarray, i0: int, j0: int) -> pa.RecordBatch:
+        c = {f.name: rays.field(f.name).to_numpy(zero_copy_only=False) for f in rays.type}
+        n = c["s1"] - c["s0"] + 1
+        ray = np.repeat(np.arange(len(n)), n)
+        s = np.arange(len(ray)) - np.repeat(np.cumsum(n) - n, n) + c["s0"][ray]
+
+        def surface(k: np.ndarray, t: np.ndarray):
+            x, z = c["ox"][k] + c["dx"][k] * t, c["oz"][k] + c["dz"][k] * t
+            i, j = x / km + (width - 1) / 2, z / km + (height - 1) / 2
+            u, v = np.clip(i, 0, width - 1), np.clip(j, 0, height - 1)
+            a, b = np.floor(u).astype(int), np.floor(v).astype(int)
+            fx, fy = u - a, v - b
+            a2, b2 = np.minimum(a + 1, width - 1) - i0, np.minimum(b + 1, height - 1) - j0
+            a, b = a - i0, b - j0
+            sample = (1 - fx) * (1 - fy) * ground[b, a] + fx * (1 - fy) * ground[b, a2] + (1 - fx) * fy * ground[b2, a] + fx * fy * ground[b2, a2]
+            return x, sample / 1000 * exaggeration, z, i, j
+
+        def above(k: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return c["oy"][k] + c["dy"][k] * t - surface(k, t)[1]
+
+        t = np.minimum(c["t0"][ray] + s * c["step"][ray], c["t1"][ray])
+        f = above(ray, t)
+        turns = f == 0
+        turns[1:] |= (ray[1:] == ray[:-1]) & (np.sign(f[1:]) * np.sign(f[:-1]) < 0)
+        at = np.flatnonzero(turns)
+        k, place = np.unique(ray[at], return_index=True)
+        at = at[place]
+        exact = f[at] == 0
+        lo, hi, side = np.where(exact, t[at], t[at - 1]), t[at], np.sign(f[at - 1])
+        longest = np.maximum(np.hypot(c["dx"][k], c["dz"][k]), np.abs(c["dy"][k]))
+        for _ in range(64):
+            wide = np.flatnonzero((hi - lo) * longest > refine_km)
+            if not len(wide):
+                break
+            mid = (lo[wide] + hi[wide]) / 2
+            m = np.sign(above(k[wide], mid))
+            same = m == side[wide]
+            lo[wide], hi[wide] = np.where(same | (m == 0), mid, lo[wide]), np.where(same, hi[wide], mid)
+        t = (lo + hi) / 2
+        x, y, z, i, j = surface(k, t)
+        return pa.RecordBatch.from_arrays([rays.field("ray").take(pa.array(k)), pa.array(s[at].astype(np.int32)), *[pa.array(v) for v in (t, x, y, z, i, j)]], names=["ray", "s", "t", "x", "y", "z", "i", "j"])
+
+    return run
 
 
 def occluded(markers: DataFrame, eye: tuple[float, float, float], cells: DataFrame, spec: GridSpec, exaggeration: float) -> DataFrame:
@@ -79,7 +167,7 @@ def occluded(markers: DataFrame, eye: tuple[float, float, float], cells: DataFra
     away = [F.col(a) - e for a, e in zip("xyz", eye)]
     far = F.sqrt(away[0] ** 2 + away[1] ** 2 + away[2] ** 2)
     aimed = markers.withColumn("far", far)
-    rays = aimed.where("far > 0").select(F.col("m").alias("ray"), *[F.lit(float(e)).alias(f"o{a}") for a, e in zip("xyz", eye)], *[(v / F.col("far")).alias(f"d{a}") for a, v in zip("xyz", away)])
+    rays = aimed.where("far > 0").select(F.col("m").alias("ray"), *[F.lit(float(e)).alias(f"o{a}") for a, e in zip("xyz", eye)], *[(v / F.when(F.col("far") > 0, F.col("far"))).alias(f"d{a}") for a, v in zip("xyz", away)])
     hits = first_hits(rays, cells, spec, exaggeration).select(F.col("ray").alias("m"), F.sqrt((F.col("x") - eye[0]) ** 2 + (F.col("y") - eye[1]) ** 2 + (F.col("z") - eye[2]) ** 2).alias("hit"))
     near = F.col("hit") < F.col("far") - F.greatest(F.lit(0.05), F.col("far") * 0.02)
     return aimed.join(hits, "m", "left").select("m", F.coalesce(near, F.lit(False)).alias("hidden"))
@@ -137,14 +225,17 @@ def shadows(cells: DataFrame, width: int, height: int, cell_km: float, sun: tupl
     return dealt.groupBy("ti", "tj").applyInPandas(march, "i long, j long, lit double")
 
 
-def normals(cells: DataFrame, cell_size: float, value: str = "h") -> DataFrame:
+def normals(cells: DataFrame, cell_size: float, value: str = "h", tile: int = tiles.TILE) -> DataFrame:
     """(i, j, nx, ny, nz): unit normals from central differences; at the edge the cell itself stands for what is missing."""
-    row, column = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
-    side = lambda f, w: F.coalesce(f(value).over(w), F.col(value))
-    p, q = (side(F.lag, row) - side(F.lead, row)) / (2 * cell_size), (side(F.lag, column) - side(F.lead, column)) / (2 * cell_size)
-    slopes = cells.select("i", "j", p.alias("p"), q.alias("q"))
-    length = F.sqrt(F.col("p") ** 2 + F.col("q") ** 2 + 1)
-    return slopes.select("i", "j", (F.col("p") / length).alias("nx"), (1 / length).alias("ny"), (F.col("q") / length).alias("nz"))
+
+    def work(b: tiles.Block) -> dict:
+        own = b.side(value, 0, 0)
+        west, east, north, south = (np.where(np.isnan(x := b.side(value, *to)), own, x) for to in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+        p, q = (west - east) / (2 * cell_size), (north - south) / (2 * cell_size)
+        length = np.sqrt(p**2 + q**2 + 1)
+        return {"nx": p / length, "ny": 1 / length, "nz": q / length}
+
+    return tiles.tiled(cells, [value], work, "nx double, ny double, nz double", tile=tile)
 
 
 def mesh_heights(points: DataFrame, vertices: DataFrame, mesh: tuple[int, int], size: tuple[int, int]) -> DataFrame:

@@ -26,15 +26,18 @@ _inside: set[str] = set()
 def shared_root(spark: SparkSession) -> str:
     """A folder of this session below ``spark.checkpoint.dir``; removed when the driver ends.
 
-    Where that is unset, a local session (tests) gets a temporary folder, any other one the warehouse, which the
-    whole cluster shares.
+    Where that is unset, a local session (tests) gets a temporary folder; any other one fails, since no folder is known
+    to be shared.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     app = context.applicationId
     if app not in _roots:
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="gridloom-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+            # A cluster in one machine's processes is a cluster all the same.
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
             context.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
         atexit.register(remove, spark, _roots[app])
@@ -85,6 +88,15 @@ def scratch(docs: DataFrame):
         _inside.discard(app)
 
 
+#: A side of a join is broadcast only when a count has shown it to be under this many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def skew_safe_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
     """Join ``rows`` with one row per key of ``groups`` although a key may hold a third of ``rows``.
 

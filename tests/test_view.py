@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gridloom import catalog
 from gridloom.functions import geo
 from gridloom.operators import hydro, validate, vectors, view
-from gridloom.operators.envelope import nearest_squares
 from gridloom.sources import files, rasters
 from gridloom.streaming import reducers
 
@@ -31,26 +30,94 @@ def bilinear(h, i, j):
     return top + (low - top) * (y - b)
 
 
-def test_envelope():
-    rng = np.random.default_rng(2)
-    for n in (1, 2, 7, 60):
-        x, g = np.cumsum(rng.integers(1, 4, n)).astype(float), rng.integers(0, 400, n).astype(float)
-        assert np.allclose(nearest_squares(x, g), ((x[:, None] - x) ** 2 + g).min(1))
+def noise(seed, height, width):
+    rng = np.random.default_rng(seed)
+    s = np.round(rng.normal(size=(height, width)) * 4) + 0.5
+    s[0, :] = s[-1, :] = s[:, 0] = s[:, -1] = -1.5
+    return s
+
+
+def field(spark, s):
+    return spark.createDataFrame([(i, j, float(s[j, i])) for j in range(s.shape[0]) for i in range(s.shape[1])], "i long, j long, s double")
+
+
+def lines(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.ring, r.place)):
+        out.setdefault(r.ring, []).append((r.x, r.y))
+    return out
+
+
+def walked(segments):
+    """Rings by walking from segment to segment, whichever way each runs."""
+    around, place = {}, {}
+    for r in segments:
+        around.setdefault(r.a, []).append(r.b)
+        around.setdefault(r.b, []).append(r.a)
+        place[r.a], place[r.b] = (r.ax, r.ay), (r.bx, r.by)
+    out, seen = {}, set()
+    for start in sorted(around):
+        if start in seen:
+            continue
+        chain, todo = {start}, [start]
+        while todo:
+            for n in around[todo.pop()]:
+                if n not in chain:
+                    chain.add(n)
+                    todo.append(n)
+        seen |= chain
+        if len(chain) < 3 or any(len(around[e]) != 2 for e in chain):
+            continue
+        order, before, at = [start], start, around[start][0]
+        while at != start:
+            order.append(at)
+            before, at = at, around[at][0] if around[at][0] != before else around[at][1]
+        p = [place[e] for e in order]
+        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) < 0:
+            p = p[:1] + p[:0:-1]
+        out[start] = p
+    return out
+
+
+@pytest.mark.parametrize("tile,edge", [(5, True), (3, False), (256, False)])
+def test_rings_by_walk(spark, tile, edge):
+    """Rings across tiles, their order, direction and measures; where the raster's edge cuts chains open, those are left out."""
+    s = noise(tile, 21, 26)
+    if edge:
+        s[0, :] = s[:, -1] = 2.5
+    segments = vectors.crossings(field(spark, s))
+    vertices, measures = vectors.rings(segments, tile)
+    want = walked(segments.collect())
+    assert lines(vertices.collect()) == want and len(want) > 10
+    for r in measures.collect():
+        p = want[r.ring]
+        assert r.n == len(p)
+        assert r.area == pytest.approx(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2)
+        assert r.length == pytest.approx(sum(math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(p, p[1:] + p[:1])))
+    top = max(want, key=lambda k: (sum(math.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(want[k], want[k][1:] + want[k][:1])), -k))
+    assert vectors.longest(measures).first().ring == top
+
+
+def test_a_ring_through_many_tiles(spark):
+    """One spiral-like comb: its pieces are far more than a round of doubling knows."""
+    s = np.full((40, 40), -1.0)
+    s[2:-2, 2:-2] = 1.0
+    for i in range(4, 36, 4):
+        s[2 : -6 if i % 8 else -2, i] = -1.0
+        s[6 if i % 8 == 0 else 2 : -2, i] = -1.0 if i % 8 == 0 else s[6 if i % 8 == 0 else 2 : -2, i]
+    segments = vectors.crossings(field(spark, s))
+    vertices, _ = vectors.rings(segments, 2)
+    assert lines(vertices.collect()) == walked(segments.collect())
 
 
 def test_rings_close_around_what_is_inside(spark):
-    rng = np.random.default_rng(5)
-    s = np.round(rng.normal(size=(18, 23)) * 4) + 0.5
-    s[0, :] = s[-1, :] = s[:, 0] = s[:, -1] = -1.5
-    df = spark.createDataFrame([(i, j, float(s[j, i])) for j in range(18) for i in range(23)], "i long, j long, s double")
-    found = vectors.rings(vectors.crossings(df)).collect()
+    s = noise(5, 18, 23)
+    df = field(spark, s)
+    found = lines(vectors.rings(vectors.crossings(df), 7)[0].collect())
     # Everything is closed since the rim is outside: every segment is in one ring.
-    assert sum(len(r.points) for r in found) == vectors.crossings(df).count()
+    assert sum(map(len, found.values())) == vectors.crossings(df).count()
     inside = np.zeros(s.shape, int)
-    for r in found:
-        p = [(q.x, q.y) for q in r.points]
-        assert sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) > 0
-        assert all(math.hypot(a[0] - b[0], a[1] - b[1]) < 1.5 for a, b in zip(p, p[1:] + p[:1]))
+    for p in found.values():
         for j in range(18):
             for i in range(23):
                 crossed = sum((a[1] > j) != (b[1] > j) and i < a[0] + (j - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(p, p[1:] + p[:1]))
@@ -58,21 +125,45 @@ def test_rings_close_around_what_is_inside(spark):
     assert ((inside % 2 == 1) == (s >= 0)).all()
 
 
-def test_simplified_rings_stay_near(spark):
+def simplified(p, tolerance):
+    """Splitting at the farthest vertex, by recursion."""
+    def split(line):
+        (ax, ay), (bx, by) = line[0], line[-1]
+        dx, dy = bx - ax, by - ay
+        far, at = -1.0, 0
+        for k, (x, y) in enumerate(line[1:-1], 1):
+            t = min(1, max(0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx * dx + dy * dy > 1e-18 else 0
+            d = math.hypot(x - ax - t * dx, y - ay - t * dy)
+            if d > far:
+                far, at = d, k
+        return split(line[: at + 1])[:-1] + split(line[at:]) if far > tolerance else [line[0], line[-1]]
+
+    if len(p) <= 3 or tolerance <= 0:
+        return set(p)
+    far = lambda k: max(range(len(p)), key=lambda q: (math.hypot(p[q][0] - p[k][0], p[q][1] - p[k][1]), -q))
+    a = far(0)
+    b = far(a)
+    line = p[a:] + p[: a + 1]
+    m = (b - a) % len(p)
+    kept = split(line[: m + 1])[:-1] + split(line[m:])[:-1]
+    return set(kept) if len(kept) >= 3 else set(p)
+
+
+@pytest.mark.parametrize("most", [4096, 6])
+def test_simplified_rings(spark, most):
+    """In one task each, and cut into parts of a few vertices over several rounds."""
     rng = random.Random(3)
-    circle = [(10 * math.cos(t / 50 * 2 * math.pi) + rng.random() * 0.2, 10 * math.sin(t / 50 * 2 * math.pi)) for t in range(50)]
-    rows = [(1, [{"x": x, "y": y} for x, y in circle]), (2, [{"x": x, "y": y} for x, y in [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]])]
-    df = spark.createDataFrame(rows, "ring long, points array<struct<x:double,y:double>>")
-    out = {r.ring: [(p.x, p.y) for p in r.points] for r in vectors.simplify(df, 0.5).collect()}
-    assert out[2] == [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)] and 3 <= len(out[1]) < 25 and set(out[1]) <= set(circle)
-    for x, y in circle:
-        d = []
-        for a, b in zip(out[1], out[1][1:] + out[1][:1]):
-            dx, dy = b[0] - a[0], b[1] - a[1]
-            t = min(1, max(0, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy)))
-            d.append(math.hypot(x - a[0] - t * dx, y - a[1] - t * dy))
-        assert min(d) <= 0.5
-    assert vectors.longest(df).first().ring == 1
+    shapes = {1: [(10 * math.cos(t / 90 * 2 * math.pi) + rng.random() * 0.7, 10 * math.sin(t / 90 * 2 * math.pi) + rng.random() * 0.7) for t in range(90)], 2: [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)], 3: [(float(k), 0.01 * (k % 2)) for k in range(40)], 4: [(rng.random() * 20, rng.random() * 20) for _ in range(60)]}
+    df = spark.createDataFrame([(r, k, *p, len(v)) for r, v in shapes.items() for k, p in enumerate(v)], "ring long, place long, x double, y double, n long")
+    got = vectors.simplify(df, 0.5, most)
+    rows = got.collect()
+    assert {r: {(q.x, q.y) for q in rows if q.ring == r} for r in shapes} == {r: simplified(p, 0.5) for r, p in shapes.items()}
+    for ring, p in lines(rows).items():
+        nexts = {(q.x, q.y): (q.to_x, q.to_y) for q in rows if q.ring == ring}
+        assert all(nexts[a] == b for a, b in zip(p, p[1:] + p[:1]))
+    for r in vectors.line_measures(got).collect():
+        p = lines(rows)[r.ring]
+        assert r.n == len(p) and r.area == pytest.approx(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2)
 
 
 def test_rays_by_march(spark):
