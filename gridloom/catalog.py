@@ -378,14 +378,15 @@ def sunrise_sunset(spark, d):
     return days.select("day", F.floor(micro(rise) / 100).cast("long").alias("rise"), F.floor(micro(fall) / 100).cast("long").alias("set"))
 
 
-@query(f"""WITH h AS (SELECT y, m, unnest(range(-96, 96)) AS h FROM (SELECT unnest([2024, 2025, 2026]) AS y), (SELECT unnest([6, 12]) AS m)), t AS (SELECT y, m, h, make_timestamp(y, m, 21, 12, 0, 0) + h * INTERVAL 1 HOUR AS ts FROM h),
+@query(f"""WITH h AS (SELECT y, m, unnest(range(-96, 96)) AS h FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE o_orderdate IS NOT NULL), (SELECT unnest([6, 12]) AS m)), t AS (SELECT y, m, h, make_timestamp(y, m, 21, 12, 0, 0) + h * INTERVAL 1 HOUR AS ts FROM h),
 a AS (SELECT y, m, h, {GAMMA} AS g FROM t), s AS (SELECT y, m, sum({DECL} * CASE WHEN m = 6 THEN 1 ELSE -1 END * cos(2 * pi() / 8760 * h)) AS c, sum({DECL} * CASE WHEN m = 6 THEN 1 ELSE -1 END * sin(2 * pi() / 8760 * h)) AS s FROM a GROUP BY y, m)
 SELECT CAST(y AS BIGINT) AS y, CAST(m AS BIGINT) AS m, CAST(floor(atan2(s, c) / (2 * pi() / 8760) + 0.5) AS BIGINT) AS hours FROM s""")
 def solstice(spark, d):
     import math
 
     w = 2 * math.pi / 8760
-    base = spark.range(6).select((2024 + F.floor(F.col("id") / 2)).alias("y"), F.when(F.col("id") % 2 == 0, 6).otherwise(12).cast("long").alias("m"))
+    years = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("y")).where("y is not null").distinct()
+    base = years.select("y", F.explode(F.array(F.lit(6).cast("long"), F.lit(12).cast("long"))).alias("m"))
     t = base.select("y", "m", F.explode(F.sequence(F.lit(-96), F.lit(95))).alias("h"))
     t = t.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.make_timestamp("y", "m", F.lit(21), F.lit(12), F.lit(0), F.lit(0))) + F.col("h") * 3600))
     decl = solar.series(solar.fractional_year(F.col("ts")), solar.DECLINATION) * F.when(F.col("m") == 6, 1).otherwise(-1)

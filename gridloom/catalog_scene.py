@@ -47,15 +47,18 @@ def mercator_pixels(spark, d):
 LAT = "degrees(atan(sinh(pi() * (1 - 2 * ({y}) / 262144.0))))"
 
 
-@query(f"SELECT 82048::DOUBLE AS x0, 145664::DOUBLE AS y0, 83072::DOUBLE AS x1, 146432::DOUBLE AS y1, {sql_whole(('west', '82048 / 262144.0 * 360 - 180'), ('south', LAT.format(y=146432)), ('east', '83072 / 262144.0 * 360 - 180'), ('north', LAT.format(y=145664)))}, true AS same, false AS other, 342::BIGINT AS coarse_width")
+GRIDS = "g AS (SELECT id, CAST(8 + id % 4 AS BIGINT) AS zoom, CAST(id * 37 % 40000 AS BIGINT) AS x, CAST(id * 91 % 40000 AS BIGINT) AS y, CAST(100 + id % 900 AS BIGINT) AS w, CAST(80 + id % 700 AS BIGINT) AS h, CAST(1 + id % 2 AS BIGINT) AS s FROM n), e AS (SELECT *, CAST(x + w * s AS DOUBLE) AS x1, CAST(y + h * s AS DOUBLE) AS y1, pow(2.0, zoom) * 256 AS px FROM g)"
+
+
+@query(NUMBERS + f", {GRIDS} SELECT id, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, x1, y1, {sql_whole(('west', 'x / px * 360 - 180'), ('south', 'degrees(atan(sinh(pi() * (1 - 2 * y1 / px))))'), ('east', 'x1 / px * 360 - 180'), ('north', 'degrees(atan(sinh(pi() * (1 - 2 * y / px))))'))}, id % 3 = 0 AS same, CAST(ceil(w / 3.0) AS BIGINT) AS coarse_width, CAST(y + ceil(h / 3.0) * s * 3 AS DOUBLE) AS coarse_bottom FROM e")
 def grid_extent(spark, d):
-    a, b = BASE.extent_pixels(), BASE.extent_degrees()
-    coarse = BASE.coarser(3)
-    finer = GridSpec(11, BASE.origin_x * 2, BASE.origin_y * 2, BASE.width * 2, BASE.height * 2)
-    moved = GridSpec(11, BASE.origin_x * 2 + 1, BASE.origin_y * 2, BASE.width * 2, BASE.height * 2)
-    return spark.range(1).select(
-        *[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), a)], *whole(*[(n, F.lit(v)) for n, v in zip(("west", "south", "east", "north"), b)]),
-        F.lit(BASE.same_ground(finer)).alias("same"), F.lit(BASE.same_ground(moved)).alias("other"), F.lit(coarse.width).cast("long").alias("coarse_width"))
+    """Extents of grids in two units, whether a grid of the next zoom covers the same ground, and a coarser grid of each."""
+    k = F.col("id")
+    whole_ = lambda c: c.cast("long")
+    g = geo.Grids(whole_(8 + k % 4), whole_(k * 37 % 40000), whole_(k * 91 % 40000), whole_(100 + k % 900), whole_(80 + k % 700), whole_(1 + k % 2))
+    finer = geo.Grids(g.zoom + 1, g.origin_x * 2 + k % 3, g.origin_y * 2, g.width * 2, g.height * 2, g.scale)
+    coarse = g.coarser(3)
+    return numbers(spark, d).select("id", *[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), g.extent_pixels())], *whole(*zip(("west", "south", "east", "north"), g.extent_degrees())), g.same_ground(finer).alias("same"), coarse.width.alias("coarse_width"), coarse.extent_pixels()[3].alias("coarse_bottom"))
 
 
 CELL_KM = f"({AROUND} / 262144.0 * cos(radians({LAT.format(y='145664 + 384')})) / 1000)"
@@ -80,11 +83,21 @@ def patch_maps(spark, d):
     return b.select("id", "bi", "bj", ((F.col("bi") - cx) / k - 0.5).alias("gi"), ((F.col("bj") - cy) / k - 0.5).alias("gj"), *[F.lit(v).alias(n) for n, v in names])
 
 
-@query("SELECT * FROM (VALUES ('image', 14::BIGINT, 1315328::BIGINT, 2331136::BIGINT, 768::BIGINT, 512::BIGINT), ('heights', 12, 328832, 582784, 192, 128), ('mosaic', 12, 328704, 582656, 512, 512), ('window', NULL, 128, 128, 192, 128)) v(name, zoom, x, y, width, height)")
+SITES = "r AS (SELECT id, id % 7 + 10 AS zf, id % 5 + 8 AS zc, CAST(1000 + id % 300 AS BIGINT) AS fx, CAST(1000 + id % 300 + id % 4 - CASE WHEN id % 50 = 0 THEN 9 ELSE 0 END AS BIGINT) AS fx1, CAST(900 + id % 200 AS BIGINT) AS fy, CAST(900 + id % 200 + id % 3 AS BIGINT) AS fy1 FROM n), t AS (SELECT *, pow(2, least(greatest(zf - zc, 0), 8)) AS f FROM r), c AS (SELECT *, CAST(floor(fx / f) AS BIGINT) AS cx, CAST(floor(fx1 / f) AS BIGINT) + id % 2 AS cx1, CAST(floor(fy / f) AS BIGINT) + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS cy, CAST(floor(fy1 / f) AS BIGINT) + 1 AS cy1 FROM t), h AS (SELECT *, CAST(floor(fx * 256 / f) AS BIGINT) AS hx, CAST(floor(fy * 256 / f) AS BIGINT) AS hy, CAST(floor((fx1 - fx + 1) * 256 / f) AS BIGINT) AS hw, CAST(floor((fy1 - fy + 1) * 256 / f) AS BIGINT) AS hh FROM c)"
+
+
+@query(NUMBERS + f""", {SITES}, p AS (SELECT *, CASE WHEN fx1 < fx OR fy1 < fy OR cx1 < cx OR cy1 < cy THEN 'invalid tile range' WHEN zf < zc OR zf - zc > 8 THEN 'zooms do not divide a tile' WHEN hx < cx * 256 OR hy < cy * 256 OR hx - cx * 256 + hw > (cx1 - cx + 1) * 256 OR hy - cy * 256 + hh > (cy1 - cy + 1) * 256 THEN 'the image is not covered' END AS problem FROM h)
+SELECT id, problem, fx * 256 AS image_x, (fx1 - fx + 1) * 256 AS image_width, hy AS heights_y, hh AS heights_height, cx * 256 AS mosaic_x, (cy1 - cy + 1) * 256 AS mosaic_height, CASE WHEN problem IS NULL THEN hx - cx * 256 END AS window_x, CASE WHEN problem IS NULL THEN hy - cy * 256 END AS window_y FROM p""")
 def site_windows(spark, d):
-    image, heights, mosaic, window = geo.site_grids((14, 5138, 5140, 9106, 9107), (12, 1284, 1285, 2276, 2277))
-    rows = [(n, g.zoom, g.origin_x, g.origin_y, g.width, g.height) for n, g in (("image", image), ("heights", heights), ("mosaic", mosaic))] + [("window", None, *window)]
-    return spark.createDataFrame(rows, "name string, zoom long, x long, y long, width long, height long")
+    """Image, heights and mosaic of sites given by their tile ranges, and what is wrong with those."""
+    k = F.col("id")
+    r = numbers(spark, d).select("id", (k % 7 + 10).cast("int").alias("zf"), (k % 5 + 8).cast("int").alias("zc"), (1000 + k % 300).alias("fx"), (1000 + k % 300 + k % 4 - F.when(k % 50 == 0, 9).otherwise(0)).alias("fx1"), (900 + k % 200).alias("fy"), (900 + k % 200 + k % 3).alias("fy1"))
+    down = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.least(F.greatest(F.col("zf") - F.col("zc"), F.lit(0)), F.lit(8))))
+    r = r.select("*", down("fx").alias("cx"), (down("fx1") + k % 2).alias("cx1"), (down("fy") + F.when(k % 11 == 0, 1).otherwise(0)).alias("cy"), (down("fy1") + 1).alias("cy1"))
+    w = geo.site_windows(tuple(map(F.col, ("zf", "fx", "fx1", "fy", "fy1"))), tuple(map(F.col, ("zc", "cx", "cx1", "cy", "cy1"))))
+    s = r.select("id", *[c.alias(n) for n, c in w.items()])
+    ok = F.col("problem").isNull()
+    return s.select("id", "problem", F.col("image.x").alias("image_x"), F.col("image.width").alias("image_width"), F.col("heights.y").alias("heights_y"), F.col("heights.height").alias("heights_height"), F.col("mosaic.x").alias("mosaic_x"), F.col("mosaic.height").alias("mosaic_height"), F.when(ok, F.col("window.x")).alias("window_x"), F.when(ok, F.col("window.y")).alias("window_y"))
 
 
 @query(with_tables("zones", " SELECT cls, CAST(floor((ceil(x0) - 0.5 + 0.5) / 3 - 0.5 + 0.5) AS BIGINT) AS i0, CAST(floor((ceil(y0) - 0.5 + 0.5) / 3 - 0.5 + 0.5) AS BIGINT) AS j0, CAST(ceil((floor(x1) + 0.5 + 0.5) / 3 - 0.5 - 0.5) AS BIGINT) AS i1, CAST(ceil((floor(y1) + 0.5 + 0.5) / 3 - 0.5 - 0.5) AS BIGINT) AS j1 FROM zones"))

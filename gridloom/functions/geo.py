@@ -179,3 +179,59 @@ def site_grids(fine: tuple, coarse: tuple) -> tuple[GridSpec, GridSpec, GridSpec
 def sdf_cell(i: Column, j: Column, size: tuple[int, int], sdf_size: tuple[int, int]) -> tuple[Column, Column]:
     """The same place on a distance raster of another size."""
     return (i + 0.5) * sdf_size[0] / size[0] - 0.5, (j + 0.5) * sdf_size[1] / size[1] - 0.5
+
+
+@dataclass(frozen=True)
+class Grids:
+    """Grids in columns, one a row: zoom, first pixel, cells and pixels a cell."""
+
+    zoom: Column
+    origin_x: Column
+    origin_y: Column
+    width: Column
+    height: Column
+    scale: Column
+
+    def coarser(self, factor: int) -> Grids:
+        """The same first pixel with cells of ``factor`` times the side, as many as cover the grid."""
+        cells = lambda c: F.ceil(c / factor)
+        return Grids(self.zoom, self.origin_x, self.origin_y, cells(self.width), cells(self.height), self.scale * factor)
+
+    def extent_pixels(self, zoom: Column | None = None) -> list[Column]:
+        """Left, top, right and bottom in pixels of the grid's zoom, or of another."""
+        k = F.pow(F.lit(2.0), (self.zoom if zoom is None else zoom) - self.zoom)
+        return [c * k for c in (self.origin_x, self.origin_y, self.origin_x + self.width * self.scale, self.origin_y + self.height * self.scale)]
+
+    def extent_degrees(self) -> list[Column]:
+        """West, south, east and north."""
+        left, top, right, bottom = self.extent_pixels()
+        n = F.pow(F.lit(2.0), self.zoom) * TILE
+        lon, lat = (lambda x: x / n * 360 - 180), (lambda y: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n)))))
+        return [lon(left), lat(bottom), lon(right), lat(top)]
+
+    def same_ground(self, other: Grids, tolerance: float = 0.5) -> Column:
+        """Whether both cover the same ground, to half a pixel of the finer zoom."""
+        zoom = F.greatest(self.zoom, other.zoom)
+        out = F.lit(True)
+        for a, b in zip(self.extent_pixels(zoom), other.extent_pixels(zoom)):
+            out = out & (F.abs(a - b) <= tolerance)
+        return out
+
+
+def site_windows(fine: tuple[Column, ...], coarse: tuple[Column, ...]) -> dict[str, Column]:
+    """What follows from tile ranges (zoom, x0, x1, y0, y1) of a site's image and heights: ``image``, ``heights`` and
+    ``mosaic`` grids as structs, the heights' ``window`` in the mosaic, and ``problem``, null where there is none.
+    """
+    grid = lambda z, x, y, w, h: F.struct(z.alias("zoom"), x.cast("long").alias("x"), y.cast("long").alias("y"), w.cast("long").alias("width"), h.cast("long").alias("height"))
+    of = lambda r: (r[1] * TILE, r[3] * TILE, (r[2] - r[1] + 1) * TILE, (r[4] - r[3] + 1) * TILE)
+    bad = lambda r: (r[1] < 0) | (r[3] < 0) | (r[2] < r[1]) | (r[4] < r[3])
+    step = fine[0] - coarse[0]
+    # A tile's side is 2**8 pixels, so zooms up to eight apart divide it.
+    apart = (step < 0) | (step > 8)
+    factor = F.pow(F.lit(2.0), F.least(F.greatest(step, F.lit(0)), F.lit(8)))
+    image, mosaic = of(fine), of(coarse)
+    heights = [F.floor(c / factor) for c in image]
+    x, y = heights[0] - mosaic[0], heights[1] - mosaic[1]
+    beyond = (x < 0) | (y < 0) | (x + heights[2] > mosaic[2]) | (y + heights[3] > mosaic[3])
+    problem = F.when(bad(fine) | bad(coarse), "invalid tile range").when(apart, "zooms do not divide a tile").when(beyond, "the image is not covered")
+    return {"image": grid(fine[0], *image), "heights": grid(coarse[0], *heights), "mosaic": grid(coarse[0], *mosaic), "window": grid(F.lit(None).cast("int"), x, y, heights[2], heights[3]), "problem": problem}

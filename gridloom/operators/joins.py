@@ -87,29 +87,40 @@ def value_at(samples: DataFrame, targets: DataFrame, step: float) -> DataFrame:
     return best.select("tid", "at", F.when(first, F.col("s.e0")).otherwise(F.col("s.e0") + (F.col("s.e1") - F.col("s.e0")) * f).alias("elevation"))
 
 
-#: Segments in one piece of a line.
-PIECE = 32
+#: Segments in a box of the lowest level, and boxes in one of the next.
+PIECE, FAN = 16, 8
 
 
 def nearest_on_line(line: DataFrame, targets: DataFrame) -> DataFrame:
     """For targets (id, tid, px, py) the nearest segment of their own line (tid, k, x, y): (id, k, d2).
 
-    A line is cut into pieces of PIECE segments with their bounding boxes. A target meets the boxes first; only pieces
-    no farther than the nearest box is at its farthest have their segments looked at. Of equally near ones the first counts.
+    A line's segments lie in boxes of PIECE, those in boxes of FAN, and so on up to one box a line. Targets descend level
+    by level: of the boxes below those that are left, those stay that are no farther than the nearest one is at its
+    farthest. So a target meets some FAN boxes a level, and the segments of a few boxes. Of equally near ones the first
+    counts.
     """
     w = Window.partitionBy("tid").orderBy("k")
-    seg = line.select("tid", "k", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.floor((F.row_number().over(w) - 1) / PIECE).alias("piece")).where("x1 is not null")
+    seg = line.select("tid", "k", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.floor((F.row_number().over(w) - 1) / PIECE).alias("box")).where("x1 is not null")
     seg = stored(seg)
     low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
-    boxes = seg.groupBy("tid", "piece").agg(low("x", "x1").alias("l"), high("x", "x1").alias("r"), low("y", "y1").alias("t"), high("y", "y1").alias("b"))
-    met = targets.join(boxes, "tid")
+    sides = [f("x", "x1") if n in "lr" else f("y", "y1") for n, f in (("l", low), ("r", high), ("t", low), ("b", high))]
+    levels = [stored(seg.groupBy("tid", "box").agg(*[c.alias(n) for n, c in zip("lrtb", sides)]))]
+    most = levels[0].agg(F.max("box")).first()[0] or 0
+    while most > 0:
+        up = levels[-1].groupBy("tid", F.floor(F.col("box") / FAN).alias("box")).agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("t").alias("t"), F.max("b").alias("b"))
+        levels.append(stored(up))
+        most //= FAN
     out = lambda p, a, b: F.greatest(F.col(a) - F.col(p), F.col(p) - F.col(b), F.lit(0.0))
     across = lambda p, a, b: F.greatest(F.abs(F.col(p) - F.col(a)), F.abs(F.col(p) - F.col(b)))
     square = lambda f: F.pow(f("px", "l", "r"), F.lit(2)) + F.pow(f("py", "t", "b"), F.lit(2))
-    bounded = stored(met.select("id", "tid", "px", "py", "piece", square(out).alias("least"), square(across).alias("most")))
-    limit = bounded.groupBy("id").agg(F.min("most").alias("limit"))
-    near = bounded.join(limit, "id").where(F.col("least") <= F.col("limit") * (1 + 1e-12)).select("id", "tid", "px", "py", "piece")
-    met = near.join(seg, ["tid", "piece"])
+    near = targets.select("id", "tid", "px", "py", F.lit(0).cast("long").alias("box"))
+    for boxes in levels[-2::-1]:
+        below = boxes.select("tid", F.floor(F.col("box") / FAN).alias("up"), "box", "l", "r", "t", "b")
+        met = near.withColumnRenamed("box", "up").join(below, ["tid", "up"]).select("id", "tid", "px", "py", "box", square(out).alias("least"), square(across).alias("most"))
+        met = stored(met)
+        limit = met.groupBy("id").agg(F.min("most").alias("limit"))
+        near = met.join(limit, "id").where(F.col("least") <= F.col("limit") * (1 + 1e-12)).select("id", "tid", "px", "py", "box")
+    met = near.join(seg, ["tid", "box"])
     dx, dy = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / length))).otherwise(0.0)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +33,104 @@ def nearest_marker(taps: DataFrame, markers: DataFrame, radius: float) -> DataFr
 def clusters(markers: DataFrame, radius: float) -> DataFrame:
     """(label, members, x, y, spread) of markers (m, x, y) that a chain of steps shorter than the radius joins.
 
-    The spread is the largest distance of two members. It is that of two corners of the members' convex hull, so
-    pairs are those of the extreme members in each of 64 directions, and then of what the best pair leaves possible.
+    The spread is the largest distance of two members: two corners of their convex hull. Hulls merge, so each task sends
+    those of the members that it has.
     """
     points = checkpointed(markers.select(F.col("m").alias("id"), "x", "y"))
     near = proximity_edges(points, radius, strict=True)
     named = labels(points.select(F.col("id").alias("node")), checkpointed(near)).withColumnRenamed("node", "id")
     grouped = checkpointed(points.join(named, "id"))
     middle = grouped.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return middle.join(_spread(grouped), "label")
-
-
-def _spread(grouped: DataFrame) -> DataFrame:
-    """(label, spread): exact. Points of each column of pixels that are neither its highest nor its lowest cannot be in the
-    farthest pair, so what is compared of a cluster grows with its width alone."""
-    ends = grouped.groupBy("label", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    a = ends.select("label", "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
-    b = a.select("label", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return a.join(b, "label").groupBy("label").agg(F.max(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).alias("spread"))
+    return middle.join(spreads(grouped), "label")
+
+
+#: Points that are held before they are reduced to their hulls.
+HELD = 1 << 16
+
+
+def hull(p: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points (n, 2), counter-clockwise; of a line its two ends."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+    halves = []
+    for side in (p, p[::-1]):
+        kept: list = []
+        for x, y in side.tolist():
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (y - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (x - kept[-2][0]):
+                kept.pop()
+            kept.append((x, y))
+        halves += kept[:-1]
+    return np.array(halves)
+
+
+def diameter(corners: np.ndarray) -> float:
+    """The largest distance of two corners of a convex polygon, by calipers that turn around it once."""
+    n = len(corners)
+    if n < 3:
+        return float(np.hypot(*(corners[-1] - corners[0])))
+    c, best, far = corners.tolist(), 0.0, 1
+    away = lambda a, b, q: abs((b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]))
+    for k in range(n):
+        a, b = c[k], c[(k + 1) % n]
+        while away(a, b, c[(far + 1) % n]) > away(a, b, c[far]):
+            far = (far + 1) % n
+        # The next corner too: where an edge is parallel to this one, both ends of it may be the farthest.
+        best = max(best, *[math.hypot(p[0] - q[0], p[1] - q[1]) for p in (a, b) for q in (c[far], c[(far + 1) % n])])
+    return best
+
+
+def _hulls(batches):
+    """(label, x, y) -> the corners of the hulls of this task's points of each label."""
+    held, size = {}, 0
+
+    def sent():
+        rows = [(k, p) for k, parts in held.items() for p in hull(np.concatenate(parts)).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([p[0] for _, p in rows], pa.float64()), pa.array([p[1] for _, p in rows], pa.float64())], names=["label", "x", "y"])
+
+    for b in batches:
+        label, p = b.column(0).to_numpy(), np.stack([b.column(k).cast(pa.float64()).to_numpy() for k in (1, 2)], 1)
+        order = np.argsort(label, kind="stable")
+        names, starts = np.unique(label[order], return_index=True)
+        for name, part in zip(names.tolist(), np.split(p[order], starts[1:])):
+            held.setdefault(name, []).append(part)
+        size += len(label)
+        if size > HELD:
+            yield sent()
+            held, size = {}, 0
+    yield sent()
+
+
+def _diameters(batches):
+    """(label, x, y), sorted by label -> (label, spread)."""
+    label, parts, size = None, [], 0
+
+    def spread():
+        return pa.RecordBatch.from_arrays([pa.array([label], pa.int64()), pa.array([diameter(hull(np.concatenate(parts)))])], names=["label", "spread"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names, p = b.column(0).to_numpy(), np.stack([b.column(k).to_numpy() for k in (1, 2)], 1)
+        found, starts = np.unique(names, return_index=True)
+        for name, part in zip(found.tolist(), np.split(p, starts[1:])):
+            if parts and name != label:
+                yield spread()
+                parts, size = [], 0
+            label = name
+            parts.append(part)
+            size += len(part)
+            if size > HELD:
+                parts = [hull(np.concatenate(parts))]
+                size = len(parts[0])
+    if parts:
+        yield spread()
+
+
+def spreads(grouped: DataFrame) -> DataFrame:
+    """(label, spread) of points (label, x, y): hulls by task, hulls of hulls by label, and the calipers."""
+    local = grouped.select("label", "x", "y").mapInArrow(_hulls, "label long, x double, y double")
+    return local.repartition("label").sortWithinPartitions("label").mapInArrow(_diameters, "label long, spread double")
 
 
 def declutter(rects: DataFrame, keys: list[str], order: str, gap: float) -> DataFrame:
