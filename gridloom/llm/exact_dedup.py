@@ -142,8 +142,8 @@ def _one_kept(out: DataFrame) -> DataFrame:
     again = stored(out.where(is_keep & (F.col("group_size") > 1)).groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.max("group_size").alias("group_size")).where("n > 1"))
     if again.isEmpty():
         return out.select("doc_id", "keep_id", "group_size", is_keep.alias("kept"), "text_sha256")
-    keys = again.select("text_sha256").withColumn("_twice", F.lit(True))
-    marked = out.join(keys, "text_sha256", "left").withColumn("_twice", F.coalesce("_twice", F.lit(False)) & is_keep)
+    keys = again.select("text_sha256", F.col("group_size").alias("_size"), F.lit(True).alias("_twice"))
+    marked = skew_safe_join(out, keys, ["text_sha256"], "_size", again.agg(F.sum("group_size")).first()[0]).withColumn("_twice", F.coalesce("_twice", F.lit(False)) & is_keep)
     single = marked.where(~F.col("_twice")).select("doc_id", "keep_id", "group_size", is_keep.alias("kept"), "text_sha256")
     twice = again.select("doc_id", F.col("doc_id").alias("keep_id"), "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("k") == 1).alias("kept"), "text_sha256")
     return single.unionByName(twice)

@@ -53,13 +53,16 @@ def line_dedup(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hashed = stored(plain.select(*row_key, host.alias("_host"), F.array_distinct(F.transform(F.filter(lines, lambda x: trimmed(x) != ""), key)).alias("_keys")))
     total = hashed.count()
-    hosts = hashed.groupBy("_host").agg(F.count(F.lit(1)).alias("_host_pages")).withColumnRenamed("_host", "_h")
+    # A null host is a key too.
+    of_host = F.when(F.col("_host").isNull(), "\n").otherwise(F.concat("_host", F.lit("\n\n"))).alias("_of")
+    hosts = hashed.groupBy(of_host).agg(F.count(F.lit(1)).alias("_host_pages"))
     places = hashed.select("_u", "_v", "_host", F.explode("_keys").alias("_key"))
     # A line's key holds its host, so one exchange counts it; its host comes along for the ratio.
     counts = places.groupBy("_key").agg(F.count(F.lit(1)).alias("_line_pages"), F.first("_host").alias("_host")).where(F.col("_line_pages") >= min_pages)
-    boiler = stored(
-        counts.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).where(F.col("_line_pages") > max_ratio * F.col("_host_pages")).select("_key", "_line_pages")
-    )
+    counts = stored(counts.select("_key", "_line_pages", of_host))
+    sized = counts.groupBy("_of").agg(F.count(F.lit(1)).alias("_lines")).join(hosts, "_of")
+    judged = skew_safe_join(counts, sized, ["_of"], "_lines", counts.count(), "inner")
+    boiler = stored(judged.where(F.col("_line_pages") > max_ratio * F.col("_host_pages")).select("_key", "_line_pages"))
     hit = skew_safe_join(places.select("_u", "_v", "_key"), boiler, ["_key"], "_line_pages", total, "inner")
     drops = hit.groupBy("_u", "_v").agg(F.collect_set("_key").alias("_drops"))
     joined = plain.withColumns({"_u": row_key[0], "_v": row_key[1]}).join(drops, ["_u", "_v"], "left")

@@ -31,7 +31,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import column_of, components, give_back, maybe_broadcast, numbered, pick, skew_safe_join, stored
@@ -430,14 +430,16 @@ def _named(classes: DataFrame) -> tuple[DataFrame, int]:
 
 def _groups(signed: DataFrame, threshold: Fraction) -> DataFrame:
     """(node, root): sets connected by pairs that share a signature and can be similar by size and sketch."""
-    bucket = Window.partitionBy("s")
     entries = signed.where(F.col("sketch").isNotNull()).select("node", F.explode("signatures").alias("s"))
-    shared = entries.select("s", F.col("node").alias("v"), F.min("node").over(bucket).alias("u"), F.count(F.lit(1)).over(bucket).alias("sharers"))
-    shared = stored(shared.where(F.col("sharers") > 1))
+    buckets = stored(entries.groupBy("s").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("sharers")).where(F.col("sharers") > 1))
+    total = max(buckets.agg(F.coalesce(F.sum("sharers"), F.lit(0))).first()[0], 1)
+    shared = stored(skew_safe_join(entries.select("s", F.col("node").alias("v")), buckets, ["s"], "sharers", total, "inner"))
     light = signed.where(F.col("sketch").isNotNull()).select("node", F.col("n_shingles").alias("size"), "sketch")
     of = lambda c: light.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
-    pairs = shared.where(F.col("u") != F.col("v")).select("u", "v").distinct()
-    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
+    pairs = stored(shared.where(F.col("u") != F.col("v")).select("u", "v").distinct())
+    # The smallest set of many buckets is in many pairs.
+    firsts = of("u").join(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n_pairs")), "u")
+    both = skew_safe_join(pairs, firsts, ["u"], "n_pairs", max(pairs.count(), 1), "inner").join(of("v"), "v").select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
     judged = stored(both.mapInArrow(_judged(threshold), "u long, v long, ok boolean"))
     # Buckets of three or more in which the smallest set cannot be similar to another one.
     several = shared.where(F.col("sharers") > 2)

@@ -35,6 +35,8 @@ THRESHOLD = 0.7
 STEPS, RIDGE = 12, 1e-3
 #: The prior is read at cuts with this share of the positives above them, at least; scores fall into BINS.
 LEAST_SHARE, BINS = 0.5, 400
+#: Tasks' sums that are added together, 1.2 MB each, in as many levels as it takes.
+FAN_IN = 32
 SYMBOLS = b"!|#$%&*.,;:-_/\\<>=@+"
 
 
@@ -177,7 +179,7 @@ def _partial(model: Model, w: np.ndarray):
                 part = sums_of(model.design(stats), batch.column(0).to_numpy() == 1, w)
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
     return run
 
@@ -222,9 +224,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
         return Model(np.zeros((N_CURVES, len(KNOTS))), 0.5, np.zeros(size_of_design()))
     model = Model(np.array([found[k] for k in range(N_CURVES)], float), 0.5, np.zeros(size_of_design()))
 
+    tasks = stats.rdd.getNumPartitions()
+
     def sums(w: np.ndarray) -> np.ndarray:
-        parts = stats.mapInArrow(_partial(model, w), "part int, sums binary").groupBy("part").applyInArrow(_added, "part int, sums binary")
-        return sum(np.frombuffer(r[0]) for r in parts.select("sums").collect())  # 32 rows at most
+        parts, left = stats.mapInArrow(_partial(model, w), "part int, sums binary"), tasks
+        while left > FAN_IN:
+            parts = parts.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInArrow(_added, "part int, sums binary")
+            left = -(-left // FAN_IN)
+        return sum(np.frombuffer(r[0]) for r in parts.select("sums").collect())  # FAN_IN rows at most
 
     model.weights = minimise(sums, size_of_design(), None)
     counts = np.zeros((2, BINS), np.int64)

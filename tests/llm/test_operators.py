@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on whole small tables and on awkward rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -219,6 +220,28 @@ def test_line_dedup(spark, docs, awkward, empty):
 # 4 exact dedup
 
 
+def test_line_dedup_of_hot_hosts_and_lines(spark):
+    """A third of all rows from one host, and as many from none; one line on all of their pages."""
+    rows = [(k, f"menu\nown {k}\nrare {k % 40}", (None, "hot", f"h{k % 9}")[k % 3]) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pages, lines = Counter(r[2] for r in rows), Counter((r[2], x) for r in rows for x in set(r[1].split("\n")))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    for k, text, host in rows:
+        assert got[k] == "\n".join(x for x in text.split("\n") if not (lines[host, x] >= line_dedup.MIN_PAGES and lines[host, x] > line_dedup.MAX_RATIO * pages[host]))
+
+
+def test_exact_dedup_of_a_hot_text_with_repeated_ids(spark):
+    rows = [(k % 50 if k % 3 else 7, "the same text" if k % 3 == 0 else f"text {k % 60}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_dedup(df).collect()
+    sizes, best = Counter(t for _, t in rows), {}
+    for d, t in rows:
+        best[t] = max(best.get(t, d), d)
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
+    assert Counter((r.doc_id, r.keep_id, r.group_size, sha[r.text_sha256]) for r in got) == Counter((d, best[t], sizes[t], t) for d, t in rows)
+    assert Counter(sha[r.text_sha256] for r in got if r.kept) == Counter(dict.fromkeys(sizes, 1)) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(3)
     for n, span in ((0, 10), (1, 1 << 64), (1, 7), (50, 50), (5000, 1 << 61), (300, 1 << 12)):
@@ -619,6 +642,14 @@ def test_pu_risk_by_brute_force():
             assert np.abs((f(v + d)[2] - f(v - d)[2]) / (2 * e) - f(v)[3][k]).max() < 1e-5
 
 
+def test_sums_are_added_in_levels(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    whole = quality.train_quality(docs.repartition(7), labels)
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    split = quality.train_quality(docs.repartition(7), labels)
+    assert np.allclose(whole.weights, split.weights) and whole.prior == split.prior
+
+
 def test_prior():
     rng = np.random.default_rng(1)
     y = rng.random(20000) < 0.6
