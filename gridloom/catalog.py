@@ -260,23 +260,23 @@ def flow_d8(spark, d):
 
 @query(with_tables("grid tilted", D8.format(g="tilted") + ACC + " SELECT src, acc FROM acc"))
 def flow_accumulation(spark, d):
-    return hydro.accumulation(flow(spark, d))
+    return hydro.accumulation(flow(spark, d), 64)
 
 
 @query(with_tables("grid tilted", D8.format(g="tilted") + ACC + " SELECT src, terminal FROM term"))
 def flow_terminals(spark, d):
-    return hydro.flow_terminals(flow(spark, d))
+    return hydro.flow_terminals(flow(spark, d), 64)
 
 
 @query(with_tables("grid tilted", D8.format(g="tilted") + ACC + " SELECT terminal, count(*) AS n_cells, any_value(acc.acc) AS outlet_acc FROM term JOIN acc ON acc.src = term.terminal GROUP BY terminal ORDER BY outlet_acc DESC, terminal LIMIT 8"))
 def basin_labels(spark, d):
     g = flow(spark, d)
-    return hydro.basins(hydro.flow_terminals(g), hydro.accumulation(g))
+    return hydro.basins(hydro.flow_terminals(g, 64), hydro.accumulation(g, 64))
 
 
 @query(with_tables("grid tilted", D8.format(g="tilted") + ACC + " SELECT CAST(acc AS DOUBLE) AS threshold FROM (SELECT acc, row_number() OVER (ORDER BY acc DESC) AS n, count(*) OVER () AS total FROM acc) WHERE n = ceil(total * 0.05)"))
 def river_threshold(spark, d):
-    return hydro.river_threshold(hydro.accumulation(flow(spark, d)), 0.05)
+    return hydro.river_threshold(hydro.accumulation(flow(spark, d), 64), 0.05)
 
 
 @query()

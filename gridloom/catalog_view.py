@@ -118,7 +118,7 @@ def flow_routing(spark, d):
     surface = hydro.checkpointed(hydro.routing(cells, filled, minimal, found, members, 64))
     graph = hydro.checkpointed(hydro.edges(hydro.d8(surface, "z"), 64))
     inside = cells.where(F.col("i").between(4, 59)).select((F.col("j") * 64 + F.col("i")).alias("src"))
-    basins, labels = hydro.outlets(hydro.flow_terminals(graph), hydro.accumulation(graph), inside, found, members)
+    basins, labels = hydro.outlets(hydro.flow_terminals(graph, 64), hydro.accumulation(graph, 64), inside, found, members)
     sizes = labels.groupBy("basin").agg(F.count(F.lit(1)).alias("labelled"))
     return sizes.join(basins.withColumnRenamed("id", "basin"), "basin", "left").select("basin", "labelled", "terminal", "outlet", "outlet_acc", "n_cells", "kind")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ranks import at_ranks
-from gridloom.plans.iterate import checkpointed, labels, terminals, upstream_counts
+from gridloom.plans.iterate import checkpointed, labels, terminals, upstream_counts, upstream_sums
 from gridloom.plans.shared import skew_safe_join
 
 #: Fixed values: (code, di, dj).
@@ -41,12 +41,91 @@ def edges(directions: DataFrame, width: int) -> DataFrame:
     return directions.select(src.alias("src"), (src + step).alias("dst"))
 
 
-def accumulation(graph: DataFrame) -> DataFrame:
-    return upstream_counts(graph)
+#: Cells of a side of the tiles in which water is followed before it leaves them.
+FLOW_TILE = 256
 
 
-def flow_terminals(graph: DataFrame) -> DataFrame:
-    return terminals(graph)
+def _in_tiles(graph: DataFrame, width: int, tile: int) -> DataFrame:
+    """Cells (src, dst, further columns) with their tile."""
+    return graph.withColumns({"ti": F.floor(F.pmod("src", F.lit(width)) / tile), "tj": F.floor(F.floor(F.col("src") / width) / tile)})
+
+
+def _followed(src, dst, weight):
+    """For each cell of a tile: the number of its last cell inside, and the weights that drain through it inside; by doubling."""
+    import numpy as np
+
+    order = np.argsort(src)
+    at = order[np.minimum(np.searchsorted(src[order], dst), len(src) - 1)]
+    here = src[at] == dst
+    to = np.where(here, at, np.arange(len(src)))
+    acc, jump, flows = weight.copy(), to.copy(), here.copy()
+    end = to
+    for _ in range(64):
+        if not flows.any():
+            return end, acc
+        k = np.flatnonzero(flows)
+        # What lies 2**n steps up is added once: a cell that has arrived adds no more.
+        acc = acc + np.bincount(jump[k], acc[k], len(src)).astype(np.int64)
+        end = end[end]
+        flows = flows & flows[jump]
+        jump = jump[jump]
+    raise ValueError("the graph has a cycle")
+
+
+def _local(table):
+    import numpy as np
+    import pyarrow as pa
+
+    src, dst = table.column("src").to_numpy(), table.column("dst").fill_null(-1).to_numpy()
+    end, acc = _followed(src, dst, np.ones(len(src), np.int64))
+    out = dst[end]
+    return pa.table({"src": pa.array(src), "last": pa.array(src[end]), "exit": pa.array(out, mask=out < 0), "acc": pa.array(acc)})
+
+
+def _drained(table):
+    import pyarrow as pa
+
+    src = table.column("src").to_numpy()
+    _, acc = _followed(src, table.column("dst").fill_null(-1).to_numpy(), table.column("weight").to_numpy())
+    return pa.table({"src": pa.array(src), "acc": pa.array(acc)})
+
+
+def _borders(graph: DataFrame, width: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(local, entries): each cell's last cell inside its tile, the cell that it goes on to in another one, and what drains
+    through it inside (src, last, exit, acc); and the cells that water enters a tile by, with the same columns and ``inflow``.
+
+    A cell whose exit is its own tile's would be a cycle; it fails.
+    """
+    local = checkpointed(_in_tiles(graph.select("src", "dst"), width, tile).groupBy("ti", "tj").applyInArrow(_local, "src long, last long, exit long, acc long"))
+    inflow = local.where((F.col("src") == F.col("last")) & F.col("exit").isNotNull()).groupBy(F.col("exit").alias("src")).agg(F.sum("acc").alias("inflow"))
+    return local, checkpointed(local.join(inflow, "src"))
+
+
+def accumulation(graph: DataFrame, width: int | None = None, tile: int = FLOW_TILE) -> DataFrame:
+    """(src, acc): the cells that drain through each cell of a flow graph (src, dst or null), itself included.
+
+    With the raster's width, water is followed inside tiles first. What is left is a graph of the cells by which water
+    enters a tile, summed by doubling; a second pass over the tiles adds what enters. So rounds move the tiles' borders.
+    """
+    if width is None:
+        return upstream_counts(graph)
+    _, entries = _borders(graph, width, tile)
+    entered = upstream_sums(entries.select("src", F.col("exit").alias("dst"), F.col("inflow").alias("acc")))
+    loaded = graph.select("src", "dst").join(entered, "src", "left").select("src", "dst", (F.coalesce("acc", F.lit(0)) + 1).alias("weight"))
+    return _in_tiles(loaded, width, tile).groupBy("ti", "tj").applyInArrow(_drained, "src long, acc long")
+
+
+def flow_terminals(graph: DataFrame, width: int | None = None, tile: int = FLOW_TILE) -> DataFrame:
+    """(src, terminal): where each cell's water ends. With the raster's width by tiles and their borders, as accumulation."""
+    if width is None:
+        return terminals(graph)
+    local, entries = _borders(graph, width, tile)
+    ends = terminals(entries.select("src", F.col("exit").alias("dst"))).select(F.col("src").alias("exit"), F.col("terminal").alias("entry"))
+    # The last entry's water ends where it ends inside its own tile.
+    last = checkpointed(ends.join(entries.select(F.col("src").alias("entry"), F.col("last").alias("terminal")), "entry").select("exit", "terminal"))
+    times = local.groupBy("exit").agg(F.count(F.lit(1)).alias("n")).where("exit is not null").join(last, "exit")
+    out, within = local.where("exit is not null"), local.where("exit is null").select("src", F.col("last").alias("terminal"))
+    return skew_safe_join(out.select("src", "exit"), checkpointed(times), ["exit"], "n", max(local.count(), 1), "inner").select("src", "terminal").unionByName(within)
 
 
 def basins(ends: DataFrame, acc: DataFrame, top: int = TOP_BASINS) -> DataFrame:

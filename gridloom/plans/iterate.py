@@ -23,11 +23,16 @@ def terminals(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def upstream_counts(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """For each node the nodes that drain through it, itself included: rows (src, acc).
+    """For each node the nodes that drain through it, itself included: rows (src, acc)."""
+    return upstream_sums(edges.select("src", "dst", F.lit(1).cast("long").alias("acc")), max_rounds)
 
-    Doubling: after k rounds acc counts what lies up to 2**k - 1 steps upstream, and ``to`` is 2**k steps down.
+
+def upstream_sums(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """For each node of a functional forest (src, dst or null, acc) the sum of what drains through it, its own included: rows (src, acc).
+
+    Doubling: after k rounds acc sums what lies up to 2**k - 1 steps upstream, and ``to`` is 2**k steps down.
     """
-    s = checkpointed(edges.select("src", F.col("dst").alias("to"), F.lit(1).cast("long").alias("acc")))
+    s = checkpointed(edges.select("src", F.col("dst").alias("to"), "acc"))
     for _ in range(max_rounds):
         flowing = s.where(F.col("to").isNotNull())
         if flowing.isEmpty():

@@ -76,3 +76,32 @@ def test_spill_levels_by_both_ways(spark, seed):
     graph = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "u long, v long, w double")
     for small in (1 << 20, 0):
         assert {r.label: r.level for r in hydro.spill_levels(graph, small).collect()} == want
+
+
+# Flow
+
+
+@pytest.mark.parametrize("tile,seed", [(3, 1), (4, 2), (1, 3), (256, 4)])
+def test_flow_by_tiles(spark, tile, seed):
+    """Accumulation and ends on a relief with pits, by following every cell; a long winding river crosses many tiles."""
+    rng = np.random.default_rng(seed)
+    n, m = 17, 23
+    h = np.round(rng.random((n, m)) * 50) + np.arange(n)[:, None] * 3
+    for j in range(0, n, 2):  # a channel that winds from row to row
+        h[j, 1:-1] = -100 - j * 30 - (np.arange(m - 2) if j % 4 == 0 else np.arange(m - 2)[::-1])
+        if j + 2 < n:
+            h[j + 1, -2 if j % 4 == 0 else 1] = -100 - j * 30 - 25
+    graph = hydro.edges(hydro.d8(relief(spark, h)), m).cache()
+    to = {r.src: r.dst for r in graph.collect()}
+    acc, ends = dict.fromkeys(to, 0), {}
+    for c in to:
+        at = c
+        while True:
+            acc[at] += 1
+            if to[at] is None:
+                break
+            at = to[at]
+        ends[c] = at
+    assert {r.src: r.acc for r in hydro.accumulation(graph, m, tile).collect()} == acc and max(acc.values()) > 100
+    assert {r.src: r.terminal for r in hydro.flow_terminals(graph, m, tile).collect()} == ends
+    assert {r.src: r.acc for r in hydro.accumulation(graph).collect()} == acc
