@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom.functions import text
-from gridloom.operators import raster, validate, vectors
+from gridloom.operators import kinds, raster, schema, validate, vectors
 from gridloom.plans.shared import shared_root
 from gridloom.registry import ORACLE_SQL, query
-from gridloom.sources import files, rasters
+from gridloom.sources import datasets, files, rasters
 from gridloom.sources.tables import SQL, grid, height, table, with_tables
 
 #: Rows of the grid in one file.
@@ -155,3 +155,64 @@ def licence_gate(spark, d):
     k = F.col("n_nationkey")
     licence = F.when(k % 4 == 0, "CC BY-SA 4.0").when(k % 4 == 1, "All rights reserved").otherwise("CC0")
     return table(spark, d, "nation").select(k.alias("id"), licence.alias("licence")).select("id", text.licence_ok(F.col("licence")).alias("allowed"))
+
+
+@query("""WITH p AS (SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, c_custkey AS k FROM customer)
+SELECT nation, 'places[' || n || '].id' AS path, 'has another form' AS problem FROM p WHERE k % 10 = 9 OR k = 0 UNION ALL SELECT nation, 'places[' || n || '].lastrevid', 'is not a number' FROM p WHERE k % 12 = 5 UNION ALL SELECT nation, 'places[' || n || '].note', 'is unknown' FROM p WHERE k % 14 = 3
+UNION ALL SELECT nation, 'places[' || n || '].label.es', 'is missing' FROM p WHERE k % 16 = 7 UNION ALL SELECT nation, 'places[' || n || '].coordinates', 'is not an object' FROM p WHERE k % 18 = 11 UNION ALL SELECT DISTINCT nation, 'license', 'is not text' FROM p WHERE nation % 5 = 0""")
+def document_problems(spark, d):
+    """A document of records for each nation, and every rule that it breaks, with its path."""
+    k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    label = F.when(k % 16 == 7, '{"en":null}').otherwise('{"es":"uno","en":null}')
+    item = F.concat(
+        F.lit('{"id":"'), F.when(k % 10 == 9, "x").otherwise("Q"), s, F.lit('","lastrevid":'), F.when(k % 12 == 5, '"7"').otherwise(s), F.when(k % 14 == 3, ',"note":1').otherwise(""), F.lit(',"url":'), F.to_json(F.struct("c_name")),
+        F.lit(',"label":'), label, F.lit(',"description":{"es":null,"en":"one"},"coordinates":'), F.when(k % 18 == 11, "[1.5,2]").otherwise('{"lat":-23.5,"lon":-65,"precision":null}'), F.lit(',"eswiki":null}'))
+    item = F.regexp_replace(item, r'"url":\{"c_name":("[^"]*")\}', '"url":$1')
+    listed = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("item")))).alias("listed"))
+    places = F.array_join(F.transform("listed", lambda x: x["item"]), ",")
+    content = F.concat(F.lit('{"license":'), F.when(F.col("nation") % 5 == 0, "3").otherwise('"CC0"'), F.lit(',"places":['), places, F.lit("]}"))
+    return schema.document_problems(listed.select("nation", content.alias("content")), kinds.RAW_PLACES, "nation")
+
+
+def _grid_json(zoom: int, width: int, height: int, times: int = 1) -> dict:
+    return {"zoom": zoom, "originPx": [1024 * times, 2048 * times], "width": width * times, "height": height * times, "scale": 1}
+
+
+def _entries(manifest) -> dict:
+    return {r.name: {"file": r.name, "bytes": r.bytes, "sha256": r.sha256} for r in manifest.collect()}  # a handful of layers
+
+
+def _put(spark, at, name: str, value: dict) -> None:
+    rasters.written(spark.createDataFrame([(name, bytearray(files.document_text(value).encode()))], "name string, content binary"), at)
+
+
+@query(with_tables("grid", " SELECT i, j, h % 9 AS dir, CASE WHEN h - 700 <= 1 THEN 1000 ELSE CAST(floor(pow(2, floor(log2(CAST(h - 700 AS DOUBLE)) * 256 + 0.5) / 256) * 1000 + 0.5) AS BIGINT) END AS acc FROM grid WHERE j >= 40"))
+def flow_dataset(spark, d):
+    """A flow dataset written from the grid and loaded again by its document: two of its three layers, some of its rows."""
+    g, at = grid(spark, d), folder(spark)
+    rows = height(g)
+    whole = lambda name, v, encoding: files.encoded(g.select(F.lit(name).alias("name"), "i", "j", v.alias("v")), encoding, 64, rows)
+    made = whole("flow-dir.bin", F.col("h") % 9, "uint8").unionByName(whole("flow-acc.bin", raster.log_code(F.col("h") - 700), "uint16-le")).unionByName(whole("flow-basins.bin", F.col("h") % 5, "uint8"))
+    basin = {"id": 1, "kind": "abierta", "cells": 1, "outletAcc": 1, "outletDepartmentIndex": 1, "outlet": [0, 0], "outletLonLat": [0, 0], "terminal": [0, 0], "terminalLonLat": [0, 0]}
+    _put(spark, at, "flow.json", {"schemaVersion": kinds.VERSIONS["flow"], "pipelineVersion": 1, "grid": _grid_json(10, 64, rows), "files": _entries(rasters.written(made, at)), "basins": [basin], "riverAcc": 9, "sources": {"attribution": "a"}})
+    cells = datasets.flow(spark, at, ["dir", "acc"], "40:").cells
+    return cells.select("i", "j", "dir", F.floor(F.col("acc") * 1000 + 0.5).cast("long").alias("acc"))
+
+
+@query(with_tables("grid", " SELECT h % 17 AS department, coalesce('dep ' || (h % 17), 'none') AS name, count(*) AS cells, CAST(sum(h - 1000) AS BIGINT) AS metres, CAST(sum(least(greatest(h // 8 - 120, -128), 127)) AS BIGINT) AS sdf FROM grid WHERE h % 17 > 0 GROUP BY h % 17"))
+def terrain_dataset(spark, d):
+    """A terrain with departments, written from the grid and loaded by its documents: heights and distances by name."""
+    g, at = grid(spark, d), folder(spark)
+    rows = height(g)
+    whole = lambda name, v, encoding: files.encoded(g.select(F.lit(name).alias("name"), "i", "j", v.alias("v")), encoding, 64, rows)
+    made = whole("heights.bin", F.col("h") - 1000, "int16-le").unionByName(whole("index.bin", F.col("h") % 17, "uint8")).unionByName(whole("sdf.bin", F.floor(F.col("h") / 8) - 120, "int8"))
+    e = _entries(rasters.written(made, at))
+    image = {"file": "image.jpg", "bytes": 1, "sha256": "0", "grid": _grid_json(11, 64, rows, 2)}
+    own = {"grid": _grid_json(10, 64, rows)}
+    level = {"heights": e["heights.bin"] | own, "satellite": image, "departments": {"index": e["index.bin"] | own, "sdf": e["sdf.bin"], "provinceBBoxGrid": [0, 0, 63, rows - 1]}}
+    _put(spark, at, "terrain.json", {"schemaVersion": kinds.VERSIONS["terrain"], "pipelineVersion": 1, "levels": {"default": level, "high": level}, "sources": {"attribution": "a"}})
+    _put(spark, at, "departments.json", {"schemaVersion": kinds.VERSIONS["departments"], "attribution": "a", "departments": [{"index": k, "name": f"dep {k}"} for k in range(1, 17)]})
+    known = datasets.departments(spark, at)
+    cells = datasets.terrain(spark, at, "default", ["height", "department", "sdf"]).cells
+    sums = cells.groupBy("department").agg(F.count(F.lit(1)).alias("cells"), F.sum("height").alias("metres"), F.sum("sdf").alias("sdf"))
+    return sums.join(known.records.withColumnRenamed("index", "department"), "department").select("department", "name", "cells", "metres", "sdf")

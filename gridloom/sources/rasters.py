@@ -7,8 +7,9 @@ parts that count; whatever an attempt that failed left behind is in no part that
 parts of the tasks that had ended by then. No content passes the driver, whose share grows with tasks, not with files.
 
 Reading. ``spark.read.format("gridloom").load(folder)`` gives the cells (name, i, j, v) of the rasters in the manifest.
-A file is cut into ranges of rows of about PART_BYTES, a task each. Filters on ``name`` and ``j`` are pushed down: files
-and ranges that they refuse are neither opened nor planned. Content is kept in blocks with a checksum each, so a range is
+A file is cut into ranges of rows of about PART_BYTES, a task each. The options ``names`` and ``rows`` choose files and
+rows: others are neither opened nor planned. (They are options and no pushed filters, since Spark keeps what one query
+pushed for the next one that uses the same DataFrame.) Content is kept in blocks with a checksum each, so a range is
 checked without reading the rest of its file.
 
 Paths are those of pyarrow's file systems (local, hdfs, s3, gs, abfs); another scheme fails.
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Encodings of raster files: how numpy reads their cells.
 ENCODINGS = {"int16-le": "<i2", "uint16-le": "<u2", "uint8": "u1", "int8": "i1", "float32-le": "<f4"}
@@ -149,24 +150,16 @@ class Rows(InputPartition):
     high: int
 
 
+def _range(option: str | None) -> tuple[int, int]:
+    """``low:high`` as numbers, either of which may be left out; the high one is not included."""
+    low, high = (option or ":").split(":")
+    return int(low or 0), int(high or 1 << 62)
+
+
 class Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder, self.names, self.low, self.high = folder, None, 0, 1 << 62
-
-    def pushFilters(self, filters):
-        """Takes equality and lists of names, and ranges of rows; the rest is left to Spark."""
-        for f in filters:
-            column, value = getattr(f, "attribute", ()), getattr(f, "value", None)
-            if column == ("name",) and isinstance(f, (EqualTo, In)):
-                chosen = {value} if isinstance(f, EqualTo) else set(value)
-                self.names = chosen if self.names is None else self.names & chosen
-            elif column == ("j",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high = min(self.high, value + (not isinstance(f, LessThan)))
-            else:
-                yield f
+    def __init__(self, folder: str, names: list[str] | None = None, rows: tuple[int, int] = (0, 1 << 62)):
+        self.folder, self.names = folder, None if names is None else set(names)
+        self.low, self.high = rows
 
     def partitions(self):
         system, base = _system(self.folder)
@@ -222,7 +215,8 @@ class Source(DataSource):
         return CELLS
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"])
+        names = self.options.get("names")
+        return Reader(self.options["path"], None if names is None else json.loads(names), _range(self.options.get("rows")))
 
     def writer(self, schema, overwrite: bool) -> Writer:
         if overwrite:
@@ -233,9 +227,77 @@ class Source(DataSource):
         return Writer(self.options["path"], names)
 
 
+@dataclass
+class Lines(InputPartition):
+    """Rows of a raster."""
+
+    low: int
+    high: int
+
+
+class LayerReader(DataSourceReader):
+    """Layers of one raster, each a file with an encoding of its own, read side by side in ranges of rows."""
+
+    def __init__(self, folder: str, layers: list[dict], width: int, height: int, rows: tuple[int, int] = (0, 1 << 62)):
+        self.folder, self.layers, self.width, self.height = folder, layers, width, height
+        self.low, self.high = max(rows[0], 0), min(rows[1], height)
+
+    def partitions(self):
+        line = self.width * sum(np.dtype(ENCODINGS[x["encoding"]]).itemsize for x in self.layers)
+        step = max(1, PART_BYTES // max(line, 1))
+        return [Lines(k, min(k + step, self.high)) for k in range(self.low, self.high, step)] or [Lines(0, 0)]
+
+    def read(self, p: Lines):
+        system, base = _system(self.folder)
+        step = max(1, BATCH_CELLS // max(self.width, 1))
+        for low in range(p.low, p.high, step):
+            high = min(low + step, p.high)
+            j, i = np.divmod(np.arange(low * self.width, high * self.width), self.width)
+            columns = {"i": i, "j": j}
+            for x in self.layers:
+                kind = np.dtype(ENCODINGS[x["encoding"]])
+                with system.open_input_file(f"{base}/{x['file']}") as f:
+                    if f.size() != x["bytes"]:
+                        raise ValueError(f"{x['file']} is {f.size()} bytes, its manifest says {x['bytes']}")
+                    data = f.read_at((high - low) * self.width * kind.itemsize, low * self.width * kind.itemsize)
+                v = np.frombuffer(data, kind)
+                columns[x["name"]] = v.astype(float) if kind.kind == "f" else v.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+class LayerSource(DataSource):
+    """Options: path, width, height, and layers, a JSON list of name, file, encoding and bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gridloom-layers"
+
+    def _layers(self) -> list[dict]:
+        return json.loads(self.options["layers"])
+
+    def schema(self) -> str:
+        return ", ".join(["i long", "j long", *[f"{x['name']} {'double' if x['encoding'].startswith('float') else 'long'}" for x in self._layers()]])
+
+    def reader(self, schema) -> LayerReader:
+        return LayerReader(self.options["path"], self._layers(), int(self.options["width"]), int(self.options["height"]), _range(self.options.get("rows")))
+
+
+def layers(spark: SparkSession, folder: str, listed: list[dict], width: int, height: int, rows: str = ":") -> DataFrame:
+    """(i, j, a column for each layer) of rasters of one grid: files (name, file, encoding, bytes) in a folder.
+
+    A file whose size is not that of its grid, or not the one that its manifest says, fails. Only the layers that are
+    listed are opened, and only ``rows`` (low:high) of them read.
+    """
+    for x in listed:
+        size = np.dtype(ENCODINGS[x["encoding"]]).itemsize
+        if x["bytes"] != size * width * height:
+            raise ValueError(f"{x['file']}: {x['bytes']} bytes are not {width} x {height} cells of {size}")
+    return registered(spark).read.format("gridloom-layers").option("width", width).option("height", height).option("rows", rows).option("layers", json.dumps(listed)).load(folder)
+
+
 def registered(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(Source)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(LayerSource)
     return spark
 
 
@@ -261,6 +323,7 @@ def manifest(spark: SparkSession, folder: str, columns=None) -> DataFrame:
     return spark.read.schema(schema).json([f"{folder.rstrip('/')}/{PARTS}/{p}" for p in parts]).drop("blocks")
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, i, j, v) of all rasters of a folder's committed manifest."""
-    return registered(spark).read.format("gridloom").load(folder)
+def cells(spark: SparkSession, folder: str, names: list[str] | None = None, rows: str = ":") -> DataFrame:
+    """(name, i, j, v) of the rasters of a folder's committed manifest: all, or the named ones, and ``rows`` (low:high) of each."""
+    reader = registered(spark).read.format("gridloom").option("rows", rows)
+    return (reader if names is None else reader.option("names", json.dumps(names))).load(folder)

@@ -36,18 +36,18 @@ def test_round_trip_in_parts(spark, tmp_path, monkeypatch):
     assert there(rasters.cells(spark, at)) == want | extra
 
 
-def test_ranges_and_names_are_pushed_down(spark, tmp_path):
+def test_names_and_rows_are_chosen_before_anything_is_read(spark, tmp_path):
     at = str(tmp_path / "f")
     cells, want = grid(spark, ["a", "b", "c"])
     rasters.written(files.encoded(cells, "int16-le", 7, 11), at)
-    reader = rasters.Reader(at)
-    left = list(reader.pushFilters([rasters.In(("name",), ("a", "c")), rasters.GreaterThan(("j",), 2), rasters.LessThanOrEqual(("j",), 5), rasters.EqualTo(("i",), 1)]))
-    assert left == [rasters.EqualTo(("i",), 1)]
-    assert sorted((p.name, p.low, p.high) for p in reader.partitions()) == [("a", 3, 6), ("c", 3, 6)]
-    df = rasters.cells(spark, at).where("name in ('a', 'c') and j > 2 and j <= 5 and i = 1")
-    assert there(df) == {k: v for k, v in want.items() if k[0] in "ac" and 2 < k[2] <= 5 and k[1] == 1}
-    assert there(rasters.cells(spark, at).where("j = 4")) == {k: v for k, v in want.items() if k[2] == 4}
-    assert there(rasters.cells(spark, at).where("name = 'x'")) == {} and there(rasters.cells(spark, at).where("j < 0 or j >= 11")) == {}
+    assert sorted((p.name, p.low, p.high) for p in rasters.Reader(at, ["a", "c"], (3, 6)).partitions()) == [("a", 3, 6), ("c", 3, 6)]
+    df = rasters.cells(spark, at, ["a", "c"], "3:6")
+    assert there(df) == {k: v for k, v in want.items() if k[0] in "ac" and 2 < k[2] <= 5}
+    # The same DataFrame under one filter, another and none.
+    every = rasters.cells(spark, at)
+    assert there(every.where("j = 4")) == {k: v for k, v in want.items() if k[2] == 4} and there(every.where("name = 'b' and i < 2")) == {k: v for k, v in want.items() if k[0] == "b" and k[1] < 2}
+    assert there(every) == want and there(rasters.cells(spark, at, ["x"])) == {} == there(rasters.cells(spark, at, rows="11:"))
+    assert there(rasters.cells(spark, at, rows="-3:1")) == {k: v for k, v in want.items() if k[2] == 0}
 
 
 def test_a_large_file_is_read_by_many_tasks_in_checked_blocks(spark, tmp_path, monkeypatch):
