@@ -68,7 +68,8 @@ def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration:
     inside = rays.select(*RAY).withColumns({"t0": enter, "t1": leave}).where("t0 is not null").withColumn("step", F.when(flat > 1e-9, km * step_cells / flat).otherwise(F.col("t1") - F.col("t0")))
     steps = F.least(F.when(F.col("step") > 0, F.ceil((F.col("t1") - F.col("t0")) / F.col("step"))).otherwise(0), F.lit(max_steps)).cast("int")
     top = len(levels) - 1
-    at = inside.select(*RAY, "t0", "t1", "step", steps.alias("steps"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    # Written: else every level's conditions would hold the expressions of the box again.
+    at = stored(inside.select(*RAY, "t0", "t1", "step", steps.alias("steps"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
     for level in range(top, -1, -1):
         if level < top:
             fan = F.sequence(F.lit(0), F.lit(FAN - 1))
