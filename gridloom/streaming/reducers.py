@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.streaming import folds
+from gridloom.streaming import folds, streams
 
 SHADOW_DEGREES = 0.25
 FLING_MS = 120.0
 
 
-def _ordered(events: DataFrame, key: str, *fields: str) -> DataFrame:
-    return events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", *fields))).alias("e"))
-
-
 def loading_status(events: DataFrame) -> DataFrame:
     """(key, status) after all events (key, n, event), from ``idle``; events out of order change nothing."""
     return folds.folded(events, folds.loading(), "string").withColumnRenamed("result", "status")
@@ -44,20 +41,29 @@ def recomputed(requests: DataFrame) -> DataFrame:
     """(key, n) of the requests (key, n, azimuth, elevation, exaggeration, final) that are not covered by the last one done.
 
     One is covered by work of the same or better quality with the same exaggeration, the sun having moved by less
-    than SHADOW_DEGREES.
+    than SHADOW_DEGREES. A key's requests pass through one task in order; none of them is held.
     """
-    zero = F.struct(F.lit(None).cast("double").alias("az"), F.lit(None).cast("double").alias("el"), F.lit(None).cast("double").alias("ex"), F.lit(None).cast("boolean").alias("final"), F.expr("cast(array() as array<bigint>)").alias("done"))
-
-    def step(s: Column, e: Column) -> Column:
-        a, b, c, d = F.radians(s["el"]), F.radians(e["elevation"]), F.radians(s["az"]), F.radians(e["azimuth"])
-        dot = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(c - d)
-        near = F.degrees(F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))) < SHADOW_DEGREES
-        covered = F.coalesce((s["final"] | ~e["final"]) & (s["ex"] == e["exaggeration"]) & near, F.lit(False))
-        done = F.struct(e["azimuth"].cast("double").alias("az"), e["elevation"].cast("double").alias("el"), e["exaggeration"].cast("double").alias("ex"), e["final"].alias("final"), F.concat(s["done"], F.array(e["n"])).alias("done"))
-        return F.when(covered, s).otherwise(done)
-
-    folded = _ordered(requests, "key", "azimuth", "elevation", "exaggeration", "final").select("key", F.aggregate("e", zero, step)["done"].alias("d"))
-    return folded.select("key", F.explode("d").alias("n"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rule = streams.Suppressed(SHADOW_DEGREES)
+    kind = to_arrow_type(requests.schema["key"].dataType)
+
+    def run(batches):
+        key, state, begun = None, None, False
+        for batch in batches:
+            done = []
+            for k, n, *event in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or k != key:
+                    key, state, begun = k, rule.begin(event), True
+                new = rule.step(state, tuple(event))
+                if new[-1] > state[-1]:
+                    done.append((k, n))
+                state = new
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.int64())], names=["key", "n"])
+
+    columns = [F.col(c).cast("double").alias(c) for c in rule.columns[:3]]
+    ordered = requests.select("key", F.col("n").cast("long").alias("n"), *columns, "final").repartition("key").sortWithinPartitions("key", "n", *rule.columns)
+    return ordered.mapInArrow(run, f"key {requests.schema['key'].dataType.simpleString()}, n long")
 
 
 def round_robin(items: DataFrame, frame: Column, batch: int = 4) -> DataFrame:
