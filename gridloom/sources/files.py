@@ -11,6 +11,7 @@ import json
 import struct
 import time
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -95,14 +96,19 @@ def binary(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "content")
 
 
-def image_pixels(files: DataFrame, size: tuple[int, int] | None = None, decode=png_pixels) -> DataFrame:
-    """(name, i, j, r, g, b, a) of image files (name, content); an image of another size (width, height) fails. Gray is r = g = b."""
+def image_pixels(files: DataFrame, size: tuple[int, int] | Callable[[str], tuple[int, int]] | None = None, decode=png_pixels) -> DataFrame:
+    """(name, i, j, r, g, b, a) of image files (name, content); an image of another size (width, height) fails. Gray is r = g = b.
+
+    ``size`` may be a function of the name.
+    """
+    size_of = size if callable(size) else lambda name: size
 
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
                 p = decode(bytes(content))
                 h, w, c = p.shape
+                size = size_of(name)
                 if size and (w, h) != size:
                     raise ValueError(f"{name}: {w} x {h} pixels, not {size[0]} x {size[1]}")
                 p = np.repeat(p, 3, axis=2) if c == 1 else p
@@ -113,7 +119,7 @@ def image_pixels(files: DataFrame, size: tuple[int, int] | None = None, decode=p
     return files.select("name", "content").mapInPandas(run, "name string, i long, j long, r long, g long, b long, a long")
 
 
-def heights(files: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
+def heights(files: DataFrame, size: tuple[int, int] | Callable[[str], tuple[int, int]] | None = None) -> DataFrame:
     """(name, i, j, h): metres of elevation images."""
     return image_pixels(files, size).select("name", "i", "j", metres(F.col("r"), F.col("g"), F.col("b")).alias("h"))
 
@@ -225,14 +231,16 @@ def batches_of(items: list, size: int = 20) -> list[list]:
 # Sinks
 
 
-def encoded(cells: DataFrame, encoding: str, width: int, height: int) -> DataFrame:
+def encoded(cells: DataFrame, encoding: str, width: int, height: int | Callable[[str], int]) -> DataFrame:
     """(name, content, encoding, width, height) of rasters (name, i, j, v), a file each; a missing cell fails.
 
-    Integers are rounded half up and kept in their range.
+    Integers are rounded half up and kept in their range. ``height`` may be a function of the name.
     """
     kind = np.dtype(ENCODINGS[encoding])
+    rows_of = height if callable(height) else lambda name: height
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        height = rows_of(key[0])
         if len(pdf) != width * height:
             raise ValueError(f"{key[0]}: {len(pdf)} cells, not {width} x {height}")
         v = pdf.sort_values(["j", "i"])["v"].to_numpy(float)
