@@ -125,7 +125,8 @@ def source_label(title: Column, publisher: Column) -> Column:
 
 
 def byte_size(n: Column, digits: int = 1) -> Column:
-    mib, kib = F.format_string(f"%.{digits}f MiB", n / F.lit(1048576.0)), F.format_string("%.1f KiB", n / F.lit(1024.0))
+    """Bytes with their unit; a tie goes to the even digit, as in C's printf, where Java's goes up."""
+    mib, kib = (F.format_string(f"%.{k}f {unit}", F.bround(n / F.lit(size), k)) for k, unit, size in ((digits, "MiB", 1048576.0), (1, "KiB", 1024.0)))
     return F.when(n >= 1048576, mib).when(n >= 1024, kib).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 

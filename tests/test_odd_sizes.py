@@ -31,3 +31,10 @@ def short(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["int16_files", "layer_files", "manifest_written", "terrarium_images"])
 def test_last_strip(spark, short, name):
     same(spark, name, short, ["embeddings"])
+
+
+def test_sizes_in_bytes(spark, tmp_path):
+    # 256 * 997 bytes are 249.25 KiB, and 3328 * 997 bytes lie beside a tie of MiB.
+    spark.range(0, 4200).selectExpr("id AS page_id", "'' AS url", "'' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = same(spark, "string_rules", str(tmp_path), ["pages"])
+    assert len(rows) == 4200
