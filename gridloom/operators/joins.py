@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.geo import KM_PER_DEGREE, planar_km
-from gridloom.plans.shared import stored
+from gridloom.plans.shared import skew_safe_join, stored
 
 
 def buckets(low: Column, high: Column, size: float) -> Column:
@@ -55,18 +55,26 @@ def nearest_named(points: DataFrame, sites: DataFrame, pattern: str, radius_km:
     """(id, name): the nearest site within the radius whose name matches; else the fallback.
 
     Sites are listed under the latitude and longitude buckets around them. A latitude bucket is one radius high; a
-    longitude bucket is one radius wide at the point farthest from the equator, and at 89.9 degrees beyond that.
+    longitude bucket is one radius wide at the point farthest from the equator, and at 89.9 degrees beyond that. Places
+    meet, not their copies: points of one place are looked up once, and of the sites of one place only the first counts.
     """
     size = radius_km / KM_PER_DEGREE
     far = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     wide = size / math.cos(math.radians(min(far, 89.9)))
-    near = sites.where(F.col("name").rlike(pattern)).select("site", "name", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
+    near = sites.where(F.col("name").rlike(pattern)).groupBy(F.col("lon").alias("slon"), F.col("lat").alias("slat")).agg(F.min(F.struct("site", "name")).alias("s")).select("s.*", "slon", "slat")
     around = lambda c, s: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / s) + d)
     near = near.select("*", F.explode(around("slon", wide)).alias("bx")).select("*", F.explode(around("slat", size)).alias("by"))
-    p = points.withColumns({"bx": F.floor(F.col("lon") / wide), "by": F.floor(F.col("lat") / size)})
+    places = points.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("copies"))
+    p = places.withColumns({"bx": F.floor(F.col("lon") / wide), "by": F.floor(F.col("lat") / size)})
     km = planar_km(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
-    found = p.join(near, ["bx", "by"]).withColumn("km", km).where(F.col("km") <= radius_km).groupBy("id").agg(F.min_by("name", F.struct("km", "site")).alias("name"))
-    return points.select("id").join(found, "id", "left").select("id", F.coalesce("name", F.lit(fallback)).alias("name"))
+    found = p.join(near, ["bx", "by"]).withColumn("km", km).where(F.col("km") <= radius_km).groupBy("lon", "lat").agg(F.min_by("name", F.struct("km", "site")).alias("name"))
+    named = at_places(points.select("id", "lon", "lat"), places.join(found, ["lon", "lat"], "left"), ["lon", "lat"])
+    return named.select("id", F.coalesce("name", F.lit(fallback)).alias("name"))
+
+
+def at_places(rows: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their place (``keys``); ``copies`` counts its rows, of which it may have any share."""
+    return skew_safe_join(rows, stored(places), keys, "copies", rows.count()).drop("copies")
 
 
 def value_at(samples: DataFrame, targets: DataFrame, step: float) -> DataFrame:
