@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geo, solar, text
 from gridloom.functions.geo import GridSpec, micro
 from gridloom.operators import hydro, joins, profile, raster
-from gridloom.plans.iterate import checkpointed, labels
+from gridloom.plans.iterate import checkpointed
 from gridloom.registry import ORACLE_SQL, QUERIES, query, rounded
 from gridloom.sources.tables import grid, height, points, samples, sites, table, tilted, with_tables, zones
 from gridloom.streaming import state
@@ -239,7 +239,7 @@ NEAR = ", s AS (SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 1000 AS DOUBLE
 def proximity_components(spark, d):
     k = F.col("s_suppkey")
     p = table(spark, d, "supplier").select(k.alias("id"), F.pmod(k * 7919, F.lit(1000)).cast("double").alias("x"), F.pmod(k * 104729, F.lit(1000)).cast("double").alias("y"))
-    return labels(p.select(F.col("id").alias("node")), checkpointed(joins.proximity_edges(p, 60.0)))
+    return joins.proximity_labels(p, 60.0).withColumnRenamed("id", "node")
 
 
 # Water

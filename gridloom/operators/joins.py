@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.geo import KM_PER_DEGREE, planar_km
+from gridloom.plans.iterate import labels
 from gridloom.plans.shared import skew_safe_join, stored
 
 
@@ -148,6 +149,19 @@ def proximity_edges(points: DataFrame, tolerance: float, strict: bool = False) -
     return own.join(other, ["bx", "by"]).where((F.col("u") != F.col("v")) & (apart < tolerance if strict else apart <= tolerance)).select("u", "v")
 
 
+def proximity_labels(points: DataFrame, tolerance: float, strict: bool = False) -> DataFrame:
+    """(id, label) of points (id, x, y): components by ``proximity_edges``, label the smallest id.
+
+    Points of one place are one node, named by the smallest id: its copies reach all that it reaches. So edges follow
+    places, not pairs of copies. A point without a finite place is by itself.
+    """
+    finite = points.where("x - x = 0 and y - y = 0")
+    places = stored(finite.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    named = labels(places.select(F.col("id").alias("node")), stored(proximity_edges(places, tolerance, strict))).withColumnRenamed("node", "id")
+    found = at_places(points.select("id", "x", "y"), places.join(named, "id").select("x", "y", "copies", "label"), ["x", "y"])
+    return found.select("id", F.coalesce("label", "id").alias("label"))
+
+
 def flattened(records: DataFrame, key: str) -> DataFrame:
     """(key, path, value): every leaf of nested records; fields by name, elements of arrays by number, maps by key."""
 

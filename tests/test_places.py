@@ -30,3 +30,10 @@ def test_nearest_marker_of_copies(spark, quick):
     markers = spark.range(N).select(F.col("id").alias("m"), F.lit(5.0).alias("x"), F.lit(4.0).alias("y"))
     found = screen.nearest_marker(taps, markers, 22.0)
     assert {r["m"]: r["count"] for r in found.groupBy("m").count().collect()} == {N - 1: N - 5}
+
+
+def test_components_of_copies(spark, quick):
+    # Two chains of places, a hundred apart, and points without a place.
+    p = spark.range(N).select("id", (F.col("id") % 4 * 50 + F.when(F.col("id") % 4 > 1, 100).otherwise(0)).cast("double").alias("x"), F.when(F.col("id") < 3, F.lit(float("nan"))).otherwise(F.lit(0.0)).alias("y"))
+    found = {r["label"]: r["count"] for r in joins.proximity_labels(p, 60.0).groupBy("label").count().collect()}
+    assert found == {0: 1, 1: 1, 2: 1, 3: N // 2 - 1, 4: N // 2 - 2}
