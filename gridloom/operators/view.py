@@ -13,7 +13,7 @@ from gridloom.functions.geo import GridSpec
 from gridloom.functions.scene import smoothstep
 from gridloom.operators import tiles
 from gridloom.operators.raster import bilinear, box_downsample
-from gridloom.plans.shared import stored
+from gridloom.plans.shared import checked_broadcast, stored
 
 
 def clipped(low: tuple, high: tuple) -> tuple[Column, Column]:
@@ -33,6 +33,8 @@ def clipped(low: tuple, high: tuple) -> tuple[Column, Column]:
 
 #: Cells of a leaf's side, nodes of a level's side that one above holds, and rays that meet a leaf's cells together.
 LEAF, FAN, RAYS = 64, 4, 4096
+#: Rays of a task that descend the pyramid, and steps of a task: rows are small there and work is not, so tasks follow the work.
+TASK_RAYS, TASK_STEPS = 1 << 15, 1 << 20
 RAY = ["ray", "ox", "oy", "oz", "dx", "dy", "dz"]
 
 
@@ -54,7 +56,8 @@ def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration:
     is descended level by level, only where a ray's heights over a node meet the node's, since a ray that is above or below
     all of a node cannot change sides there. Steps are taken inside the leaves that are left, each a block of cells that
     RAYS rays share, so rows follow the nodes that rays meet. A leaf that most rays meet is as many rows as its
-    rays need.
+    rays need, each of which may go to another task. A column ``until`` of rays says up to which t hits are wanted; a
+    later one may be left out.
     """
     if exaggeration <= 0 or step_cells <= 0:
         raise ValueError("exaggeration and step must be positive")
@@ -65,17 +68,23 @@ def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration:
     half = (width * km / 2, height * km / 2)
     enter, leave = clipped((-half[0], low / 1000 * exaggeration, -half[1]), (half[0], high / 1000 * exaggeration, half[1]))
     flat = F.hypot("dx", "dz")
-    inside = rays.select(*RAY).withColumns({"t0": enter, "t1": leave}).where("t0 is not null").withColumn("step", F.when(flat > 1e-9, km * step_cells / flat).otherwise(F.col("t1") - F.col("t0")))
+    inside = rays.select(*RAY, *(["until"] if "until" in rays.columns else [])).withColumns({"t0": enter, "t1": leave}).where("t0 is not null").withColumn("step", F.when(flat > 1e-9, km * step_cells / flat).otherwise(F.col("t1") - F.col("t0")))
     steps = F.least(F.when(F.col("step") > 0, F.ceil((F.col("t1") - F.col("t0")) / F.col("step"))).otherwise(0), F.lit(max_steps)).cast("int")
+    if "until" in rays.columns:
+        steps = F.least(steps, F.when(F.col("step") > 0, F.ceil((F.col("until") - F.col("t0")) / F.col("step"))).otherwise(0)).cast("int")
+    # The end of the way that is looked at.
+    end = F.when(F.col("step") > 0, F.least("t1", F.col("t0") + F.col("steps") * F.col("step"))).otherwise(F.col("t1"))
+    parallel = 2 * cells.sparkSession.sparkContext.defaultParallelism
     top = len(levels) - 1
-    # Written: else every level's conditions would hold the expressions of the box again.
-    at = stored(inside.select(*RAY, "t0", "t1", "step", steps.alias("steps"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    # Written twice: else every level's conditions would hold the expressions of the box again, and those of the steps.
+    inside = stored(inside.repartition(max(parallel, -(-rays.count() // TASK_RAYS)), "ray"))
+    at = stored(inside.withColumn("steps", steps).where("steps >= 0").select(*RAY, "t0", "t1", "step", "steps", end.alias("te"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
     for level in range(top, -1, -1):
         if level < top:
             fan = F.sequence(F.lit(0), F.lit(FAN - 1))
             at = at.withColumn("da", F.explode(fan)).withColumn("db", F.explode(fan)).withColumns({"a": F.col("a") * FAN + F.col("da"), "b": F.col("b") * FAN + F.col("db")}).drop("da", "db")
         at = _crossing(at, leaf * FAN**level, spec, km)
-        near = at.join(levels[level], ["a", "b"])
+        near = at.join(checked_broadcast(levels[level], 64), ["a", "b"])
         heights = [F.col("oy") + F.col("dy") * F.col(t) for t in ("ta", "tb")]
         scaled = lambda c: F.col(c) / 1000 * exaggeration
         at = near.where((F.least(*heights) <= scaled("high") + 1e-9) & (F.greatest(*heights) >= scaled("low") - 1e-9)).drop("low", "high")
@@ -83,10 +92,13 @@ def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration:
     last = F.when(F.col("step") > 0, F.ceil((F.col("tb") - F.col("t0")) / F.col("step"))).otherwise(0)
     spans = at.select(*RAY, "t0", "t1", "step", F.greatest(first, F.lit(0)).cast("int").alias("s0"), F.least(last, F.col("steps")).cast("int").alias("s1"), F.col("a").alias("ti"), F.col("b").alias("tj")).where("s0 <= s1")
     spans = stored(spans)
-    many = spans.groupBy("ti", "tj").agg(F.ceil(F.count(F.lit(1)) / RAYS).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("ray"), F.col("parts"))
-    taken = spans.join(many, ["ti", "tj"]).groupBy("ti", "tj", part.alias("part")).agg(F.collect_list(F.struct(*RAY, "t0", "t1", "step", "s0", "s1")).alias("rays"))
-    met = taken.join(leaves, ["ti", "tj"]).select("rays", "i0", "j0", "width", "height", "data")
+    many = stored(spans.groupBy("ti", "tj").agg(F.ceil(F.count(F.lit(1)) / RAYS).cast("long").alias("parts"), F.sum(F.col("s1") - F.col("s0") + 1).alias("n")))
+    tasks = max(parallel, -(-(many.agg(F.sum("n")).first()[0] or 0) // TASK_STEPS))
+    many, key = many.drop("n"), ["ti", "tj", "part"]
+    dealt = spans.join(checked_broadcast(many, 64), ["ti", "tj"]).withColumn("part", F.pmod(F.xxhash64("ray"), F.col("parts")))
+    taken = dealt.repartition(tasks, *key).groupBy(*key).agg(F.collect_list(F.struct(*RAY, "t0", "t1", "step", "s0", "s1")).alias("rays"))
+    shared = leaves.join(many, ["ti", "tj"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = taken.join(shared.repartition(tasks, *key), key).select("rays", "i0", "j0", "width", "height", "data")
     ray_type = rays.schema["ray"].dataType.simpleString()
     hits = met.mapInArrow(_marched(spec, exaggeration, refine_metres / 1000), f"ray {ray_type}, s int, t double, x double, y double, z double, i double, j double")
     return hits.groupBy("ray").agg(F.min_by(F.struct("t", "x", "y", "z", "i", "j"), F.struct("s", "t")).alias("m")).select("ray", "m.*")
@@ -94,7 +106,7 @@ def first_hits(rays: DataFrame, cells: DataFrame, spec: GridSpec, exaggeration:
 
 def _crossing(at: DataFrame, size: int, spec: GridSpec, km: float) -> DataFrame:
     """Rays over a node (a, b) of so many cells' side: those that cross it, with the way (ta, tb) on which they do."""
-    ta, tb, misses = F.col("t0"), F.col("t1"), F.lit(False)
+    ta, tb, misses = F.col("t0"), F.col("te"), F.lit(False)
     for n, o, d, cells_ in (("a", "ox", "dx", spec.width), ("b", "oz", "dz", spec.height)):
         edge = lambda c: (c - (cells_ - 1) / 2) * km  # noqa: B023, E731
         # The outermost nodes reach to the raster's edge, half a cell beyond its last centre.
@@ -168,7 +180,8 @@ def occluded(markers: DataFrame, eye: tuple[float, float, float], cells: DataFra
     away = [F.col(a) - e for a, e in zip("xyz", eye)]
     far = F.sqrt(away[0] ** 2 + away[1] ** 2 + away[2] ** 2)
     aimed = markers.withColumn("far", far)
-    rays = aimed.where("far > 0").select(F.col("m").alias("ray"), *[F.lit(float(e)).alias(f"o{a}") for a, e in zip("xyz", eye)], *[(v / F.when(F.col("far") > 0, F.col("far"))).alias(f"d{a}") for a, v in zip("xyz", away)])
+    # What lies behind a marker does not hide it.
+    rays = aimed.where("far > 0").select(F.col("m").alias("ray"), F.col("far").alias("until"), *[F.lit(float(e)).alias(f"o{a}") for a, e in zip("xyz", eye)], *[(v / F.when(F.col("far") > 0, F.col("far"))).alias(f"d{a}") for a, v in zip("xyz", away)])
     hits = first_hits(rays, cells, spec, exaggeration).select(F.col("ray").alias("m"), F.sqrt((F.col("x") - eye[0]) ** 2 + (F.col("y") - eye[1]) ** 2 + (F.col("z") - eye[2]) ** 2).alias("hit"))
     near = F.col("hit") < F.col("far") - F.greatest(F.lit(0.05), F.col("far") * 0.02)
     return aimed.join(hits, "m", "left").select("m", F.coalesce(near, F.lit(False)).alias("hidden"))
