@@ -52,24 +52,30 @@ class Late(StatefulProcessor):
         self.waiting = handle.getListState("waiting", f"at long, n long, {self.types}")
         self.seen = handle.getValueState("seen", "at long")
 
-    def _events(self) -> list[tuple]:
-        return sorted(((tuple(e) for e in self.waiting.get()) if self.waiting.exists() else ()), key=lambda e: (e[:2], [(x is not None, x) for x in e[2:]]))
+    def _events(self, new: list[tuple] = ()) -> list[tuple]:
+        """The events that wait, and those of a batch that are not yet among them, in their order."""
+        return sorted([*((tuple(e) for e in self.waiting.get()) if self.waiting.exists() else ()), *new], key=lambda e: (e[:2], [(x is not None, x) for x in e[2:]]))
 
     def _after(self, state, events: list[tuple]):
         for e in events:
             state = self.step(state if state is not None else self.begin(e[2:]), e[2:])
         return state
 
+    def _wake(self, events: list[tuple]) -> None:
+        """A timer behind the earliest of these events: one for a batch, not one for an event; it sets the next one."""
+        if events:
+            self.handle.registerTimer(min(e[0] for e in events) + 1)
+
     def handleInputRows(self, key, rows, timerValues):
         new = [(r.at, r.n, *[r[c] for c in self.columns]) for r in rows]
+        events = self._events(new)
         self.waiting.appendList(new)
-        for at in {e[0] for e in new}:
-            self.handle.registerTimer(at + 1)
+        self._wake(new)
         last = max([e[0] for e in new] + ([self.seen.get()[0]] if self.seen.exists() else []))
         self.seen.update((last,))
         if self.idle_ms is not None:
             self.handle.registerTimer(last + self.idle_ms)
-        yield self._row(key, self._after(self.value.get() if self.value.exists() else None, self._events()))
+        yield self._row(key, self._after(self.value.get() if self.value.exists() else None, events))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark, events = timerValues.getCurrentWatermarkInMs(), self._events()
@@ -78,6 +84,7 @@ class Late(StatefulProcessor):
             self.value.update(self._after(self.value.get() if self.value.exists() else None, past))
             left = events[len(past) :]
             self.waiting.put(left) if left else self.waiting.clear()
+            self._wake(left)
         if self.idle_ms is not None and self.seen.exists() and self.seen.get()[0] + self.idle_ms <= mark:
             for kept in (self.value, self.waiting, self.seen):
                 kept.clear()
