@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.rasters import CELLS, ENCODINGS
+from gridloom.sources.rasters import BATCH_CELLS, CELLS, ENCODINGS
 
 
 # Codecs
@@ -251,6 +251,16 @@ def encoded(cells: DataFrame, encoding: str, width: int, height: int | Callable[
     return cells.select("name", "i", "j", "v").groupBy("name").applyInPandas(run, "name string, content binary, encoding string, width long, height long")
 
 
+def encoded_parts(cells: DataFrame, encoding: str, width: int, height: int, part_cells: int = BATCH_CELLS) -> DataFrame:
+    """(name, part, content, encoding, width, height): as ``encoded``, but a file's rows of cells come in parts of some ``part_cells``."""
+    rows = max(1, part_cells // max(width, 1))
+    part = F.floor(F.col("j") / rows)
+    parts = cells.select(F.to_json(F.struct("name", part.alias("part"))).alias("name"), "i", "j", "v")
+    made = encoded(parts, encoding, width, lambda key: min(rows, height - rows * json.loads(key)["part"]))
+    key = F.from_json("name", "name string, part long")
+    return made.select(key["name"].alias("name"), key["part"].alias("part"), "content", "encoding", "width", F.lit(height).cast("long").alias("height"))
+
+
 def images(pixels: DataFrame) -> DataFrame:
     """(name, content): PNG files of (name, i, j, r, g, b)."""
 

@@ -69,6 +69,34 @@ class Written(WriterCommitMessage):
     attempt: str
 
 
+class Growing:
+    """A file that is written part by part, and what its manifest says of it."""
+
+    def __init__(self, system, path: str, row: dict):
+        self.out, self.row, self.sha, self.size, self.blocks = system.open_output_stream(path), row, hashlib.sha256(), 0, []
+
+    def add(self, data: bytes) -> None:
+        self.out.write(data)
+        self.sha.update(data)
+        left = memoryview(data)
+        while len(left):
+            at = self.size % BLOCK
+            piece, left = left[: BLOCK - at], left[BLOCK - at :]
+            self.blocks[len(self.blocks) - bool(at) :] = [zlib.crc32(piece, self.blocks[-1] if at else 0)]
+            self.size += len(piece)
+
+    def closed(self) -> dict:
+        self.out.close()
+        return self.row | {"bytes": self.size, "sha256": self.sha.hexdigest(), "blocks": self.blocks}
+
+
+def _fits(r: dict) -> None:
+    """A raster's bytes are those of its cells."""
+    size = np.dtype(ENCODINGS[r["encoding"]]).itemsize
+    if r["bytes"] != size * r["width"] * r["height"]:
+        raise ValueError(f"{r['name']}: {r['bytes']} bytes are not {r['width']} x {r['height']} cells of {size}")
+
+
 class Writer(DataSourceArrowWriter):
     def __init__(self, folder: str, columns: list[str]):
         self.folder, self.columns = folder, columns
@@ -78,13 +106,22 @@ class Writer(DataSourceArrowWriter):
         attempt = uuid.uuid4().hex
         at, said = f"{base}/{ATTEMPTS}/{attempt}", []
         system.create_dir(at, recursive=True)
+        now, parts = None, 0
         for batch in iterator:
-            for k in range(batch.num_rows):  # one file at a time
+            for k in range(batch.num_rows):  # one file, or one part of a file, at a time
                 row = {c: batch.column(n)[k].as_py() for n, c in enumerate(self.columns)}
-                data = bytes(row.pop("content"))
-                _put(system, f"{at}/{_named(row['name'])}", data)
-                blocks = [zlib.crc32(data[b : b + BLOCK]) for b in range(0, len(data), BLOCK)]
-                said.append(row | {"bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "blocks": blocks})
+                data, part = row.pop("content"), row.pop("part", 0)
+                parts = parts + 1 if part and now and now.row["name"] == row["name"] else 0
+                if part != parts:
+                    raise ValueError(f"{row['name']}: part {part} where part {parts} was due")
+                if not part:
+                    said += [now.closed()] if now else []
+                    now = Growing(system, f"{at}/{_named(row['name'])}", row)
+                now.add(data)
+        said += [now.closed()] if now else []
+        if "part" in self.columns and "encoding" in self.columns:
+            for r in said:
+                _fits(r)
         if not said:
             system.delete_dir(at)
             return Written(None, attempt)
@@ -124,6 +161,23 @@ class Writer(DataSourceArrowWriter):
             system.delete_dir(f"{base}/{ATTEMPTS}")
 
 
+def problem(folder: str, name: str, size: int, sha256: str) -> str | None:
+    """What is wrong with a file, by its size and hash; it is read a block at a time."""
+    from pyarrow import fs
+
+    system, base = _system(folder)
+    info = system.get_file_info(f"{base}/{name}")
+    if info.type != fs.FileType.File:
+        return "is missing"
+    if info.size != size:
+        return "has another size"
+    sha = hashlib.sha256()
+    with system.open_input_stream(f"{base}/{name}") as f:
+        while data := f.read(BLOCK):
+            sha.update(data)
+    return None if sha.hexdigest() == sha256 else "has another hash"
+
+
 def committed(folder: str) -> list[str]:
     """The names of the manifest's parts that count, one for each task that wrote."""
     from pyarrow import fs
@@ -304,11 +358,14 @@ def registered(spark: SparkSession) -> SparkSession:
 def written(files: DataFrame, folder: str) -> DataFrame:
     """Write files (name, content, further columns) to a folder by their tasks, and give its manifest.
 
-    Columns of the manifest: name, further columns, bytes and sha256 of each file.
+    Columns of the manifest: name, further columns, bytes and sha256 of each file. With a column ``part`` (0, 1, 2 and so
+    on) a file's rows are its parts: one task writes them one after the other, and holds no whole file.
     """
     registered(files.sparkSession)
+    if "part" in files.columns:
+        files = files.repartition("name").sortWithinPartitions("name", "part")
     files.write.format("gridloom").mode("append").save(folder)
-    return manifest(files.sparkSession, folder, files.drop("content").schema)
+    return manifest(files.sparkSession, folder, files.drop("content", "part").schema)
 
 
 def manifest(spark: SparkSession, folder: str, columns=None) -> DataFrame:
