@@ -94,15 +94,14 @@ def longest_outline(spark, d):
 
 
 def water(spark, d):
-    """A relief with wide hollows, its fills and its depressions."""
+    """A relief with wide hollows, its rows, its fill without epsilon, its depressions and their cells."""
     g = grid(spark, d)
     rows = height(g)
     bowl = F.when((F.pmod("i", F.lit(32)).between(6, 25)) & (F.pmod("j", F.lit(40)).between(8, 30)), F.lit(900)).otherwise(F.lit(0))
     cells = hydro.checkpointed(g.select("i", "j", (F.col("h") / 4 + 40 * F.pmod("j", F.lit(40)) - bowl + 3000).alias("h")))
-    minimal, filled = hydro.fill(cells, 64, rows, 0.0), hydro.fill(cells, 64, rows, 0.01)
-    found = hydro.checkpointed(hydro.depressions(cells, minimal, 64))
-    members = hydro.checkpointed(hydro.components(cells.join(minimal, ["i", "j"]).where(F.col("f") - F.col("h") > 0.01), 64))
-    return cells, minimal, filled, found, members
+    minimal = hydro.checkpointed(hydro.fill(cells, 64, rows, 0.0, ground=True))
+    members = hydro.submerged(cells, minimal, 64)
+    return cells, rows, minimal, hydro.checkpointed(hydro.depressions(cells, minimal, 64, members=members)), members
 
 
 @query()
@@ -114,11 +113,11 @@ def largest_depressions(spark, d):
 @query()
 def flow_routing(spark, d):
     """Directions over the routing surface, main basins with retained depressions merged, and every cell's label."""
-    cells, minimal, filled, found, members = water(spark, d)
+    cells, rows, minimal, found, members = water(spark, d)
+    filled = hydro.fill(cells, 64, rows, 0.01, ground=True)
     surface = hydro.checkpointed(hydro.routing(cells, filled, minimal, found, members, 64))
     graph = hydro.checkpointed(hydro.edges(hydro.d8(surface, "z"), 64))
-    inside = cells.where(F.col("i").between(4, 59)).select((F.col("j") * 64 + F.col("i")).alias("src"))
-    basins, labels = hydro.outlets(hydro.flow_terminals(graph, 64), hydro.accumulation(graph, 64), inside, found, members)
+    basins, labels = hydro.outlets(hydro.followed(graph, 64), None, lambda cell: F.pmod(cell, F.lit(64)).between(4, 59), found, members)
     sizes = labels.groupBy("basin").agg(F.count(F.lit(1)).alias("labelled"))
     return sizes.join(basins.withColumnRenamed("id", "basin"), "basin", "left").select("basin", "labelled", "terminal", "outlet", "outlet_acc", "n_cells", "kind")
 

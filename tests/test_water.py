@@ -105,3 +105,55 @@ def test_flow_by_tiles(spark, tile, seed):
     assert {r.src: r.acc for r in hydro.accumulation(graph, m, tile).collect()} == acc and max(acc.values()) > 100
     assert {r.src: r.terminal for r in hydro.flow_terminals(graph, m, tile).collect()} == ends
     assert {r.src: r.acc for r in hydro.accumulation(graph).collect()} == acc
+
+
+def test_cells_without_height_are_walls(spark):
+    """Nothing runs over them or into them, in whatever tile they lie; a neighbour of theirs runs down to the next best."""
+    rng = np.random.default_rng(7)
+    h = pits(rng, 23, 19)
+    h[rng.random(h.shape) < 0.08] = np.nan
+    f, queue = np.where(np.isnan(h), np.nan, np.inf), []
+    for j, i in np.ndindex(h.shape):
+        if (j in (0, 22) or i in (0, 18)) and not np.isnan(h[j, i]):
+            f[j, i] = h[j, i]
+            queue.append((h[j, i], j, i))
+    heapq.heapify(queue)
+    while queue:
+        z, j, i = heapq.heappop(queue)
+        for y, x in ((j + b, i + a) for b in (-1, 0, 1) for a in (-1, 0, 1)):
+            if 0 <= y < 23 and 0 <= x < 19 and f[y, x] == np.inf:
+                f[y, x] = max(h[y, x], z)
+                heapq.heappush(queue, (f[y, x], y, x))
+    f = np.where(f == np.inf, h, f)
+    cells = spark.createDataFrame([(i, j, None if np.isnan(h[j, i]) else float(h[j, i])) for j, i in np.ndindex(h.shape)], "i long, j long, h double").cache()
+    for tile in (4, 256):
+        got = {(r.j, r.i): r.f for r in hydro.spilled(cells, 19, 23, tile=tile).collect()}
+        assert len(got) == h.size and all(got[k] == f[k] or np.isnan(f[k]) for k in got)
+    got = {(r.j, r.i): r.dir for r in hydro.d8(cells).collect()}
+    for j, i in np.ndindex(h.shape):
+        around = [(h[j + b, i + a], c) for c, a, b in hydro.STEPS if 0 <= j + b < 23 and 0 <= i + a < 19 and not np.isnan(h[j + b, i + a])]
+        assert got[j, i] == (min(around)[1] if min(around)[0] < h[j, i] else 0)
+
+
+def test_rounds_of_filling_write_borders(spark, monkeypatch):
+    """A river crosses the tiles one by one: each round writes the tiles and what crosses a border, not all cells again."""
+    h = np.full((96, 40), 90.0)
+    h[1:-1, 20], h[-1, 20] = 5, 0
+    written, real = [], hydro.checkpointed
+    monkeypatch.setattr(hydro, "checkpointed", lambda df: written.append(real(df)) or written[-1])
+    got = hydro.fill(relief(spark, h), 40, 96, 0.25, tile=8).collect()
+    want = filled(h, 0.25)
+    assert len(got) == h.size and all(r.f == want[r.j, r.i] for r in got)
+    assert len(written) > 8 and sum(d.count() for d in written[2:]) < h.size
+
+
+def test_outlets_of_water_followed_once(spark):
+    """Ends and sums of one pass over the tiles, and the inside said of numbers, against single ones and a table."""
+    rng = np.random.default_rng(5)
+    h = np.round(rng.random((21, 18)) * 40) + np.arange(21)[:, None] * 2
+    graph = hydro.edges(hydro.d8(relief(spark, h)), 18).cache()
+    inside = spark.createDataFrame([(c,) for c in range(h.size) if 2 <= c % 18 < 16], "src long")
+    one = hydro.outlets(hydro.followed(graph, 18, 4), None, lambda cell: (cell % 18).between(2, 15), None, None)
+    two = hydro.outlets(hydro.flow_terminals(graph), hydro.accumulation(graph), inside, None, None)
+    for a, b in zip(one, two):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
